@@ -6,10 +6,23 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from glowtrace.llm import exact_dedup, minhash, mixing
+from glowtrace.llm import chat, embedding_join, exact_dedup, fixity, langid, minhash, mixing, packing, tokens
 from glowtrace.llm.common import table
 
 
+def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
+def op3_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = chat.with_control_strings(spark, table(spark, sf_dir, "conversations"))
+    return chat.read_back(chat.windows(turns))
+
+
 def op4_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken_words(table(spark, sf_dir, "documents"))
 
@@ -18,17 +31,70 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.radix_groups(table(spark, sf_dir, "documents"))
 
 
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.document_tokens(table(spark, sf_dir, "documents"))
+
+
+def op8_similar_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_join.similar_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op10_merkle_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The archive of all pages against a replica that is damaged by rule."""
+    records = fixity.warc_records(table(spark, sf_dir, "pages"))
+    return fixity.audit(records, fixity.damaged(records))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_best_fit_packing": op1_best_fit_packing,
+    "op2_language_id": op2_language_id,
+    "op3_chat_windows": op3_chat_windows,
     "op4_source_mix": op4_source_mix,
     "op5_exact_dedup": op5_exact_dedup,
+    "op6_token_counts": op6_token_counts,
+    "op8_similar_embeddings": op8_similar_embeddings,
     "op9_near_dedup": op9_near_dedup,
+    "op10_merkle_audit": op10_merkle_audit,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op3_chat_windows": r"""
+        WITH RECURSIVE c AS (
+          SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+          UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+        t AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) - 1 AS i FROM c),
+        r AS (SELECT conv_id, i, role, text, CAST(i = 0 AND role = 'system' AS INTEGER) AS head,
+                CAST(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS BIGINT) + 4 AS cost,
+                8 + length(replace(replace(replace(role, '&', '&a'), '|', '&p'), '<', '&l'))
+                  + length(regexp_replace(text, '([<\[])(&*)(\||/?s>|/?INST\])', '\1&\2\3', 'g')) AS chars
+              FROM t),
+        h AS (SELECT conv_id, sum(CASE WHEN head = 1 THEN cost ELSE 0 END) AS head_cost, sum(CASE WHEN head = 1 THEN chars ELSE 0 END) AS head_chars, sum(head) AS n_head FROM r GROUP BY conv_id),
+        b AS (SELECT r.conv_id, r.i - h.n_head AS i, r.cost, h.head_cost, h.head_chars,
+                sum(r.cost) OVER w - r.cost AS before, sum(r.chars) OVER w - r.chars AS chars_before
+              FROM r JOIN h ON r.conv_id IS NOT DISTINCT FROM h.conv_id WHERE r.head = 0
+              WINDOW w AS (PARTITION BY r.conv_id ORDER BY r.i)),
+        f AS (SELECT b.conv_id, b.i, any_value(b.before) AS before, any_value(b.cost) AS cost, any_value(b.chars_before) AS chars_before,
+                any_value(b.head_cost) AS head_cost, any_value(b.head_chars) AS head_chars, min(e.before) AS first_before, min(e.chars_before) AS first_chars
+              FROM b JOIN b e ON b.conv_id IS NOT DISTINCT FROM e.conv_id AND e.i <= b.i
+                AND (e.i = b.i OR b.before - e.before <= least(128, 512 - b.head_cost - b.cost))
+              GROUP BY b.conv_id, b.i),
+        w AS (SELECT conv_id, i, before AS base, 0 AS extra FROM f WHERE i = 0
+          UNION ALL
+          SELECT f.conv_id, f.i,
+            CASE WHEN f.head_cost + f.before + f.cost - w.base <= 512 THEN w.base ELSE f.first_before END,
+            CASE WHEN f.head_cost + f.before + f.cost - w.base <= 512 THEN 0 ELSE f.head_chars + f.chars_before - f.first_chars END
+          FROM w JOIN f ON w.conv_id IS NOT DISTINCT FROM f.conv_id AND f.i = w.i + 1),
+        x AS (SELECT conv_id, CAST(sum(extra) AS BIGINT) AS extra FROM w GROUP BY conv_id),
+        g AS (SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY i) AS turns,
+                coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY i), '') AS loss, CAST(sum(chars) AS BIGINT) AS chars
+              FROM r GROUP BY conv_id)
+        SELECT g.conv_id, n_turns, sha256(turns) AS turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256, chars + coalesce(extra, 0) AS formatted_chars
+        FROM g LEFT JOIN x ON g.conv_id IS NOT DISTINCT FROM x.conv_id
+    """,
     "op4_source_mix": r"""
         WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents),
         s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
@@ -54,4 +120,20 @@ ORACLE_SQL: dict[str, str] = {
           doc_id = first_value(doc_id) OVER best AS kept, sha256(norm) AS text_sha256
         FROM d WINDOW best AS (PARTITION BY norm ORDER BY length(text) DESC, doc_id)
     """,
+    "op10_merkle_audit": r"""
+        WITH p AS (SELECT coalesce(page_id, -1) AS page_id, coalesce(url, '') AS url, coalesce(html, '') AS html FROM pages),
+        r AS (SELECT page_id, CAST(floor(page_id / 1000) AS BIGINT) AS file,
+                'WARC/1.1' || chr(13) || chr(10) || 'WARC-Type: response' || chr(13) || chr(10) || 'WARC-Record-ID: <urn:page:' || page_id || '>' || chr(13) || chr(10)
+                || 'WARC-Target-URI: ' || url || chr(13) || chr(10) || 'Content-Type: text/html; charset=utf-8' || chr(13) || chr(10)
+                || 'Content-Length: ' || octet_length(encode(html)) || chr(13) || chr(10) || chr(13) || chr(10) || html || chr(13) || chr(10) || chr(13) || chr(10) AS record
+              FROM p),
+        a AS (SELECT file, page_id, record, octet_length(encode(record)) AS length, sha256(record) AS digest,
+                CAST(coalesce(sum(octet_length(encode(record))) OVER (PARTITION BY file ORDER BY page_id, sha256(record) ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS "offset"
+              FROM r),
+        b AS (SELECT *, CASE WHEN page_id % 101 = 17 THEN NULL
+                WHEN page_id % 97 = 13 THEN sha256(substring(record, 1, length(record) - 5) || '~' || substring(record, length(record) - 3))
+                WHEN page_id % 103 = 29 THEN sha256(substring(record, 1, length(record) - 40)) ELSE digest END AS their_digest FROM a)
+        SELECT file, "offset", length, page_id, CASE WHEN their_digest IS NULL THEN 'missing' ELSE 'changed' END AS state, digest AS our_digest, their_digest
+        FROM b WHERE their_digest IS DISTINCT FROM digest
+    """,
 }
