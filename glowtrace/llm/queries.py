@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from glowtrace.llm import chat, embedding_join, exact_dedup, fixity, langid, minhash, mixing, packing, tokens
+from glowtrace.llm import chat, embedding_join, exact_dedup, fixity, html_extract, langid, minhash, mixing, packing, tokens
 from glowtrace.llm.common import table
 
 
@@ -35,6 +35,10 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.document_tokens(table(spark, sf_dir, "documents"))
 
 
+def op7_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.page_texts(table(spark, sf_dir, "pages"))
+
+
 def op8_similar_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_join.similar_vectors(table(spark, sf_dir, "embeddings"))
 
@@ -56,6 +60,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_source_mix": op4_source_mix,
     "op5_exact_dedup": op5_exact_dedup,
     "op6_token_counts": op6_token_counts,
+    "op7_page_text": op7_page_text,
     "op8_similar_embeddings": op8_similar_embeddings,
     "op9_near_dedup": op9_near_dedup,
     "op10_merkle_audit": op10_merkle_audit,
