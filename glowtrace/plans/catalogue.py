@@ -1,4 +1,54 @@
-"""Named queries over the test tables, with their SQL."""
+"""Named queries over the test tables, with the SQL of those that SQL can express.
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+Doubles are rounded to eight digits on both sides, as two engines add in different orders; -0.0 becomes 0.0.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+from importlib import import_module
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+
+def finish(df: DataFrame) -> DataFrame:
+    """Rounded doubles, without the recording's name."""
+    kinds = dict(df.dtypes)
+    return df.select(*[(F.round(c, 8) + 0.0).alias(c) if kinds[c] in ("double", "float") else F.col(c) for c in df.columns if c != "rec_id"])
+
+
+def query(name: str, sql: str | None = None):
+    """Registers a function of (spark, sf_dir) under a name."""
+
+    def put(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+        QUERIES[name] = lambda spark, sf_dir: finish(f(spark, sf_dir))
+        if sql:
+            ORACLE_SQL[name] = sql
+        return f
+
+    return put
+
+
+#: The logical inputs of glowtrace.sources.tables as SQL.
+MOVIE = """m AS (SELECT vec_id AS t_idx, CAST((i - 1) // 8 AS INTEGER) AS y, CAST((i - 1) % 8 AS INTEGER) AS x,
+  CAST(100 AS DOUBLE) + CAST(10 AS DOUBLE) * CAST(embedding[i] AS DOUBLE) AS v FROM embeddings, (SELECT unnest(generate_series(1, 64)) AS i) u)"""
+MASK = "k AS (SELECT y, x, CAST((y // 4) * 2 + x // 4 AS INTEGER) AS roi_id, 1 / (1 + abs(y - CAST(3.5 AS DOUBLE)) + abs(x - CAST(3.5 AS DOUBLE))) AS weight FROM (SELECT DISTINCT y, x FROM m) WHERE y BETWEEN 1 AND 6 AND x BETWEEN 1 AND 6)"
+SECONDS = "date_diff('microsecond', TIMESTAMP '2024-01-01', ts) / CAST(1e6 AS DOUBLE)"
+TRACES = f"t AS (SELECT event_type AS roi_id, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) - 1 AS t_idx, {SECONDS} AS ts, value AS f FROM events)"
+STIMULUS = "s AS (SELECT vec_id AS t_idx, CAST(100 AS DOUBLE) + CAST(10 AS DOUBLE) * CAST(embedding[1] AS DOUBLE) AS x, CAST(100 AS DOUBLE) + CAST(10 AS DOUBLE) * CAST(embedding[2] AS DOUBLE) AS y FROM embeddings)"
+
+
+def r8(x: str, name: str) -> str:
+    return f"round({x}, 8) + 0 AS {name}"
+
+
+for part in ("trace_queries", "movie_queries", "signal_queries", "image_queries", "model_queries", "source_queries", "stream_queries"):
+    try:
+        import_module(f"glowtrace.plans.{part}")
+    except ModuleNotFoundError as missing:
+        if missing.name != f"glowtrace.plans.{part}":
+            raise
