@@ -7,12 +7,20 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 
 
-def checkpointed(spark: SparkSession, df: DataFrame) -> DataFrame:
-    """``df`` written to the checkpoint folder and read from there. Only a local session may go without that setting."""
+def shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder. Only a local session may go without that setting."""
     context = spark.sparkContext
-    if not context.getCheckpointDir():
-        folder = context.getConf().get("spark.checkpoint.dir", None)
-        if not folder and not context.master.startswith("local"):
+    folder = context.getConf().get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if not folder:
+        if not context.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-"))
+        folder = tempfile.mkdtemp(prefix="spark-")
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(folder)
+    return folder.rstrip("/")
+
+
+def checkpointed(spark: SparkSession, df: DataFrame) -> DataFrame:
+    """``df`` written to the checkpoint folder and read from there."""
+    shared_folder(spark)
     return df.checkpoint()
