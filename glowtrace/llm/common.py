@@ -70,6 +70,24 @@ def sized_broadcast(df: DataFrame, rows: int, row_bytes: int) -> DataFrame:
     return F.broadcast(df) if rows * row_bytes <= BROADCAST_BYTES else df
 
 
+#: Rows of one key that a task of a shuffled join gets.
+SALTED = 1000
+
+
+def join_groups(rows: DataFrame, groups: DataFrame, on: list[str], row_bytes: int, spread: list[str]) -> DataFrame:
+    """``rows`` left-joined to ``groups``, a written table with one row a key and the key's count of rows in ``size``.
+
+    Few groups are broadcast after a count. Else large groups are salted: their rows are spread by a hash of the columns
+    ``spread``, and their group's row is repeated for each salt."""
+    if groups.count() * row_bytes <= BROADCAST_BYTES:
+        return rows.join(F.broadcast(groups), on, "left")
+    salts = F.ceil(F.col("size") / SALTED).cast("int")
+    hot = groups.where(F.col("size") > SALTED).select(*on, salts.alias("_salts"))
+    salt = F.pmod(F.xxhash64(*spread), F.coalesce("_salts", F.lit(1))).cast("int")
+    rows = rows.join(sized_broadcast(hot, hot.count(), row_bytes), on, "left").withColumn("_salt", salt).drop("_salts")
+    return rows.join(groups.withColumn("_salt", F.explode(F.sequence(F.lit(0), salts - 1))), [*on, "_salt"], "left").drop("_salt")
+
+
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Texts can be long: fewer rows in an Arrow batch keep a Python worker's memory bounded."""
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"

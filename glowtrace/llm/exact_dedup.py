@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glowtrace.llm.common import SPACE, Scratch, sized_broadcast, without_rows_of
+from glowtrace.llm.common import SPACE, Scratch, join_groups, sized_broadcast, without_rows_of
 
 #: Bytes of the first digit, and how many times longer each following digit is.
 FIRST_DIGIT, GROWTH = 256, 8
@@ -20,7 +20,7 @@ def radix_groups(docs: DataFrame, first_digit: int = FIRST_DIGIT, growth: int =
     their texts; a group is done when one row is left in it or when its texts have ended, which for equal digits shorter
     than the round's length they do together. Texts are compared byte by byte; the SHA-256 is only returned, and names a
     row among rows that repeat a doc_id. Only open rows carry their remaining bytes into the next round, and groups are
-    counted by partial aggregation, so a group of any size never meets in one task.
+    counted by partial aggregation and joined by broadcast or salts, so a group of any size never meets in one task.
 
     The row with the most code points in the original text, then the smallest doc_id, stays. Null text counts as empty.
     Null doc_id: sorts before all others and can be the keep_id; kept is then true for the rows that hold it. Rows that
@@ -34,14 +34,14 @@ def radix_groups(docs: DataFrame, first_digit: int = FIRST_DIGIT, growth: int =
     base = base.withColumn("sha", F.sha2("bytes", 256))
 
     def split(rows: DataFrame, digit: int, keys: list[str], carry: list[str]) -> DataFrame:
-        """rows with the count and the label of their (keys, next digit) group."""
+        """rows with the size and the label of their (keys, next digit) group; a single row is its own."""
         rows = rows.withColumn("digit", F.substring("bytes", 1, digit)).select(*keys, "doc_id", "sha", "chars", "digit", *carry)
-        name = F.struct(F.col("doc_id"), F.col("sha"))
-        groups = rows.groupBy(*keys, "digit").agg(F.count("*").alias("size"), F.min(name).alias("next"))
-        on = [F.col(f"r.{k}").eqNullSafe(F.col(f"g.{k}")) for k in keys] + [F.col("r.digit") == F.col("g.digit")]
-        both = rows.alias("r").join(groups.alias("g"), reduce(lambda a, b: a & b, on))
-        ended = (F.col("size") == 1) | (F.length("r.digit") < digit)
-        return both.select("r.doc_id", "r.sha", "r.chars", F.col("next").alias("grp"), "size", ended.alias("ended"), *[f"r.{c}" for c in carry])
+        rows = rows if carry else scratch.save(rows, "heads")
+        name = F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), "sha")
+        groups = rows.groupBy(*keys, "digit").agg(F.count("*").alias("size"), F.min(name).alias("label")).where("size > 1")
+        both = join_groups(rows, scratch.save(groups, "groups"), [*keys, "digit"], digit + 200, ["doc_id", "sha"])
+        ended = F.col("size").isNull() | (F.length("digit") < digit)
+        return both.select("doc_id", "sha", "chars", F.coalesce("label", name).alias("grp"), F.coalesce("size", F.lit(1)).alias("size"), ended.alias("ended"), *carry)
 
     digit = first_digit
     state = scratch.save(split(base, digit, [], []), "round")
@@ -64,9 +64,10 @@ def radix_groups(docs: DataFrame, first_digit: int = FIRST_DIGIT, growth: int =
 
     single = rows.where("size = 1").select("doc_id", F.col("doc_id").alias("keep_id"), F.col("size").alias("group_size"), F.lit(True).alias("kept"), F.col("sha").alias("text_sha256"))
     many = rows.where("size > 1")
-    best = many.groupBy("grp").agg(F.min(F.struct((-F.col("chars")).alias("less"), F.col("doc_id").alias("keep_id"))).alias("best"))
+    best = many.groupBy("grp").agg(F.min(F.struct((-F.col("chars")).alias("less"), F.col("doc_id").alias("keep_id"))).alias("best"), F.count("*").alias("size"))
     kept = F.col("doc_id").eqNullSafe(F.col("best.keep_id")) & (-F.col("chars") == F.col("best.less"))
-    groups = many.join(best, "grp").select("doc_id", "best.keep_id", F.col("size").alias("group_size"), kept.alias("kept"), F.col("sha").alias("text_sha256"))
+    groups = join_groups(many.drop("size"), scratch.save(best, "best"), ["grp"], 160, ["doc_id", "sha"])
+    groups = groups.select("doc_id", "best.keep_id", F.col("size").alias("group_size"), kept.alias("kept"), F.col("sha").alias("text_sha256"))
     return single.union(groups)
 
 
