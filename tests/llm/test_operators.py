@@ -354,3 +354,15 @@ def test_records_tile_their_files(spark):
         first = group.iloc[0]["record"]
         head, body = first.split("\r\n\r\n", 1)
         assert f"Content-Length: {len(body.encode()) - 4}" in head
+
+
+# Large groups, without broadcasts
+
+
+def test_groups_are_salted_where_they_are_too_many_to_broadcast(spark, small, monkeypatch):
+    from glowtrace.llm import common
+
+    want = [sorted(map(tuple, f(small).collect())) for f in (exact_dedup.radix_groups, minhash.near_duplicates)]
+    monkeypatch.setattr(common, "BROADCAST_BYTES", -1)
+    monkeypatch.setattr(common, "SALTED", 2)
+    assert [sorted(map(tuple, f(small).collect())) for f in (exact_dedup.radix_groups, minhash.near_duplicates)] == want
