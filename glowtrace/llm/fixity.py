@@ -12,8 +12,9 @@ FANOUT, RECORDS_PER_FILE, RANGE_BYTES = 16, 1000, 1 << 14
 
 
 def warc_records(pages: DataFrame) -> DataFrame:
-    """(file, offset, length, page_id, record): WARC/1.1 response records of pages (page_id, url, html) in files of
-    ``RECORDS_PER_FILE`` consecutive ids, in the order of their ids; null columns count as empty, a null page_id as -1."""
+    """(file, page_id, place, stored, record): WARC/1.1 response records of pages (page_id, url, html), for files of
+    ``RECORDS_PER_FILE`` consecutive ids; ``stored`` is the record's length and ``place`` its digest, which orders rows that
+    repeat an id. Null columns count as empty, a null page_id as -1."""
     page_id = F.coalesce(F.col("page_id").cast("long"), F.lit(-1))
     html = F.coalesce(F.col("html").cast("string"), F.lit(""))
     head = F.concat(
@@ -23,14 +24,19 @@ def warc_records(pages: DataFrame) -> DataFrame:
     )
     record = F.concat(head, html, F.lit("\r\n\r\n"))
     rows = pages.select(F.floor(page_id / RECORDS_PER_FILE).cast("long").alias("file"), page_id.alias("page_id"), record.alias("record"))
-    rows = rows.withColumn("length", F.octet_length("record").cast("long")).withColumn("digest", F.sha2(F.col("record").cast("binary"), 256))
-    before = Window.partitionBy("file").orderBy("page_id", "digest").rowsBetween(Window.unboundedPreceding, -1)
-    return rows.withColumn("offset", F.coalesce(F.sum("length").over(before), F.lit(0))).select("file", "offset", "length", "page_id", "record")
+    return rows.select("file", "page_id", F.sha2(F.col("record").cast("binary"), 256).alias("place"), F.octet_length("record").cast("long").alias("stored"), "record")
 
 
 def leaves(records: DataFrame) -> DataFrame:
-    """(file, offset, length, page_id, digest): the hash of each record; bodies stop here and are never shuffled again."""
-    return records.select("file", "offset", "length", "page_id", F.sha2(F.col("record").cast("binary"), 256).alias("digest"))
+    """(file, offset, length, page_id, digest): the hash of each record and where its file holds it, in the order of ids.
+
+    Bodies are hashed where they are read; only hashes and lengths are shuffled. A null record takes its place's bytes but
+    is not there."""
+    record = F.col("record").cast("binary")
+    rows = records.select("file", "page_id", "place", "stored", F.octet_length("record").cast("long").alias("length"), F.sha2(record, 256).alias("digest"))
+    before = Window.partitionBy("file").orderBy("page_id", "place").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("offset", F.coalesce(F.sum("stored").over(before), F.lit(0)))
+    return rows.where("digest is not null").select("file", "offset", "length", "page_id", "digest")
 
 
 def _parents(nodes: DataFrame, node: Column) -> DataFrame:
@@ -58,15 +64,15 @@ def _differing(ours: DataFrame, theirs: DataFrame) -> DataFrame:
 
 
 def audit(ours: DataFrame, theirs: DataFrame) -> DataFrame:
-    """(file, offset, length, page_id, state, our_digest, their_digest) for records of two replicas (file, offset, length,
-    page_id, record) that are not in both alike: ``changed``, ``missing`` in or ``extra`` in the second.
+    """(file, offset, length, page_id, state, our_digest, their_digest) for records of two replicas, given as ``leaves``, that
+    are not in both alike: ``changed``, ``missing`` in or ``extra`` in the second.
 
     Each replica is hashed once. Roots are compared first, then only the children of nodes that differ, level by level,
     and at last the records of the ranges that differ. Records that repeat a (file, offset) are compared by length and
     digest. Empty replicas: nothing differs.
     """
     scratch = Scratch(ours.sparkSession, "fixity")
-    both = [scratch.save(leaves(r), "leaves") for r in (ours, theirs)]
+    both = [scratch.save(r, "leaves") for r in (ours, theirs)]
     last = max([t.agg(F.max("offset")).first()[0] or 0 for t in both])
     depth, node = 0, last // RANGE_BYTES
     while node:
@@ -91,5 +97,5 @@ def damaged(records: DataFrame) -> DataFrame:
     """A replica with damage by rule: every 97th id has one byte of its body changed, every 101st record is gone, and every
     103rd body is cut short. Offsets stay, as in a file whose bytes were overwritten."""
     flipped = F.concat(F.expr("substring(record, 1, length(record) - 5)"), F.lit("~"), F.expr("substring(record, length(record) - 3)"))
-    record = F.when(F.col("page_id") % 97 == 13, flipped).when(F.col("page_id") % 103 == 29, F.expr("substring(record, 1, length(record) - 40)")).otherwise(F.col("record"))
-    return records.where(F.col("page_id") % 101 != 17).withColumn("record", record).withColumn("length", F.octet_length("record").cast("long"))
+    record = F.when(F.col("page_id") % 101 != 17, F.when(F.col("page_id") % 97 == 13, flipped).when(F.col("page_id") % 103 == 29, F.expr("substring(record, 1, length(record) - 40)")).otherwise(F.col("record")))
+    return records.withColumn("record", record)

@@ -50,7 +50,7 @@ def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_merkle_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The archive of all pages against a replica that is damaged by rule."""
     records = fixity.warc_records(table(spark, sf_dir, "pages"))
-    return fixity.audit(records, fixity.damaged(records))
+    return fixity.audit(fixity.leaves(records), fixity.leaves(fixity.damaged(records)))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
