@@ -74,17 +74,25 @@ def sized_broadcast(df: DataFrame, rows: int, row_bytes: int) -> DataFrame:
 SALTED = 1000
 
 
-def join_groups(rows: DataFrame, groups: DataFrame, on: list[str], row_bytes: int, spread: list[str]) -> DataFrame:
+def table_bytes(df: DataFrame) -> int:
+    """A written table's size in memory: 32 bytes a value, and the bytes of its strings and binaries."""
+    long = [F.sum(F.octet_length(c)) for c, kind in df.dtypes if kind in ("string", "binary")]
+    got = df.agg(F.count("*") * (32 * len(df.columns)), *long).first()
+    return sum(v or 0 for v in got)
+
+
+def join_groups(rows: DataFrame, groups: DataFrame, on: list[str], spread: list[str]) -> DataFrame:
     """``rows`` left-joined to ``groups``, a written table with one row a key and the key's count of rows in ``size``.
 
-    Few groups are broadcast after a count. Else large groups are salted: their rows are spread by a hash of the columns
+    Groups of a small measured size are broadcast. Else large groups are salted: their rows are spread by a hash of the columns
     ``spread``, and their group's row is repeated for each salt."""
-    if groups.count() * row_bytes <= BROADCAST_BYTES:
+    if table_bytes(groups) <= BROADCAST_BYTES:
         return rows.join(F.broadcast(groups), on, "left")
     salts = F.ceil(F.col("size") / SALTED).cast("int")
     hot = groups.where(F.col("size") > SALTED).select(*on, salts.alias("_salts"))
+    hot = F.broadcast(hot) if table_bytes(hot) <= BROADCAST_BYTES else hot
     salt = F.pmod(F.xxhash64(*spread), F.coalesce("_salts", F.lit(1))).cast("int")
-    rows = rows.join(sized_broadcast(hot, hot.count(), row_bytes), on, "left").withColumn("_salt", salt).drop("_salts")
+    rows = rows.join(hot, on, "left").withColumn("_salt", salt).drop("_salts")
     return rows.join(groups.withColumn("_salt", F.explode(F.sequence(F.lit(0), salts - 1))), [*on, "_salt"], "left").drop("_salt")
 
 

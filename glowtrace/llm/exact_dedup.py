@@ -39,7 +39,7 @@ def radix_groups(docs: DataFrame, first_digit: int = FIRST_DIGIT, growth: int =
         rows = rows if carry else scratch.save(rows, "heads")
         name = F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), "sha")
         groups = rows.groupBy(*keys, "digit").agg(F.count("*").alias("size"), F.min(name).alias("label")).where("size > 1")
-        both = join_groups(rows, scratch.save(groups, "groups"), [*keys, "digit"], digit + 200, ["doc_id", "sha"])
+        both = join_groups(rows, scratch.save(groups, "groups"), [*keys, "digit"], ["doc_id", "sha"])
         ended = F.col("size").isNull() | (F.length("digit") < digit)
         return both.select("doc_id", "sha", "chars", F.coalesce("label", name).alias("grp"), F.coalesce("size", F.lit(1)).alias("size"), ended.alias("ended"), *carry)
 
@@ -66,7 +66,7 @@ def radix_groups(docs: DataFrame, first_digit: int = FIRST_DIGIT, growth: int =
     many = rows.where("size > 1")
     best = many.groupBy("grp").agg(F.min(F.struct((-F.col("chars")).alias("less"), F.col("doc_id").alias("keep_id"))).alias("best"), F.count("*").alias("size"))
     kept = F.col("doc_id").eqNullSafe(F.col("best.keep_id")) & (-F.col("chars") == F.col("best.less"))
-    groups = join_groups(many.drop("size"), scratch.save(best, "best"), ["grp"], 160, ["doc_id", "sha"])
+    groups = join_groups(many.drop("size"), scratch.save(best, "best"), ["grp"], ["doc_id", "sha"])
     groups = groups.select("doc_id", "best.keep_id", F.col("size").alias("group_size"), kept.alias("kept"), F.col("sha").alias("text_sha256"))
     return single.union(groups)
 

@@ -128,14 +128,14 @@ def near_duplicates(docs: DataFrame, similarity: int = 75, width: int = 5, bands
 
     # Equal sets: one representative, the smallest doc_id.
     same = scratch.save(usable.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("size")).where("size > 1"), "same")
-    copies = join_groups(usable.select("set_key", "doc_id"), same, ["set_key"], 60, ["doc_id"]).where("doc_id <> rep").select(F.col("doc_id").alias("u"), F.col("rep").alias("v"))
+    copies = join_groups(usable.select("set_key", "doc_id"), same, ["set_key"], ["doc_id"]).where("doc_id <> rep").select(F.col("doc_id").alias("u"), F.col("rep").alias("v"))
     copies = scratch.save(copies.distinct(), "copies")
     reps = usable.join(copies.select(F.col("u").alias("doc_id")).distinct(), "doc_id", "left_anti")
 
     # Bands with at least two representatives; c is the smallest.
     member = reps.select(F.col("doc_id").alias("x"), F.explode("bands").alias("band"))
     shared = member.groupBy("band").agg(F.min("x").alias("c"), F.max("x").alias("last"), F.count("*").alias("size")).where("c < last").select("band", "c", "size")
-    members = scratch.save(join_groups(member, scratch.save(shared, "shared"), ["band"], 40, ["x"]).where("c is not null").select("band", "x", "c").distinct(), "members")
+    members = scratch.save(join_groups(member, scratch.save(shared, "shared"), ["band"], ["x"]).where("c is not null").select("band", "x", "c").distinct(), "members")
 
     ids = members.select(F.col("x").alias("doc_id")).distinct()
     picked = docs.join(sized_broadcast(ids, ids.count(), 24), "doc_id", "left_semi")
