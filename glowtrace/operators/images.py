@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from glowtrace.operators.project import PIXEL, projection, to_uint8
+from glowtrace.operators.project import PIXEL
 from glowtrace.sources.scratch import checkpointed
 
 
@@ -239,13 +239,3 @@ def resize(frames: DataFrame, height: int, width: int) -> DataFrame:
         return rows[:, x0] * (1 - fx) + rows[:, x1] * fx
 
     return map_frames(frames, kernel)
-
-
-def watershed_pipeline(pixels: DataFrame, height: int, width: int, method="std", blur: bool = False, upper: float = 4, lower: float = 1, thresh: float = 2, min_size: int = 5, edge: int = 5) -> tuple[DataFrame, DataFrame]:
-    """(mask, statistics): whole-number movie, projection, optional blur, watershed, centre and size of each region."""
-    image = projection(to_uint8(pixels), method)
-    if blur:
-        image = gaussian_blur(image, height, width)
-    mask = watershed_rois(image, height, width, thresh, upper, lower, min_size, edge)
-    return mask, roi_stats(mask)
-

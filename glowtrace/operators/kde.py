@@ -18,6 +18,11 @@ def histogram(rows: DataFrame, value: str, low: float, high: float, bins: int, k
     return rows.where(F.col(value).between(low, high)).groupBy(*keys, at.alias("bin")).agg(F.count("*").alias("n"))
 
 
+def cumulative(counts: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Histogram rows with the count up to and with each bin."""
+    return counts.withColumn("n", F.sum("n").over(Window.partitionBy(*keys).orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)))
+
+
 def _dct(x: np.ndarray) -> np.ndarray:
     """Type II without normalisation, by an FFT of the even extension."""
     n = len(x)

@@ -46,6 +46,10 @@ def nan_to_zero(pixels: DataFrame) -> DataFrame:
     return pixels.withColumn("v", F.coalesce(F.nanvl("v", F.lit(None).cast("double")), F.lit(0.0)))
 
 
+def nonnegative(v: Column) -> Column:
+    return F.greatest(v, F.lit(0.0))
+
+
 def _over_movie(pixels: DataFrame, *aggs: Column) -> DataFrame:
     return pixels.join(pixels.groupBy("rec_id").agg(*aggs), "rec_id")
 

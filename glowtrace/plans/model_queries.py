@@ -2,9 +2,9 @@
 
 from pyspark.sql import functions as F
 
-from glowtrace.operators import images as im
 from glowtrace.operators import kde
 from glowtrace.operators import models as md
+from glowtrace.operators import pipelines as pl
 from glowtrace.operators import project as p
 from glowtrace.operators import register as rg
 from glowtrace.operators import spectra as sp
@@ -169,12 +169,44 @@ def register_on_filtered(spark, sf):
 
 @query("motion_corrected_movie")
 def motion_corrected_movie(spark, sf):
-    """Registration, low-rank denoising, debleaching and a border cut in one chain."""
-    frames, shifts = rg.register_rigid(src.frames(spark, sf), (2, 2))
-    movie = md.debleach_linear(src.pixels_of(md.pca_denoise(frames, 16)))
-    return p.nan_to_zero(p.border_cut(movie, shifts))
+    out = pl.motion_correct(src.frames(spark, sf), 1.0, 8, 8, drop=5, left=0, max_shifts=(2, 2), denoise=16, avg_frames=2, cut_borders=True, debleach=True, replace_nans=True)
+    return out.pixels.join(out.timestamps, ["rec_id", "t_idx"])
 
 
-@query("watershed_pipeline")
-def watershed_pipeline(spark, sf):
-    return im.watershed_pipeline(src.pixels(spark, sf), 8, 8, upper=34, lower=30, min_size=0, edge=0)[1]
+@query("motion_corrected_quality")
+def motion_corrected_quality(spark, sf):
+    return pl.motion_correct_filtered(src.frames(spark, sf), 1.0, 8, 8, left=0, max_shifts=(1, 1))[2]
+
+
+@query("watershed_regions")
+def watershed_regions(spark, sf):
+    return pl.watershed_regions(src.pixels(spark, sf), 1.0, 8, 8, upper=34, lower=30, min_size=0, edge=0, filter_options={"ksize": 2}).traces
+
+
+@query("drawn_regions")
+def drawn_regions(spark, sf):
+    corner = lambda x, y: F.struct(F.lit(float(x)).alias("x"), F.lit(float(y)).alias("y"))
+    square = F.array(corner(0.5, 0.5), corner(3.5, 0.5), corner(3.5, 3.5), corner(0.5, 3.5))
+    polygons = src.frames(spark, sf).select("rec_id").distinct().select("rec_id", F.lit(3).alias("roi_id"), square.alias("vertices"))
+    return pl.drawn_regions(src.pixels(spark, sf), polygons, 1.0, 8, 8, filter_options={"ksize": 2}).traces
+
+
+@query("regression_epsilon", f"WITH {MOVIE}, d AS (SELECT y, x, stddev_pop(v) AS s FROM m GROUP BY 1, 2) SELECT {r8('quantile_cont(s, 0.1)', 'epsilon')} FROM d")
+def regression_epsilon(spark, sf):
+    """The tenth percentile of the pixels' deviations."""
+    return src.pixels(spark, sf).groupBy("rec_id", "y", "x").agg(F.stddev_pop("v").alias("s")).agg(F.percentile("s", 0.1).alias("epsilon"))
+
+
+@query("cumulative_histogram", f"WITH {TRACES}, h AS (SELECT roi_id, CAST(least(floor(f / 400 * 64), 63) AS INTEGER) AS bin, count(*) AS n FROM t WHERE f BETWEEN 0 AND 400 GROUP BY 1, 2) SELECT roi_id, bin, CAST(sum(n) OVER (PARTITION BY roi_id ORDER BY bin) AS BIGINT) AS n FROM h")
+def cumulative_histogram(spark, sf):
+    return kde.cumulative(kde.histogram(src.traces(spark, sf), "f", 0, 400, 64, ["roi_id"]), ["roi_id"])
+
+
+@query("nonneg_series", f"WITH {STIMULUS} SELECT t_idx, {r8('greatest(x - 100, 0)', 'x')}, {r8('greatest(y - 100, 0)', 'y')} FROM s")
+def nonneg_series(spark, sf):
+    return src.stimulus(spark, sf).select("t_idx", p.nonnegative(F.col("x") - 100).alias("x"), p.nonnegative(F.col("y") - 100).alias("y"))
+
+
+@query("time_range", f"WITH {TRACES} SELECT roi_id, t_idx, {r8('ts', 'ts')}, {r8('f', 'f')} FROM t WHERE ts >= 1e5 AND ts < 5e5")
+def time_range(spark, sf):
+    return p.time_range(src.traces(spark, sf), 1e5, 5e5)
