@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from glowtrace.operators import estimators as es
 from glowtrace.operators import kde
 from glowtrace.operators import models as md
 from glowtrace.operators import pipelines as pl
@@ -210,3 +211,10 @@ def nonneg_series(spark, sf):
 @query("time_range", f"WITH {TRACES} SELECT roi_id, t_idx, {r8('ts', 'ts')}, {r8('f', 'f')} FROM t WHERE ts >= 1e5 AND ts < 5e5")
 def time_range(spark, sf):
     return p.time_range(src.traces(spark, sf), 1e5, 5e5)
+
+
+@query("response_model")
+def response_model(spark, sf):
+    """The third pixel from the first two: filters, spatial weights, interpolated nonlinearity."""
+    rows = src.frames(spark, sf).select("rec_id", "t_idx", F.transform(F.slice("pix", 1, 2), lambda v: v - 100).alias("x"), (F.col("pix")[2] - 100).alias("y"))
+    return es.TemporalFilter(size=16, hop=2, nonlinearity="interp").fit(rows).transform(rows).select("rec_id", "t_idx", "y", "prediction")

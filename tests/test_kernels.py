@@ -173,3 +173,18 @@ def test_regressions_recover_structure(spark):
     for loss in ("mse", "mae", "huber"):
         out = {(r["y"], r["x"], r["t_idx"]): r["v"] for r in md.shallow_denoise(px, 1, 2, loss=loss).collect()}
         assert all(abs(out[1, 1, int(i)] - (5 + np.sin(i / 6))) < 0.05 for i in t[5:-5])
+
+
+def test_filter_estimator(spark):
+    from glowtrace.operators.estimators import TemporalFilter
+
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(3000, 2))
+    y = 2 * np.convolve(x[:, 0], [1, 0.5, 0.2])[:3000] - np.convolve(x[:, 1], [0.3, 0.8])[:3000]
+    rows = spark.createDataFrame([("r", i, x[i].tolist(), float(y[i])) for i in range(3000)], "rec_id string, t_idx long, x array<double>, y double")
+    model = TemporalFilter(size=12, hop=3, eps=0.001).fit(rows)
+    assert model.score(rows) > 0.95
+    half = TemporalFilter(size=12, hop=3, nonlinearity="interp").fit(rows.withColumn("y", rows.y * rows.y))
+    assert half.transform(rows).count() == 3000 and half.getOrDefault("size") == 12
+    with pytest.raises(ValueError):
+        TemporalFilter(nonlinearity="other").fit(rows)
