@@ -90,8 +90,8 @@ def _smoother(kind: str | None, rate: float, options: dict) -> Callable[[DataFra
     return (lambda t: filters.filter_traces(t, rate, kind, **options)) if kind else None
 
 
-def _extracted(pixels: DataFrame, mask: DataFrame, image: DataFrame, rate: float, sign: int, bg_subtract: bool, bg_dilate: int, filter_type: str | None, filter_before: bool, filter_options: dict, window: float) -> Regions:
-    change = traces.rolling_dfof_pipeline(pixels, mask, rate, window, bg_subtract, bg_dilate, _smoother(filter_type, rate, filter_options), filter_before)
+def _extracted(pixels: DataFrame, mask: DataFrame, image: DataFrame, rate: float, height: int, width: int, sign: int, bg_subtract: bool, bg_dilate: int, filter_type: str | None, filter_before: bool, filter_options: dict, window: float) -> Regions:
+    change = traces.rolling_dfof_pipeline(frames_of(pixels), mask, rate, height, width, window, bg_subtract, bg_dilate, _smoother(filter_type, rate, filter_options), filter_before)
     return Regions(mask, images.scaled_weights(mask, image, sign), images.roi_stats(mask), change)
 
 
@@ -110,7 +110,7 @@ def watershed_regions(
     if blur is not None:
         image = images.gaussian_blur(image, height, width, **blur)
     mask = images.watershed_rois(image, height, width, thresh, upper, lower, min_size, edge)
-    return _extracted(pixels, mask, image, rate, sign, bg_subtract, bg_dilate, filter_type, filter_before, filter_options or {"ksize": 0.08}, window)
+    return _extracted(pixels, mask, image, rate, height, width, sign, bg_subtract, bg_dilate, filter_type, filter_before, filter_options or {"ksize": 0.08}, window)
 
 
 def drawn_regions(
@@ -120,4 +120,4 @@ def drawn_regions(
     """Regions given as polygons, and their traces; traces carry their region's id."""
     image = project.projection(project.to_uint8(pixels), projection)
     mask = images.rasterise(polygons, height, width)
-    return _extracted(pixels, mask, image, rate, -1, bg_subtract, 0, filter_type, filter_before, filter_options or {"ksize": 0.08}, window)
+    return _extracted(pixels, mask, image, rate, height, width, -1, bg_subtract, 0, filter_type, filter_before, filter_options or {"ksize": 0.08}, window)

@@ -6,7 +6,7 @@ from bisect import bisect_left, insort
 from collections.abc import Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from glowtrace.operators.windows import KEYS, by, frame_list, padded
@@ -39,6 +39,24 @@ def mean_extraction_frames(frames: DataFrame, mask: DataFrame, width: int) -> Da
     return rows.select("rec_id", "roi_id", "t_idx", mean.alias("f"))
 
 
+def region_traces(frames: DataFrame, mask: DataFrame, height: int, width: int, dilate: int = 0) -> DataFrame:
+    """(rec_id, roi_id, t_idx, f, bg): plain-mask means and the mean of the pixels in no region (grown by ``dilate``), both
+    picked from each frame's array in one pass. A recording's masks are one row; frames are never shuffled."""
+    at = (F.col("y") * width + F.col("x")).cast("int")
+    rois = mask.groupBy("rec_id", "roi_id").agg(F.sort_array(F.collect_list(at)).alias("at")).groupBy("rec_id").agg(F.collect_list(F.struct("roi_id", "at")).alias("rois"))
+    grown = dilated(mask, dilate).where(F.col("y").between(0, height - 1) & F.col("x").between(0, width - 1)) if dilate else mask
+    free = F.array_except(F.sequence(F.lit(0), F.lit(height * width - 1)), F.collect_set(at))
+    places = rois.join(grown.groupBy("rec_id").agg(free.alias("free")), "rec_id")
+
+    def mean(where: Column) -> Column:
+        picked = F.filter(F.transform(where, lambda i: F.get("pix", i)), lambda v: v.isNotNull() & ~F.isnan(v))
+        state = F.struct(F.lit(0.0).alias("s"), F.lit(0).alias("n"))
+        return F.aggregate(picked, state, lambda a, v: F.struct((a["s"] + v).alias("s"), (a["n"] + 1).alias("n")), lambda a: F.try_divide(a["s"], a["n"]))
+
+    rows = frames.join(places, "rec_id").select("rec_id", "t_idx", "pix", mean(F.col("free")).alias("bg"), F.explode("rois").alias("roi"))
+    return rows.select("rec_id", "roi.roi_id", "t_idx", mean(F.col("roi.at")).alias("f"), "bg")
+
+
 def dilated(mask: DataFrame, k: int) -> DataFrame:
     """(rec_id, y, x): pixels within k rows and columns of any region."""
     steps = F.sequence(F.lit(-k), F.lit(k))
@@ -55,7 +73,11 @@ def background_trace(pixels: DataFrame, mask: DataFrame, dilate: int = 0) -> Dat
 
 def subtract_background(traces: DataFrame, background: DataFrame) -> DataFrame:
     """traces less their background, shifted so that each trace keeps its minimum."""
-    rows = traces.join(background.select("rec_id", "t_idx", F.col("f").alias("bg")), ["rec_id", "t_idx"])
+    return less_background(traces.join(background.select("rec_id", "t_idx", F.col("f").alias("bg")), ["rec_id", "t_idx"]))
+
+
+def less_background(rows: DataFrame) -> DataFrame:
+    """As ``subtract_background`` for rows that carry their background ``bg``."""
     series = Window.partitionBy("rec_id", "roi_id")
     less = F.col("f") - F.col("bg")
     return rows.select("rec_id", "roi_id", "t_idx", (less - (F.min(less).over(series) - F.min("f").over(series))).alias("f"))
@@ -152,11 +174,11 @@ def order_statistic(traces: DataFrame, window: int, rank: int, keys: Sequence[st
     return rows.groupBy(*keys, "run").applyInPandas(moved, f"{fields}, t_idx long, b double")
 
 
-def rolling_dfof_pipeline(pixels: DataFrame, mask: DataFrame, rate: float, window: float = 30, bg_subtract: bool = True, bg_dilate: int = 0, smooth=None, smooth_before: bool = True) -> DataFrame:
-    """(rec_id, roi_id, t_idx, dfof): masked means, background, optional smoothing (a function of traces), rolling dF/F."""
-    traces = mean_extraction(pixels, mask)
-    if bg_subtract:
-        traces = subtract_background(traces, background_trace(pixels, mask, bg_dilate))
+def rolling_dfof_pipeline(frames: DataFrame, mask: DataFrame, rate: float, height: int, width: int, window: float = 30, bg_subtract: bool = True, bg_dilate: int = 0, smooth=None, smooth_before: bool = True) -> DataFrame:
+    """(rec_id, roi_id, t_idx, dfof): plain-mask means, background, optional smoothing (a function of traces), rolling dF/F.
+    Means and windows share one shuffle by region."""
+    traces = region_traces(frames, mask, height, width, bg_dilate)
+    traces = less_background(traces) if bg_subtract else traces.drop("bg")
     if smooth and smooth_before:
         traces = smooth(traces)
     out = dfof_rolling(traces, rate, window)

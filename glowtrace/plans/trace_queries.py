@@ -87,7 +87,7 @@ def rolling_dfof_median(spark, sf):
 @query("roi_dfof_pipeline", f"WITH {MOVIE}, {MASK}, {MEANS}, {BACKGROUND}, {SUBTRACTED}, {rolling('b', 30)} {DFOF}")
 def roi_dfof_pipeline(spark, sf):
     """The flagship: masked means, background, rolling relative change."""
-    return t.rolling_dfof_pipeline(src.pixels(spark, sf), src.roi_mask(spark), rate=1.0)
+    return t.rolling_dfof_pipeline(src.frames(spark, sf), src.roi_mask(spark), 1.0, src.SIDE, src.SIDE)
 
 
 REFLECTED = """n AS (SELECT roi_id, count(*) AS n FROM t GROUP BY 1),
