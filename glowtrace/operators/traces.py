@@ -141,7 +141,7 @@ def dfof_baseline(background: DataFrame, q: float, window: int | None) -> DataFr
 
 
 #: Windows up to this size are lists inside Spark; longer ones use a sorted buffer over runs of rows.
-LISTED, RUN = 64, 1 << 14
+LISTED, RUN = 24, 1 << 14
 
 
 def order_statistic(traces: DataFrame, window: int, rank: int, keys: Sequence[str] = KEYS) -> DataFrame:

@@ -21,15 +21,21 @@ from pyspark.sql import functions as F
 from glowtrace.errors import RecordingError, XmlStructureError
 from glowtrace.operators.resample import trigger_times
 
-#: Short names of recording types, and the types themselves.
-TYPES = {"z": "ZSeries", "t": "TSeries", "s": "SingleImage", "l": "LineScan"}
+# The names of recording types, and the types that folders are named by.
+TYPES = {
+    "tseries": "TSeries",
+    "tseries_2channel": "TSeries",
+    "zseries": "ZSeries",
+    "singleimage": "SingleImage",
+}
+FOLDER_TYPES = ("TSeries", "ZSeries", "SingleImage")
 
 
 def find_recording(spark: SparkSession, folders: str | Sequence[str], kind: str, extension: str | int, date: dt.date | str, days_before: int = 0, date_format: str = "%m%d%Y", ext_fill: int = 3, pattern: str = "{recording_type}-{date}-????-{file_extension}", errors: str = "raise") -> str | None:
     """The folder of a recording by type, date and number, looked for in each folder from the date back; the search stops at
     the first folder with exactly one match. None without a match unless ``errors`` is raise; several are an error."""
-    kind = TYPES.get(kind.lower(), kind)
-    if kind not in TYPES.values():
+    kind = TYPES.get(kind, kind)
+    if kind not in FOLDER_TYPES:
         raise RecordingError(f"unknown recording type {kind!r}")
     day = dt.datetime.strptime(date, date_format).date() if isinstance(date, str) else date
     jvm, conf, found = spark._jvm, spark._jsc.hadoopConfiguration(), []

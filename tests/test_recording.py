@@ -26,14 +26,16 @@ def folder(tmp_path):
 
 
 def test_lookup(spark, folder):
-    found = rec.find_recording(spark, str(folder.parent), "t", 7, "01042024", days_before=3)
+    found = rec.find_recording(spark, str(folder.parent), "tseries", 7, "01042024", days_before=3)
     assert found.endswith(folder.name)
-    assert rec.find_recording(spark, str(folder.parent), "t", 8, "01042024", errors="ignore") is None
+    assert rec.find_recording(spark, str(folder.parent), "tseries", 8, "01042024", errors="ignore") is None
     with pytest.raises(RecordingError):
-        rec.find_recording(spark, str(folder.parent), "t", 8, "01042024")
+        rec.find_recording(spark, str(folder.parent), "tseries", 8, "01042024")
+    with pytest.raises(RecordingError):
+        rec.find_recording(spark, str(folder.parent), "other", 7, "01042024")
     (folder.parent / "TSeries-01022024-0002-007").mkdir()
     with pytest.raises(RecordingError):
-        rec.find_recording(spark, str(folder.parent), "t", 7, "01022024")
+        rec.find_recording(spark, str(folder.parent), "tseries", 7, "01022024")
 
 
 def test_volume_recording(spark, folder):
