@@ -58,3 +58,19 @@ def savgol_kernel(size: int, order: int, at: int | None = None) -> list[float]:
     at = size // 2 if at is None else at
     basis = np.vander(np.arange(size) - at, order + 1, increasing=True)
     return np.linalg.pinv(basis)[0].tolist()
+
+
+def dft(values: Column, n: int) -> Column:
+    """The discrete Fourier transform of an array's first n values: an array of structs (re, im)."""
+    places = F.sequence(F.lit(0), F.lit(n - 1))
+
+    def part(k: Column, wave, sign: float) -> Column:
+        terms = F.transform(places, lambda j: F.get(values, j) * wave(2 * np.pi * ((k * j) % n) / n))
+        return sign * F.aggregate(terms, F.lit(0.0), lambda a, b: a + b)
+
+    return F.transform(places, lambda k: F.struct(part(k, F.cos, 1.0).alias("re"), part(k, F.sin, -1.0).alias("im")))
+
+
+def times_conjugate(a: Column, b: Column) -> Column:
+    """a times the conjugate of b, structs (re, im)."""
+    return F.struct((a["re"] * b["re"] + a["im"] * b["im"]).alias("re"), (a["im"] * b["re"] - a["re"] * b["im"]).alias("im"))

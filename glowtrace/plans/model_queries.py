@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from glowtrace import functions as fn
 from glowtrace.operators import estimators as es
 from glowtrace.operators import kde
 from glowtrace.operators import models as md
@@ -9,6 +10,7 @@ from glowtrace.operators import pipelines as pl
 from glowtrace.operators import project as p
 from glowtrace.operators import register as rg
 from glowtrace.operators import spectra as sp
+from glowtrace.operators import windows as win
 from glowtrace.plans.catalogue import MOVIE, STIMULUS, TRACES, query, r8
 from glowtrace.sources import tables as src
 
@@ -218,3 +220,24 @@ def response_model(spark, sf):
     """The third pixel from the first two: filters, spatial weights, interpolated nonlinearity."""
     rows = src.frames(spark, sf).select("rec_id", "t_idx", F.transform(F.slice("pix", 1, 2), lambda v: v - 100).alias("x"), (F.col("pix")[2] - 100).alias("y"))
     return es.TemporalFilter(size=16, hop=2, nonlinearity="interp").fit(rows).transform(rows).select("rec_id", "t_idx", "y", "prediction")
+
+
+@query("response_curves", f"WITH {STIMULUS}, z AS (SELECT t_idx, x - 100 AS u, y - 100 AS w FROM s) SELECT t_idx, {r8('3 / (1 + exp(-1.5 * (u - 0.2))) - 0.5', 'sigmoid')}, {r8('2 * pow(ln(1 + exp(0.8 * u - 0.1)), 1.3) + 0.25', 'softplus')}, {r8('20 * exp(-0.01 * t_idx) + 3', 'bleach')}, {r8('20 * ln(sqrt(u * u + w * w))', 'magnitude')} FROM z")
+def response_curves(spark, sf):
+    rows = src.stimulus(spark, sf).select("t_idx", (F.col("x") - 100).alias("u"), (F.col("y") - 100).alias("w"))
+    u, w = F.col("u"), F.col("w")
+    curves = (fn.sigmoid(u, 1.5, 3, 0.2, 0.5), fn.softplus(u, 0.8, -0.1, 2, 0.25, 1.3), fn.bleach(F.col("t_idx"), 20, 0.01, 3), fn.log_magnitude(u, w))
+    return rows.select("t_idx", *[c.alias(n) for c, n in zip(curves, ("sigmoid", "softplus", "bleach", "magnitude"), strict=True)])
+
+
+@query("mean_cross_spectrum", f"""WITH {STIMULUS}, l AS (SELECT t_idx, list(x - 100) OVER z AS xs, list(y - 100) OVER z AS ys FROM s WINDOW z AS (ORDER BY t_idx ROWS BETWEEN CURRENT ROW AND 15 FOLLOWING)),
+  g AS (SELECT l.t_idx, k, sum(xs[j + 1] * cos(2 * pi() * ((k * j) % 16) / 16)) AS xr, -sum(xs[j + 1] * sin(2 * pi() * ((k * j) % 16) / 16)) AS xi, sum(ys[j + 1] * cos(2 * pi() * ((k * j) % 16) / 16)) AS yr, -sum(ys[j + 1] * sin(2 * pi() * ((k * j) % 16) / 16)) AS yi
+    FROM l, (SELECT unnest(generate_series(0, 15)) AS k), (SELECT unnest(generate_series(0, 15)) AS j) WHERE len(xs) = 16 AND l.t_idx % 2 = 0 GROUP BY 1, 2)
+  SELECT CAST(k AS INTEGER) AS k, round(avg(yr * xr + yi * xi), 6) + 0 AS re, round(avg(yi * xr - yr * xi), 6) + 0 AS im FROM g GROUP BY 1""")
+def mean_cross_spectrum(spark, sf):
+    """Spectra of windows of 16 samples as column functions, averaged by frequency."""
+    rows = src.stimulus(spark, sf).select("rec_id", "t_idx", (F.col("x") - 100).alias("x"), (F.col("y") - 100).alias("y"))
+    xs, ys = (win.sliding_window(rows, 16, 2, ["rec_id"], c).withColumnRenamed("window", f"{c}s") for c in "xy")
+    both = xs.join(ys, ["rec_id", "t_idx"]).select(F.arrays_zip(fn.dft(F.col("xs"), 16).alias("a"), fn.dft(F.col("ys"), 16).alias("b")).alias("z"))
+    cross = both.select(F.posexplode("z").alias("k", "z")).select("k", fn.times_conjugate(F.col("z")["b"], F.col("z")["a"]).alias("c"))
+    return cross.groupBy("k").agg(F.round(F.avg("c.re"), 6).alias("re"), F.round(F.avg("c.im"), 6).alias("im"))
