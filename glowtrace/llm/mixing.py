@@ -111,7 +111,8 @@ def _schedule(spark: SparkSession, sources: DataFrame, slots: int) -> DataFrame:
 
 
 def taken_words(docs: DataFrame) -> DataFrame:
-    """(doc_id, size, source_size, target, taken): words that the mix takes of each document, repeats counted."""
+    """(doc_id, size, source_size, target, taken): words that the mix takes of each document, repeats counted.
+    Rows that repeat a doc_id, source and size are one row, with their words added."""
     return mix(docs).groupBy("doc_id", "source", "size", "source_size", "target").agg(F.sum("n_words").alias("taken")).drop("source")
 
 

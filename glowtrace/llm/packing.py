@@ -69,7 +69,7 @@ class Bins:
 
 def pack_shard(pieces: pd.DataFrame, capacity: int, per_source: int) -> pd.DataFrame:
     """Pieces (doc_id, piece, words, source, cluster) with their bin and offset, longest first, ties by id and piece."""
-    pieces = pieces.sort_values(["words", "doc_id", "piece", "copy"], ascending=[False, True, True, True], kind="stable", na_position="first")
+    pieces = pieces.sort_values(["words", "doc_id", "piece", "copy", "cluster"], ascending=[False, True, True, True, True], kind="stable", na_position="first")
     sources = pieces["source"].fillna("\0null").rank(method="dense").astype(int) - 1
     # Only clusters with several pieces here can conflict: the others need no bit.
     sizes = pieces.groupby("cluster")["words"].transform("size")
