@@ -13,10 +13,11 @@ from pyspark.sql import functions as F
 from glowtrace.llm.common import Scratch, small_batches
 from glowtrace.llm.components import connected_components
 
-#: Vectors of a cell's core and of its reach that are joined in one task, and the rows and columns of a block of that join.
-CORE, TILE, BLOCK = 4096, 8192, 1024
-#: Pivots: one for so many vectors, up to a bound; they are chosen from a bounded sample of vectors.
-PER_PIVOT, MOST_PIVOTS, PIVOT_SAMPLE = 4096, 512, 4096
+#: Components of a cell's core and of its reach that are joined in one task, by the length of a vector; rows and columns of a
+#: block of that join.
+CORE_VALUES, TILE_VALUES, BLOCK = 1 << 19, 1 << 20, 1024
+#: There is a pivot for each full core, up to a bound; pivots are chosen from a bounded sample of vectors.
+MOST_PIVOTS, PIVOT_SAMPLE = 512, 4096
 
 
 def _pivots(vectors: np.ndarray, k: int) -> np.ndarray:
@@ -125,10 +126,11 @@ def similar_vectors(vectors: DataFrame, least: float = 0.95) -> DataFrame:
     found = None
     for dim, n in sorted(sizes.items()):
         one = usable.where(F.col("dim") == dim).select("vec_id", "vec")
-        sample = one.orderBy(F.xxhash64("vec_id"), "vec_id").limit(PIVOT_SAMPLE).collect() if n > PER_PIVOT else one.limit(1).collect()
+        core, tile = max(1, CORE_VALUES // dim), max(1, TILE_VALUES // dim)
+        sample = one.orderBy(F.xxhash64("vec_id"), "vec_id").limit(PIVOT_SAMPLE).collect() if n > core else one.limit(1).collect()
         points = np.array([r["vec"] for r in sample])
-        pivots = _pivots(_unit(points), min(MOST_PIVOTS, -(-n // PER_PIVOT)))
-        joined = _range_join(one, pivots, radius, least, scratch)
+        pivots = _pivots(_unit(points), min(MOST_PIVOTS, -(-n // core)))
+        joined = _range_join(one, pivots, radius, least, core, tile, scratch)
         found = joined if found is None else found.union(joined)
     if found is None:
         found = spark.createDataFrame([], "id long, n long, root long")
@@ -142,7 +144,7 @@ def similar_vectors(vectors: DataFrame, least: float = 0.95) -> DataFrame:
     return out.union(nameless)
 
 
-def _range_join(vectors: DataFrame, pivots: np.ndarray, radius: float, least: float, scratch: Scratch) -> DataFrame:
+def _range_join(vectors: DataFrame, pivots: np.ndarray, radius: float, least: float, core_rows: int, tile_rows: int, scratch: Scratch) -> DataFrame:
     """(id, n, root) of all cells; ``pivots`` are at most MOST_PIVOTS vectors."""
 
     def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -155,8 +157,8 @@ def _range_join(vectors: DataFrame, pivots: np.ndarray, radius: float, least: fl
     placed = scratch.save(vectors.mapInPandas(assign, "id long, vec array<double>, own int, cells array<int>"), "placed")
     reach = placed.select("own", F.explode("cells").alias("cell")).groupBy("cell").agg(F.count("*").alias("n"), F.count_if(F.col("own") == F.col("cell")).alias("cores"))
     counted = {r["cell"]: (r["n"], r["cores"]) for r in reach.collect() if r["cores"]}  # a row a pivot
-    parts_of = F.create_map(*[F.lit(x) for cell, (_, cores) in sorted(counted.items()) for x in (cell, -(-cores // CORE))])
-    tiles_of = F.create_map(*[F.lit(x) for cell, (n, _) in sorted(counted.items()) for x in (cell, -(-n // TILE))])
+    parts_of = F.create_map(*[F.lit(x) for cell, (_, cores) in sorted(counted.items()) for x in (cell, -(-cores // core_rows))])
+    tiles_of = F.create_map(*[F.lit(x) for cell, (n, _) in sorted(counted.items()) for x in (cell, -(-n // tile_rows))])
     cells = placed.select("id", "vec", "own", F.explode("cells").alias("cell")).withColumn("parts", parts_of[F.col("cell")]).withColumn("tiles", tiles_of[F.col("cell")]).where("parts is not null")
     dealt = lambda seed, n: F.pmod(F.xxhash64("id", F.lit(seed)), F.col(n)).cast("int")
     tile = cells.select("cell", F.explode(F.expr("sequence(0, parts - 1)")).alias("part"), dealt(1, "tiles").alias("tile"), "id", "vec", F.lit(False).alias("core"))
