@@ -130,7 +130,7 @@ def test_embeddings_by_brute_force(spark, monkeypatch):
     centres = rng.normal(size=(12, 8))
     x = np.concatenate([centres[rng.integers(0, 12, 300)] + rng.normal(size=(300, 8)) * 0.15, rng.normal(size=(60, 8))])
     x[10], x[11] = x[12], x[12] * 3
-    for name, v in {"PER_PIVOT": 40, "CORE": 16, "TILE": 50, "BLOCK": 8}.items():
+    for name, v in {"CORE_VALUES": 16 * 8, "TILE_VALUES": 50 * 8, "BLOCK": 8}.items():
         monkeypatch.setattr(embedding_join, name, v)
     rows = [(i, v.tolist()) for i, v in enumerate(x)]
     odd = [(1000, None), (1001, []), (1002, [0.0] * 8), (1003, [None] + [1.0] * 7), (1004, [float("nan")] + [1.0] * 7), (1005, [float("inf")] * 8), (None, [1.0] * 8), (5, x[5].tolist()), (1006, [1.0, 2.0])]
