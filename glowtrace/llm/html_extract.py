@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import html
+import os
 import re
 from collections import defaultdict
 from dataclasses import dataclass, field
@@ -16,7 +17,7 @@ from glowtrace.llm.common import small_batches
 
 #: Weights of the neighbours' ratios in page order, and the share of the page's fused mean that a content path reaches.
 SMOOTH, LEAST = np.array([0.06, 0.24, 0.4, 0.24, 0.06]), 0.5
-#: A container is entered while one child holds this share of the content text.
+#: The only article or main of a page is the container if it holds this share of the content text.
 HOLDS = 0.7
 #: Elements nested deeper count as their parent, as in browsers.
 DEPTH = 512
@@ -39,6 +40,8 @@ CONTAINERS = frozenset("html body main article section div center table tbody tr
 BLOCKS = CONTAINERS | HEADINGS | frozenset(
     "address aside caption dd dt fieldset figcaption footer form header hgroup hr legend li nav p pre summary tfoot th thead".split()
 )
+#: Containers that are parts of an article, never all of it.
+PARTS = frozenset("ul ol dl menu table blockquote figure".split())
 #: What an opening tag closes first, up to the nearest of the second set.
 CLOSES = {
     "li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr"}, {"table"}),
@@ -160,6 +163,28 @@ def content_paths(candidates: list[tuple[Node, str]]) -> set[str]:
     return {p for p in total if total[p] / count[p] >= LEAST * fused.mean()}
 
 
+def container(nodes: list[Node], content: list[tuple[Node, str]]) -> int:
+    """The innermost container of all content blocks that is not inside a list, table, quote or figure; a table's cell is one
+    if it holds all blocks and there are several, as in a layout. An article or main around it, or a page's only one if it
+    holds most of the content, is the container instead."""
+    common = os.path.commonprefix([n.chain for n, _ in content])
+    at = 0
+    for k, i in enumerate(common):
+        cell = nodes[i].tag == "table" and len(content) > 1 and any(nodes[j].tag in ("td", "th") for j in common[k:])
+        if nodes[i].tag in PARTS and not cell:
+            break
+        at = i if nodes[i].tag in CONTAINERS else at
+    for tag in ("article", "main"):
+        holder = next((i for i in nodes[at].chain if nodes[i].tag == tag), None)
+        if holder is not None:
+            return holder
+    for tag in ("article", "main"):
+        marked = [i for i, n in enumerate(nodes) if n.tag == tag and not n.outside]
+        if len(marked) == 1 and sum(len(t) for n, t in content if marked[0] in n.chain) >= HOLDS * sum(len(t) for _, t in content):
+            return marked[0]
+    return at
+
+
 def main_text(page: str | None) -> str:
     """The article's blocks, one a line; empty if there is none."""
     nodes, found = blocks(page or "")
@@ -167,22 +192,7 @@ def main_text(page: str | None) -> str:
     if not candidates:
         return ""
     chosen = content_paths(candidates)
-    weight = defaultdict(int)
-    for node, text in candidates:
-        if node.path in chosen:
-            for i in node.chain:
-                weight[i] += len(text)
-    at, whole = 0, weight[0]
-    while True:
-        inner = [i for i, n in enumerate(nodes) if n.up is nodes[at] and n.tag in CONTAINERS and weight[i] >= HOLDS * whole] if whole else []
-        if not inner:
-            break
-        at = inner[0]
-    for tag in ("article", "main"):
-        holder = next((i for i in nodes[at].chain if nodes[i].tag == tag), None)
-        if holder is not None:
-            at = holder
-            break
+    at = container(nodes, [(n, t) for n, t in candidates if n.path in chosen])
     inside = [(n, t) for n, t in candidates if at in n.chain and not (n.tag != "h1" and "/header" in n.path and n.tag not in HEADINGS)]
     titles = [x for x in candidates if x[0].tag == "h1" and at not in x[0].chain]
     if len(titles) == 1 and not any(n.tag == "h1" for n, _ in inside):

@@ -331,6 +331,21 @@ def test_other_page_shapes(spark):
     assert sorted((r["text"], r["n_chars"]) for r in html_extract.page_texts(rows).collect()) == [("", 0), ("", 0), ("a", 1)]
 
 
+def test_all_content_paths_are_returned(spark):
+    said = lambda n, k: " ".join(f"part {k}, word {i}." for i in range(n))
+    intro, rest = said(6, "a"), [said(8, f"b{k}") for k in range(4)]
+    split = f"<div><section><p>{said(60, 'a')}</p></section><section><p>{said(20, 'b')}</p></section></div>"
+    pages = {
+        f"<div><p>{intro}</p><blockquote>{said(30, 'b')}</blockquote></div>": [intro, said(30, "b")],
+        f"<div><p>{intro}</p><ul>{''.join(f'<li>{r}' for r in rest)}</ul></div>": [intro, *rest],
+        f"<div><p>{intro}</p><table><tr><td>{said(30, 'b')}</table></div>": [intro, said(30, "b")],
+        split: [said(60, "a"), said(20, "b")],
+        f"<table><tr><td>Home<td><p>{said(60, 'a')}<p>{said(20, 'b')}</table>": [said(60, "a"), said(20, "b")],
+        f"<p>Menu</p><article>{split}</article><p>Imprint</p>": [said(60, "a"), said(20, "b")],
+    }
+    assert [html_extract.main_text(p).split("\n") for p in pages] == list(pages.values())
+
+
 # Archives
 
 
