@@ -31,7 +31,7 @@ _TOKEN = re.compile(
     r"|<[!?/][^>]*>|<[a-z][^>]*(?:>|\Z)",
     re.S | re.I,
 )
-_ATTRIBUTE = re.compile(r"""\b(class|id|role|style|hidden|aria-hidden)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""", re.I)
+_ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
 _PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -54,6 +54,10 @@ OUTSIDE_NAMES = frozenset(
     "disqus footer gdpr login masthead menu modal nav navbar navigation newsletter notice pager pagination popup promo promoted recommended "
     "related replies reply respond share sharing sidebar signup social sponsor sponsored subscribe subscription toolbar widget".split()
 )
+#: Those of readers' texts, which can be longer than the article.
+READER_NAMES = frozenset("comment comments disqus replies reply respond".split())
+#: An element with a name from these lists is the article's all the same if it holds this share of the page's fused ratios.
+MOST, MOST_OF_READERS = 0.5, 0.9
 OUTSIDE_ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog menu navigation search".split())
 
 
@@ -65,23 +69,25 @@ class Node:
     up: Node | None
     outside: bool
     path: str
+    hidden: bool = False
+    names: frozenset[str] = frozenset()
     chain: tuple[int, ...] = ()
     text: list[str] = field(default_factory=list)
 
 
-def _outside(tag: str, attrs: str, up: Node) -> bool:
-    if up.outside or tag in OUTSIDE or (tag == "header" and not re.search(r"/(article|main)\b", up.path)):
-        return True
+def _node(tag: str, attrs: str, up: Node) -> Node:
+    """An element with what its tag, role and style say of it; ``names`` are its words of OUTSIDE_NAMES, judged with the text."""
+    hidden, names = up.hidden, set()
+    outside = up.outside or tag in OUTSIDE or (tag == "header" and not re.search(r"/(article|main)\b", up.path))
     for name, *values in _ATTRIBUTE.findall(attrs):
         value, name = "".join(values), name.lower()
-        if name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and re.search(r"display\s*:\s*none", value)):
-            return True
-        if name == "role" and value.lower() in OUTSIDE_ROLES:
-            return True
-        if name in ("class", "id") and tag not in ("html", "body", "main", "article"):
-            if any(p.lower() in OUTSIDE_NAMES for p in _PARTS.findall(value)):
-                return True
-    return False
+        if name == "hidden" or (name == "aria-hidden" and value.lower() == "true") or (name == "style" and re.search(r"display\s*:\s*none", value, re.I)):
+            hidden = True
+        elif name == "role" and value.lower() in OUTSIDE_ROLES:
+            outside = True
+        elif name in ("class", "id") and tag not in ("html", "body", "main", "article"):
+            names |= {p.lower() for p in _PARTS.findall(value)} & OUTSIDE_NAMES
+    return Node(tag, up, outside or hidden, f"{up.path}/{tag}", hidden, frozenset(names))
 
 
 def blocks(page: str) -> tuple[list[Node], list[tuple[Node, str]]]:
@@ -130,7 +136,7 @@ def blocks(page: str) -> tuple[list[Node], list[tuple[Node, str]]]:
         if tag in VOID or len(stack) > DEPTH:
             continue
         up = stack[-1]
-        node = Node(tag, up, _outside(tag, m["attrs"] or "", up), f"{up.path}/{tag}")
+        node = _node(tag, m["attrs"] or "", up)
         node.chain = (*up.chain, len(nodes))
         nodes.append(node)
         stack.append(node)
@@ -141,9 +147,9 @@ def blocks(page: str) -> tuple[list[Node], list[tuple[Node, str]]]:
     return nodes, found
 
 
-def content_paths(candidates: list[tuple[Node, str]]) -> set[str]:
-    """Paths whose mean fused ratio reaches the threshold: text length a block and punctuation a block of each path, both
-    smoothed over the blocks in page order, are multiplied."""
+def fused_ratios(candidates: list[tuple[Node, str]]) -> np.ndarray:
+    """For each block the product of two ratios of its path, text length a block and punctuation a block, both smoothed over
+    the blocks in page order."""
     length, marks, count = defaultdict(int), defaultdict(int), defaultdict(int)
     for node, text in candidates:
         length[node.path] += len(text)
@@ -156,13 +162,49 @@ def content_paths(candidates: list[tuple[Node, str]]) -> set[str]:
         weight = np.convolve(np.ones(len(series)), SMOOTH, "full")[wide : wide + len(series)]
         return np.convolve(series, SMOOTH, "full")[wide : wide + len(series)] / weight
 
-    fused = smooth(length) * (1 + smooth(marks))
-    total = defaultdict(float)
+    return smooth(length) * (1 + smooth(marks))
+
+
+def content_paths(candidates: list[tuple[Node, str]]) -> set[str]:
+    """Paths whose mean fused ratio reaches the threshold."""
+    fused, total, count = fused_ratios(candidates), defaultdict(float), defaultdict(int)
     for (node, _), x in zip(candidates, fused, strict=True):
         total[node.path] += x
+        count[node.path] += 1
     return {p for p in total if total[p] / count[p] >= LEAST * fused.mean()}
 
 
+def article_candidates(nodes: list[Node], found: list[tuple[Node, str]]) -> list[tuple[Node, str]]:
+    """The blocks that may be the article's: not in an element that never holds one, nor in one that is named like that.
+
+    A name doesn't count on an element with most of the page's fused ratios, or with an article or main while none lies
+    outside all such elements. If no block is left, names count for nothing; if still none is, all that is shown is taken.
+    """
+    open_ = [(n, t) for n, t in found if not n.outside]
+    if not open_:
+        return [(n, t) for n, t in found if not n.hidden]
+    named = {i for n, _ in open_ for i in n.chain if nodes[i].names}
+    if not named:
+        return open_
+    share, total = defaultdict(float), 0.0
+    inner, plain = set(), False
+    for (node, _), x in zip(open_, fused_ratios(open_), strict=True):
+        total += x
+        inside = [i for i in node.chain if i in named]
+        for i in inside:
+            share[i] += x
+        mark = next((i for i in node.chain if nodes[i].tag in ("article", "main")), None)
+        if mark is not None:
+            around = [i for i in inside if i < mark]
+            inner.update(around)
+            plain |= not around
+    for i in list(named):
+        least = MOST_OF_READERS if nodes[i].names & READER_NAMES else MOST
+        if share[i] >= least * total or (i in inner and not plain):
+            named.discard(i)
+    return [(n, t) for n, t in open_ if named.isdisjoint(n.chain)] or open_
+
+
 def container(nodes: list[Node], content: list[tuple[Node, str]]) -> int:
     """The innermost container of all content blocks that is not inside a list, table, quote or figure; a table's cell is one
     if it holds all blocks and there are several, as in a layout. An article or main around it, or a page's only one if it
@@ -188,7 +230,7 @@ def container(nodes: list[Node], content: list[tuple[Node, str]]) -> int:
 def main_text(page: str | None) -> str:
     """The article's blocks, one a line; empty if there is none."""
     nodes, found = blocks(page or "")
-    candidates = [(n, t) for n, t in found if not n.outside]
+    candidates = article_candidates(nodes, found)
     if not candidates:
         return ""
     chosen = content_paths(candidates)
@@ -212,7 +254,8 @@ def page_texts(pages: DataFrame) -> DataFrame:
     """(page_id, url, text, n_chars) for pages (page_id, url, html), rows as they come.
 
     Elements are read once into blocks of text with their root-to-leaf tag paths; menus, headers, footers, sidebars,
-    notices, adverts, forms, comments, scripts and styles are known by element, class, id or role. Content paths among the
+    notices, adverts, forms, comments, scripts and styles are known by element, class, id or role, of which a name counts
+    only where ``article_candidates`` lets it. Content paths among the
     rest, by their ratios, show the container of the article, of which all blocks are returned whole. Null or empty html,
     or a page without text: empty text.
     """

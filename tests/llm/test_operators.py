@@ -346,6 +346,24 @@ def test_all_content_paths_are_returned(spark):
     assert [html_extract.main_text(p).split("\n") for p in pages] == list(pages.values())
 
 
+def test_names_do_not_hide_the_article(spark):
+    said = lambda n, k: " ".join(f"part {k}, word {i}." for i in range(n))
+    long, more = said(60, "a"), said(20, "b")
+    whole = f"<article><p>{long}</p><p>{more}</p></article>"
+    pages = [
+        f"<div class='layout with-sidebar'>{whole}<div class='sidebar'><p>{said(9, 'x')}</p></div></div>",
+        f"<div class='content no-comments'>{whole}</div>",
+        f"<section id='related-work'><p>{long}</p><p>{more}</p></section>",
+        f"<div class='comments'><p>{long}</p><p>{more}</p></div>",
+        f"<div><p title='the hidden gem'>{long}</p><div data-state='hidden'><p data-hidden=false>{more}</p></div></div>",
+        f"<div><section data-id='nav-3'><p>{long}</p></section><p data-x='a' title=\"role='menu' class=ad\">{more}</p></div>",
+        f"<form id=aspnet><div><p>{long}</p><p>{more}</p></div><p hidden>{said(80, 'x')}</p></form>",
+        f"{whole}<ol class=comments><li><article><p>{said(30, 'x')}</p></article></ol>",
+        f"<div><p>{long}</p><p>{more}</p><div class=promo><p>{said(9, 'x')}</p></div><p hidden>{said(9, 'x')}</p></div>",
+    ]
+    assert [html_extract.main_text(p) for p in pages] == [f"{long}\n{more}"] * len(pages)
+
+
 # Archives
 
 
