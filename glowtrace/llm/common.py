@@ -103,6 +103,15 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> None:
         spark.conf.set(name, str(rows))
 
 
+#: The inner key of a row: rows that repeat an id are decided, joined and dropped by it.
+ROW = "_glow_row"
+
+
+def with_row_key(docs: DataFrame) -> DataFrame:
+    """``docs`` with an inner key for each row. Only a table that is written with it has the same keys each time it is read."""
+    return docs.withColumn(ROW, F.monotonically_increasing_id())
+
+
 def without_rows_of(docs: DataFrame, dropped: DataFrame, key: str) -> DataFrame:
     """``docs`` without the rows whose key is in ``dropped`` (one column). Small drop lists are broadcast after a count."""
     dropped = dropped.select(F.col(key)).distinct()

@@ -4,16 +4,16 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from glowtrace.llm.common import SPACE, Scratch, join_groups, sized_broadcast, without_rows_of
+from glowtrace.llm.common import ROW, SPACE, Scratch, join_groups, sized_broadcast, with_row_key, without_rows_of
 
 #: Bytes of the first digit, and how many times longer each following digit is.
 FIRST_DIGIT, GROWTH = 256, 8
 
 
-def radix_groups(docs: DataFrame, first_digit: int = FIRST_DIGIT, growth: int = GROWTH) -> DataFrame:
+def radix_groups(docs: DataFrame, first_digit: int = FIRST_DIGIT, growth: int = GROWTH, row: str | None = None) -> DataFrame:
     """(doc_id, keep_id, group_size, kept, text_sha256) for documents (doc_id, text); other columns are ignored.
 
     Texts are equal when they are identical without white space. Each round splits the open groups by the next bytes of
@@ -25,52 +25,59 @@ def radix_groups(docs: DataFrame, first_digit: int = FIRST_DIGIT, growth: int =
     The row with the most code points in the original text, then the smallest doc_id, stays. Null text counts as empty.
     Null doc_id: sorts before all others and can be the keep_id; kept is then true for the rows that hold it. Rows that
     repeat the kept doc_id and length are all kept. Empty table: empty result.
+
+    ``row`` names a column with a key of each row of a written table. Rows are then known by it too, it is returned as well,
+    and one row of each group is kept, the one with the least key among those.
     """
+    keys_of = ["doc_id", *([row] if row else [])]
     spark = docs.sparkSession
     scratch = Scratch(spark, "radix")
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     norm = F.regexp_replace(text, f"{SPACE}+", "")
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.length(text).cast("long").alias("chars"), norm.cast("binary").alias("bytes"))
+    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *keys_of[1:], F.length(text).cast("long").alias("chars"), norm.cast("binary").alias("bytes"))
     base = base.withColumn("sha", F.sha2("bytes", 256))
 
     def split(rows: DataFrame, digit: int, keys: list[str], carry: list[str]) -> DataFrame:
         """rows with the size and the label of their (keys, next digit) group; a single row is its own."""
-        rows = rows.withColumn("digit", F.substring("bytes", 1, digit)).select(*keys, "doc_id", "sha", "chars", "digit", *carry)
+        rows = rows.withColumn("digit", F.substring("bytes", 1, digit)).select(*keys, *keys_of, "sha", "chars", "digit", *carry)
         rows = rows if carry else scratch.save(rows, "heads")
-        name = F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), "sha")
+        name = F.concat_ws(":", *[F.coalesce(F.col(k).cast("string"), F.lit("null")) for k in keys_of], "sha")
         groups = rows.groupBy(*keys, "digit").agg(F.count("*").alias("size"), F.min(name).alias("label")).where("size > 1")
-        both = join_groups(rows, scratch.save(groups, "groups"), [*keys, "digit"], ["doc_id", "sha"])
+        both = join_groups(rows, scratch.save(groups, "groups"), [*keys, "digit"], [*keys_of, "sha"])
         ended = F.col("size").isNull() | (F.length("digit") < digit)
-        return both.select("doc_id", "sha", "chars", F.coalesce("label", name).alias("grp"), F.coalesce("size", F.lit(1)).alias("size"), ended.alias("ended"), *carry)
+        return both.select(*keys_of, "sha", "chars", F.coalesce("label", name).alias("grp"), F.coalesce("size", F.lit(1)).alias("size"), ended.alias("ended"), *carry)
 
     digit = first_digit
     state = scratch.save(split(base, digit, [], []), "round")
     done = [state.where("ended").drop("ended")]
-    names = state.where("not ended").select("doc_id", "sha", "grp").distinct()
+    names = state.where("not ended").select(*keys_of, "sha", "grp").distinct()
     n = names.count()
     if n:
         rest = base.withColumn("bytes", F.expr(f"substring(bytes, {digit + 1})"))
-        same = rest.doc_id.eqNullSafe(names.doc_id) & (rest.sha == names.sha)
-        state = scratch.save(rest.join(sized_broadcast(names, n, 160), same).select(rest.doc_id, rest.sha, "chars", "bytes", "grp"), "open")
+        same = reduce(Column.__and__, [rest[k].eqNullSafe(names[k]) for k in keys_of], rest.sha == names.sha)
+        state = scratch.save(rest.join(sized_broadcast(names, n, 160), same).select(*[rest[k] for k in keys_of], rest.sha, "chars", "bytes", "grp"), "open")
     while n:
         digit *= growth
         after = scratch.save(split(state, digit, ["grp"], ["bytes"]).withColumn("bytes", F.when(~F.col("ended"), F.expr(f"substring(bytes, {digit + 1})"))), "round")
         scratch.drop(state)
-        state = after.where("not ended").select("doc_id", "sha", "chars", "bytes", "grp")
+        state = after.where("not ended").select(*keys_of, "sha", "chars", "bytes", "grp")
         state._scratch_path = after._scratch_path
-        done.append(scratch.save(after.where("ended").select("doc_id", "sha", "chars", "grp", "size"), "done"))
+        done.append(scratch.save(after.where("ended").select(*keys_of, "sha", "chars", "grp", "size"), "done"))
         n = state.limit(1).count()
     rows = reduce(DataFrame.union, done)
 
-    single = rows.where("size = 1").select("doc_id", F.col("doc_id").alias("keep_id"), F.col("size").alias("group_size"), F.lit(True).alias("kept"), F.col("sha").alias("text_sha256"))
+    single = rows.where("size = 1").select(*keys_of, F.col("doc_id").alias("keep_id"), F.col("size").alias("group_size"), F.lit(True).alias("kept"), F.col("sha").alias("text_sha256"))
     many = rows.where("size > 1")
-    best = many.groupBy("grp").agg(F.min(F.struct((-F.col("chars")).alias("less"), F.col("doc_id").alias("keep_id"))).alias("best"), F.count("*").alias("size"))
+    best = many.groupBy("grp").agg(F.min(F.struct((-F.col("chars")).alias("less"), F.col("doc_id").alias("keep_id"), *keys_of[1:])).alias("best"), F.count("*").alias("size"))
     kept = F.col("doc_id").eqNullSafe(F.col("best.keep_id")) & (-F.col("chars") == F.col("best.less"))
-    groups = join_groups(many.drop("size"), scratch.save(best, "best"), ["grp"], ["doc_id", "sha"])
-    groups = groups.select("doc_id", "best.keep_id", F.col("size").alias("group_size"), kept.alias("kept"), F.col("sha").alias("text_sha256"))
+    for k in keys_of[1:]:
+        kept = kept & (F.col(k) == F.col(f"best.{k}"))
+    groups = join_groups(many.drop("size"), scratch.save(best, "best"), ["grp"], [*keys_of, "sha"])
+    groups = groups.select(*keys_of, "best.keep_id", F.col("size").alias("group_size"), kept.alias("kept"), F.col("sha").alias("text_sha256"))
     return single.union(groups)
 
 
 def drop_exact_duplicates(docs: DataFrame) -> DataFrame:
-    """``docs`` with one row of each group of equal texts; columns as they come."""
-    return without_rows_of(docs, radix_groups(docs).where("not kept").select("doc_id"), "doc_id")
+    """``docs`` with one row of each group of equal texts, whatever ids repeat; columns as they come."""
+    rows = Scratch(docs.sparkSession, "exact").save(with_row_key(docs), "rows")
+    return without_rows_of(rows, radix_groups(rows, row=ROW).where("not kept").select(ROW), ROW).select(docs.columns)

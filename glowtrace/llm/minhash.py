@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glowtrace.llm.common import Scratch, join_groups, sized_broadcast, small_batches, without_rows_of
+from glowtrace.llm.common import ROW, Scratch, join_groups, sized_broadcast, small_batches, with_row_key, without_rows_of
 from glowtrace.llm.components import connected_components
 
 #: Signature coordinates = BANDS * ROWS. A pair at 0.75 shares no band with a chance of (1 - 0.75^4)^40, below 3e-7.
@@ -68,6 +68,10 @@ def band_keys(sig: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return key.view(np.int64)
 
 
+def set_key(hashes: np.ndarray) -> bytes | None:
+    return xxhash.xxh3_128_digest(hashes.tobytes()) if len(hashes) else None
+
+
 def _sketches(docs: DataFrame, width: int, bands: int, rows: int) -> DataFrame:
     def sketch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -75,26 +79,28 @@ def _sketches(docs: DataFrame, width: int, bands: int, rows: int) -> DataFrame:
             yield pd.DataFrame(
                 {
                     "doc_id": batch["doc_id"],
+                    ROW: batch[ROW],
                     "n_shingles": [len(s) for s in sets],
-                    "set_key": [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets],
+                    "set_key": [set_key(s) for s in sets],
                     "bands": [band_keys(signature(s, bands * rows), bands, rows) if len(s) else None for s in sets],
                 }
             )
 
-    return docs.mapInPandas(sketch, "doc_id long, n_shingles long, set_key binary, bands array<long>")
+    return docs.mapInPandas(sketch, f"doc_id long, {ROW} long, n_shingles long, set_key binary, bands array<long>")
 
 
 def _sets(docs: DataFrame, width: int) -> DataFrame:
     def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "codes": [shingle_hashes(t, width).view(np.int64) for t in batch["text"]]})
+            found = [shingle_hashes(t, width) for t in batch["text"]]
+            yield pd.DataFrame({"set_key": [set_key(s) for s in found], "codes": [s.view(np.int64) for s in found]})
 
-    return docs.mapInPandas(sets, "doc_id long, codes array<long>")
+    return docs.mapInPandas(sets, "set_key binary, codes array<long>")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """(x, y, shared, joined): sizes of intersection and union, for pairs (x, y)."""
-    of = lambda n: sets.select(F.col("doc_id").alias(n), F.col("codes").alias(f"{n}_codes"))
+    of = lambda n: sets.select(F.col(ROW).alias(n), F.col("codes").alias(f"{n}_codes"))
     both = pairs.join(of("x"), "x").join(of("y"), "y")
     shared = F.size(F.array_intersect("x_codes", "y_codes")).cast("long")
     return both.select("x", "y", shared.alias("shared"), (F.size("x_codes") + F.size("y_codes")).cast("long").alias("sizes")).select(
@@ -112,34 +118,45 @@ def near_duplicates(docs: DataFrame, similarity: int = 75, width: int = 5, bands
 
     Documents are linked if 100 * intersection >= ``similarity`` * union over their sets of distinct ``width``-word shingles.
     A component is what links reach; its smallest doc_id is kept. Documents with equal sets are one before anything is
-    compared. Candidates share a band; a band's members are compared first with its smallest member, and members of other
+    compared. Candidates share a band; a band's members are compared first with one of them, and members of other
     components only where components still differ, so a band of any size costs about one comparison a member and no link
     that could join two components stays unchecked.
 
     Null or empty text: no shingles, own component. Null doc_id: linked with nothing, component null, kept. Repeated
-    doc_id: each row is returned, and the id has the links of all its rows. Empty table: empty result.
+    doc_id: each row is a document of its own with its own links and component, and one row of a component is kept. Empty
+    table: empty result.
     """
+    return _near_rows(docs, similarity, width, bands, rows).drop(ROW)
+
+
+def _near_rows(docs: DataFrame, similarity: int = 75, width: int = 5, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """``near_duplicates`` with the inner key of each row: that of ``docs``, a table written with it, or a new one."""
     spark = docs.sparkSession
     small_batches(spark)
     scratch = Scratch(spark, "minhash")
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    docs = docs if ROW in docs.columns else with_row_key(docs)
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), ROW, F.col("text").cast("string").alias("text"))
     sketches = scratch.save(_sketches(docs, width, bands, rows), "sketches")
     usable = sketches.where("doc_id is not null and set_key is not null")
 
-    # Equal sets: one representative, the smallest doc_id.
-    same = scratch.save(usable.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("size")).where("size > 1"), "same")
-    copies = join_groups(usable.select("set_key", "doc_id"), same, ["set_key"], ["doc_id"]).where("doc_id <> rep").select(F.col("doc_id").alias("u"), F.col("rep").alias("v"))
-    copies = scratch.save(copies.distinct(), "copies")
-    reps = usable.join(copies.select(F.col("u").alias("doc_id")).distinct(), "doc_id", "left_anti")
+    # Equal sets: one representative row.
+    same = scratch.save(usable.groupBy("set_key").agg(F.min(ROW).alias("rep"), F.count("*").alias("size")).where("size > 1"), "same")
+    copies = join_groups(usable.select("set_key", ROW), same, ["set_key"], [ROW]).where(F.col(ROW) != F.col("rep")).select(F.col(ROW).alias("u"), F.col("rep").alias("v"))
+    copies = scratch.save(copies, "copies")
+    reps = usable.join(copies.select(F.col("u").alias(ROW)), ROW, "left_anti")
 
-    # Bands with at least two representatives; c is the smallest.
-    member = reps.select(F.col("doc_id").alias("x"), F.explode("bands").alias("band"))
+    # Bands with at least two representatives; c is the one with the least key.
+    member = reps.select(F.col(ROW).alias("x"), F.explode("bands").alias("band"))
     shared = member.groupBy("band").agg(F.min("x").alias("c"), F.max("x").alias("last"), F.count("*").alias("size")).where("c < last").select("band", "c", "size")
     members = scratch.save(join_groups(member, scratch.save(shared, "shared"), ["band"], ["x"]).where("c is not null").select("band", "x", "c").distinct(), "members")
 
-    ids = members.select(F.col("x").alias("doc_id")).distinct()
-    picked = docs.join(sized_broadcast(ids, ids.count(), 24), "doc_id", "left_semi")
-    sets = scratch.save(_sets(picked, width).groupBy("doc_id").agg(F.max("codes").alias("codes")), "sets")
+    # Sets of the members, found by id and named by their key: ids can repeat, and keys of rows hold for ``sketches`` only.
+    ids = members.select(F.col("x").alias(ROW)).distinct()
+    chosen = scratch.save(reps.select(ROW, "doc_id", "set_key").join(sized_broadcast(ids, ids.count(), 24), ROW, "left_semi"), "chosen")
+    n = chosen.count()
+    picked = docs.join(sized_broadcast(chosen.select("doc_id").distinct(), n, 24), "doc_id", "left_semi")
+    sets = _sets(picked.drop(ROW), width).join(sized_broadcast(chosen.select("set_key", ROW), n, 56), "set_key")
+    sets = scratch.save(sets.groupBy(ROW).agg(F.max("codes").alias("codes")), "sets")
 
     def confirm(pairs: DataFrame, tag: str) -> DataFrame:
         return scratch.save(_verified(pairs, sets), tag)
@@ -171,7 +188,7 @@ def near_duplicates(docs: DataFrame, similarity: int = 75, width: int = 5, bands
         mixed = state.groupBy("band").agg(F.min("cx").alias("lo"), F.max("cx").alias("hi")).where("lo < hi").select("band")
         state = state.join(mixed, "band", "left_semi")
         apart = scratch.save(state.groupBy("x", "cx").agg(F.array_sort(F.collect_set("band")).alias("at")), "apart")
-        codes = apart.join(sets.withColumnRenamed("doc_id", "x"), "x").select("x", "cx", F.size("codes").alias("n"), F.explode("codes").alias("code"))
+        codes = apart.join(sets.withColumnRenamed(ROW, "x"), "x").select("x", "cx", F.size("codes").alias("n"), F.explode("codes").alias("code"))
         across = codes.groupBy("code").agg(F.min("cx").alias("lo"), F.max("cx").alias("hi")).where("lo < hi").select("code")
         bit, word = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod("code", F.lit(64)).cast("int")), F.pmod(F.shiftright("code", 6), F.lit(MASKS))
         masks = [F.bit_or(F.when(word == k, bit).otherwise(F.lit(0).cast("long"))).alias(f"mask{k}") for k in range(MASKS)]
@@ -194,12 +211,17 @@ def near_duplicates(docs: DataFrame, similarity: int = 75, width: int = 5, bands
 
     links = found.select(F.col("id").alias("u"), F.col("component").alias("v"))
     merged = copies.join(links.withColumnRenamed("u", "rep").withColumnRenamed("v", "root"), F.col("v") == F.col("rep"), "left").select("u", F.coalesce("root", "v").alias("v"))
-    final = links.union(merged).groupBy(F.col("u").alias("doc_id")).agg(F.min("v").alias("root"))
-    out = sketches.select("doc_id", "n_shingles").join(final, "doc_id", "left")
-    component = F.coalesce("root", "doc_id")
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
+    final = links.union(merged).groupBy(F.col("u").alias(ROW)).agg(F.min("v").alias("root"))
+    out = sketches.select(ROW, "doc_id", "n_shingles", "set_key").join(final, ROW, "left").withColumn("root", F.coalesce("root", ROW))
+    out = scratch.save(out, "rows")
+    first = F.min(F.struct("doc_id", "set_key", ROW)).alias("first")
+    roots = scratch.save(out.groupBy("root").agg(first, F.count("*").alias("size")).where("size > 1"), "roots")
+    out = join_groups(out, roots, ["root"], [ROW])
+    kept = F.coalesce(F.col(f"first.{ROW}") == F.col(ROW), F.lit(True))
+    return out.select(ROW, "doc_id", "n_shingles", F.coalesce("first.doc_id", "doc_id").alias("component_id"), kept.alias("kept"))
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
-    """``docs`` with one document of each group of near duplicates, the one with the smallest doc_id; columns as they come."""
-    return without_rows_of(docs, near_duplicates(docs).where("not kept").select("doc_id"), "doc_id")
+    """``docs`` with one row of each group of near duplicates, the one with the smallest doc_id; columns as they come."""
+    rows = Scratch(docs.sparkSession, "near").save(with_row_key(docs), "rows")
+    return without_rows_of(rows, _near_rows(rows).where("not kept").select(ROW), ROW).select(docs.columns)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from glowtrace.llm.common import WORD, Scratch, sized_broadcast, word_count
+from glowtrace.llm.common import ROW, WORD, Scratch, sized_broadcast, with_row_key, word_count
 
 #: Slots of the schedule; a block holds this share of all words.
 SLOTS = 1 << 16
@@ -56,11 +56,14 @@ def mix(docs: DataFrame, slots: int = SLOTS) -> DataFrame:
     has no slot for (a few at most) follow at its end; slots beyond a source's last block stay empty.
 
     Null text: size 0. Null source: a source of its own, last in order. Rows that repeat a doc_id are documents of their
-    own with the same place in the shuffle. All sizes 0, or no rows: nothing is taken.
+    own, one after the other in the shuffle; ``docs`` with row keys (``with_row_key``) give them in a last column. All sizes 0,
+    or no rows: nothing is taken.
     """
+    keyed = ROW in docs.columns
+    docs = docs if keyed else with_row_key(docs)
     spark = docs.sparkSession
     scratch = Scratch(spark, "mix")
-    sized = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(F.col("text").cast("string")).alias("size"))
+    sized = docs.select(ROW, F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(F.col("text").cast("string")).alias("size"))
     sized = scratch.save(sized.withColumn("key", shuffle_key(F.col("doc_id"))), "sized")
     sources = scratch.save(source_targets(sized.groupBy("source").agg(F.sum("size").alias("source_size"))), "sources")
     rows, digits = sized.count(), 1
@@ -74,14 +77,14 @@ def mix(docs: DataFrame, slots: int = SLOTS) -> DataFrame:
     earlier = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     parts = sized.groupBy("source", "part").agg(F.sum("size").alias("words")).withColumn("before", F.coalesce(F.sum("words").over(earlier), F.lit(0)))
     parts = parts.join(sources.alias("s"), F.col("s.source").eqNullSafe(parts.source)).select(parts.source.alias("of"), F.col("part").alias("in_part"), "before", "source_size", "target")
-    inside = Window.partitionBy("source", "part").orderBy("key", "size").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("source", "part").orderBy("key", "size", ROW).rowsBetween(Window.unboundedPreceding, -1)
     placed = sized.withColumn("inside", F.coalesce(F.sum("size").over(inside), F.lit(0)))
     placed = placed.join(parts, F.col("source").eqNullSafe(F.col("of")) & (F.col("part") == F.col("in_part"))).withColumn("at", F.col("before") + F.col("inside"))
 
     # Pieces of documents in the blocks of their source, which repeats until its rounded target.
     last = F.round("target").cast("long")
     start = F.col("epoch") * F.col("source_size") + F.col("at")
-    pieces = placed.select("doc_id", "source", "size", "source_size", "target", "at", F.explode(F.sequence(F.lit(0), F.lit(MAX_REPEATS - 1))).alias("epoch"))
+    pieces = placed.select(ROW, "doc_id", "source", "size", "source_size", "target", "at", F.explode(F.sequence(F.lit(0), F.lit(MAX_REPEATS - 1))).alias("epoch"))
     pieces = pieces.withColumn("start", start).withColumn("end", F.least(F.col("start") + F.col("size"), last))
     blocks = F.sequence(F.expr(f"start div {block}"), F.expr(f"(end - 1) div {block}"))
     pieces = pieces.withColumn("block", F.explode_outer(F.when(F.col("end") > F.col("start"), blocks))).where("block is not null or epoch = 0")
@@ -92,7 +95,7 @@ def mix(docs: DataFrame, slots: int = SLOTS) -> DataFrame:
     schedule = _schedule(spark, sources, slots)
     slot = F.when(F.col("block").isNotNull(), F.coalesce("slot", F.col("block") + slots))
     out = pieces.join(schedule, F.col("source").eqNullSafe(F.col("of")) & (F.col("block") == F.col("rank")), "left")
-    return out.select(slot.alias("slot"), "source", "block", "doc_id", "epoch", "from_word", "n_words", "size", "source_size", "target")
+    return out.select(slot.alias("slot"), "source", "block", "doc_id", "epoch", "from_word", "n_words", "size", "source_size", "target", *([ROW] if keyed else []))
 
 
 def _schedule(spark: SparkSession, sources: DataFrame, slots: int) -> DataFrame:
@@ -119,10 +122,11 @@ def taken_words(docs: DataFrame) -> DataFrame:
 def mixed_documents(docs: DataFrame) -> DataFrame:
     """The documents of the mix, columns as they come: a row each time that a document is taken whole, and its first words
     where the mix ends inside it; documents that the mix doesn't take, or that have no words, are left out."""
-    taken = mix(docs).groupBy("doc_id", "size").agg(F.sum("n_words").alias("taken")).where("taken > 0")
-    taken = Scratch(docs.sparkSession, "taken").save(taken.select(F.col("doc_id").alias("_id"), F.col("size").alias("_size"), F.col("taken").alias("_taken")).distinct(), "taken")
-    same = docs.doc_id.eqNullSafe(taken._id) & (word_count(docs.text.cast("string")) == taken._size)
-    both = docs.join(sized_broadcast(taken, taken.count(), 40), same)
+    scratch = Scratch(docs.sparkSession, "taken")
+    rows = scratch.save(with_row_key(docs), "rows")
+    taken = mix(rows).groupBy(ROW, F.col("size").alias("_size")).agg(F.sum("n_words").alias("_taken")).where("_taken > 0")
+    taken = scratch.save(taken, "taken")
+    both = rows.join(sized_broadcast(taken, taken.count(), 40), ROW)
     words = F.explode(F.concat(F.array_repeat(F.col("_size"), F.expr("int(_taken div _size)")), F.when(F.expr("_taken % _size > 0"), F.array(F.expr("_taken % _size"))).otherwise(F.array().cast("array<bigint>"))))
     both = both.withColumn("_words", words)
     head = F.array_join(F.slice(F.regexp_extract_all(F.col("text"), F.lit(WORD), F.lit(0)), F.lit(1), F.col("_words").cast("int")), " ")

@@ -399,3 +399,28 @@ def test_groups_are_salted_where_they_are_too_many_to_broadcast(spark, small, mo
     monkeypatch.setattr(common, "BROADCAST_BYTES", -1)
     monkeypatch.setattr(common, "SALTED", 2)
     assert [sorted(map(tuple, f(small).collect())) for f in (exact_dedup.radix_groups, minhash.near_duplicates)] == want
+
+
+# Rows that repeat an id
+
+
+def test_rows_that_repeat_an_id_are_decided_one_by_one(spark):
+    said = lambda k: " ".join(f"{k}{i}" for i in range(40))
+    a, b, c = said("a"), said("b"), said("c")
+    near = lambda t: t + " end"
+    rows = docs(spark, [(3, a), (5, a), (5, b), (7, c), (7, c)])
+    assert sorted((r["doc_id"], r["text"]) for r in exact_dedup.drop_exact_duplicates(rows).collect()) == [(3, a), (5, b), (7, c)]
+    # 5 copies 3, and its other text is near to 9's; 6 has two texts with links of their own.
+    rows = docs(spark, [(3, a), (5, near(a)), (5, a), (5, b), (9, near(b)), (7, c), (7, c), (2, said("d")), (6, near(said("d"))), (6, said("e")), (8, near(said("e")))])
+    got = sorted((r["doc_id"], r["component_id"], r["kept"]) for r in minhash.near_duplicates(rows).collect())
+    assert got == [(2, 2, True), (3, 3, True), (5, 3, False), (5, 3, False), (5, 5, True), (6, 2, False), (6, 6, True), (7, 7, False), (7, 7, True), (8, 6, False), (9, 5, False)]
+    kept = minhash.drop_near_duplicates(rows)
+    assert kept.columns == rows.columns
+    assert sorted((r["doc_id"], r["text"]) for r in kept.collect()) == sorted([(3, a), (5, b), (7, c), (2, said("d")), (6, said("e"))])
+
+
+def test_repeated_rows_are_mixed_once_each(spark):
+    rows = docs(spark, [(1, "w " * 40)] * 4 + [(2, "v " * 30), (2, "u " * 30), (3, "x " * 100, "b")])
+    taken = sum(r["taken"] for r in mixing.taken_words(rows).collect())
+    mixed = [len(r["text"].split()) for r in mixing.mixed_documents(rows).collect()]
+    assert sum(mixed) == taken and abs(taken - 320) <= 1
