@@ -2,29 +2,32 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from glowtrace.llm.common import small_batches
+from glowtrace.llm.common import Scratch, small_batches
 
 #: Ranks of a profile; an n-gram that a profile lacks counts as this far out of place.
 PROFILE = 400
-#: The pipeline keeps a document whose best profile is at least this close. Invented words of a known language lie far above.
-LEAST_SCORE = 0.05
+#: The pipeline keeps a document whose score is at least LEAST_SHARE of what all but FEWEST of the training fold's documents
+#: reach in their own language, those of its length or all of them, whichever is less.
+LEAST_SHARE, FEWEST = 0.5, 0.01
 UNDETERMINED = "und"
 
-_OTHER = re.compile(r"[\W\d_]+")
+#: What isn't a letter, or a mark on one; digits, numerals and superscripts are neither.
+_OTHER = regex.compile(r"[^\p{L}\p{M}]+")
+_LETTER = regex.compile(r"\p{L}")
 
 
 def letters(text: str | None) -> str:
-    """Lower-case letters, other runs as one space, a space at both ends; empty if there is no letter."""
-    kept = _OTHER.sub(" ", (text or "").lower()).strip()
-    return f" {kept} " if kept else ""
+    """Lower-case letters with their marks, other runs as one space, a space at both ends; empty if there is no letter."""
+    kept = _OTHER.sub(" ", (text or "").lower()).strip(" ")
+    return f" {kept} " if _LETTER.search(kept) else ""
 
 
 def gram_codes(kept: str) -> np.ndarray:
@@ -116,16 +119,44 @@ def in_training(doc_id: Column) -> Column:
 
 
 def identify(docs: DataFrame) -> DataFrame:
-    """(doc_id, held_out, lang_pred, score) for every document, from profiles of the training fold's labelled documents."""
+    """(doc_id, held_out, lang_pred, score) for every document, from profiles of the training fold's labelled documents.
+
+    Null text or text without a letter: ``und`` and 0. Null doc_id: as an empty id. Null lang: not learnt from. Repeated
+    rows are learnt from and returned each. No labelled row: every document is ``und``. Empty table: empty result.
+    """
     small_batches(docs.sparkSession)
     profiles = fit_profiles(docs.where(in_training(F.col("doc_id"))))
     found = docs.select("doc_id", (~in_training(F.col("doc_id"))).alias("held_out"), language(F.col("text"), profiles).alias("found"))
     return found.select("doc_id", "held_out", "found.lang_pred", "found.score")
 
 
-def keep_identified(docs: DataFrame, least_score: float = LEAST_SCORE) -> DataFrame:
-    """``docs`` without those in no language: no text, no letter, or too far from every profile; columns as they come."""
+def length_band(text: Column) -> Column:
+    """Documents of like length: the bits of the number of code points."""
+    return F.length(F.bin(F.coalesce(F.length(text), F.lit(0)).cast("long")))
+
+
+def least_scores(scored: DataFrame) -> DataFrame:
+    """(band, least): the least score that a document of a length is kept with, from rows (text, lang, learnt, found); the row
+    with a null band is for all lengths, the others are for those of training documents whose own language is the nearest.
+    There are as many bands as bits in a length."""
+    right = scored.where(F.col("learnt") & (F.col("lang") == F.col("found.lang_pred")))
+    return right.rollup(length_band(F.col("text")).alias("band")).agg((F.percentile_approx("found.score", FEWEST, 10_000) * LEAST_SHARE).alias("least"))
+
+
+def keep_identified(docs: DataFrame) -> DataFrame:
+    """``docs`` without those in no language: no text, no letter, or too far from every profile for their length; columns as
+    they come. Nulls, repeated rows and
+    empty tables as in ``identify``; without a labelled row nothing is kept."""
     small_batches(docs.sparkSession)
     profiles = fit_profiles(docs.where(in_training(F.col("doc_id"))))
-    found = docs.select(*docs.columns, language(F.col("text"), profiles).alias("_found"))
-    return found.where((F.col("_found.lang_pred") != UNDETERMINED) & (F.col("_found.score") >= least_score)).select(docs.columns)
+    scratch = Scratch(docs.sparkSession, "language")
+    text = F.col("text").cast("string")
+    scored = scratch.save(docs.select(F.struct(docs.columns).alias("doc"), length_band(text).alias("band"), language(text, profiles).alias("found")), "scored")
+    known = scored.select(F.col("doc.text").cast("string").alias("text"), F.col("doc.lang").cast("string").alias("lang"), in_training(F.col("doc.doc_id")).alias("learnt"), "found")
+    bars = {r["band"]: r["least"] for r in least_scores(known).where("least is not null").collect()}  # a row a bit of a length
+    most = bars.pop(None, 0.0)
+    bar = F.lit(most)
+    for band, least in sorted(bars.items()):
+        bar = F.when(F.col("band") == band, F.lit(min(most, least))).otherwise(bar)
+    kept = scored.where((F.col("found.lang_pred") != UNDETERMINED) & (F.col("found.score") >= bar))
+    return kept.select("doc.*")
