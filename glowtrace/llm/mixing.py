@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from glowtrace.llm.common import ROW, WORD, Scratch, sized_broadcast, with_row_key, word_count
+from glowtrace.llm.common import ROW, SPACE, WORD, Scratch, sized_broadcast, with_row_key, word_count
 
-#: Slots of the schedule; a block holds this share of all words.
-SLOTS = 1 << 16
+#: The schedule has at least this many slots where there are as many words, and more where blocks would exceed BLOCK_WORDS.
+LEAST_SLOTS, BLOCK_WORDS = 1 << 16, 256
 #: The fractional part of the golden ratio, as a multiplier of slot numbers in 32-bit fixed point.
 GOLDEN = 2654435769
 #: No document is repeated more often than this.
@@ -17,6 +17,8 @@ MAX_REPEATS = 3
 WEIGHTS = (1, 2, 3)
 #: Documents are shuffled into ranges by their keys' first digits, so many that a range has about this many rows at most.
 RANGE_ROWS = 4096
+#: Slots that are ranked in one task.
+CHUNK = 1 << 16
 
 
 def shuffle_key(doc_id: Column, seed: str = "mix") -> Column:
@@ -28,7 +30,8 @@ def source_targets(sizes: DataFrame) -> DataFrame:
     """(source, source_size, target) for (source, source_size): weights by the sources' code-point order, null last.
 
     A target is the least of 3 times the source's size and its weight times the level at which all targets add up to all
-    words; sources that reach their limit below the level hand their excess to the rest by weight. One row per source.
+    words; sources that reach their limit below the level hand their excess to the rest by weight. One row per source: the
+    sources, not the documents, are ordered in one task. Empty table: empty result.
     """
     order = Window.orderBy(F.col("source").asc_nulls_last())
     weight = F.element_at(F.array(*map(F.lit, WEIGHTS)), ((F.row_number().over(order) - 1) % len(WEIGHTS) + 1).cast("int")).cast("long")
@@ -45,22 +48,14 @@ def source_targets(sizes: DataFrame) -> DataFrame:
     return before.select("source", "source_size", target.alias("target"))
 
 
-def mix(docs: DataFrame, slots: int = SLOTS) -> DataFrame:
-    """The schedule: (slot, source, block, doc_id, epoch, from_word, n_words, size, source_size, target), a row for each
-    piece of a document in each block that the mix takes, and one with null slot and 0 words for each document that it
-    doesn't take.
+def block_words(total: int, slots: int | None = None) -> tuple[int, int]:
+    """(words of a block, slots) for all words of the sources; ``slots`` asks for a number of slots."""
+    block = max(1, -(-total // slots)) if slots else min(BLOCK_WORDS, max(1, total // LEAST_SLOTS))
+    return block, -(-total // block)
 
-    Slot i points at the fractional part of i times the golden ratio; the cumulative targets map the point to a source, and
-    the slot's rank among the source's slots is the block that it takes. A source's blocks cut its shuffled documents,
-    repeated up to three times, into equal numbers of words, the last one at its rounded target. Blocks that the schedule
-    has no slot for (a few at most) follow at its end; slots beyond a source's last block stay empty.
 
-    Null text: size 0. Null source: a source of its own, last in order. Rows that repeat a doc_id are documents of their
-    own, one after the other in the shuffle; ``docs`` with row keys (``with_row_key``) give them in a last column. All sizes 0,
-    or no rows: nothing is taken.
-    """
-    keyed = ROW in docs.columns
-    docs = docs if keyed else with_row_key(docs)
+def _plan(docs: DataFrame, slots: int | None) -> tuple[DataFrame, DataFrame]:
+    """Two tables for rows with keys: each with its place in its shuffled source, and the pieces that the schedule takes."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "mix")
     sized = docs.select(ROW, F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(F.col("text").cast("string")).alias("size"))
@@ -69,69 +64,94 @@ def mix(docs: DataFrame, slots: int = SLOTS) -> DataFrame:
     rows, digits = sized.count(), 1
     while rows > RANGE_ROWS << (4 * digits):
         digits += 1
-    total = sources.agg(F.sum("source_size")).first()[0] or 0
-    block = max(1, -(-total // slots))
+    block, slots = block_words(sources.agg(F.sum("source_size")).first()[0] or 0, slots)
+    schedule = scratch.save(_schedule(spark, sources, slots), "schedule")
+    # A source's slots, a block each, say how many words it gives: its documents up to three times at most.
+    given = schedule.groupBy("of").agg(F.count("*").alias("n"))
+    given = sources.join(given, F.col("source").eqNullSafe(F.col("of")), "left").select("source", "source_size", "target", F.least(F.coalesce("n", F.lit(0)) * block, F.col("source_size") * MAX_REPEATS).alias("upto"))
 
     # Positions of documents in their shuffled source: the words of the ranges before, then those in the same range.
     sized = sized.withColumn("part", F.substring("key", 1, digits))
     earlier = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     parts = sized.groupBy("source", "part").agg(F.sum("size").alias("words")).withColumn("before", F.coalesce(F.sum("words").over(earlier), F.lit(0)))
-    parts = parts.join(sources.alias("s"), F.col("s.source").eqNullSafe(parts.source)).select(parts.source.alias("of"), F.col("part").alias("in_part"), "before", "source_size", "target")
+    parts = parts.join(given.alias("s"), F.col("s.source").eqNullSafe(parts.source)).select(parts.source.alias("of"), F.col("part").alias("in_part"), "before", "source_size", "target", "upto")
     inside = Window.partitionBy("source", "part").orderBy("key", "size", ROW).rowsBetween(Window.unboundedPreceding, -1)
     placed = sized.withColumn("inside", F.coalesce(F.sum("size").over(inside), F.lit(0)))
     placed = placed.join(parts, F.col("source").eqNullSafe(F.col("of")) & (F.col("part") == F.col("in_part"))).withColumn("at", F.col("before") + F.col("inside"))
+    placed = scratch.save(placed.select(ROW, "doc_id", "source", "size", "source_size", "target", "upto", "at"), "placed")
 
-    # Pieces of documents in the blocks of their source, which repeats until its rounded target.
-    last = F.round("target").cast("long")
-    start = F.col("epoch") * F.col("source_size") + F.col("at")
-    pieces = placed.select(ROW, "doc_id", "source", "size", "source_size", "target", "at", F.explode(F.sequence(F.lit(0), F.lit(MAX_REPEATS - 1))).alias("epoch"))
-    pieces = pieces.withColumn("start", start).withColumn("end", F.least(F.col("start") + F.col("size"), last))
-    blocks = F.sequence(F.expr(f"start div {block}"), F.expr(f"(end - 1) div {block}"))
-    pieces = pieces.withColumn("block", F.explode_outer(F.when(F.col("end") > F.col("start"), blocks))).where("block is not null or epoch = 0")
+    # Pieces of documents in the blocks of their source, which repeats, and the slots that take those blocks.
+    pieces = placed.select("*", F.explode(F.sequence(F.lit(0), F.lit(MAX_REPEATS - 1))).alias("epoch"))
+    pieces = pieces.withColumn("start", F.col("epoch") * F.col("source_size") + F.col("at")).withColumn("end", F.least(F.col("start") + F.col("size"), "upto"))
+    pieces = pieces.where("end > start").withColumn("block", F.explode(F.sequence(F.expr(f"start div {block}"), F.expr(f"(end - 1) div {block}"))))
     word = F.greatest(F.col("start"), F.col("block") * block)
-    pieces = pieces.withColumn("from_word", word - F.col("start")).withColumn("n_words", F.when(F.col("block").isNull(), F.lit(0)).otherwise(F.least("end", (F.col("block") + 1) * block) - word))
+    pieces = pieces.withColumn("from_word", word - F.col("start")).withColumn("n_words", F.least("end", (F.col("block") + 1) * block) - word)
+    taken = pieces.join(schedule, F.col("source").eqNullSafe(F.col("of")) & (F.col("block") == F.col("rank")))
+    return placed, taken.select("slot", "source", "block", "doc_id", "epoch", "from_word", "n_words", "size", "source_size", "target", ROW)
+
+
+def mix(docs: DataFrame, slots: int | None = None) -> DataFrame:
+    """The mix: (slot, source, block, doc_id, epoch, from_word, n_words, size, source_size, target), a row for each piece of
+    a document in each block that a slot takes. In the order of slots, all sources come in their shares from start to end.
 
-    # The schedule's blocks.
-    schedule = _schedule(spark, sources, slots)
-    slot = F.when(F.col("block").isNotNull(), F.coalesce("slot", F.col("block") + slots))
-    out = pieces.join(schedule, F.col("source").eqNullSafe(F.col("of")) & (F.col("block") == F.col("rank")), "left")
-    return out.select(slot.alias("slot"), "source", "block", "doc_id", "epoch", "from_word", "n_words", "size", "source_size", "target", *([ROW] if keyed else []))
+    Slot i points at the fractional part of i times the golden ratio; the cumulative targets map the point to a source, and
+    the slot's rank among the source's slots is the block that it takes. A source's blocks cut its shuffled documents,
+    repeated up to three times, into equal numbers of words; slots beyond its last block stay empty. So a source gives as
+    many blocks as it has slots, which the low discrepancy keeps within a few blocks of its target. ``slots`` is by default
+    as many as give blocks of 256 words, or 65,536 if those are more.
+
+    Null text: size 0. Null source: a source of its own, last in order. Rows that repeat a doc_id are documents of their
+    own, one after the other in the shuffle; ``docs`` with row keys (``with_row_key``) give them in a last column. All sizes 0,
+    or no rows: nothing is taken.
+    """
+    taken = _plan(docs if ROW in docs.columns else with_row_key(docs), slots)[1]
+    return taken if ROW in docs.columns else taken.drop(ROW)
 
 
 def _schedule(spark: SparkSession, sources: DataFrame, slots: int) -> DataFrame:
-    """(of, rank, slot): the slots of each source, by a join of points and cumulative weights in 256 strips of the unit interval."""
-    strips = 256
+    """(of, rank, slot): the slots of each source, by a join of points and cumulative weights in 256 strips of the unit
+    interval. Points and borders are whole numbers of 2^-32. Slots are ranked in chunks, so no source's slots meet in one task."""
+    strips, unit = 256, 1 << 32
     upto = Window.orderBy(F.col("source").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, 0)
-    everything = Window.partitionBy(F.lit(0))
-    spans = sources.withColumn("high", F.sum("target").over(upto)).withColumn("sum", F.sum("target").over(everything)).where("target > 0")
-    spans = spans.select(F.col("source").alias("of"), ((F.col("high") - F.col("target")) / F.col("sum")).alias("low"), (F.col("high") / F.col("sum")).alias("high"))
-    strip_of = lambda c: F.least(F.floor(F.col(c) * strips), F.lit(strips - 1))
+    before = Window.orderBy(F.col("source").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
+    spans = sources.where("target > 0").withColumn("sum", F.sum("target").over(Window.partitionBy(F.lit(0))))
+    border = lambda window: F.floor(F.coalesce(F.sum("target").over(window), F.lit(0.0)) / F.col("sum") * float(unit))
+    spans = spans.select(F.col("source").alias("of"), border(before).alias("low"), border(upto).alias("high"))
+    strip_of = lambda c: F.floor(F.col(c) / (unit // strips))
     spans = spans.withColumn("strip", F.explode(F.sequence(strip_of("low"), strip_of("high"))))
-    point = F.pmod(F.col("id") * F.lit(GOLDEN), F.lit(1 << 32)) / float(1 << 32)
+    point = F.pmod(F.pmod("id", F.lit(unit)) * F.lit(GOLDEN - unit), F.lit(unit))
     points = spark.range(slots).select(F.col("id").alias("slot"), point.alias("point")).withColumn("strip", strip_of("point"))
-    drawn = points.join(spans, "strip").where("point >= low and point < high")
-    return drawn.select("of", (F.row_number().over(Window.partitionBy("of").orderBy("slot")) - 1).alias("rank"), "slot")
+    drawn = points.join(spans, "strip").where("point >= low and point < high").select("of", "slot", F.expr(f"slot div {CHUNK}").alias("chunk"))
+    earlier = Window.partitionBy("of").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
+    chunks = drawn.groupBy("of", "chunk").agg(F.count("*").alias("n")).select(F.col("of").alias("_of"), F.col("chunk").alias("_chunk"), F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
+    inside = F.row_number().over(Window.partitionBy("of", "chunk").orderBy("slot")) - 1
+    ranked = drawn.withColumn("inside", inside).join(chunks, F.col("of").eqNullSafe(F.col("_of")) & (F.col("chunk") == F.col("_chunk")))
+    return ranked.select("of", (F.col("before") + F.col("inside")).alias("rank"), "slot")
 
 
 def taken_words(docs: DataFrame) -> DataFrame:
-    """(doc_id, size, source_size, target, taken): words that the mix takes of each document, repeats counted.
-    Rows that repeat a doc_id, source and size are one row, with their words added."""
-    return mix(docs).groupBy("doc_id", "source", "size", "source_size", "target").agg(F.sum("n_words").alias("taken")).drop("source")
+    """(doc_id, size, source_size, target, taken): words that the mix takes of each document, repeats counted; a row for each
+    row of ``docs``, whatever ids repeat. Nulls and empty tables as in ``mix``."""
+    placed, pieces = _plan(with_row_key(docs), None)
+    words = pieces.groupBy(F.col(ROW).alias("_row")).agg(F.sum("n_words").alias("taken"))
+    rows = placed.join(words, F.col(ROW) == F.col("_row"), "left")
+    return rows.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
 
 
 def mixed_documents(docs: DataFrame) -> DataFrame:
-    """The documents of the mix, columns as they come: a row each time that a document is taken whole, and its first words
-    where the mix ends inside it; documents that the mix doesn't take, or that have no words, are left out."""
+    """The documents of the mix in the order of its slots, columns as they come: a row each time that a document is taken
+    whole, and its first words, with the white space between them, where the mix ends inside it. Documents that the mix
+    doesn't take, or that have no words, are left out. Rows that repeat an id, null ids, sources and texts, and empty tables
+    are as in ``mix``."""
     scratch = Scratch(docs.sparkSession, "taken")
     rows = scratch.save(with_row_key(docs), "rows")
-    taken = mix(rows).groupBy(ROW, F.col("size").alias("_size")).agg(F.sum("n_words").alias("_taken")).where("_taken > 0")
+    pieces = mix(rows)
+    taken = pieces.groupBy(ROW, "epoch", F.col("size").alias("_size")).agg(F.min("slot").alias("_slot"), F.sum("n_words").alias("_words"))
     taken = scratch.save(taken, "taken")
-    both = rows.join(sized_broadcast(taken, taken.count(), 40), ROW)
-    words = F.explode(F.concat(F.array_repeat(F.col("_size"), F.expr("int(_taken div _size)")), F.when(F.expr("_taken % _size > 0"), F.array(F.expr("_taken % _size"))).otherwise(F.array().cast("array<bigint>"))))
-    both = both.withColumn("_words", words)
-    head = F.array_join(F.slice(F.regexp_extract_all(F.col("text"), F.lit(WORD), F.lit(0)), F.lit(1), F.col("_words").cast("int")), " ")
-    text = F.when(F.col("_words") == F.col("_size"), F.col("text")).otherwise(head)
-    both = both.withColumn("text", text)
+    both = rows.join(sized_broadcast(taken), ROW)
+    heads = F.regexp_extract_all(F.col("text"), F.lit(f"({SPACE}*{WORD})"), F.lit(1))
+    head = F.array_join(F.slice(heads, F.lit(1), F.col("_words").cast("int")), "")
+    both = both.withColumn("text", F.when(F.col("_words") == F.col("_size"), F.col("text")).otherwise(head))
     if "n_chars" in docs.columns:
         both = both.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return both.select(docs.columns)
+    return both.orderBy("_slot", ROW).select(docs.columns)
