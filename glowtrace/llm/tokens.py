@@ -18,6 +18,8 @@ LIMIT = 2048
 #: Words whose counts a worker remembers, and the longest of them in bytes.
 REMEMBERED, LONGEST = 500_000, 64
 
+#: The pattern by which the vocabulary's own file cuts texts.
+_CUT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: The pre-tokens of lower-case text in the alphabets below U+0250, as the vocabulary's own file cuts them.
 _PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\w\s]|_)+")
 #: Words with other characters than these are left to the library whole.
@@ -39,12 +41,26 @@ def _tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
+def _checked(path: str) -> dict:
+    """The vocabulary of a file that cuts and spells texts as ``_PIECE`` and the word ends here assume; others are refused."""
+    file = json.load(open(path, encoding="utf-8"))
+    model = file.get("model", {})
+    normal = [n.get("type") for n in (file.get("normalizer") or {}).get("normalizers", [])]
+    splits = (file.get("pre_tokenizer") or {}).get("pretokenizers", [{}])
+    cut = (splits[0].get("pattern") or {}).get("Regex")
+    special = sorted(t.get("content") for t in file.get("added_tokens", []))
+    same = normal == ["NFC", "Replace", "Lowercase"] and cut == _CUT and special == ["<|endoftext|>", "<|startoftext|>"]
+    if not same or model.get("type") != "BPE" or model.get("end_of_word_suffix") != "</w>":
+        raise ValueError(f"{path} cuts texts in another way than this counter knows")
+    return model["vocab"]
+
+
 def prove_whole_tokens(path: str) -> frozenset[str]:
     """The vocabulary's word-ending strings that, as the only pre-token of a text, the library encodes as one token.
 
     The proof tries each string once. It holds for any text, as pre-tokens are encoded one by one."""
     tokenizer = _tokenizer(path)
-    vocabulary = json.load(open(path, encoding="utf-8"))["model"]["vocab"]
+    vocabulary = _checked(path)
     words = [w.removesuffix("</w>") for w in vocabulary if w.endswith("</w>")]
     # The vocabulary spells bytes as printable characters; strings of plain ASCII spell themselves.
     words = [w for w in words if w.isascii() and w == w.lower() and _PIECE.findall(w) == [w]]
@@ -108,7 +124,9 @@ def token_count(text: Column, df: DataFrame, path: str | None = None) -> Column:
 
 
 def document_tokens(docs: DataFrame, path: str | None = None, limit: int = LIMIT) -> DataFrame:
-    """(doc_id, n_bytes, n_tokens, over_limit) for documents (doc_id, text), rows as they come; null text has 0 of each."""
+    """(doc_id, n_bytes, n_tokens, over_limit) for documents (doc_id, text), rows as they come; null or empty text has 0 of
+    each, null and repeated ids are kept as they are. A vocabulary file of another kind raises ValueError. Empty table: empty
+    result."""
     small_batches(docs.sparkSession)
     counted = docs.select("doc_id", F.coalesce(F.octet_length(F.col("text").cast("string")), F.lit(0)).cast("long").alias("n_bytes"), token_count(F.col("text"), docs, path).alias("n_tokens"))
     return counted.withColumn("over_limit", F.col("n_tokens") > limit)
