@@ -38,8 +38,10 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 CONTAINERS = frozenset("html body main article section div center table tbody tr td blockquote figure details dl ol ul".split())
 BLOCKS = CONTAINERS | HEADINGS | frozenset(
-    "address aside caption dd dt fieldset figcaption footer form header hgroup hr legend li nav p pre summary tfoot th thead".split()
+    "address aside caption dd dialog dt fieldset figcaption footer form header hgroup hr legend li menu nav p pre summary tfoot th thead".split()
 )
+#: Blocks that belong to the content node next to them, however short they are.
+ITEMS = frozenset("li dt dd td th caption figcaption pre blockquote".split())
 #: Containers that are parts of an article, never all of it.
 PARTS = frozenset("ul ol dl menu table blockquote figure".split())
 #: What an opening tag closes first, up to the nearest of the second set.
@@ -63,7 +65,8 @@ OUTSIDE_ROLES = frozenset("alert alertdialog banner complementary contentinfo di
 
 @dataclass
 class Node:
-    """An open or closed element that can hold blocks."""
+    """An open or closed element. ``block`` is the nearest one that breaks lines; ``side`` the outermost element inside that
+    one, if any, that is marked as no article or named so: its text is told apart from the block's."""
 
     tag: str
     up: Node | None
@@ -73,6 +76,14 @@ class Node:
     names: frozenset[str] = frozenset()
     chain: tuple[int, ...] = ()
     text: list[str] = field(default_factory=list)
+    block: Node = field(init=False)
+    side: Node | None = field(init=False)
+
+    def __post_init__(self) -> None:
+        own = self.tag in BLOCKS or self.up is None
+        self.block = self if own else self.up.block
+        marked = not own and (bool(self.names) or (self.outside and not self.up.outside))
+        self.side = None if own else self.up.side or (self if marked else None)
 
 
 def _node(tag: str, attrs: str, up: Node) -> Node:
@@ -96,26 +107,43 @@ def blocks(page: str) -> tuple[list[Node], list[tuple[Node, str]]]:
     nodes, stack, found = [root], [root], []
     root.chain = (0,)
     run: list[str] = []
+    sides: list[Node] = []
     owner = root
 
-    def flush() -> None:
-        text = _SPACE.sub(" ", html.unescape("".join(run))).strip(" ")
+    def keep(owner: Node, parts: list[str]) -> None:
+        text = _SPACE.sub(" ", html.unescape("".join(parts))).strip(" ")
         if text:
             found.append((owner, text))
-        run.clear()
+        parts.clear()
+
+    def flush() -> None:
+        keep(owner, run)
+        for side in sides:
+            keep(side, side.text)
+        sides.clear()
+
+    def say(text: str) -> None:
+        nonlocal owner
+        side = stack[-1].side
+        if side is not None:
+            if not side.text:
+                sides.append(side)
+            side.text.append(text)
+            return
+        if not run:
+            owner = stack[-1].block
+        run.append(text)
 
     at = 0
     for m in _TOKEN.finditer(page):
         if m.start() > at:
-            if not run:
-                owner = next(n for n in reversed(stack) if n.tag in BLOCKS or n.up is None)
-            run.append(page[at : m.start()])
+            say(page[at : m.start()])
         at = m.end()
         tag = (m["tag"] or "").lower()
         if not tag:
             continue
         if tag == "br":
-            run.append(" ") if run else None
+            say(" ") if run or stack[-1].side else None
             continue
         if tag in BLOCKS:
             flush()
@@ -140,9 +168,7 @@ def blocks(page: str) -> tuple[list[Node], list[tuple[Node, str]]]:
         node.chain = (*up.chain, len(nodes))
         nodes.append(node)
         stack.append(node)
-    if not run:
-        owner = next(n for n in reversed(stack) if n.tag in BLOCKS or n.up is None)
-    run.append(page[at:])
+    say(page[at:])
     flush()
     return nodes, found
 
@@ -227,8 +253,23 @@ def container(nodes: list[Node], content: list[tuple[Node, str]]) -> int:
     return at
 
 
+def selected(inside: list[tuple[Node, str]], chosen: set[str]) -> list[tuple[Node, str]]:
+    """The content nodes of a container, those on content paths, with what stands between the first and the last of them, the
+    headings and items before and the items after."""
+    at = [i for i, (n, _) in enumerate(inside) if n.path in chosen]
+    if not at:
+        return inside
+    first, last = at[0], at[-1]
+    while first and inside[first - 1][0].tag in HEADINGS | ITEMS:
+        first -= 1
+    while last + 1 < len(inside) and inside[last + 1][0].tag in ITEMS:
+        last += 1
+    return inside[first : last + 1]
+
+
 def main_text(page: str | None) -> str:
-    """The article's blocks, one a line; empty if there is none."""
+    """The article's blocks, one a line; empty if there is none. An element that the page itself marks as article or main is
+    taken whole; else the content nodes are, by their paths."""
     nodes, found = blocks(page or "")
     candidates = article_candidates(nodes, found)
     if not candidates:
@@ -236,6 +277,8 @@ def main_text(page: str | None) -> str:
     chosen = content_paths(candidates)
     at = container(nodes, [(n, t) for n, t in candidates if n.path in chosen])
     inside = [(n, t) for n, t in candidates if at in n.chain and not (n.tag != "h1" and "/header" in n.path and n.tag not in HEADINGS)]
+    if not any(nodes[i].tag in ("article", "main") for i in nodes[at].chain):
+        inside = selected(inside, chosen)
     titles = [x for x in candidates if x[0].tag == "h1" and at not in x[0].chain]
     if len(titles) == 1 and not any(n.tag == "h1" for n, _ in inside):
         inside = titles + inside
@@ -255,9 +298,9 @@ def page_texts(pages: DataFrame) -> DataFrame:
 
     Elements are read once into blocks of text with their root-to-leaf tag paths; menus, headers, footers, sidebars,
     notices, adverts, forms, comments, scripts and styles are known by element, class, id or role, of which a name counts
-    only where ``article_candidates`` lets it. Content paths among the
-    rest, by their ratios, show the container of the article, of which all blocks are returned whole. Null or empty html,
-    or a page without text: empty text.
+    only where ``article_candidates`` lets it, inside a line as well. The fused ratios of the rest's paths, thresholded, give
+    the content nodes and their container. Null or empty html, or a page without text: empty text. Null or repeated ids and
+    urls are returned as they are. Empty table: empty result.
     """
     small_batches(pages.sparkSession)
     found = pages.select("page_id", "url", extracted(F.col("html")).alias("text"))
