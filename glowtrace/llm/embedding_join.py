@@ -7,10 +7,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from glowtrace.llm.common import Scratch, small_batches
+from glowtrace.llm.common import ROW, Scratch, join_groups, small_batches, with_row_key
 from glowtrace.llm.components import connected_components
 
 #: Components of a cell's core and of its reach that are joined in one task, by the length of a vector; rows and columns of a
@@ -104,67 +104,69 @@ def similar_vectors(vectors: DataFrame, least: float = 0.95) -> DataFrame:
     Two vectors are linked if their cosine in double precision is at least ``least``. On unit vectors that is a range join
     at Euclidean distance sqrt(2 - 2 least): pivots cut space into cells, a vector is replicated into the cells within that
     distance of it, and each block of a cell's core is joined with each tile of all that its cell holds, so links count once
-    for each end and no task holds more than a block and a tile. The join is exact whatever the pivots are. Vectors without clusters in many dimensions lie near most cells: then
-    nearly all cells get nearly all vectors, as in any exact method.
+    for each end and no task holds more than a block and a tile. The join is exact whatever the pivots are. Vectors without
+    clusters in many dimensions lie near most cells: then nearly all cells get nearly all vectors, as in any exact method.
 
     Null, empty or zero vectors, and those with null or non-finite components, link with nothing; so do vectors of other
-    lengths than the partner's. Null vec_id: its own row with 0 links, component null, kept. Repeated vec_id: one row, the
-    least of its vectors stands for it. Empty table: empty result.
+    lengths than the partner's. Rows that repeat a vec_id, or have none, are vectors of their own, with links to each other
+    too. A component's id is its smallest vec_id, null only if all are null; kept is true where the row's id is that one, null
+    for null included. Single-precision vectors travel as such and are compared in double precision. Empty table: empty result.
     """
     spark = vectors.sparkSession
     small_batches(spark)
     scratch = Scratch(spark, "cosine")
-    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("vec"))
-    named = rows.where("vec_id is not null").groupBy("vec_id").agg(F.min("vec").alias("vec"))
+    kind = "float" if dict(vectors.dtypes)["embedding"] == "array<float>" else "double"
+    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast(f"array<{kind}>").alias("vec"))
     finite = F.forall("vec", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     sound = F.coalesce(finite & F.exists("vec", lambda x: x != 0), F.lit(False))
-    named = scratch.save(named.select("vec_id", F.when(sound, F.col("vec")).alias("vec")), "vectors")
-    usable = named.where("vec is not null").withColumn("dim", F.size("vec"))
+    named = scratch.save(with_row_key(rows.select("vec_id", F.when(sound, F.col("vec")).alias("vec"))), "vectors")
+    usable = named.where("vec is not null").select(F.col(ROW).alias("id"), F.size("vec").alias("dim"), "vec")
 
-    sizes = {r["dim"]: r["n"] for r in usable.groupBy("dim").agg(F.count("*").alias("n")).collect()}
+    sizes = {r["dim"]: r["n"] for r in usable.groupBy("dim").agg(F.count("*").alias("n")).collect()}  # a row a length
     radius = math.sqrt(max(0.0, 2 - 2 * least)) + 1e-7
-    found = None
-    for dim, n in sorted(sizes.items()):
-        one = usable.where(F.col("dim") == dim).select("vec_id", "vec")
-        core, tile = max(1, CORE_VALUES // dim), max(1, TILE_VALUES // dim)
-        sample = one.orderBy(F.xxhash64("vec_id"), "vec_id").limit(PIVOT_SAMPLE).collect() if n > core else one.limit(1).collect()
-        points = np.array([r["vec"] for r in sample])
-        pivots = _pivots(_unit(points), min(MOST_PIVOTS, -(-n // core)))
-        joined = _range_join(one, pivots, radius, least, core, tile, scratch)
-        found = joined if found is None else found.union(joined)
-    if found is None:
-        found = spark.createDataFrame([], "id long, n long, root long")
-    found = scratch.save(found, "found")
+    # A bounded sample of the vectors of each length that needs several pivots, one vector of the others.
+    wide = [dim for dim, n in sizes.items() if n > _core_rows(dim)]
+    order = F.row_number().over(Window.partitionBy("dim").orderBy(F.xxhash64("id"), "id"))
+    sample = usable.withColumn("rank", order).where((F.col("rank") == 1) | ((F.col("rank") <= PIVOT_SAMPLE) & F.col("dim").isin(wide)))
+    points: dict[int, list] = {}
+    for r in sample.select("dim", "vec").collect():
+        points.setdefault(r["dim"], []).append(r["vec"])
+    pivots = {dim: _pivots(_unit(np.array(p, np.float64)), min(MOST_PIVOTS, -(-sizes[dim] // _core_rows(dim)))) for dim, p in points.items()}
+    found = scratch.save(_range_join(usable, kind, pivots, radius, least, scratch), "found")
     links = connected_components(found.where("root is not null").select(F.col("id").alias("u"), F.col("root").alias("v")), scratch)
     counts = found.where("n is not null").groupBy("id").agg(F.sum("n").alias("n"))
-    out = named.select(F.col("vec_id").alias("id")).join(counts, "id", "left").join(links, "id", "left")
-    component = F.coalesce("component", "id")
-    out = out.select(F.col("id").alias("vec_id"), F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), (component == F.col("id")).alias("kept"))
-    nameless = rows.where("vec_id is null").select("vec_id", F.lit(0).cast("long"), F.lit(None).cast("long"), F.lit(True))
-    return out.union(nameless)
+    out = named.select("vec_id", F.col(ROW).alias("id")).join(counts, "id", "left").join(links, "id", "left")
+    out = scratch.save(out.select("id", "vec_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component", "id").alias("root")), "rows")
+    # The smallest id of each component: its root is only the key of a row.
+    roots = scratch.save(out.groupBy("root").agg(F.min("vec_id").alias("least"), F.count("*").alias("size")).where("size > 1"), "roots")
+    component = F.coalesce("least", "vec_id")
+    return join_groups(out, roots, ["root"], ["id"]).select("vec_id", "n_links", component.alias("component_id"), component.eqNullSafe(F.col("vec_id")).alias("kept"))
 
 
-def _range_join(vectors: DataFrame, pivots: np.ndarray, radius: float, least: float, core_rows: int, tile_rows: int, scratch: Scratch) -> DataFrame:
-    """(id, n, root) of all cells; ``pivots`` are at most MOST_PIVOTS vectors."""
+def _core_rows(dim: int) -> int:
+    return max(1, CORE_VALUES // dim)
+
+
+def _range_join(vectors: DataFrame, kind: str, pivots: dict[int, np.ndarray], radius: float, least: float, scratch: Scratch) -> DataFrame:
+    """(id, n, root) of all cells; ``pivots`` are at most MOST_PIVOTS vectors of each length."""
 
     def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            if not len(batch):
-                continue
-            own, reach = cells_of(_unit(np.stack(batch["vec"].to_numpy())), pivots, radius)
-            yield pd.DataFrame({"id": batch["vec_id"], "vec": batch["vec"], "own": own.astype(np.int32), "cells": [np.flatnonzero(r).astype(np.int32) for r in reach]})
-
-    placed = scratch.save(vectors.mapInPandas(assign, "id long, vec array<double>, own int, cells array<int>"), "placed")
-    reach = placed.select("own", F.explode("cells").alias("cell")).groupBy("cell").agg(F.count("*").alias("n"), F.count_if(F.col("own") == F.col("cell")).alias("cores"))
-    counted = {r["cell"]: (r["n"], r["cores"]) for r in reach.collect() if r["cores"]}  # a row a pivot
-    parts_of = F.create_map(*[F.lit(x) for cell, (_, cores) in sorted(counted.items()) for x in (cell, -(-cores // core_rows))])
-    tiles_of = F.create_map(*[F.lit(x) for cell, (n, _) in sorted(counted.items()) for x in (cell, -(-n // tile_rows))])
-    cells = placed.select("id", "vec", "own", F.explode("cells").alias("cell")).withColumn("parts", parts_of[F.col("cell")]).withColumn("tiles", tiles_of[F.col("cell")]).where("parts is not null")
+            for dim, part in batch.groupby("dim"):
+                own, reach = cells_of(_unit(np.stack(part["vec"].to_numpy()).astype(np.float64)), pivots[dim], radius)
+                yield pd.DataFrame({"id": part["id"], "dim": dim, "vec": part["vec"], "own": own.astype(np.int32), "cells": [np.flatnonzero(r).astype(np.int32) for r in reach]})
+
+    placed = scratch.save(vectors.mapInPandas(assign, f"id long, dim int, vec array<{kind}>, own int, cells array<int>"), "placed")
+    reach = placed.select("dim", "own", F.explode("cells").alias("cell")).groupBy("dim", "cell").agg(F.count("*").alias("n"), F.count_if(F.col("own") == F.col("cell")).alias("cores"))
+    most = lambda values: F.greatest(F.lit(1), F.expr(f"{values} div dim"))
+    parts = reach.where("cores > 0").select("dim", "cell", F.ceil(F.col("cores") / most(CORE_VALUES)).cast("int").alias("parts"), F.ceil(F.col("n") / most(TILE_VALUES)).cast("int").alias("tiles"))
+    # A row a pivot.
+    cells = placed.select("id", "dim", "vec", "own", F.explode("cells").alias("cell")).join(F.broadcast(parts), ["dim", "cell"])
     dealt = lambda seed, n: F.pmod(F.xxhash64("id", F.lit(seed)), F.col(n)).cast("int")
-    tile = cells.select("cell", F.explode(F.expr("sequence(0, parts - 1)")).alias("part"), dealt(1, "tiles").alias("tile"), "id", "vec", F.lit(False).alias("core"))
-    core = cells.where("own = cell").select("cell", dealt(2, "parts").alias("part"), F.explode(F.expr("sequence(0, tiles - 1)")).alias("tile"), "id", "vec", F.lit(True).alias("core"))
+    tile = cells.select("dim", "cell", F.explode(F.expr("sequence(0, parts - 1)")).alias("part"), dealt(1, "tiles").alias("tile"), "id", "vec", F.lit(False).alias("core"))
+    core = cells.where("own = cell").select("dim", "cell", dealt(2, "parts").alias("part"), F.explode(F.expr("sequence(0, tiles - 1)")).alias("tile"), "id", "vec", F.lit(True).alias("core"))
 
     def joined(cell: pd.DataFrame) -> pd.DataFrame:
         return join_core(cell, least)
 
-    return tile.union(core).groupBy("cell", "part", "tile").applyInPandas(joined, "id long, n long, root long")
+    return tile.union(core).groupBy("dim", "cell", "part", "tile").applyInPandas(joined, "id long, n long, root long")
