@@ -11,25 +11,32 @@ from glowtrace.llm.common import Scratch, table
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a language that the labelled ones teach; those without text or letters, or far from all, go."""
+    """Documents in a language that the labelled ones teach; those without text or letters, or far from all, go. Rows that
+    repeat an id, or have none, are judged each; without labelled rows, or rows, nothing is kept."""
     return langid.keep_identified(docs)
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row of each group of texts that are equal but for white space: the longest, then the smallest id, a null one last.
+    Rows, not ids, are dropped. Empty table: empty result."""
     return exact_dedup.drop_exact_duplicates(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row of each group that links of similar texts join: that of the smallest id, a null one last. Rows, not ids, are
+    dropped; rows without words stay. Empty table: empty result."""
     return minhash.drop_near_duplicates(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them."""
+    """Documents as often as the mix takes them, in the order of its slots; a null source is one of its own, rows that repeat
+    an id are documents of their own, and those without words go. Empty table: empty result."""
     return mixing.mixed_documents(docs)
 
 
 def pack_bins(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """(shard, bin, words, doc_ids, pieces): no bin holds a document, or a copy of its text, twice."""
+    """(shard, bin, words, doc_ids, pieces): no bin holds a document, or a copy of its text, twice. Null ids conflict with
+    nothing. Empty table: empty result."""
     return packing.packed_bins(docs)
 
 

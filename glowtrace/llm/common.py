@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -12,8 +13,8 @@ from pyspark.sql import functions as F
 SPACE = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
 
-#: A table is broadcast only if its counted rows times its row width stay below this.
-BROADCAST_BYTES = 48 << 20
+#: A written table is broadcast only if its measured size in memory stays below this.
+BROADCAST_BYTES = 24 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -65,22 +66,23 @@ class Scratch:
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def sized_broadcast(df: DataFrame, rows: int, row_bytes: int) -> DataFrame:
-    """``df`` with a broadcast hint if its counted size is small; else as it is, for a shuffled join."""
-    return F.broadcast(df) if rows * row_bytes <= BROADCAST_BYTES else df
-
-
 #: Rows of one key that a task of a shuffled join gets.
 SALTED = 1000
 
 
 def table_bytes(df: DataFrame) -> int:
-    """A written table's size in memory: 32 bytes a value, and the bytes of its strings and binaries."""
+    """A written table's size in memory: 32 bytes a value, and the bytes of its strings, binaries and arrays of numbers."""
     long = [F.sum(F.octet_length(c)) for c, kind in df.dtypes if kind in ("string", "binary")]
+    long += [F.sum(8 * F.greatest(F.size(c), F.lit(0)).cast("long")) for c, kind in df.dtypes if kind in ("array<bigint>", "array<double>")]
     got = df.agg(F.count("*") * (32 * len(df.columns)), *long).first()
     return sum(v or 0 for v in got)
 
 
+def sized_broadcast(df: DataFrame) -> DataFrame:
+    """A written table with a broadcast hint if its measured size is small; else as it is, for a shuffled join."""
+    return F.broadcast(df) if table_bytes(df) <= BROADCAST_BYTES else df
+
+
 def join_groups(rows: DataFrame, groups: DataFrame, on: list[str], spread: list[str]) -> DataFrame:
     """``rows`` left-joined to ``groups``, a written table with one row a key and the key's count of rows in ``size``.
 
@@ -96,11 +98,31 @@ def join_groups(rows: DataFrame, groups: DataFrame, on: list[str], spread: list[
     return rows.join(groups.withColumn("_salt", F.explode(F.sequence(F.lit(0), salts - 1))), [*on, "_salt"], "left").drop("_salt")
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Texts can be long: fewer rows in an Arrow batch keep a Python worker's memory bounded."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(name)) > rows:
-        spark.conf.set(name, str(rows))
+def spread_join(rows: DataFrame, table: DataFrame, key: str, spread: str, scratch: Scratch) -> DataFrame:
+    """``rows`` joined to ``table``, which has one row a key. The rows of keys with more than ``SALTED`` of them are spread
+    by a hash of the column ``spread``, and only those keys' rows of ``table`` are repeated for each salt."""
+    hot = rows.groupBy(key).agg(F.ceil(F.count("*") / SALTED).cast("int").alias("_salts")).where("_salts > 1")
+    if hot.isEmpty():
+        return rows.join(table, key)
+    hot = sized_broadcast(scratch.save(hot, "hot"))
+    salts = F.coalesce("_salts", F.lit(1))
+    rows = rows.join(hot, key, "left").withColumn("_salt", F.pmod(F.xxhash64(spread), salts).cast("int")).drop("_salts")
+    table = table.join(hot, key, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("_salts")
+    return rows.join(table, [key, "_salt"]).drop("_salt")
+
+
+#: Rows and bytes of an Arrow batch.
+BATCH_ROWS, BATCH_BYTES = 1000, 16 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Texts can be long: fewer rows and bytes in an Arrow batch keep a Python worker's memory bounded. Spark has only the
+    session's settings for that, so they are lowered there, and stay so."""
+    for name, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        name = f"spark.sql.execution.arrow.{name}"
+        now = int(re.sub(r"\D.*", "", spark.conf.get(name)) or 0)
+        if not 0 < now <= most:
+            spark.conf.set(name, str(most))
 
 
 #: The inner key of a row: rows that repeat an id are decided, joined and dropped by it.
@@ -112,7 +134,7 @@ def with_row_key(docs: DataFrame) -> DataFrame:
     return docs.withColumn(ROW, F.monotonically_increasing_id())
 
 
-def without_rows_of(docs: DataFrame, dropped: DataFrame, key: str) -> DataFrame:
-    """``docs`` without the rows whose key is in ``dropped`` (one column). Small drop lists are broadcast after a count."""
-    dropped = dropped.select(F.col(key)).distinct()
-    return docs.join(sized_broadcast(dropped, dropped.count(), 40), key, "left_anti").select(docs.columns)
+def without_rows_of(docs: DataFrame, dropped: DataFrame, key: str, scratch: Scratch) -> DataFrame:
+    """``docs`` without the rows whose key is in ``dropped`` (one column). A drop list of a small measured size is broadcast."""
+    dropped = scratch.save(dropped.select(F.col(key)).distinct(), "dropped")
+    return docs.join(sized_broadcast(dropped), key, "left_anti").select(docs.columns)

@@ -23,8 +23,8 @@ def radix_groups(docs: DataFrame, first_digit: int = FIRST_DIGIT, growth: int =
     counted by partial aggregation and joined by broadcast or salts, so a group of any size never meets in one task.
 
     The row with the most code points in the original text, then the smallest doc_id, stays. Null text counts as empty.
-    Null doc_id: sorts before all others and can be the keep_id; kept is then true for the rows that hold it. Rows that
-    repeat the kept doc_id and length are all kept. Empty table: empty result.
+    Null doc_id: sorts after all others, and is the keep_id where a group has no other; kept is then true for the rows that
+    hold it. Rows that repeat the kept doc_id and length are all kept. Empty table: empty result.
 
     ``row`` names a column with a key of each row of a written table. Rows are then known by it too, it is returned as well,
     and one row of each group is kept, the one with the least key among those.
@@ -50,12 +50,12 @@ def radix_groups(docs: DataFrame, first_digit: int = FIRST_DIGIT, growth: int =
     digit = first_digit
     state = scratch.save(split(base, digit, [], []), "round")
     done = [state.where("ended").drop("ended")]
-    names = state.where("not ended").select(*keys_of, "sha", "grp").distinct()
+    names = scratch.save(state.where("not ended").select(*keys_of, "sha", "grp").distinct(), "names")
     n = names.count()
     if n:
         rest = base.withColumn("bytes", F.expr(f"substring(bytes, {digit + 1})"))
         same = reduce(Column.__and__, [rest[k].eqNullSafe(names[k]) for k in keys_of], rest.sha == names.sha)
-        state = scratch.save(rest.join(sized_broadcast(names, n, 160), same).select(*[rest[k] for k in keys_of], rest.sha, "chars", "bytes", "grp"), "open")
+        state = scratch.save(rest.join(sized_broadcast(names), same).select(*[rest[k] for k in keys_of], rest.sha, "chars", "bytes", "grp"), "open")
     while n:
         digit *= growth
         after = scratch.save(split(state, digit, ["grp"], ["bytes"]).withColumn("bytes", F.when(~F.col("ended"), F.expr(f"substring(bytes, {digit + 1})"))), "round")
@@ -68,7 +68,7 @@ def radix_groups(docs: DataFrame, first_digit: int = FIRST_DIGIT, growth: int =
 
     single = rows.where("size = 1").select(*keys_of, F.col("doc_id").alias("keep_id"), F.col("size").alias("group_size"), F.lit(True).alias("kept"), F.col("sha").alias("text_sha256"))
     many = rows.where("size > 1")
-    best = many.groupBy("grp").agg(F.min(F.struct((-F.col("chars")).alias("less"), F.col("doc_id").alias("keep_id"), *keys_of[1:])).alias("best"), F.count("*").alias("size"))
+    best = many.groupBy("grp").agg(F.min(F.struct((-F.col("chars")).alias("less"), F.col("doc_id").isNull().alias("nameless"), F.col("doc_id").alias("keep_id"), *keys_of[1:])).alias("best"), F.count("*").alias("size"))
     kept = F.col("doc_id").eqNullSafe(F.col("best.keep_id")) & (-F.col("chars") == F.col("best.less"))
     for k in keys_of[1:]:
         kept = kept & (F.col(k) == F.col(f"best.{k}"))
@@ -78,6 +78,9 @@ def radix_groups(docs: DataFrame, first_digit: int = FIRST_DIGIT, growth: int =
 
 
 def drop_exact_duplicates(docs: DataFrame) -> DataFrame:
-    """``docs`` with one row of each group of equal texts, whatever ids repeat; columns as they come."""
-    rows = Scratch(docs.sparkSession, "exact").save(with_row_key(docs), "rows")
-    return without_rows_of(rows, radix_groups(rows, row=ROW).where("not kept").select(ROW), ROW).select(docs.columns)
+    """``docs`` with one row of each group of equal texts, the longest original, then the smallest doc_id (null last);
+    columns as they come. Null and empty texts are one group. Rows that repeat an id, or have none, are decided one by one.
+    Empty table: empty result."""
+    scratch = Scratch(docs.sparkSession, "exact")
+    rows = scratch.save(with_row_key(docs), "rows")
+    return without_rows_of(rows, radix_groups(rows, row=ROW).where("not kept").select(ROW), ROW, scratch).select(docs.columns)

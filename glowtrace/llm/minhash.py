@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glowtrace.llm.common import ROW, Scratch, join_groups, sized_broadcast, small_batches, with_row_key, without_rows_of
+from glowtrace.llm.common import ROW, SALTED, Scratch, join_groups, sized_broadcast, small_batches, spread_join, with_row_key, without_rows_of
 from glowtrace.llm.components import connected_components
 
 #: Signature coordinates = BANDS * ROWS. A pair at 0.75 shares no band with a chance of (1 - 0.75^4)^40, below 3e-7.
@@ -20,6 +20,8 @@ BANDS, ROWS = 40, 4
 DOMAIN = 1 << 20
 #: 64-bit words of the masks that bound a pair's intersection.
 MASKS = 16
+#: Pairs of members of bands that are looked at in one step.
+FEW_PAIRS = 20_000_000
 SEED = 20240229
 
 
@@ -98,10 +100,11 @@ def _sets(docs: DataFrame, width: int) -> DataFrame:
     return docs.mapInPandas(sets, "set_key binary, codes array<long>")
 
 
-def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """(x, y, shared, joined): sizes of intersection and union, for pairs (x, y)."""
+def _verified(pairs: DataFrame, sets: DataFrame, scratch: Scratch) -> DataFrame:
+    """(x, y, shared, joined): sizes of intersection and union, for a written table of pairs (x, y). The pairs of a document
+    with many partners are spread, and its set is sent to each of their tasks."""
     of = lambda n: sets.select(F.col(ROW).alias(n), F.col("codes").alias(f"{n}_codes"))
-    both = pairs.join(of("x"), "x").join(of("y"), "y")
+    both = spread_join(spread_join(pairs, of("y"), "y", "x", scratch), of("x"), "x", "y", scratch)
     shared = F.size(F.array_intersect("x_codes", "y_codes")).cast("long")
     return both.select("x", "y", shared.alias("shared"), (F.size("x_codes") + F.size("y_codes")).cast("long").alias("sizes")).select(
         "x", "y", "shared", (F.col("sizes") - F.col("shared")).alias("joined")
@@ -109,6 +112,7 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def _with_component(df: DataFrame, key: str, components: DataFrame, name: str) -> DataFrame:
+    """``df`` with the component of its column ``key``, whose values are all but distinct."""
     of = components.select(F.col("id").alias(key), F.col("component").alias("_c"))
     return df.join(of, key, "left").withColumn(name, F.coalesce("_c", key)).drop("_c")
 
@@ -122,9 +126,9 @@ def near_duplicates(docs: DataFrame, similarity: int = 75, width: int = 5, bands
     components only where components still differ, so a band of any size costs about one comparison a member and no link
     that could join two components stays unchecked.
 
-    Null or empty text: no shingles, own component. Null doc_id: linked with nothing, component null, kept. Repeated
-    doc_id: each row is a document of its own with its own links and component, and one row of a component is kept. Empty
-    table: empty result.
+    Null or empty text: no shingles, own component. Rows that repeat a doc_id, or have none, are documents of their own with
+    their own links and component; one row of a component is kept, a null doc_id last. Only where all of a component are
+    null is its id null. Empty table: empty result.
     """
     return _near_rows(docs, similarity, width, bands, rows).drop(ROW)
 
@@ -137,84 +141,100 @@ def _near_rows(docs: DataFrame, similarity: int = 75, width: int = 5, bands: int
     docs = docs if ROW in docs.columns else with_row_key(docs)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), ROW, F.col("text").cast("string").alias("text"))
     sketches = scratch.save(_sketches(docs, width, bands, rows), "sketches")
-    usable = sketches.where("doc_id is not null and set_key is not null")
+    usable = sketches.where("set_key is not null")
 
     # Equal sets: one representative row.
     same = scratch.save(usable.groupBy("set_key").agg(F.min(ROW).alias("rep"), F.count("*").alias("size")).where("size > 1"), "same")
     copies = join_groups(usable.select("set_key", ROW), same, ["set_key"], [ROW]).where(F.col(ROW) != F.col("rep")).select(F.col(ROW).alias("u"), F.col("rep").alias("v"))
     copies = scratch.save(copies, "copies")
-    reps = usable.join(copies.select(F.col("u").alias(ROW)), ROW, "left_anti")
+    reps = usable.join(sized_broadcast(copies).select(F.col("u").alias(ROW)), ROW, "left_anti")
 
     # Bands with at least two representatives; c is the one with the least key.
     member = reps.select(F.col(ROW).alias("x"), F.explode("bands").alias("band"))
     shared = member.groupBy("band").agg(F.min("x").alias("c"), F.max("x").alias("last"), F.count("*").alias("size")).where("c < last").select("band", "c", "size")
-    members = scratch.save(join_groups(member, scratch.save(shared, "shared"), ["band"], ["x"]).where("c is not null").select("band", "x", "c").distinct(), "members")
+    shared = scratch.save(shared, "shared")
+    members = scratch.save(join_groups(member, shared, ["band"], ["x"]).where("c is not null").select("band", "x", "c").distinct(), "members")
 
     # Sets of the members, found by id and named by their key: ids can repeat, and keys of rows hold for ``sketches`` only.
-    ids = members.select(F.col("x").alias(ROW)).distinct()
-    chosen = scratch.save(reps.select(ROW, "doc_id", "set_key").join(sized_broadcast(ids, ids.count(), 24), ROW, "left_semi"), "chosen")
-    n = chosen.count()
-    picked = docs.join(sized_broadcast(chosen.select("doc_id").distinct(), n, 24), "doc_id", "left_semi")
-    sets = _sets(picked.drop(ROW), width).join(sized_broadcast(chosen.select("set_key", ROW), n, 56), "set_key")
+    named = F.coalesce("doc_id", F.lit(-(1 << 63)))
+    ids = scratch.save(members.select(F.col("x").alias(ROW)).distinct(), "ids")
+    chosen = scratch.save(reps.select(ROW, named.alias("_id"), "set_key").join(sized_broadcast(ids), ROW, "left_semi"), "chosen")
+    found_by = scratch.save(chosen.select("_id").distinct(), "found_by")
+    picked = docs.select(named.alias("_id"), "text").join(sized_broadcast(found_by), "_id", "left_semi")
+    sets = _sets(picked, width).join(sized_broadcast(chosen.select("set_key", ROW)), "set_key")
     sets = scratch.save(sets.groupBy(ROW).agg(F.max("codes").alias("codes")), "sets")
 
     def confirm(pairs: DataFrame, tag: str) -> DataFrame:
-        return scratch.save(_verified(pairs, sets), tag)
+        return scratch.save(_verified(scratch.save(pairs, f"{tag}_pairs"), sets, scratch), tag)
 
-    def components(*checked: DataFrame) -> DataFrame:
-        links = None
-        for table in checked:
-            found = table.where(F.col("shared") * 100 >= F.col("joined") * similarity).select(F.col("x").alias("u"), F.col("y").alias("v"))
-            links = found if links is None else links.union(found)
-        return connected_components(links, scratch)
+    def linked(checked: DataFrame) -> DataFrame:
+        return checked.where(F.col("shared") * 100 >= F.col("joined") * similarity).select(F.col("x").alias("u"), F.col("y").alias("v"))
+
+    def grown(found: DataFrame, checked: DataFrame) -> DataFrame:
+        """The components with the links among newly checked pairs."""
+        links = linked(checked)
+        return found if links.isEmpty() else connected_components(links.union(found), scratch)
+
+    def by_component(found: DataFrame) -> DataFrame:
+        """members (band, x) of the bands whose members are in several components, with their own component (cx), that of
+        the band's first member (cc), and the band's size."""
+        own = scratch.save(_with_component(members.select("band", "x"), "x", found, "cx"), "own")
+        mixed = own.groupBy("band").agg(F.min("cx").alias("lo"), F.max("cx").alias("hi")).where("lo < hi").select("band")
+        mixed = scratch.save(_with_component(shared.join(mixed, "band"), "c", found, "cc"), "mixed")
+        return join_groups(own, mixed, ["band"], ["x"]).where("cc is not null")
 
     # 1: each document with the smallest first member of its bands.
-    stars = members.where("x <> c")
-    first = confirm(stars.groupBy("x").agg(F.min("c").alias("y")), "first")
-    found = components(first)
+    first = confirm(members.where("x <> c").groupBy("x").agg(F.min("c").alias("y")), "first")
+    found = connected_components(linked(first), scratch)
 
     # 2: with the other first members, where components differ.
-    open_stars = _with_component(_with_component(stars.select("x", F.col("c").alias("y")).distinct(), "x", found, "cx"), "y", found, "cy").where("cx <> cy")
-    second = confirm(open_stars.select("x", "y").join(first, ["x", "y"], "left_anti"), "second")
-    found = components(first, second)
+    stars = by_component(found).where("x <> c and cx <> cc").select("x", F.col("c").alias("y")).distinct()
+    second = confirm(stars.join(first, ["x", "y"], "left_anti"), "second")
+    found = grown(found, second)
     checked = first.union(second)
 
     # 3: members of a band that are still apart, in two blocks. Only shingles that also occur in another component can be
     # shared by a new link, and a mask of them (a bit that only one of two sets has is a shingle that the other lacks) bounds
-    # the similarity from above. Each pair is looked at in the first band it shares.
+    # the similarity from above. Each pair is looked at in the first band it shares, and a large band's pairs are dealt to
+    # tasks by a hash of their first document. Where the bands hold few pairs, both blocks are one.
     slots, done = 64, 0
-    for upto in (4, slots):
-        state = _with_component(_with_component(members, "x", found, "cx"), "c", found, "cc")
-        mixed = state.groupBy("band").agg(F.min("cx").alias("lo"), F.max("cx").alias("hi")).where("lo < hi").select("band")
-        state = state.join(mixed, "band", "left_semi")
+    while done < slots:
+        state = scratch.save(by_component(found).select("band", "x", "cx", "cc", F.ceil(F.col("size") / SALTED).cast("int").alias("salts")), "state")
+        if state.isEmpty():
+            break
         apart = scratch.save(state.groupBy("x", "cx").agg(F.array_sort(F.collect_set("band")).alias("at")), "apart")
         codes = apart.join(sets.withColumnRenamed(ROW, "x"), "x").select("x", "cx", F.size("codes").alias("n"), F.explode("codes").alias("code"))
-        across = codes.groupBy("code").agg(F.min("cx").alias("lo"), F.max("cx").alias("hi")).where("lo < hi").select("code")
+        across = codes.groupBy("code").agg(F.min("cx").alias("lo"), F.max("cx").alias("hi"), F.count("*").alias("size")).where("lo < hi").select("code", "size")
+        common = join_groups(codes, scratch.save(across, "across"), ["code"], ["x"]).where("size is not null")
         bit, word = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod("code", F.lit(64)).cast("int")), F.pmod(F.shiftright("code", 6), F.lit(MASKS))
         masks = [F.bit_or(F.when(word == k, bit).otherwise(F.lit(0).cast("long"))).alias(f"mask{k}") for k in range(MASKS)]
-        common = codes.join(across, "code").groupBy("x").agg(F.max("n").alias("n"), F.count("*").alias("m"), *masks)
-        able = apart.join(common, "x").where(F.col("m") * 100 >= F.col("n") * similarity)
-        able = scratch.save(able.withColumn("band", F.explode("at")), "able")
-        main = scratch.save(state.groupBy("band").agg(F.min("cc").alias("cc")), "main")
-        own = [k for k in able.columns if k != "band"]
-        a = able.join(main, "band").where("cx <> cc").select("band", *[F.col(k).alias(f"{k}_a") for k in own])
+        common = common.groupBy("x").agg(F.max("n").alias("n"), F.count("*").alias("m"), *masks)
+        able = scratch.save(apart.join(common, "x").where(F.col("m") * 100 >= F.col("n") * similarity), "able")
+        at = state.select("band", "x", "cc", "salts").join(able, "x")
+        at = scratch.save(at, "at")
+        own = [k for k in able.columns if k not in ("band", "cc", "salts")]
+        sizes = at.groupBy("band").agg(F.count("*").alias("all"), F.count_if(F.expr("cx <> cc")).alias("apart"))
+        few = (sizes.agg(F.sum(F.col("all") * F.col("apart"))).first()[0] or 0) <= FEW_PAIRS
+        upto = slots if few or done else 4
         slot = F.pmod(F.xxhash64("x"), F.lit(slots))
-        b = able.where((slot >= done) & (slot < upto)).select("band", *[F.col(k).alias(f"{k}_b") for k in own])
+        a = at.where("cx <> cc").select("band", F.pmod(F.xxhash64("x", F.lit(1)), F.col("salts")).cast("int").alias("salt"), *[F.col(k).alias(f"{k}_a") for k in own])
+        b = at.where((slot >= done) & (slot < upto)).select("band", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), *[F.col(k).alias(f"{k}_b") for k in own])
         alone = lambda p, q: sum(F.bit_count(F.col(f"mask{k}_{p}").bitwiseAND(F.bitwise_not(f"mask{k}_{q}"))) for k in range(MASKS))
         need = (F.col("n_a") + F.col("n_b")) * similarity
         possible = (F.least("m_a", "m_b") * (100 + similarity) >= need) & ((F.col("m_a") - alone("a", "b")) * (100 + similarity) >= need) & ((F.col("m_b") - alone("b", "a")) * (100 + similarity) >= need)
         here = F.array_min(F.array_intersect("at_a", "at_b")) == F.col("band")
-        pairs = a.join(b, "band").where((F.col("cx_a") != F.col("cx_b")) & possible & here)
+        pairs = a.join(b, ["band", "salt"]).where((F.col("cx_a") != F.col("cx_b")) & possible & here)
         pairs = pairs.select(F.greatest("x_a", "x_b").alias("x"), F.least("x_a", "x_b").alias("y")).distinct().join(checked, ["x", "y"], "left_anti")
-        checked, done = checked.union(confirm(pairs, "cross")), upto
-        found = components(checked)
+        more = confirm(pairs, "cross")
+        checked, done, found = checked.union(more), upto, grown(found, more)
 
     links = found.select(F.col("id").alias("u"), F.col("component").alias("v"))
-    merged = copies.join(links.withColumnRenamed("u", "rep").withColumnRenamed("v", "root"), F.col("v") == F.col("rep"), "left").select("u", F.coalesce("root", "v").alias("v"))
+    # A representative of very many copies is one key of this join, so its copies are spread.
+    merged = spread_join(copies, _with_component(copies.select("v").distinct(), "v", links.toDF("id", "component"), "root"), "v", "u", scratch).select("u", F.col("root").alias("v"))
     final = links.union(merged).groupBy(F.col("u").alias(ROW)).agg(F.min("v").alias("root"))
     out = sketches.select(ROW, "doc_id", "n_shingles", "set_key").join(final, ROW, "left").withColumn("root", F.coalesce("root", ROW))
     out = scratch.save(out, "rows")
-    first = F.min(F.struct("doc_id", "set_key", ROW)).alias("first")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "set_key", ROW)).alias("first")
     roots = scratch.save(out.groupBy("root").agg(first, F.count("*").alias("size")).where("size > 1"), "roots")
     out = join_groups(out, roots, ["root"], [ROW])
     kept = F.coalesce(F.col(f"first.{ROW}") == F.col(ROW), F.lit(True))
@@ -222,6 +242,9 @@ def _near_rows(docs: DataFrame, similarity: int = 75, width: int = 5, bands: int
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
-    """``docs`` with one row of each group of near duplicates, the one with the smallest doc_id; columns as they come."""
-    rows = Scratch(docs.sparkSession, "near").save(with_row_key(docs), "rows")
-    return without_rows_of(rows, _near_rows(rows).where("not kept").select(ROW), ROW).select(docs.columns)
+    """``docs`` with one row of each group of near duplicates, the one with the smallest doc_id (null last); columns as they
+    come. Documents without words are copies of nothing and stay; rows that repeat an id or have none are decided one by
+    one. Empty table: empty result."""
+    scratch = Scratch(docs.sparkSession, "near")
+    rows = scratch.save(with_row_key(docs), "rows")
+    return without_rows_of(rows, _near_rows(rows).where("not kept").select(ROW), ROW, scratch).select(docs.columns)
