@@ -3,6 +3,9 @@
 import hashlib
 import json
 import re
+import time
+import unicodedata
+from collections import Counter
 
 import numpy as np
 import pandas as pd
@@ -39,8 +42,20 @@ def test_odd_rows_and_empty_tables(spark):
     }
     n = {k: len(f(odd).collect()) for k, f in runs.items()}
     assert {k: len(f(none).collect()) for k, f in runs.items()} == dict.fromkeys(runs, 0)
-    assert n["identify"] == n["exact"] == n["tokens"] == n["near"] == len(ODD)
-    assert n["mix"] == len(ODD) - 1  # the repeated row is one document of the mix's sums
+    assert n["identify"] == n["exact"] == n["tokens"] == n["near"] == n["mix"] == len(ODD)
+
+
+def test_odd_turns_pages_and_vectors_with_other_columns(spark):
+    """Columns that the operators use inside, and tables without rows."""
+    extra = [F.lit(7).alias(c) for c in ("turns", "window", "sums", "head", "part", "text_", "file", "offset", "digest", "record", "place", "id", "dim", "vec", "cell", "tile", "own", "n", "root", "size", "_glow_row")]
+    turns = spark.createDataFrame([(1, 0, "user", "a"), (1, 0, "user", "a"), (None, None, None, None)], "conv_id long, turn long, role string, text string").select("*", *extra)
+    pages = spark.createDataFrame([(1, "u", "<p>a"), (1, "u", "<p>a"), (None, None, None)], "page_id long, url string, html string").select("*", *extra)
+    vectors = spark.createDataFrame([(1, [1.0, 0.0]), (1, [1.0, 0.0]), (None, None)], "vec_id long, embedding array<double>").select("*", *extra)
+    audit = lambda p: fixity.audit(fixity.leaves(fixity.warc_records(p)), fixity.leaves(fixity.damaged(fixity.warc_records(p))))
+    runs = {"chat": lambda t: chat.read_back(chat.windows(t)), "pages": html_extract.page_texts, "vectors": embedding_join.similar_vectors, "audit": audit}
+    tables = {"chat": turns, "pages": pages, "vectors": vectors, "audit": pages}
+    assert {k: f(tables[k]).count() for k, f in runs.items()} == {"chat": 2, "pages": 3, "vectors": 3, "audit": 0}
+    assert {k: f(tables[k].limit(0)).count() for k, f in runs.items()} == dict.fromkeys(runs, 0)
 
 
 # Exact copies
@@ -132,18 +147,27 @@ def test_embeddings_by_brute_force(spark, monkeypatch):
     x[10], x[11] = x[12], x[12] * 3
     for name, v in {"CORE_VALUES": 16 * 8, "TILE_VALUES": 50 * 8, "BLOCK": 8}.items():
         monkeypatch.setattr(embedding_join, name, v)
-    rows = [(i, v.tolist()) for i, v in enumerate(x)]
-    odd = [(1000, None), (1001, []), (1002, [0.0] * 8), (1003, [None] + [1.0] * 7), (1004, [float("nan")] + [1.0] * 7), (1005, [float("inf")] * 8), (None, [1.0] * 8), (5, x[5].tolist()), (1006, [1.0, 2.0])]
-    got = {r["vec_id"]: r for r in embedding_join.similar_vectors(spark.createDataFrame(rows + odd, "vec_id long, embedding array<double>")).collect()}
+    odd = [(1000, None), (1001, []), (1002, [0.0] * 8), (1003, [None] + [1.0] * 7), (1004, [float("nan")] + [1.0] * 7), (1005, [float("inf")] * 8), (1006, [1.0, 2.0])]
+    # Rows that repeat an id, or have none, are vectors of their own; so is one of another length.
+    ids = [*range(len(x)), 5, 5, None, None, 2000]
+    x = np.concatenate([x, x[[5, 40, 7]], -x[:1], x[3:4] * 2])
+    rows = [(i, v.tolist()) for i, v in zip(ids, x, strict=True)]
+    frame = spark.createDataFrame(rows + odd, "vec_id long, embedding array<double>").select("*", *[F.lit(1).alias(c) for c in ("id", "dim", "vec", "cell", "n", "root")])
+    got = embedding_join.similar_vectors(frame).collect()
     unit = x / np.linalg.norm(x, axis=1)[:, None]
     linked = unit @ unit.T >= 0.95
     np.fill_diagonal(linked, False)
-    assert [got[i]["n_links"] for i in range(len(x))] == linked.sum(1).tolist()
-    label = np.arange(len(x))
+    label = np.array([10**6 if i is None else i for i in ids])
     for _ in range(len(x)):
-        label = np.minimum(label, np.where(linked, label[None], len(x)).min(1))
-    assert [got[i]["component_id"] for i in range(len(x))] == label.tolist()
-    assert all(got[i]["n_links"] == 0 and got[i]["kept"] for i in [*range(1000, 1007), None])
+        label = np.minimum(label, np.where(linked, label[None], 10**6).min(1))
+    named = [None if c == 10**6 else int(c) for c in label]
+    want = [(i, int(n), c, i == c) for i, n, c in zip(ids, linked.sum(1), named, strict=True)] + [(i, 0, i, True) for i, _ in odd]
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
+    single = spark.createDataFrame([(i, [float(f) for f in v.astype(np.float32)]) for i, v in enumerate(x[:300])], "vec_id long, embedding array<float>")
+    near = x[:300].astype(np.float32).astype(float)
+    near /= np.linalg.norm(near, axis=1)[:, None]
+    linked = near @ near.T >= 0.95
+    assert {r["vec_id"]: r["n_links"] for r in embedding_join.similar_vectors(single).collect()} == dict(enumerate((linked.sum(1) - 1).tolist()))
 
 
 def test_cells_hold_all_in_reach():
@@ -174,25 +198,49 @@ def test_bins_keep_their_constraints(spark, small):
 
 
 def best_fit(pieces, capacity, per_source):
-    """Every bin is tried for every piece."""
-    bins = []
-    for words, source, cluster in pieces:
-        fits = [b for b in bins if b["free"] >= words and cluster not in b["clusters"] and b["sources"].count(source) < per_source]
+    """Every bin is tried for every piece; of the tightest, the one that has been so longest."""
+    bins, placed, made = [], [], 0
+    for words, source, *conflicts in pieces:
+        fits = [b for b in bins if b["free"] >= words and not b["held"] & set(conflicts) and b["sources"].count(source) < per_source]
         b = min(fits, key=lambda b: b["free"], default=None)
         if b is None:
-            bins.append(b := {"free": capacity, "clusters": set(), "sources": []})
+            bins.append(b := {"free": capacity, "held": set(), "sources": [], "number": made})
+            made += 1
+        placed.append((b["number"], capacity - b["free"]))
         b["free"] -= words
-        b["clusters"].add(cluster)
+        b["held"] |= set(conflicts)
         b["sources"].append(source)
-    return sorted(b["free"] for b in bins)
+        bins.remove(b)
+        bins.append(b)
+    return placed
 
 
-def test_tightest_compatible_bin():
+@pytest.mark.parametrize("hot", [0.0, 0.4])
+def test_tightest_compatible_bin(hot):
     rng = np.random.default_rng(8)
-    p = pd.DataFrame({"doc_id": range(400), "piece": 0, "copy": 1, "words": rng.integers(1, 60, 400), "source": rng.choice(list("abcde"), 400, p=[0.4, 0.3, 0.1, 0.1, 0.1]), "cluster": rng.choice([f"c{i}" for i in range(60)], 400)})
+    n = 600
+    cluster = np.where(rng.random(n) < hot, "hot", rng.choice([f"c{i}" for i in range(300)], n))
+    p = pd.DataFrame({"doc_id": rng.integers(0, 400, n), "piece": 0, "copy": 1, "words": rng.integers(1, 60, n), "source": rng.choice(list("abcde"), n, p=[0.4, 0.3, 0.1, 0.1, 0.1]), "cluster": cluster})
     out = packing.pack_shard(p, 100, 2)
-    order = p.sort_values(["words", "doc_id"], ascending=[False, True])
-    assert sorted(100 - out.groupby("bin")["words"].sum()) == best_fit(order[["words", "source", "cluster"]].itertuples(index=False), 100, 2)
+    want = best_fit([(w, s, f"d{d}", c) for w, s, d, c in zip(out["words"], out["source"], out["doc_id"], out["cluster"], strict=True)], 100, 2)
+    assert list(zip(out["bin"], out["offset"], strict=True)) == want
+
+
+def test_search_is_not_quadratic():
+    """Pieces of one source and one cluster fill two bins each or one: no search may walk over all the others."""
+    n = 200_000
+    p = pd.DataFrame({"doc_id": range(n), "piece": 0, "copy": 1, "words": 5, "source": "a", "cluster": [str(i) for i in range(n)]})
+    began = time.perf_counter()
+    assert packing.pack_shard(p, 2048, 2)["bin"].nunique() == n // 2
+    assert packing.pack_shard(p.iloc[:50_000].assign(cluster="one"), 2048, 2)["bin"].nunique() == 50_000
+    assert time.perf_counter() - began < 30
+
+
+def test_no_bin_holds_a_document_twice(spark):
+    rows = docs(spark, [(1, "w " * 40), (1, "w " * 25), (1, "v " * 25), (2, "u " * 30, "b"), (None, "x " * 5, "c"), (None, "y " * 5, "d")])
+    bins = packing.packed_bins(rows).collect()
+    assert sum(b["words"] for b in bins) == 130
+    assert sorted(sum(i == 1 for i in b["doc_ids"]) for b in bins) == [1, 1, 1]
 
 
 # Languages
@@ -205,6 +253,49 @@ def test_held_out_accuracy(spark, small):
     assert held["doc_id"].map(lambda i: __import__("zlib").crc32(str(i).encode()) % 3 == 1).all()
 
 
+def plain_letters(text):
+    """Letters and their marks, character by character."""
+    kept = "".join(c if unicodedata.category(c)[0] in "LM" else " " for c in (text or "").lower())
+    words = kept.split(" ")
+    return f" {' '.join(w for w in words if w)} " if any(unicodedata.category(c)[0] == "L" for c in kept) else ""
+
+
+def plain_profile(texts, size):
+    grams = Counter(g for t in texts for n in (1, 2, 3) for k in [plain_letters(t)] for i in range(len(k) - n + 1) if (g := k[i : i + n]) != " ")
+    return sorted(grams, key=lambda g: (-grams[g], len(g), g))[:size]
+
+
+def test_out_of_place_distance_by_brute_force(spark, small):
+    rows = small.select("doc_id", "text", "lang").collect()
+    learnt = [r for r in rows if r["lang"] and __import__("zlib").crc32(str(r["doc_id"]).encode()) % 3 != 1]
+    size = langid.PROFILE
+    profiles = {lang: plain_profile([r["text"] for r in learnt if r["lang"] == lang], size) for lang in sorted({r["lang"] for r in learnt})}
+    ranks = {lang: {g: i for i, g in enumerate(p)} for lang, p in profiles.items()}
+    got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in langid.identify(small).collect()}
+    for r in rows[:120]:
+        own = plain_profile([r["text"]], size)
+        places = {lang: sum(min(abs(of[g] - i), size) if g in of else size for i, g in enumerate(own)) for lang, of in ranks.items()}
+        best = min(places, key=places.get)
+        assert got[r["doc_id"]] == ((best, pytest.approx(1 - places[best] / (size * len(own)))) if own else ("und", 0.0))
+
+
+def test_letters_are_unicode_s():
+    assert [langid.letters(t) for t in (None, "", "½", "²", "① Ⅷ 12", "_ - \u0301")] == [""] * 6
+    assert langid.letters("Cafe\u0301 DÉJÀ-vu, 3x हिन्दी") == " cafe\u0301 déjà vu x हिन्दी "
+    assert all(langid.letters(t) == plain_letters(t) for t in ("a\u00bd b", "\u0661\u0628", "ǅ x_y", "漢字 かな"))
+
+
+def test_languages_that_were_not_learnt_are_rejected(spark, small):
+    rng = np.random.default_rng(4)
+    noise = [" ".join("".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), rng.integers(2, 10))) for _ in range(n)) for n in (60, 300)]
+    polish = "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw. Są oni obdarzeni rozumem i sumieniem i powinni postępować wobec innych w duchu braterstwa. "
+    hexes = " ".join(hashlib.sha256(bytes([i])).hexdigest() for i in range(20))
+    base = small.select("doc_id", "text", "lang", "source", "n_chars")
+    odd = spark.createDataFrame([(10_000 + i, t, None, "a", None) for i, t in enumerate([*noise, polish, hexes, None, "½ ²"])], DOCS)
+    kept = {r["doc_id"] for r in langid.keep_identified(base.unionByName(odd)).collect()}
+    assert kept == {r["doc_id"] for r in base.collect()}
+
+
 def test_rejected_documents(spark):
     rows = [(i, "the cat sat on the mat and the dog ran") for i in range(6)] + [(10, "12 34 !"), (11, None), (12, "漢字仮名交じり文", "a", None), (13, "the dog")]
     d = docs(spark, rows)
@@ -219,7 +310,8 @@ def test_rejected_documents(spark):
 def test_mix_meets_its_targets(spark, small):
     got = mixing.taken_words(small).toPandas()
     by = got.join(small.select("doc_id", "source").toPandas().set_index("doc_id"), "doc_id").groupby("source")
-    assert (by["taken"].sum() - by["target"].first()).abs().max() <= 0.5
+    total = got["size"].sum()
+    assert (by["taken"].sum() - by["target"].first()).abs().max() <= 5 * mixing.block_words(int(total))[0]
     assert (got["taken"] <= 3 * got["size"]).all() and np.isclose(by["target"].first().sum(), got["size"].sum())
     again = mixing.taken_words(small.repartition(7)).toPandas()
     assert sorted(map(tuple, got.to_numpy())) == sorted(map(tuple, again.to_numpy()))
@@ -246,12 +338,43 @@ def test_targets_are_refilled(spark):
 
 def test_schedule_spreads_sources(spark):
     rows = [(i, "w " * 50, "ab"[i % 2]) for i in range(200)]
-    got = mixing.mix(docs(spark, rows), slots=100).where("slot is not null").select("slot", "source", "block").distinct().orderBy("slot").toPandas()
+    got = mixing.mix(docs(spark, rows), slots=100).select("slot", "source", "block").distinct().orderBy("slot").toPandas()
     half = got[got["slot"] < 50]["source"].value_counts(normalize=True)
     assert abs(half["b"] - 2 / 3) < 0.06 and got["slot"].is_unique
     assert (got[got["source"] == "a"]["block"].to_numpy() == np.arange((got["source"] == "a").sum())).all()
 
 
+def test_slots_decide_what_is_taken(spark):
+    """Source by source, as many blocks are filled as the golden-ratio points give it slots."""
+    rows = docs(spark, [(i, "w " * (20 + i % 30), "abc"[i % 3]) for i in range(300)])
+    sizes = {s: sum(20 + i % 30 for i in range(300) if "abc"[i % 3] == s) for s in "abc"}
+    total = sum(sizes.values())
+    for slots in (7, 64, 1000):
+        block, n = mixing.block_words(total, slots)
+        points = [i * mixing.GOLDEN % (1 << 32) / (1 << 32) for i in range(n)]
+        high = {"a": 1 / 6, "b": 1 / 2, "c": 1.0}
+        drawn = Counter(next(s for s in "abc" if p < high[s]) for p in points)
+        got = mixing.mix(rows, slots=slots).groupBy("source").agg(F.sum("n_words").alias("n"), F.countDistinct("slot").alias("s"))
+        assert {r["source"]: r["n"] for r in got.collect()} == {s: min(3 * sizes[s], drawn[s] * block) for s in "abc" if drawn[s]}
+    assert mixing.block_words(10**9) == (256, 3_906_250) and mixing.block_words(100) == (1, 100)
+
+
+def test_slots_are_ranked_in_chunks(spark, monkeypatch):
+    rows = docs(spark, [(i, "w " * 50, "ab"[i % 2]) for i in range(200)])
+    want = sorted(map(str, mixing.mix(rows, slots=500).collect()))
+    monkeypatch.setattr(mixing, "CHUNK", 16)
+    assert sorted(map(str, mixing.mix(rows, slots=500).collect())) == want
+
+
+def test_mixed_documents_come_in_the_order_of_slots(spark):
+    rows = docs(spark, [(i, f"{i}\n\tw  " * 25, "ab"[i % 2]) for i in range(40)])
+    got = mixing.mixed_documents(rows).collect()
+    texts = {i: f"{i}\n\tw  " * 25 for i in range(40)}
+    assert all(texts[r["doc_id"]].startswith(r["text"]) for r in got)
+    share = np.mean([r["source"] == "b" for r in got[: len(got) // 2]])
+    assert abs(share - np.mean([r["source"] == "b" for r in got])) < 0.15
+
+
 def test_mixed_documents_are_what_was_taken(spark, small):
     taken = {r["doc_id"]: r["taken"] for r in mixing.taken_words(small).collect()}
     words = {}
@@ -274,6 +397,15 @@ def test_token_counts_are_the_library_s(spark, small):
         assert r["n_bytes"] == len(r["text"].encode()) and r["over_limit"] == (r["n_tokens"] > 2048)
 
 
+def test_other_vocabularies_are_refused(tmp_path):
+    file = json.load(open(tokens.vocabulary_path(), encoding="utf-8"))
+    file["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"] = r"\p{L}+"
+    (tmp_path / "other.json").write_text(json.dumps(file))
+    for name in (str(tmp_path / "other.json"), tokens.vocabulary_path("byte_bpe_50k.json")):
+        with pytest.raises(ValueError):
+            tokens.prove_whole_tokens(name)
+
+
 def test_whole_tokens_are_proven():
     whole = tokens.prove_whole_tokens(tokens.vocabulary_path())
     vocab = json.load(open(tokens.vocabulary_path(), encoding="utf-8"))["model"]["vocab"]
@@ -346,6 +478,24 @@ def test_all_content_paths_are_returned(spark):
     assert [html_extract.main_text(p).split("\n") for p in pages] == list(pages.values())
 
 
+def test_marks_inside_a_line_and_wrappers(spark):
+    """What a page says is no article stays out inside paragraphs too; names of wrappers don't hide the article."""
+    p = " ".join(f"part {i}, word {i}." for i in range(40))
+    pages = {
+        f"<article><p>{p}</p><button>Share this</button><p>{p}</p></article>": f"{p}\n{p}",
+        f"<article><p>{p}</p><label>E-mail</label><p>{p}</p><menu><li>Home</menu><dialog>Hi, there.</dialog></article>": f"{p}\n{p}",
+        f"<article><p>{p} <span class='advert'>BUY NOW</span> end.</p></article>": f"{p} end.",
+        f"<article><p>{p} <span style='display:none'>hid</span> end.</p></article>": f"{p} end.",
+        f"<div class='page with-sidebar'><article><p>{p}</p></article></div>": p,
+        f"<div class='layout share-nothing'><article><p>{p}</p></article></div>": p,
+        f"<div><div>Home</div><h2>Head</h2><p>{p}</p><p>{p}</p><ul><li>a<li>b</ul><div>Imprint</div></div>": f"Head\n{p}\n{p}\na\nb",
+        f"<div><p>{p}</p><div>x</div><p>{p}</p></div>": f"{p}\nx\n{p}",
+    }
+    rows = spark.createDataFrame([(i, "u", h, t) for i, (h, t) in enumerate(pages.items())], "page_id long, url string, html string, want string")
+    got = {r["page_id"]: (r["text"], r["n_chars"]) for r in html_extract.page_texts(rows).collect()}
+    assert got == {i: (t, len(t)) for i, t in enumerate(pages.values())}
+
+
 def test_names_do_not_hide_the_article(spark):
     said = lambda n, k: " ".join(f"part {k}, word {i}." for i in range(n))
     long, more = said(60, "a"), said(20, "b")
@@ -397,10 +547,52 @@ def test_groups_are_salted_where_they_are_too_many_to_broadcast(spark, small, mo
 
     want = [sorted(map(tuple, f(small).collect())) for f in (exact_dedup.radix_groups, minhash.near_duplicates)]
     monkeypatch.setattr(common, "BROADCAST_BYTES", -1)
-    monkeypatch.setattr(common, "SALTED", 2)
+    for module in (common, minhash):
+        monkeypatch.setattr(module, "SALTED", 2)
     assert [sorted(map(tuple, f(small).collect())) for f in (exact_dedup.radix_groups, minhash.near_duplicates)] == want
 
 
+@pytest.mark.parametrize("few", [True, False])
+def test_components_of_hubs_chains_and_loops(spark, tmp_path, monkeypatch, few):
+    from glowtrace.llm import common, components
+
+    if not few:
+        monkeypatch.setattr(common, "BROADCAST_BYTES", -1)
+        monkeypatch.setattr(common, "SALTED", 4)
+    rng = np.random.default_rng(3)
+    links = [(500, i) for i in range(501, 560)] + [(i, i + 1) for i in range(100, 160)] + [(7, 7), (None, 3), (4, None), (800, 801), (801, 800), (800, 801)]
+    links += [tuple(map(int, p)) for p in rng.integers(1000, 1080, (40, 2))]
+    up = {}
+
+    def find(i):
+        while up.setdefault(i, i) != i:
+            i = up[i]
+        return i
+
+    for u, v in links:
+        if u is not None and v is not None:
+            a, b = find(u), find(v)
+            up[max(a, b)] = min(a, b)
+    got = components.connected_components(spark.createDataFrame(links, "u long, v long"), common.Scratch(spark, "test"))
+    assert {r["id"]: r["component"] for r in got.collect() if r["id"] != r["component"]} == {i: find(i) for i in up if find(i) != i}
+    assert components.connected_components(spark.createDataFrame([], "u long, v long"), common.Scratch(spark, "test")).count() == 0
+
+
+def test_both_blocks_of_a_large_band_find_what_one_step_finds(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    base = [f"w{i}" for i in range(100)]
+    rows = []
+    for i in range(80):
+        words = list(base)
+        for p in rng.choice(100, rng.integers(0, 5), replace=False):
+            words[p] = f"e{i}_{p}"
+        rows.append((i, " ".join(words)))
+    want = components([shingles(t) for _, t in rows], [i for i, _ in rows])
+    for few in (minhash.FEW_PAIRS, 0):
+        monkeypatch.setattr(minhash, "FEW_PAIRS", few)
+        assert {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(docs(spark, rows)).collect()} == want
+
+
 # Rows that repeat an id
 
 
@@ -410,6 +602,12 @@ def test_rows_that_repeat_an_id_are_decided_one_by_one(spark):
     near = lambda t: t + " end"
     rows = docs(spark, [(3, a), (5, a), (5, b), (7, c), (7, c)])
     assert sorted((r["doc_id"], r["text"]) for r in exact_dedup.drop_exact_duplicates(rows).collect()) == [(3, a), (5, b), (7, c)]
+    rows = docs(spark, [(1, "a b c"), (1, "unique text of row one"), (0, "a  b c"), (2, "same"), (2, "same"), (None, "zz"), (None, "zz"), (None, "yy"), (9, "yy"), (8, None), (8, " ")])
+    got = sorted((str(r["doc_id"]), r["text"]) for r in exact_dedup.drop_exact_duplicates(rows).collect())
+    assert got == [("0", "a  b c"), ("1", "unique text of row one"), ("2", "same"), ("8", " "), ("9", "yy"), ("None", "zz")]
+    # Rows without an id are documents as well.
+    rows = docs(spark, [(None, a), (None, near(a)), (4, near(a) + " more"), (None, b), (None, b)])
+    assert sorted((str(r["doc_id"]), r["text"]) for r in minhash.drop_near_duplicates(rows).collect()) == [("4", near(a) + " more"), ("None", b)]
     # 5 copies 3, and its other text is near to 9's; 6 has two texts with links of their own.
     rows = docs(spark, [(3, a), (5, near(a)), (5, a), (5, b), (9, near(b)), (7, c), (7, c), (2, said("d")), (6, near(said("d"))), (6, said("e")), (8, near(said("e")))])
     got = sorted((r["doc_id"], r["component_id"], r["kept"]) for r in minhash.near_duplicates(rows).collect())
