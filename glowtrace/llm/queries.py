@@ -67,6 +67,45 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op2_language_id": r"""
+        WITH d AS (SELECT doc_id, lang, coalesce(text, '') AS text,
+                list_transform(range(1, length(coalesce(CAST(doc_id AS VARCHAR), '')) + 1), lambda i: ascii(CAST(doc_id AS VARCHAR)[i])) AS digits FROM documents),
+        c AS (SELECT *, xor(list_reduce(list_prepend(4294967295, flatten(list_transform(digits, lambda b: [CAST(b AS BIGINT), -1, -1, -1, -1, -1, -1, -1, -1]))),
+                lambda crc, b: CASE WHEN b >= 0 THEN xor(crc, b) ELSE xor(crc >> 1, 3988292384 * (crc & 1)) END), 4294967295) % 3 = 1 AS held_out FROM d),
+        k AS (SELECT doc_id, lang, held_out, ' ' || trim(regexp_replace(lower(text), '[^\p{L}\p{M}]+', ' ', 'g')) || ' ' AS kept, regexp_matches(text, '\p{L}') AS spoken FROM c),
+        s AS (SELECT doc_id, lang, held_out, unnest(range(1, length(kept) + 1)) AS i, kept FROM k WHERE spoken),
+        g AS (SELECT doc_id, lang, held_out, unnest([kept[i], kept[i:i+1], kept[i:i+2]]) AS gram, unnest([1, 2, 3]) AS want FROM s),
+        n AS (SELECT doc_id, any_value(lang) AS lang, any_value(held_out) AS held_out, gram, count(*) AS n FROM g WHERE length(gram) = want AND gram <> ' ' GROUP BY doc_id, gram),
+        p AS (SELECT lang, gram, row_number() OVER (PARTITION BY lang ORDER BY sum(n) DESC, length(gram), gram) - 1 AS place FROM n
+              WHERE lang IS NOT NULL AND NOT held_out GROUP BY lang, gram QUALIFY place < 400),
+        o AS (SELECT doc_id, gram, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, length(gram), gram) - 1 AS place FROM n QUALIFY place < 400),
+        z AS (SELECT doc_id, count(*) AS grams FROM o GROUP BY doc_id),
+        m AS (SELECT o.doc_id, p.lang, CAST(sum(400 - least(abs(o.place - p.place), 400)) AS BIGINT) AS near FROM o JOIN p ON o.gram = p.gram GROUP BY o.doc_id, p.lang),
+        e AS (SELECT z.doc_id, l.lang, 400 * z.grams - coalesce(m.near, 0) AS places, z.grams
+              FROM z CROSS JOIN (SELECT DISTINCT lang FROM p) l LEFT JOIN m ON m.doc_id = z.doc_id AND m.lang = l.lang),
+        b AS (SELECT doc_id, lang, 1 - CAST(places AS DOUBLE) / (400 * grams) AS score FROM e QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY places, lang) = 1)
+        SELECT k.doc_id, k.held_out, coalesce(b.lang, 'und') AS lang_pred, coalesce(b.score, 0) AS score FROM k LEFT JOIN b USING (doc_id)
+    """,
+    "op8_similar_embeddings": r"""
+        WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+              WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+        l AS (SELECT a.vec_id AS u, b.vec_id AS v FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) WHERE list_cosine_similarity(a.e, b.e) >= 0.95),
+        r AS (SELECT u, v FROM l UNION SELECT r.u, l.v FROM r JOIN l ON r.v = l.u),
+        n AS (SELECT u, count(*) AS n FROM l GROUP BY u), c AS (SELECT u, min(v) AS least FROM r GROUP BY u)
+        SELECT vec_id, coalesce(n.n, 0) AS n_links, least(vec_id, coalesce(c.least, vec_id)) AS component_id, vec_id = least(vec_id, coalesce(c.least, vec_id)) AS kept
+        FROM embeddings LEFT JOIN n ON n.u = vec_id LEFT JOIN c ON c.u = vec_id
+    """,
+    "op9_near_dedup": r"""
+        WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words FROM documents),
+        s AS (SELECT DISTINCT doc_id, array_to_string(words[i:i+4], ' ') AS shingle FROM (SELECT doc_id, words, unnest(range(1, greatest(1, len(words) - 4) + 1)) AS i FROM w WHERE len(words) > 0)),
+        n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+        p AS (SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS shared FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+        l AS (SELECT u, v FROM p JOIN n a ON a.doc_id = u JOIN n b ON b.doc_id = v WHERE 100 * shared >= 75 * (a.n + b.n - shared)),
+        r AS (SELECT u, v FROM l UNION SELECT r.u, l.v FROM r JOIN l ON r.v = l.u),
+        c AS (SELECT u, min(v) AS least FROM r GROUP BY u)
+        SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, least(w.doc_id, coalesce(c.least, w.doc_id)) AS component_id, w.doc_id = least(w.doc_id, coalesce(c.least, w.doc_id)) AS kept
+        FROM w LEFT JOIN n ON n.doc_id = w.doc_id LEFT JOIN c ON c.u = w.doc_id
+    """,
     "op3_chat_windows": r"""
         WITH RECURSIVE c AS (
           SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
