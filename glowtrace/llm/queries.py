@@ -72,10 +72,10 @@ ORACLE_SQL: dict[str, str] = {
                 list_transform(range(1, length(coalesce(CAST(doc_id AS VARCHAR), '')) + 1), lambda i: ascii(CAST(doc_id AS VARCHAR)[i])) AS digits FROM documents),
         c AS (SELECT *, xor(list_reduce(list_prepend(4294967295, flatten(list_transform(digits, lambda b: [CAST(b AS BIGINT), -1, -1, -1, -1, -1, -1, -1, -1]))),
                 lambda crc, b: CASE WHEN b >= 0 THEN xor(crc, b) ELSE xor(crc >> 1, 3988292384 * (crc & 1)) END), 4294967295) % 3 = 1 AS held_out FROM d),
-        k AS (SELECT doc_id, lang, held_out, ' ' || trim(regexp_replace(lower(text), '[^\p{L}\p{M}]+', ' ', 'g')) || ' ' AS kept, regexp_matches(text, '\p{L}') AS spoken FROM c),
-        s AS (SELECT doc_id, lang, held_out, unnest(range(1, length(kept) + 1)) AS i, kept FROM k WHERE spoken),
-        g AS (SELECT doc_id, lang, held_out, unnest([kept[i], kept[i:i+1], kept[i:i+2]]) AS gram, unnest([1, 2, 3]) AS want FROM s),
-        n AS (SELECT doc_id, any_value(lang) AS lang, any_value(held_out) AS held_out, gram, count(*) AS n FROM g WHERE length(gram) = want AND gram <> ' ' GROUP BY doc_id, gram),
+        k AS (SELECT doc_id, lang, held_out, string_split(' ' || trim(regexp_replace(lower(text), '[^\p{L}\p{M}]+', ' ', 'g')) || ' ', '') AS kept, regexp_matches(text, '\p{L}') AS spoken FROM c),
+        s AS (SELECT doc_id, lang, held_out, unnest(list_zip(kept, kept[2:], kept[3:])) AS z FROM k WHERE spoken),
+        g AS (SELECT doc_id, lang, held_out, unnest([z[1], z[1] || z[2], z[1] || z[2] || z[3]]) AS gram FROM s),
+        n AS (SELECT doc_id, any_value(lang) AS lang, any_value(held_out) AS held_out, gram, count(*) AS n FROM g WHERE gram IS NOT NULL AND gram <> ' ' GROUP BY doc_id, gram),
         p AS (SELECT lang, gram, row_number() OVER (PARTITION BY lang ORDER BY sum(n) DESC, length(gram), gram) - 1 AS place FROM n
               WHERE lang IS NOT NULL AND NOT held_out GROUP BY lang, gram QUALIFY place < 400),
         o AS (SELECT doc_id, gram, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, length(gram), gram) - 1 AS place FROM n QUALIFY place < 400),
