@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -118,16 +119,44 @@ def chebyshev_lowpass(order: int, ripple: float, cutoff: float) -> tuple[np.ndar
     return _zpk_to_ba(*_bilinear(np.empty(0), warped * p, k * warped**order))
 
 
+#: Samples that a recursive filter takes at once.
+BLOCK = 128
+
+
+@lru_cache(maxsize=16)
+def _block_matrices(b: tuple[float, ...], a: tuple[float, ...]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """For the state space of a filter: outputs of a block from its state and from its samples, and the state after it from
+    both."""
+    b_, a_, n = np.array(b), np.array(a), len(b)
+    step = np.zeros((n - 1, n - 1))
+    step[:, 0] = -a_[1:]
+    step[np.arange(n - 2), np.arange(1, n - 1)] = 1
+    gain = b_[1:] - a_[1:] * b_[0]
+    powers = [np.eye(n - 1)]
+    for _ in range(BLOCK):
+        powers.append(step @ powers[-1])
+    seen = np.stack([p[0] for p in powers[:BLOCK]])
+    impulse = np.concatenate([[b_[0]], seen[:-1] @ gain])
+    lag = np.arange(BLOCK)[:, None] - np.arange(BLOCK)[None]
+    return seen, np.where(lag >= 0, impulse[np.maximum(lag, 0)], 0.0), powers[BLOCK], np.stack([p @ gain for p in powers[BLOCK - 1 :: -1]])
+
+
 def lfilter(b: np.ndarray, a: np.ndarray, x: np.ndarray, state: np.ndarray | None = None) -> np.ndarray:
-    """The difference equation in its transposed direct form."""
+    """The difference equation in its transposed direct form, a block of samples at a time: only the state goes from block to
+    block, so the rest is matrix products."""
     n = max(len(a), len(b))
     b, a = np.pad(b, (0, n - len(b))) / a[0], np.pad(a, (0, n - len(a))) / a[0]
-    z = np.zeros(n) if state is None else np.append(state, 0.0)
-    y = np.empty(len(x))
-    for i, v in enumerate(x):
-        y[i] = out = b[0] * v + z[0]
-        z[:-1] = z[1:] + b[1:] * v - a[1:] * out
-    return y
+    if n == 1:
+        return b[0] * x
+    seen, through, carry, enter = _block_matrices(tuple(b), tuple(a))
+    blocks = np.pad(np.asarray(x, float), (0, -len(x) % BLOCK)).reshape(-1, BLOCK)
+    entered = blocks @ enter
+    states = np.zeros((len(blocks), n - 1))
+    z = np.zeros(n - 1) if state is None else np.asarray(state, float)
+    for i, more in enumerate(entered):
+        states[i] = z
+        z = carry @ z + more
+    return (states @ seen.T + blocks @ through.T).ravel()[: len(x)]
 
 
 def steady_state(b: np.ndarray, a: np.ndarray) -> np.ndarray:

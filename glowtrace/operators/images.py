@@ -239,3 +239,18 @@ def resize(frames: DataFrame, height: int, width: int) -> DataFrame:
         return rows[:, x0] * (1 - fx) + rows[:, x1] * fx
 
     return map_frames(frames, kernel)
+
+
+def resize_by(frames: DataFrame, height: int, width: int, mode: str | None, size: int = 256) -> DataFrame:
+    """Frames as they are (None), larger by the largest whole factor that ``size`` has room for (``expand``), or as squares of
+    that size (``full``). ``resize`` to the first height and width undoes it."""
+    if mode is None:
+        return frames
+    if mode == "full":
+        return resize(frames, size, size)
+    if mode != "expand":
+        raise ValueError(f"mode must be None, expand or full, not {mode!r}")
+    factor = size // max(height, width)
+    if not factor:
+        raise ValueError("the image is larger than the size")
+    return frames if factor == 1 else resize(frames, height * factor, width * factor)

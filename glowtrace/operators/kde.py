@@ -40,7 +40,7 @@ def _idct(c: np.ndarray) -> np.ndarray:
 def _fixed_point(t: float, count: int, squares: np.ndarray, a2: np.ndarray) -> float:
     stages = 7
     f = 2 * np.pi ** (2 * stages) * np.sum(squares**stages * a2 * np.exp(-squares * np.pi**2 * t))
-    for s in range(stages - 1, 1, -1):
+    for s in range(stages, 1, -1):
         odd = np.prod(np.arange(1, 2 * s, 2, dtype=float)) / np.sqrt(2 * np.pi)
         time = (2 * (1 + 0.5 ** (s + 0.5)) / 3 * odd / (count * f)) ** (2 / (3 + 2 * s))
         f = 2 * np.pi ** (2 * s) * np.sum(squares**s * a2 * np.exp(-squares * np.pi**2 * time))
@@ -48,7 +48,7 @@ def _fixed_point(t: float, count: int, squares: np.ndarray, a2: np.ndarray) -> f
 
 
 def density(data: np.ndarray, bins: int = 4096, low: float | None = None, high: float | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
-    """(mesh, density, cdf), or None where no bandwidth is found."""
+    """(mesh, density, cdf), or None where no bandwidth is found; the mesh is the middles of the bins."""
     reach = float(np.ptp(data))
     low = data.min() - reach / 10 if low is None else low
     high = data.max() + reach / 10 if high is None else high
@@ -58,31 +58,37 @@ def density(data: np.ndarray, bins: int = 4096, low: float | None = None, high:
     c = _dct(counts)
     squares, a2 = np.arange(1, bins, dtype=float) ** 2, (c[1:] / 2) ** 2
     a, b = 1e-12, 0.1
+    point = lambda t: _fixed_point(t, len(data), squares, a2)
     with np.errstate(all="ignore"):
-        fa, fb = (_fixed_point(t, len(np.unique(data)), squares, a2) for t in (a, b))
+        fa, fb = point(a), point(b)
         if not (np.isfinite(fa) and np.isfinite(fb)) or fa * fb > 0:
             return None
-        for _ in range(100):
+        for _ in range(60):
             mid = (a + b) / 2
-            fm = _fixed_point(mid, len(np.unique(data)), squares, a2)
+            fm = point(mid)
             a, b, fa = (mid, b, fm) if fa * fm > 0 else (a, mid, fa)
     smooth = _idct(c * np.exp(-(np.arange(bins, dtype=float) ** 2) * np.pi**2 * (a + b) / 4))
-    mesh = np.linspace(low, high, bins)
+    mesh = low + (np.arange(bins) + 0.5) * (high - low) / bins
     dens = smooth / np.trapezoid(smooth, mesh)
     return mesh, dens, np.cumsum(dens) * (mesh[1] - mesh[0])
 
 
-def mode_percentile(data: np.ndarray, retries: int = 3) -> tuple[float, float]:
-    """(percentile, value) of the density's mode; 50 and the median if no density is found."""
+def mode_percentile(data: np.ndarray, retries: int = 8) -> tuple[float, float]:
+    """(percentile, value) of the density's mode; 50 and the median if no density is found. The bandwidth depends on the
+    number of samples, so data without one, or with a mode outside [0, 100), are doubled and tried again."""
     data = data[np.isfinite(data)]
     if not len(data):
         return 50.0, float("nan")
     for i in range(retries):
-        got = density(np.tile(data, i + 1))
-        if got is not None:
-            at = int(got[1].argmax())
-            if 0 <= 100 * got[2][at] <= 100 and np.isfinite(got[2][at]):
-                return float(100 * got[2][at]), float(got[0][at])
+        got = density(np.tile(data, 2**i))
+        if got is None:
+            continue
+        at = int(np.argmax(got[1]))
+        q = 100 * got[2][at]
+        if np.isnan(q):
+            break
+        if 0 <= q < 100:
+            return float(q), float(got[0][at])
     return 50.0, float(np.median(data))
 
 

@@ -102,33 +102,73 @@ def spline_smooth(pixels: DataFrame, knots: int) -> DataFrame:
 # Low rank.
 
 
-def pca_denoise(frames: DataFrame, components: int = 100) -> DataFrame:
-    """Frames from their leading components. The covariance of the pixels is added up in the tasks; it is as large as a frame
-    squared, so frames of more than a few thousand pixels should be cut into tiles first."""
-
-    def moments(batches):
-        total = None
-        for batch in batches:
-            for rec, part in batch.groupby("rec_id"):
-                x = np.stack(part["pix"].to_numpy()).astype(float)
-                total = total or {}
-                n, s, g = total.get(rec, (0, 0.0, 0.0))
-                total[rec] = (n + len(x), s + x.sum(axis=0), g + x.T @ x)
-        for rec, (n, s, g) in (total or {}).items():
-            for i in range(len(s)):
-                yield pd.DataFrame({"rec_id": [rec], "i": [i], "n": [n], "s": [s[i]], "g": [g[i]]})
-
-    rows = frames.mapInPandas(moments, "rec_id string, i int, n long, s double, g array<double>")
-    merged = rows.select("rec_id", "i", "n", "s", F.posexplode("g").alias("j", "g")).groupBy("rec_id", "i", "j").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("g").alias("g"))
-    lines = merged.groupBy("rec_id", "i").agg(F.max("n").alias("n"), F.max("s").alias("s"), F.array_sort(F.collect_list(F.struct("j", "g")))["g"].alias("g"))
-    bases: dict[str, tuple[np.ndarray, np.ndarray]] = {}
-    held: dict[str, list] = {}
-    for r in lines.orderBy("rec_id", "i").collect():
-        held.setdefault(r["rec_id"], []).append(r)
-    for rec, rs in held.items():
-        n, s, g = rs[0]["n"], np.array([r["s"] for r in rs]), np.array([r["g"] for r in rs])
-        _, vectors = np.linalg.eigh(g / n - np.outer(s / n, s / n))
-        bases[rec] = (s / n, vectors[:, ::-1][:, : min(components, len(s))])
+def summed_arrays(parts: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """(keys, a): arrays added up, in two rounds, so that no group holds the parts of all tasks."""
+    keys = list(keys)
+
+    def add(part: pd.DataFrame) -> pd.DataFrame:
+        return part[keys].iloc[:1].assign(a=[np.sum(part["a"].to_list(), axis=0)])
+
+    schema = parts.select(*keys, "a").schema
+    once = parts.withColumn("_salt", F.pmod(F.spark_partition_id(), F.lit(32))).groupBy(*keys, "_salt").applyInPandas(add, schema)
+    return once.groupBy(*keys).applyInPandas(add, schema)
+
+
+#: Columns of a sum that travel as one row, and the bytes of a model that is sent to every task.
+TILE, MODEL_BYTES = 1024, 512 << 20
+
+
+def _tiles(total: np.ndarray) -> list[tuple[int, np.ndarray]]:
+    """A sum (rows, columns) in tiles of columns."""
+    return [(i, total[:, i : i + TILE].ravel()) for i in range(0, total.shape[1], TILE)]
+
+
+def _untiled(rows: list, height: int) -> np.ndarray:
+    return np.concatenate([np.asarray(r["a"]).reshape(height, -1) for r in sorted(rows, key=lambda r: r["i"])], axis=1)
+
+
+def pca_denoise(frames: DataFrame, components: int = 100, oversample: int = 10, passes: int = 2) -> DataFrame:
+    """Frames from their leading components, by a randomised range finder (Halko et al., 2011): a first pass adds up random
+    mixtures of each recording's frames, the others multiply the covariance into their span. What meets the driver is
+    ``components`` + ``oversample`` numbers a pixel and recording, never the pixels' covariance."""
+    wide = components + oversample
+
+    def summed(weigh: Callable[[str, np.ndarray, np.ndarray], np.ndarray]) -> dict[str, np.ndarray]:
+        """For each recording the sums of (1, a frame's weights) times (1, the frame)."""
+
+        def add(batches):
+            total: dict[str, np.ndarray] = {}
+            for batch in batches:
+                for rec, part in batch.groupby("rec_id"):
+                    x = np.stack(part["pix"].to_numpy()).astype(float)
+                    w = np.column_stack([np.ones(len(x)), weigh(rec, x, part["t_idx"].to_numpy())])
+                    total[rec] = total.get(rec, 0.0) + w.T @ np.column_stack([np.ones(len(x)), x])
+            for rec, t in total.items():
+                for i, tile in _tiles(t):
+                    yield pd.DataFrame({"rec_id": [rec], "h": [len(t)], "i": [i], "a": [tile]})
+
+        held: dict[str, list] = {}
+        for r in summed_arrays(frames.mapInPandas(add, "rec_id string, h int, i int, a array<double>"), ["rec_id", "h", "i"]).collect():
+            held.setdefault(r["rec_id"], []).append(r)
+        return {rec: _untiled(rows, rows[0]["h"]) for rec, rows in held.items()}
+
+    def centred(t: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The mean frame, and the sums of weights times frames less it, a column a weight."""
+        mean = t[0, 1:] / t[0, 0]
+        return mean, (t[1:, 1:] - t[1:, :1] * mean).T
+
+    first = {rec: centred(t) for rec, t in summed(lambda rec, x, t: np.stack([np.random.default_rng(i).normal(size=wide) for i in t.tolist()])).items()}
+    means = {rec: mean for rec, (mean, _) in first.items()}
+    spans = {rec: np.eye(len(y)) if len(y) <= wide else np.linalg.qr(y)[0] for rec, (_, y) in first.items()}
+    for i in range(passes):
+        last = {rec: centred(t)[1] for rec, t in summed(lambda rec, x, t: (x - means[rec]) @ spans[rec]).items()}
+        if i + 1 < passes:
+            spans = {rec: spans[rec] if len(y) <= wide else np.linalg.qr(y)[0] for rec, y in last.items()}
+    bases = {}
+    for rec, y in last.items():
+        inner = spans[rec].T @ y
+        vectors = np.linalg.eigh((inner + inner.T) / 2)[1][:, ::-1][:, :components]
+        bases[rec] = (means[rec], spans[rec] @ vectors)
 
     def run(batches):
         for batch in batches:
@@ -167,12 +207,67 @@ def neighbour_ridge(pixels: DataFrame, k: int = 5, ridge: float = 0.01, decimate
     return unstandardise(rows.select("rec_id", "y", "x", "t_idx", dot.alias("v")), pixels)
 
 
+def nonnegative_least_squares(a: np.ndarray, b: np.ndarray, sweeps: int = 500) -> np.ndarray:
+    """Least squares with weights of at least 0, by coordinates of the normal equations."""
+    gram, right = a.T @ a, a.T @ b
+    scale = np.maximum(np.diag(gram), 1e-12)
+    w = np.zeros(len(right))
+    for _ in range(sweeps):
+        before = w.copy()
+        for j in range(len(w)):
+            w[j] = max(0.0, w[j] + (right[j] - gram[j] @ w) / scale[j])
+        if np.abs(w - before).max() <= 1e-12 * max(1.0, np.abs(w).max()):
+            break
+    return w
+
+
+def divergence_fit(a: np.ndarray, b: np.ndarray, steps: int = 500) -> np.ndarray:
+    """Weights of at least 0 with the least Kullback-Leibler divergence of the prediction from b, both plus 1: projected
+    gradient steps, halved until they help."""
+    loss = lambda w: float(np.sum((p := a @ w + 1) * np.log(p / (b + 1)) - p + b + 1))
+    w, size = nonnegative_least_squares(a, b), 1.0
+    best = loss(w)
+    for _ in range(steps):
+        slope = a.T @ np.log((a @ w + 1) / (b + 1))
+        while size > 1e-18:
+            new = np.maximum(w - size * slope, 0)
+            now = loss(new)
+            if now < best:
+                break
+            size /= 2
+        else:
+            break
+        done, w, best, size = best - now < 1e-12 * max(best, 1e-12), new, now, size * 4
+        if done:
+            break
+    return w
+
+
+LOSSES = ("mse", "mae", "huber", "kl")
+
+
+def _fit(a: np.ndarray, b: np.ndarray, loss: str, nonneg: bool, huber: float) -> np.ndarray:
+    if loss == "kl":
+        return divergence_fit(a, b)
+    w = np.ones(len(b))
+    for _ in range(1 if loss == "mse" else 30):
+        root = np.sqrt(w)[:, None]
+        fit = nonnegative_least_squares(a * root, b * root[:, 0]) if nonneg else np.linalg.lstsq(a * root, b * root[:, 0], rcond=None)[0]
+        r = np.abs(a @ fit - b)
+        w = np.minimum(1.0, huber / np.maximum(r, 1e-9)) if loss == "huber" else 1 / np.maximum(r, 1e-6)
+    return fit
+
+
 def shallow_denoise(pixels: DataFrame, spatial: int = 1, temporal: int = 4, loss: str = "mse", decimate: int = 10, nonneg: bool = False, huber: float = 1.0, intercept: bool = True) -> DataFrame:
-    """Each pixel from the frames before and after of its spatial neighbours, by its own regression; the middle frame is left
-    out, and what lies outside is the movie's mean. Neighbours are sent to the pixel as rows; a group is one pixel's series."""
+    """Each pixel from the frames before and after of its spatial neighbours, by its own regression (loss mse, mae, huber or
+    kl), fitted on every ``decimate``-th frame; the middle frame is left out. The movie is standardised, and what lies outside
+    is its mean; with ``nonneg``, which kl needs, it is not, weights are at least 0 and outside is 0. Fewer than four fitted
+    frames a weight are an error. Neighbours are sent to the pixel as rows; a group is one pixel's series."""
+    if loss not in LOSSES or (loss == "kl" and not nonneg):
+        raise ValueError(f"loss must be one of {LOSSES}, and kl needs nonneg")
     side = F.sequence(F.lit(-spatial), F.lit(spatial))
     to = F.flatten(F.transform(side, lambda dy: F.transform(side, lambda dx: F.struct(dy.alias("dy"), dx.alias("dx")))))
-    rows = standardise(pixels, "overall").select("rec_id", "t_idx", "y", "x", "v", F.explode(to).alias("o"))
+    rows = (pixels if nonneg else standardise(pixels, "overall")).select("rec_id", "t_idx", "y", "x", "v", F.explode(to).alias("o"))
     rows = rows.select("rec_id", "t_idx", (F.col("y") + F.col("o.dy")).alias("y"), (F.col("x") + F.col("o.dx")).alias("x"), (F.col("o.dy") * (2 * spatial + 1) + F.col("o.dx")).alias("o"), "v")
     centre, wide = 0, (2 * spatial + 1) ** 2
 
@@ -181,94 +276,199 @@ def shallow_denoise(pixels: DataFrame, spatial: int = 1, temporal: int = 4, loss
         if centre not in table:
             return pixel[["rec_id", "y", "x", "t_idx", "v"]].iloc[:0]
         y, n = table[centre].to_numpy(float), len(table)
+        fitted = -(-n // decimate)
+        if wide * 2 * temporal >= fitted / 4:
+            raise ValueError(f"{wide * 2 * temporal} weights are too many for {fitted} frames")
         padded = np.pad(table.to_numpy(float), ((temporal, temporal), (0, 0)))
         x = np.concatenate([padded[temporal + d : temporal + d + n] for d in range(-temporal, temporal + 1) if d], axis=1)
         x = np.column_stack([x, np.ones(n)]) if intercept else x
-        # Decimated rows train only where they are many more than the weights.
-        train = slice(None, None, decimate if wide * 2 * temporal < np.ceil(n / decimate) / 4 else 1)
-        w, a, b = np.ones(len(y[train])), x[train], y[train]
-        for _ in range(1 if loss == "mse" else 30):
-            root = np.sqrt(w)[:, None]
-            fit = np.linalg.lstsq(a * root, b * root[:, 0], rcond=None)[0]
-            if nonneg:
-                fit = np.maximum(fit, 0)
-            r = np.abs(a @ fit - b)
-            w = np.minimum(1.0, huber / np.maximum(r, 1e-9)) if loss == "huber" else 1 / np.maximum(r, 1e-6)
+        fit = _fit(x[::decimate], y[::decimate], loss, nonneg, huber)
         rec, py, px = (pixel[c].iloc[0] for c in ("rec_id", "y", "x"))
         return pd.DataFrame({"rec_id": [rec] * n, "y": [py] * n, "x": [px] * n, "t_idx": table.index.to_numpy(), "v": x @ fit})
 
     fitted = rows.groupBy("rec_id", "y", "x").applyInPandas(run, "rec_id string, y int, x int, t_idx long, v double")
-    return unstandardise(fitted, pixels, "overall")
+    return fitted if nonneg else unstandardise(fitted, pixels, "overall")
 
 
 def rbf(a: np.ndarray, b: np.ndarray, gamma: float) -> np.ndarray:
     return np.exp(-gamma * np.maximum((a * a).sum(1)[:, None] + (b * b).sum(1)[None] - 2 * a @ b.T, 0))
 
 
-def _support(rows: DataFrame, most: int) -> pd.DataFrame:
-    """A bounded set of training rows, spread over time."""
-    n = rows.count()
-    step = max(1, -(-n // most))
-    return rows.where(F.col("t_idx") % step == 0).orderBy("t_idx").limit(most).toPandas()
+def _centres(rows: DataFrame, most: int, column: str) -> np.ndarray:
+    """A bounded set of rows that span a kernel's space; the sums that fit a model run over all rows."""
+    picked = rows.orderBy(F.xxhash64("rec_id", "t_idx"), "rec_id", "t_idx").limit(most).select(column).collect()
+    return np.array([r[column] for r in picked], float)
+
+
+def _sums(rows: DataFrame, columns: Sequence[str], add: Callable[[dict[str, np.ndarray]], list[np.ndarray]]) -> list[np.ndarray]:
+    """Matrices that ``add`` makes of each batch's columns, summed over all rows."""
+
+    def run(batches):
+        total: list[np.ndarray] = []
+        for batch in batches:
+            if len(batch):
+                parts = add({c: np.stack(batch[c].to_numpy()).astype(float) for c in columns})
+                total = [t + p for t, p in zip(total, parts, strict=True)] if total else parts
+        for m, t in enumerate(total):
+            for i, tile in _tiles(t):
+                yield pd.DataFrame({"m": [m], "h": [len(t)], "i": [i], "a": [tile]})
+
+    found: dict[int, list] = {}
+    for r in summed_arrays(rows.select(*columns).mapInPandas(run, "m int, h int, i int, a array<double>"), ["m", "h", "i"]).collect():
+        found.setdefault(r["m"], []).append(r)
+    return [_untiled(found[m], found[m][0]["h"]) for m in sorted(found)]
+
+
+def _bounded(*arrays: np.ndarray) -> None:
+    if sum(a.nbytes for a in arrays) > MODEL_BYTES:
+        raise ValueError("the model is too large to send to every task: cut the movie into tiles, or take fewer centres")
+
+
+def _ridge_on_centres(gram: np.ndarray, target: np.ndarray, kernel: np.ndarray, alpha: float) -> np.ndarray:
+    """Kernel ridge weights of the centres from sums over all rows (Nystroem)."""
+    return np.linalg.lstsq(gram + alpha * kernel + 1e-10 * np.trace(gram) / len(gram) * np.eye(len(gram)), target, rcond=None)[0]
 
 
 def kernel_ridge(frames: DataFrame, k: int = 5, alpha: float = 0.01, support: int = 1000) -> DataFrame:
-    """Each frame from its k - 1 neighbours by kernel ridge regression fitted on at most ``support`` frames."""
+    """Each frame from its k - 1 neighbours by kernel ridge regression, fitted on all frames over the kernel's values at
+    ``support`` centres, a documented bound; with as many centres as frames it is the exact one."""
+    rows = embed_frames(frames, k, middle=False)
+    ((sx, nx, sy, ny),) = _sums(rows, ["window", "pix"], lambda b: [np.array([[b["window"].sum(), b["window"].size, b["pix"].sum(), b["pix"].size]])])[0]
+    mx, my = sx / nx, sy / ny
+    x = _centres(rows, support, "window") - mx
+    gamma = 1 / x.shape[1]
+
+    def add(batch):
+        at = rbf(batch["window"] - mx, x, gamma)
+        return [at.T @ at, at.T @ (batch["pix"] - my)]
+
+    gram, target = _sums(rows, ["window", "pix"], add)
+    dual = _ridge_on_centres(gram, target, rbf(x, x, gamma), alpha)
+    _bounded(x, dual)
+
+    def run(batches):
+        for batch in batches:
+            if len(batch):
+                out = rbf(np.stack(batch["window"]) - mx, x, gamma) @ dual + my
+                yield batch.drop(columns=["window"]).assign(pix=list(out))
+
+    return rows.mapInPandas(run, frames.select("rec_id", "t_idx", "h", "w", "pix").schema)
+
+
+def support_vectors(kernel: np.ndarray, y: np.ndarray, most: float, epsilon: float, sweeps: int = 200) -> np.ndarray:
+    """Dual weights of epsilon-insensitive regressions, a column each, by coordinates; the kernel includes the constant."""
+    dual = np.zeros_like(y)
+    for _ in range(sweeps):
+        moved = 0.0
+        for i in range(len(y)):
+            rest = y[i] - kernel[i] @ dual + kernel[i, i] * dual[i]
+            new = np.clip(np.sign(rest) * np.maximum(np.abs(rest) - epsilon, 0) / kernel[i, i], -most, most)
+            moved = max(moved, float(np.abs(new - dual[i]).max()))
+            dual[i] = new
+        if moved < 1e-8:
+            break
+    return dual
+
+
+def support_vector_frames(frames: DataFrame, k: int = 5, alpha: float = 0.01, decimate: int = 1, epsilon: float | None = None, most: int = 1000) -> DataFrame:
+    """Each frame from its k - 1 neighbours by support vector regressions, one a pixel, fitted on every ``decimate``-th frame:
+    fewer than ``most`` of them, or it is an error. The insensitive band is by default the tenth percentile of the fitted
+    pixels' deviations, the bound of the weights is 1 / alpha; the movie is standardised."""
     rows = embed_frames(frames, k, middle=False)
-    train = _support(rows, support)
-    x, y = np.stack(train["window"]), np.stack(train["pix"])
+    train = rows.where(F.col("t_idx") % decimate == 0).limit(most).select("window", "pix").collect()
+    if len(train) >= most:
+        raise ValueError(f"support vector regression takes fewer than {most} frames; decimate more")
+    x, y = np.array([r["window"] for r in train]), np.array([r["pix"] for r in train])
+    mean, scale = y.mean(), max(float(y.std()), 1e-12)
+    x, y = (x - mean) / scale, (y - mean) / scale
     gamma = 1 / x.shape[1]
-    mx, my = x.mean(), y.mean()
-    dual = np.linalg.solve(rbf(x - mx, x - mx, gamma) + alpha * np.eye(len(x)), y - my)
+    dual = support_vectors(rbf(x, x, gamma) + 1, y, 1 / alpha, float(np.percentile(y.std(axis=0), 10)) if epsilon is None else epsilon)
+    _bounded(x, dual)
 
     def run(batches):
         for batch in batches:
             if len(batch):
-                out = rbf(np.stack(batch["window"]) - mx, x - mx, gamma) @ dual + my
+                out = (rbf((np.stack(batch["window"]) - mean) / scale, x, gamma) + 1) @ dual * scale + mean
                 yield batch.drop(columns=["window"]).assign(pix=list(out))
 
     return rows.mapInPandas(run, frames.select("rec_id", "t_idx", "h", "w", "pix").schema)
 
 
-def kernel_pca(frames: DataFrame, k: int = 5, components: int = 32, alpha: float = 0.01, support: int = 500) -> DataFrame:
-    """(rec_id, y, x, t_idx, v): windows of k frames through kernel PCA and its ridge pre-image, averaged where they overlap."""
-    rows = embed_frames(frames, k, middle=True)
-    x = np.stack(_support(rows, support)["window"])
-    mean, std = x.mean(0), np.maximum(x.std(0), 1e-12)
-    x = (x - mean) / std
+def with_features(frames: DataFrame, features: DataFrame) -> DataFrame:
+    """Frames whose ``pix`` starts with the standardised features (rec_id, t_idx, x2) of their time."""
+    stats = features.select(F.posexplode("x2").alias("j", "x")).groupBy("j").agg(F.avg("x").alias("m"), F.stddev_pop("x").alias("s"))
+    stats = sorted(stats.collect())  # a row a feature
+    scaled = F.array(*[(F.get("x2", F.lit(j)) - m) / (s or 1.0) for j, m, s in stats])
+    return frames.join(features.select("rec_id", "t_idx", scaled.alias("_x2")), ["rec_id", "t_idx"]).withColumn("pix", F.concat("_x2", "pix")).select(frames.columns)
+
+
+def kernel_pca(frames: DataFrame, k: int = 5, components: int = 32, alpha: float = 0.01, support: int = 500, features: DataFrame | None = None) -> DataFrame:
+    """(rec_id, y, x, t_idx, v): windows of k frames through kernel PCA and its ridge pre-image, averaged where they overlap.
+
+    The kernel's space is spanned by ``support`` centres, a documented bound; means, deviations, the covariance of its codes
+    and the pre-image are sums over all windows. ``features`` (rec_id, t_idx, x2) join each frame's pixels as inputs."""
+    extra = features.select(F.size("x2")).first()[0] if features is not None else 0
+    rows = embed_frames(with_features(frames, features) if features is not None else frames, k, middle=True)
+    moments = _sums(rows, ["window"], lambda b: [np.stack([np.full(b["window"].shape[1], float(len(b["window"]))), b["window"].sum(0), (b["window"] ** 2).sum(0)])])[0]
+    n, mean = moments[0, 0], moments[1] / moments[0]
+    std = np.maximum(np.sqrt(np.maximum(moments[2] / n - mean**2, 0)), 1e-12)
+    x = (_centres(rows, support, "window") - mean) / std
     gamma = 1 / x.shape[1]
-    gram = rbf(x, x, gamma)
-    row, whole = gram.mean(0), gram.mean()
-    values, vectors = np.linalg.eigh(gram - row[None] - row[:, None] + whole)
-    keep = np.argsort(-values)[: min(components, int((values > 1e-10).sum()))]
-    scale = vectors[:, keep] / np.sqrt(values[keep])
-    codes = (gram - row[None] - row[:, None] + whole) @ scale
-    back_gamma = 1 / max(1, codes.shape[1])
-    dual = np.linalg.solve(rbf(codes, codes, back_gamma) + alpha * np.eye(len(codes)), x)
+    values, vectors = np.linalg.eigh(rbf(x, x, gamma))
+    kept = values > 1e-10
+    root = vectors[:, kept] / np.sqrt(values[kept])
+    inside = lambda window: rbf((window - mean) / std, x, gamma) @ root
+
+    def spread(batch):
+        z = inside(batch["window"])
+        return [z.sum(0)[None], z.T @ z]
+
+    total, square = _sums(rows, ["window"], spread)
+    middle = total[0] / n
+    values, axes = np.linalg.eigh(square / n - np.outer(middle, middle))
+    axes = axes[:, np.argsort(-values)[: min(components, max(1, int((values > 1e-12).sum())))]]
+    codes = (rbf(x, x, gamma) @ root - middle) @ axes
+    back_gamma = 1 / codes.shape[1]
+    at_codes = lambda window: rbf((inside(window) - middle) @ axes, codes, back_gamma)
+
+    def add(batch):
+        at = at_codes(batch["window"])
+        return [at.T @ at, at.T @ ((batch["window"] - mean) / std)]
+
+    gram, target = _sums(rows, ["window"], add)
+    dual = _ridge_on_centres(gram, target, rbf(codes, codes, back_gamma), alpha)
+    _bounded(x, root, dual)
 
     def run(batches):
         for batch in batches:
             if len(batch):
-                g = rbf((np.stack(batch["window"]) - mean) / std, x, gamma)
-                c = (g - g.mean(1)[:, None] - row[None] + whole) @ scale
-                out = (rbf(c, codes, back_gamma) @ dual) * std + mean
+                out = at_codes(np.stack(batch["window"]).astype(float)) @ dual * std + mean
                 yield batch.drop(columns=["window"]).assign(pix=list(out))
 
     kind = frames.select("rec_id", "t_idx", "h", "w", "pix").schema
-    wide = rows.mapInPandas(run, kind).select("rec_id", "t_idx", "w", (F.col("h") * F.col("w")).alias("n"), F.posexplode("pix").alias("p", "v"))
-    spread = wide.select("rec_id", (F.col("t_idx") + F.expr("p div n")).alias("t_idx"), F.expr("int((p % n) div w)").alias("y"), F.expr("int((p % n) % w)").alias("x"), "v")
-    return spread.groupBy("rec_id", "y", "x", "t_idx").agg(F.avg("v").alias("v"))
+    wide = rows.mapInPandas(run, kind).select("rec_id", "t_idx", "w", (F.col("h") * F.col("w") + extra).alias("n"), F.posexplode("pix").alias("p", "v"))
+    spread_out = wide.select("rec_id", (F.col("t_idx") + F.expr("p div n")).alias("t_idx"), "w", (F.expr("p % n") - extra).alias("q"), "v").where("q >= 0")
+    spread_out = spread_out.select("rec_id", "t_idx", F.expr("int(q div w)").alias("y"), F.expr("int(q % w)").alias("x"), "v")
+    return spread_out.groupBy("rec_id", "y", "x", "t_idx").agg(F.avg("v").alias("v"))
+
+
+#: Frames of a recording that one task puts into windows.
+FRAME_CHUNK = 1024
 
 
 def embed_frames(frames: DataFrame, k: int, middle: bool) -> DataFrame:
-    """Frames with ``window``, k of them in a row (whole windows), or the k - 1 around each, zeros outside."""
-    order = Window.partitionBy("rec_id").orderBy("t_idx")
+    """Frames with ``window``, k of them in a row (whole windows), or the k - 1 around each, zeros outside. A recording is cut
+    into chunks of time; frames near a border are in both chunks."""
+    back, ahead = (0, k - 1) if middle else (k // 2, k - k // 2 - 1)
+    first, last = (F.expr(f"greatest(t_idx - {ahead}, 0) div {FRAME_CHUNK}"), F.expr(f"(t_idx + {back}) div {FRAME_CHUNK}"))
+    rows = frames.select("rec_id", "t_idx", "h", "w", "pix").withColumn("_chunk", F.explode(F.sequence(first, last)))
+    order = Window.partitionBy("rec_id", "_chunk").orderBy("t_idx")
     if middle:
-        rows = frames.withColumn("window", F.collect_list("pix").over(order.rowsBetween(0, k - 1))).where(F.size("window") == k)
-        return rows.select("rec_id", "t_idx", "h", "w", "pix", F.flatten("window").alias("window"))
-    zeros = F.array_repeat(F.lit(0.0), F.col("h") * F.col("w"))
-    around = [F.coalesce(F.lag("pix", -o).over(order), zeros) for o in range(-(k // 2), k - k // 2) if o]
-    return frames.select("rec_id", "t_idx", "h", "w", "pix", F.concat(*around).alias("window"))
+        rows = rows.withColumn("window", F.collect_list("pix").over(order.rowsBetween(0, k - 1))).where(F.size("window") == k).withColumn("window", F.flatten("window"))
+    else:
+        zeros = F.array_repeat(F.lit(0.0), F.size("pix"))
+        rows = rows.withColumn("window", F.concat(*[F.coalesce(F.lag("pix", -o).over(order), zeros) for o in range(-back, ahead + 1) if o]))
+    return rows.where(F.expr(f"t_idx div {FRAME_CHUNK}") == F.col("_chunk")).drop("_chunk")
 
 
 def r2_score(rows: DataFrame, target: str, predicted: str) -> DataFrame:

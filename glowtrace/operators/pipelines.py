@@ -115,9 +115,12 @@ def watershed_regions(
 
 def drawn_regions(
     pixels: DataFrame, polygons: DataFrame, rate: float, height: int, width: int, projection="mean", bg_subtract: bool = True, filter_type: str | None = "gaussian", filter_before: bool = True,
-    filter_options: dict | None = None, window: float = 30,
+    filter_options: dict | None = None, window: float = 30, blur: dict | None = None,
 ) -> Regions:
-    """Regions given as polygons, and their traces; traces carry their region's id."""
+    """Regions given as polygons, and their traces; traces carry their region's id. ``blur`` smooths the projection that
+    weighs the regions' pixels."""
     image = project.projection(project.to_uint8(pixels), projection)
+    if blur is not None:
+        image = images.gaussian_blur(image, height, width, **blur)
     mask = images.rasterise(polygons, height, width)
     return _extracted(pixels, mask, image, rate, height, width, -1, bg_subtract, 0, filter_type, filter_before, filter_options or {"ksize": 0.08}, window)

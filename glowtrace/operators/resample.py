@@ -62,13 +62,13 @@ def psth(samples: DataFrame, events: DataFrame, before: float = 0.5, after: floa
     return found.drop("_k", "_at", "prev", "next")
 
 
-def trigger_times(voltage: DataFrame, time: Sequence[str] = ("Time(ms)",), value: Sequence[str] = ("trigger",), unit: float = 1e-3, offset: Column | float = 0.0) -> DataFrame:
-    """(ts, value) of a voltage table: blanks around its column names are ignored, exactly one of the alternative names must
+def trigger_times(voltage: DataFrame, time: Sequence[str] = ("Time(ms)",), value: Sequence[str] = ("trigger",), unit: float = 1e-3, offset: Column | float = 0.0, keep: Sequence[str] = ()) -> DataFrame:
+    """(keep, ts, value) of a voltage table: blanks around its column names are ignored, exactly one of the alternative names must
     exist, and times are scaled and moved by ``offset`` seconds."""
     named = voltage.toDF(*[c.strip() for c in voltage.columns])
     t, v = one_column(named, time), one_column(named, value)
     offset = offset if isinstance(offset, Column) else F.lit(float(offset))
-    return named.select((F.col(f"`{t}`").cast("double") * unit + offset).alias("ts"), F.col(f"`{v}`").cast("double").alias("value"))
+    return named.select(*keep, (F.col(f"`{t}`").cast("double") * unit + offset).alias("ts"), F.col(f"`{v}`").cast("double").alias("value"))
 
 
 def one_column(df: DataFrame, names: Sequence[str]) -> str:

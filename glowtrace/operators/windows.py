@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -73,16 +74,32 @@ def rolling_window(df: DataFrame, window: int, steps: int = 1, border: str | tup
     return rows.withColumn("_last", n).where((F.col("t_idx") >= 0) & (F.col("t_idx") <= F.col("_last")) & (F.col("t_idx") % steps == 0)).drop("_last")
 
 
+def rolling_nd(pixels: DataFrame, window: dict[str, int], origin_step: dict[str, int] | None = None, dilation: dict[str, int] | None = None, reducer: str = "max") -> DataFrame:
+    """(rec_id, t_idx, y, x, v): the reducer over the windows whose first corner is the row, whole windows only. ``window`` names
+    the axes (t_idx, y, x) and their sizes, a size of 0 skips its axis; ``dilation`` spaces a window's rows, 0 repeats one.
+    The reducer is an aggregate, or ``list`` for the values in order, the last named axis fastest. Each row is sent to the
+    windows that hold it, and windows are reduced before they are shuffled."""
+    step, spacing = origin_step or {}, dilation or {}
+    sizes = {axis: max(size, 1) for axis, size in window.items()}
+    if not set(sizes) <= {"t_idx", "y", "x"} or set(step) | set(spacing) > {"t_idx", "y", "x"}:
+        raise ValueError("axes are t_idx, y and x")
+    if min(window.values(), default=0) < 0 or min(spacing.values(), default=0) < 0 or min(step.values(), default=1) < 1:
+        raise ValueError("windows and dilations must be at least 0, steps at least 1")
+    places = list(itertools.product(*[range(n) for n in sizes.values()]))
+    moved = lambda axis, at: F.col(axis) - at.get(axis, 0) * spacing.get(axis, 1)
+    to = F.array(*[F.struct(*[moved(axis, dict(zip(sizes, place, strict=True))).alias(axis) for axis in ("t_idx", "y", "x")], F.lit(i).alias("i")) for i, place in enumerate(places)])
+    rows = pixels.select("rec_id", F.explode(to).alias("o"), "v").select("rec_id", "o.t_idx", "o.y", "o.x", "o.i", "v")
+    for axis in ("t_idx", "y", "x"):
+        rows = rows.where((F.col(axis) >= 0) & (F.col(axis) % step.get(axis, 1) == 0))
+    value = F.array_sort(F.collect_list(F.struct("i", "v")))["v"] if reducer == "list" else getattr(F, reducer)("v")
+    out = rows.groupBy("rec_id", "t_idx", "y", "x").agg(value.alias("v"), F.count("*").alias("n"))
+    return out.where(F.col("n") == len(places)).drop("n")
+
+
 def rolling_2d(pixels: DataFrame, window: tuple[int, int], origin_step: tuple[int, int] = (1, 1), dilation: tuple[int, int] = (1, 1), reducer: str = "max") -> DataFrame:
-    """(rec_id, t_idx, y, x, v): the reducer over dilated windows whose first corner is (y, x), whole windows only. Each pixel
-    is sent to the windows that hold it, and windows are reduced before they are shuffled."""
-    (h, w), (dy, dx), (sy, sx) = window, dilation, origin_step
-    if min(h, w, dy, dx, sy, sx) < 1:
-        raise ValueError("window, steps and dilation must be at least 1")
-    to = F.array(*[F.struct((F.col("y") - i * dy).alias("y"), (F.col("x") - j * dx).alias("x")) for i in range(h) for j in range(w)])
-    rows = pixels.select("rec_id", "t_idx", F.explode(to).alias("o"), "v").select("rec_id", "t_idx", "o.y", "o.x", "v").where(f"y >= 0 and x >= 0 and y % {sy} = 0 and x % {sx} = 0")
-    out = rows.groupBy("rec_id", "t_idx", "y", "x").agg(getattr(F, reducer)("v").alias("v"), F.count("*").alias("n"))
-    return out.where(F.col("n") == h * w).drop("n")
+    """``rolling_nd`` over the images."""
+    named = lambda pair: dict(zip(("y", "x"), pair, strict=True))
+    return rolling_nd(pixels, named(window), named(origin_step), named(dilation), reducer)
 
 
 def dilated_window(df: DataFrame, size: int, step: int, keys: Sequence[str] = KEYS, value: str = "f") -> DataFrame:

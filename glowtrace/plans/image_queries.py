@@ -114,6 +114,23 @@ def hamming_lowpass_mask(spark, sf):
     return src.pixels(spark, sf).withColumn("v", F.col("v") * fn.hamming_window(F.col("y"), F.col("x"), 8, 8, 1.5))
 
 
-@query("resize_frames")
+def axis_sql(name, n, m):
+    """Two source pixels and the share of the second for each of m places along an axis of n."""
+    return f"{name} AS (SELECT CAST(i AS INTEGER) AS i, CAST(least(floor(p), {n - 2}) AS INTEGER) AS lo, p - least(floor(p), {n - 2}) AS share FROM (SELECT i, greatest(0, least({n - 1}, (i + CAST(0.5 AS DOUBLE)) * {n} / {m} - CAST(0.5 AS DOUBLE))) AS p FROM (SELECT unnest(generate_series(0, {m - 1})) AS i)))"
+
+
+def resized_sql(height, width):
+    return f"""WITH {MOVIE}, {axis_sql('r', 8, height)}, {axis_sql('c', 8, width)}
+      SELECT m.t_idx, r.i AS y, c.i AS x, round(sum(m.v * CASE WHEN m.y = r.lo THEN 1 - r.share ELSE r.share END * CASE WHEN m.x = c.lo THEN 1 - c.share ELSE c.share END), 8) + 0 AS v
+      FROM m JOIN r ON m.y IN (r.lo, r.lo + 1) JOIN c ON m.x IN (c.lo, c.lo + 1) GROUP BY 1, 2, 3"""
+
+
+@query("resize_frames", resized_sql(16, 12))
 def resize_frames(spark, sf):
     return src.pixels_of(im.resize(src.frames(spark, sf), 16, 12))
+
+
+@query("resize_expand", resized_sql(24, 24))
+def resize_expand(spark, sf):
+    """The largest whole factor that 30 pixels have room for."""
+    return src.pixels_of(im.resize_by(src.frames(spark, sf), 8, 8, "expand", 30))

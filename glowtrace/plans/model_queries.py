@@ -1,5 +1,8 @@
 """Spectra, registration, fits and densities."""
 
+import warnings
+
+import numpy as np
 from pyspark.sql import functions as F
 
 from glowtrace import functions as fn
@@ -89,12 +92,14 @@ def ridge_predict(spark, sf):
     return md.neighbour_ridge(src.pixels(spark, sf).withColumn("v", F.col("v") - 100))
 
 
-@query("spatial_weights")
+@query("spatial_weights", """WITH d AS (SELECT vec_id AS t_idx, 100 + 10 * CAST(embedding[1] AS DOUBLE) AS p, 100 + 10 * CAST(embedding[2] AS DOUBLE) AS q, 100 + 10 * CAST(embedding[3] AS DOUBLE) AS y FROM embeddings),
+  s AS (SELECT sum(p * p) AS pp, sum(p * q) AS pq, sum(q * q) AS qq, sum(p * y) AS py, sum(q * y) AS qy FROM d)
+  SELECT t_idx, round((p * (py * qq - qy * pq) + q * (qy * pp - py * pq)) / (pp * qq - pq * pq), 5) + 0 AS v FROM d, s""")
 def spatial_weights(spark, sf):
     """The response from the first two pixels by least squares without an intercept."""
     rows = src.frames(spark, sf).select("t_idx", F.slice("pix", 1, 2).alias("xs"), F.col("pix")[2].alias("y"))
     w = md.spatial_weights(rows, "y", "xs", 2)
-    return rows.select("t_idx", (F.col("xs")[0] * float(w[0]) + F.col("xs")[1] * float(w[1])).alias("v"))
+    return rows.select("t_idx", F.round(F.col("xs")[0] * float(w[0]) + F.col("xs")[1] * float(w[1]), 5).alias("v"))
 
 
 @query("temporal_filter")
@@ -116,14 +121,27 @@ def kernel_pca(spark, sf):
     return md.kernel_pca(src.frames(spark, sf), support=200)
 
 
+@query("kernel_pca_features")
+def kernel_pca_features(spark, sf):
+    """With each frame's label as an input beside its pixels."""
+    labels = src.table(spark, sf, "embeddings").select(F.lit("r0").alias("rec_id"), F.col("vec_id").cast("long").alias("t_idx"), F.array(F.col("label").cast("double")).alias("x2"))
+    return md.kernel_pca(src.frames(spark, sf), support=200, features=labels)
+
+
 @query("shallow_denoise")
 def shallow_denoise(spark, sf):
-    return md.shallow_denoise(src.pixels(spark, sf), temporal=2)
+    return md.shallow_denoise(src.pixels(spark, sf), temporal=2, decimate=3)
 
 
 @query("shallow_denoise_huber")
 def shallow_denoise_huber(spark, sf):
-    return md.shallow_denoise(src.pixels(spark, sf), temporal=1, loss="huber")
+    return md.shallow_denoise(src.pixels(spark, sf), temporal=1, loss="huber", decimate=5)
+
+
+@query("shallow_denoise_kl")
+def shallow_denoise_kl(spark, sf):
+    """Weights of at least 0 by the divergence, on the movie as it is."""
+    return md.shallow_denoise(src.pixels(spark, sf), temporal=1, loss="kl", nonneg=True, decimate=5)
 
 
 @query("pca_denoise")
@@ -131,25 +149,79 @@ def pca_denoise(spark, sf):
     return src.pixels_of(md.pca_denoise(src.frames(spark, sf), 10))
 
 
-@query("mean_spectrum")
+#: The centred spectra of the first 300 frames as SQL, a row a frequency: the mean of 20 ln of its magnitude.
+SPECTRUM = f"""{MOVIE}, w AS (SELECT j, cos(2 * pi() * j / 8) AS c, sin(2 * pi() * j / 8) AS s FROM (SELECT unnest(generate_series(0, 7)) AS j)),
+  g AS (SELECT CAST(u AS INTEGER) AS y, CAST(v AS INTEGER) AS x FROM (SELECT unnest(generate_series(0, 7)) AS u), (SELECT unnest(generate_series(0, 7)) AS v)),
+  ft AS (SELECT m.t_idx, g.y, g.x, sum(m.v * w.c) AS re, sum(m.v * w.s) AS im FROM m, g, w WHERE m.t_idx < 300 AND w.j = ((g.y + 4) * m.y + (g.x + 4) * m.x) % 8 GROUP BY 1, 2, 3),
+  sp AS (SELECT y, x, avg(20 * ln(sqrt(re * re + im * im))) AS v FROM ft GROUP BY 1, 2)"""
+
+
+@query("mean_spectrum", f"WITH {SPECTRUM} SELECT y, x, round(v, 5) + 0 AS v FROM sp")
 def mean_spectrum(spark, sf):
-    return sp.mean_spectrum(src.frames(spark, sf))
+    return sp.mean_spectrum(src.frames(spark, sf)).withColumn("v", F.round("v", 5))
+
+
+#: A spectrum that falls by half with each step from its centre has no other peak than that.
+FALLING = np.real(np.fft.ifft(np.fft.ifftshift(0.5 ** np.abs(np.arange(-4, 4)))))
+PATTERN = np.outer(FALLING, FALLING)
+
 
+def striped_frames(spark, sf):
+    """Frames of one smooth pattern and one diagonal stripe, as strong as the first two values of each vector say."""
+    pattern = F.array(*[F.lit(float(v)) for v in PATTERN.ravel()])
+    y, x = np.mgrid[:8, :8]
+    stripe = F.array(*[F.lit(float(v)) for v in np.cos(np.pi * 3 * (y + x) / 4).ravel()])
+    one, two = (F.get("embedding", F.lit(i)).cast("double") for i in (0, 1))
+    pix = F.zip_with(pattern, stripe, lambda p, q: F.lit(100.0) + (F.lit(30.0) + one) * p + (F.lit(5.0) + two) * q)
+    return src.table(spark, sf, "embeddings").select(F.lit("r0").alias("rec_id"), F.col("vec_id").cast("long").alias("t_idx"), F.lit(8).alias("h"), F.lit(8).alias("w"), pix.alias("pix"))
 
-@query("notch_frames")
+
+def spectrally_masked_sql(source, mask, name):
+    """CTEs for the magnitude of a movie whose centred spectrum is multiplied by a mask, an expression of u and v: a circular
+    convolution with the mask's own transform."""
+    return f"""{name}_h AS (SELECT a, b, sum(m * cos(2 * pi() * ((u + 4) * a + (v + 4) * b) / 8)) / 64 AS hr, sum(m * sin(2 * pi() * ((u + 4) * a + (v + 4) * b) / 8)) / 64 AS hi
+        FROM (SELECT u, v, {mask} AS m FROM axis u_(u), axis v_(v)), axis a_(a), axis b_(b) GROUP BY 1, 2),
+      {name} AS (SELECT p.t_idx, CAST((p.y + a) % 8 AS INTEGER) AS y, CAST((p.x + b) % 8 AS INTEGER) AS x, sqrt(pow(sum(p.v * hr), 2) + pow(sum(p.v * hi), 2)) AS v FROM {source} p, {name}_h GROUP BY 1, 2, 3)"""
+
+
+AXIS = "axis AS (SELECT unnest(generate_series(0, 7)) AS n)"
+STRIPED = f"""{AXIS}, pattern AS (SELECT CAST((i - 1) // 8 AS INTEGER) AS y, CAST((i - 1) % 8 AS INTEGER) AS x, ({[float(v) for v in PATTERN.ravel()]})[i] AS p FROM (SELECT unnest(generate_series(1, 64)) AS i)),
+  m AS (SELECT vec_id AS t_idx, y, x, 100 + (30 + CAST(embedding[1] AS DOUBLE)) * p + (5 + CAST(embedding[2] AS DOUBLE)) * cos(pi() * 3 * (y + x) / 4) AS v FROM embeddings, pattern)"""
+ONE, TWO = "sqrt(pow(u - 1, 2) + pow(v - 1, 2))", "sqrt(pow(u - 7, 2) + pow(v - 7, 2))"
+
+
+@query("notch_frames", f"WITH {STRIPED}, {spectrally_masked_sql('m', f'pow(1 - exp(-0.5 * {ONE} * {TWO}), 2)', 'out')} SELECT t_idx, y, x, round(v, 6) + 0 AS v FROM out")
 def notch_frames(spark, sf):
-    return src.pixels_of(sp.remove_artifact(src.frames(spark, sf), 8, 8, d0=1, tolerance=1, edge=0, relative=4))
+    return src.pixels_of(sp.remove_artifact(striped_frames(spark, sf), 8, 8, d0=1, tolerance=1, edge=0, relative=2)).withColumn("v", F.round("v", 6))
+
+
+HAMMING = " * ".join(f"(CAST(0.54 AS DOUBLE) - CAST(0.46 AS DOUBLE) * cos(2 * pi() * {c} / 7))" for c in "uv")
+
+
+def stretched_sql(source, name):
+    return f"{name} AS (SELECT t_idx, y, x, (v - (SELECT min(v) FROM {source})) / ((SELECT max(v) FROM {source}) - (SELECT min(v) FROM {source})) * ((SELECT max(v) FROM m) - (SELECT min(v) FROM m)) + (SELECT min(v) FROM m) AS v FROM {source})"
+
 
+BANDS = {
+    "notch": ({"d0": 0.5, "tolerance": 1, "edge": 0, "relative": 2}, f"WITH {STRIPED}, {spectrally_masked_sql('m', f'CASE WHEN {ONE} > 0.5 AND {TWO} > 0.5 THEN 1 ELSE 0 END', 'out')} SELECT t_idx, y, x, round(v, 6) + 0 AS v FROM out"),
+    "boxes": ({"sep": 1, "surround": 2, "tolerance": 1, "edge": 0, "relative": 2}, None),
+    "lowpass": ({}, f"WITH {STRIPED}, {spectrally_masked_sql('m', f'sqrt({HAMMING})', 'f1')}, {stretched_sql('f1', 's1')}, {spectrally_masked_sql('s1', f'sqrt({HAMMING})', 'f2')}, {stretched_sql('f2', 's2')} SELECT t_idx, y, x, round(v, 6) + 0 AS v FROM s2"),
+    "bandpass": ({"subtract": True}, f"WITH {STRIPED}, {spectrally_masked_sql('m', f'sqrt({HAMMING}) - {HAMMING}', 'f1')}, {stretched_sql('f1', 's1')} SELECT t_idx, y, x, round(v, 6) + 0 AS v FROM s1"),
+}
 
-for mode in ("notch", "boxes", "lowpass"):
+for mode, (options, sql) in BANDS.items():
 
-    @query(f"remove_bands_{mode}")
-    def remove_bands(spark, sf, mode=mode):
-        options = {"notch": {"d0": 1, "tolerance": 1, "edge": 0, "relative": 4}, "boxes": {"sep": 1, "surround": 2, "tolerance": 1, "edge": 0, "relative": 4}, "lowpass": {}}[mode]
-        return src.pixels_of(sp.remove_bands(src.frames(spark, sf), 8, 8, repeats=2, mode=mode, **options))
+    @query(f"remove_bands_{mode}", sql)
+    def remove_bands(spark, sf, mode=mode, options=options):
+        """Several passes; the second finds the notches empty and warns."""
+        repeats = 1 if mode in ("bandpass", "boxes") else 2
+        with warnings.catch_warnings():
+            warnings.filterwarnings("ignore", message=".*0 peaks instead of 2")
+            return src.pixels_of(sp.remove_bands(striped_frames(spark, sf), 8, 8, repeats=repeats, mode="lowpass" if mode == "bandpass" else mode, **options)).withColumn("v", F.round("v", 6))
 
 
-@query("max_frequency")
+@query("max_frequency", f"""WITH {SPECTRUM}, pk AS (SELECT a.y, a.x FROM sp a JOIN sp b ON b.y IN (a.y, greatest(a.y - 1, 0)) AND b.x IN (a.x, greatest(a.x - 1, 0)) GROUP BY a.y, a.x, a.v HAVING a.v >= max(b.v))
+  SELECT {r8('max(sqrt(pow((y - 4) / CAST(8 AS DOUBLE), 2) + pow((x - 4) / CAST(8 AS DOUBLE), 2)))', 'v')} FROM pk""")
 def max_frequency(spark, sf):
     return sp.max_frequency(src.frames(spark, sf), 8, 8, edge=0)
 

@@ -130,6 +130,12 @@ def rolling_2d_max(spark, sf):
     return w.rolling_2d(src.pixels(spark, sf), (2, 3), origin_step=(1, 2), dilation=(2, 1))
 
 
+@query("rolling_nd_mean", f"WITH {MOVIE} SELECT a.t_idx, a.y, a.x, {r8('avg(b.v)', 'v')} FROM m a JOIN m b ON b.t_idx - a.t_idx IN (0, 3) AND b.y = a.y AND b.x - a.x IN (0, 1) WHERE a.t_idx % 2 = 0 GROUP BY 1, 2, 3 HAVING count(*) = 4")
+def rolling_nd_mean(spark, sf):
+    """Windows over time and columns; rows are skipped."""
+    return w.rolling_nd(src.pixels(spark, sf), {"t_idx": 2, "y": 0, "x": 2}, {"t_idx": 2}, {"t_idx": 3}, "avg")
+
+
 @query("delay_embed", f"WITH {MOVIE}, l AS (SELECT *, list(v) OVER (PARTITION BY y, x ORDER BY t_idx ROWS BETWEEN CURRENT ROW AND 4 FOLLOWING) AS w FROM m) SELECT {ALL}, {r8('list_sum(w)', 'total')}, {r8('w[5]', 'tail')} FROM l WHERE len(w) = 5")
 def delay_embed(spark, sf):
     rows = w.delay_embed(src.pixels(spark, sf), 5)

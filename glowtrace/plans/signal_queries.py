@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from glowtrace.functions import gaussian_kernel, savgol_kernel
 from glowtrace.operators import filters as fl
 from glowtrace.operators import resample as rs
-from glowtrace.plans.catalogue import SECONDS, TRACES, query, r8
+from glowtrace.plans.catalogue import SECONDS, TRACES, filtered_sql, query, r8, zero_phase_sql
 from glowtrace.plans.trace_queries import REFLECTED
 from glowtrace.sources import tables as src
 
@@ -90,21 +90,40 @@ def preprocess_plain(spark, sf):
     return fl.preprocess(src.traces(spark, sf), rate=1.0, factor=1, start=86400, end=864000)
 
 
-@query("preprocess_decimated")
+def rounded(df):
+    """Recursions add up rounding errors: four digits are compared."""
+    return df.withColumn("f", F.round("f", 4))
+
+
+DECIMATING = fl.chebyshev_lowpass(8, 0.05, 0.8 / 4)
+
+
+@query("preprocess_decimated", f"""WITH RECURSIVE {TRACES}, {zero_phase_sql(*DECIMATING, fl.steady_state(*DECIMATING))},
+  d AS (SELECT zp.roi_id, zp.t_idx // 4 AS t_idx, t.ts, zp.f FROM zp JOIN t USING (roi_id, t_idx) WHERE zp.t_idx % 4 = 0 AND t.ts >= 0),
+  a AS (SELECT *, avg(f) OVER (PARTITION BY roi_id) AS mean FROM d) SELECT roi_id, t_idx, {r8('ts', 'ts')}, round(f - mean, 4) + 0 AS f, round(mean, 4) + 0 AS mean FROM a""")
 def preprocess_decimated(spark, sf):
-    return fl.preprocess(src.traces(spark, sf), rate=1.0, factor=4)
+    return rounded(fl.preprocess(src.traces(spark, sf), rate=1.0, factor=4)).withColumn("mean", F.round("mean", 4))
 
 
-@query("butter_lowpass")
+LOWPASS, BANDPASS, BANDSTOP = fl.butter_lowpass(0.1, 1.0), fl.butter_bandpass(0.05, 0.2, 1.0, 3), fl.butter_bandstop(0.25 - 0.05 / 2, 0.25 + 0.05 / 2, 1.0, 2)
+
+
+@query("butter_lowpass", f"WITH RECURSIVE {TRACES}, {zero_phase_sql(*LOWPASS, fl.steady_state(*LOWPASS))} SELECT roi_id, t_idx, round(f, 4) + 0 AS f FROM zp")
 def butter_lowpass(spark, sf):
-    return fl.lowpass(src.traces(spark, sf), 0.1, 1.0)
+    return rounded(fl.lowpass(src.traces(spark, sf), 0.1, 1.0))
+
+
+@query("butterworth_smooth", f"WITH RECURSIVE {TRACES}, {zero_phase_sql(*LOWPASS, fl.steady_state(*LOWPASS))} SELECT roi_id, t_idx, round(f, 4) + 0 AS f FROM zp")
+def butterworth_smooth(spark, sf):
+    """The named filter with its kernel in seconds."""
+    return rounded(fl.filter_traces(src.traces(spark, sf), 1.0, "butterworth", ksize=10.0))
 
 
-@query("butter_bandpass")
+@query("butter_bandpass", f"WITH RECURSIVE {TRACES}, {zero_phase_sql(*BANDPASS, fl.steady_state(*BANDPASS))} SELECT roi_id, t_idx, round(f, 4) + 0 AS f FROM zp")
 def butter_bandpass(spark, sf):
-    return fl.bandpass(src.traces(spark, sf), 0.05, 0.2, 1.0, order=3)
+    return rounded(fl.bandpass(src.traces(spark, sf), 0.05, 0.2, 1.0, order=3))
 
 
-@query("notch_filter")
+@query("notch_filter", f"WITH RECURSIVE {TRACES}, q AS MATERIALIZED (SELECT roi_id, t_idx AS i, f AS x FROM t), {filtered_sql(*BANDSTOP, 'q', 'one')} SELECT roi_id, i AS t_idx, round(y, 4) + 0 AS f FROM one")
 def notch_filter(spark, sf):
-    return fl.notch_filter(src.traces(spark, sf), dt=1.0, band=0.05, freq=0.25)
+    return rounded(fl.notch_filter(src.traces(spark, sf), dt=1.0, band=0.05, freq=0.25))

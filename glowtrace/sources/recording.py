@@ -185,8 +185,18 @@ def read_tiffs(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(decode, "rec_id string, filename string, h int, w int, pix array<double>")
 
 
-def read_voltage(spark: SparkSession, path: str, offset: float = 0.0, time: Sequence[str] = ("Time(ms)",), value: Sequence[str] = ("trigger",)) -> DataFrame:
-    return trigger_times(spark.read.option("header", True).csv(path), time, value, offset=offset)
+def read_voltage(spark: SparkSession, path: str, offset: float | dict[str, float] = 0.0, time: Sequence[str] = ("Time(ms)",), value: Sequence[str] = ("trigger",)) -> DataFrame:
+    """(ts, value) of voltage tables moved by ``offset`` seconds; with an offset for each recording, (rec_id, ts, value), the
+    recording being the table's folder, or the only one there is."""
+    rows = spark.read.option("header", True).csv(path)
+    if not isinstance(offset, dict):
+        return trigger_times(rows, time, value, offset=offset)
+    rec = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2) if len(offset) > 1 else F.lit(next(iter(offset), None))
+    rows = rows.withColumn("_rec", F.url_decode(rec) if len(offset) > 1 else rec)
+    moved = F.lit(None).cast("double")
+    for name, seconds in offset.items():
+        moved = F.when(F.col("_rec") == name, F.lit(float(seconds))).otherwise(moved)
+    return trigger_times(rows, time, value, offset=moved, keep=("_rec",)).withColumnRenamed("_rec", "rec_id")
 
 
 @dataclass(frozen=True)
@@ -214,13 +224,13 @@ def load_recording(spark: SparkSession, folder: str, channel: int | None = None,
     )
     triggers = None
     if voltage:
-        offset = 0.0
-        if absolute_trigger_time:
-            row = known.where("key = 'absoluteTimeVin'").select(F.expr("try_cast(value as double)").alias("o")).first()
-            if row is None or row["o"] is None:
-                raise RecordingError("the recording has no absolute voltage time")
-            offset = row["o"]
-        triggers = read_voltage(spark, voltage, offset)
+        # Every recording's own offset, a row each.
+        offsets = {r["rec_id"]: r["o"] for r in known.where("key = 'absoluteTimeVin'").select("rec_id", F.expr("try_cast(value as double)").alias("o")).collect()}
+        recs = sorted(r["rec_id"] for r in first.select("rec_id").collect())
+        missing = [r for r in recs if offsets.get(r) is None] if absolute_trigger_time else []
+        if missing:
+            raise RecordingError(f"no absolute voltage time: {missing[:20]}")
+        triggers = read_voltage(spark, voltage, {r: offsets[r] if absolute_trigger_time else 0.0 for r in recs})
     return Recording(frames, facts, known, triggers)
 
 

@@ -170,9 +170,132 @@ def test_regressions_recover_structure(spark):
     px = pixels_of(f)
     got = {(r["y"], r["x"], r["t_idx"]): r["v"] for r in md.neighbour_ridge(px, 5, 1e-6).collect()}
     assert all(abs(got[0, 0, int(i)] - (5 + np.sin(i / 6))) < 0.05 for i in t[5:-5])
-    for loss in ("mse", "mae", "huber"):
-        out = {(r["y"], r["x"], r["t_idx"]): r["v"] for r in md.shallow_denoise(px, 1, 2, loss=loss).collect()}
-        assert all(abs(out[1, 1, int(i)] - (5 + np.sin(i / 6))) < 0.05 for i in t[5:-5])
+    for loss, nonneg in (("mse", False), ("mae", False), ("huber", False), ("mse", True), ("kl", True)):
+        out = {(r["y"], r["x"], r["t_idx"]): r["v"] for r in md.shallow_denoise(px, 0, 2, loss=loss, decimate=3, nonneg=nonneg).collect()}
+        assert all(abs(out[1, 1, int(i)] - (5 + np.sin(i / 6))) < (0.2 if nonneg else 0.05) for i in t[5:-5])
+    with pytest.raises(Exception, match="too many"):
+        md.shallow_denoise(px, 1, 2).collect()
+    with pytest.raises(ValueError):
+        md.shallow_denoise(px, 1, 2, loss="kl")
+
+
+def test_nonnegative_fits():
+    rng = np.random.default_rng(1)
+    a = rng.random((80, 5))
+    true = np.array([1.0, 0, 2, 0, 0.5])
+    assert np.allclose(md.nonnegative_least_squares(a, a @ true), true, atol=1e-5)
+    assert np.allclose(md.divergence_fit(a, a @ true), true, atol=1e-3)
+    b = a @ np.array([1.0, -1, 1, 0, 0]) + 2
+    for fit in (md.nonnegative_least_squares(a, b), md.divergence_fit(a, b)):
+        assert (fit >= 0).all()
+    near = md.nonnegative_least_squares(a, b)
+    assert all(np.sum((a @ near - b) ** 2) <= np.sum((a @ np.maximum(near + d, 0) - b) ** 2) + 1e-9 for d in rng.normal(size=(50, 5)) * 0.01)
+
+
+def kernel_rows(movie, k):
+    n = len(movie)
+    padded = np.pad(movie, ((k // 2, k // 2), (0, 0)))
+    return np.stack([np.concatenate([padded[i + j] for j in range(k) if j != k // 2]) for i in range(n)])
+
+
+def test_kernel_ridge_on_all_frames(spark, monkeypatch):
+    """With a centre for each frame it is the exact kernel ridge; with fewer, all frames still shape the fit."""
+    monkeypatch.setattr(md, "FRAME_CHUNK", 16)
+    rng = np.random.default_rng(5)
+    movie = np.sin(np.arange(50)[:, None] / 4 + np.arange(4)[None]) + rng.normal(size=(50, 4)) * 0.05
+    f = frames(spark, [m.reshape(2, 2) for m in movie])
+    x = kernel_rows(movie, 5)
+    mx, my = x.mean(), movie.mean()
+    gram = md.rbf(x - mx, x - mx, 1 / x.shape[1])
+    want = gram @ np.linalg.solve(gram + 0.01 * np.eye(50), movie - my) + my
+    got = movie_of(md.kernel_ridge(f, support=50), 2, 2).reshape(50, 4)
+    assert np.abs(got - want).max() < 1e-3
+    few = movie_of(md.kernel_ridge(f, support=12), 2, 2).reshape(50, 4)
+    assert np.abs(few - movie).mean() < 0.3 * np.abs(movie - movie.mean(0)).mean()
+    changed = movie.copy()
+    changed[20:24] += 1.0
+    other = movie_of(md.kernel_ridge(frames(spark, [m.reshape(2, 2) for m in changed]), support=12), 2, 2)
+    assert not np.allclose(other.reshape(50, 4)[:10], few[:10])
+
+
+def test_kernel_pca_denoises_and_takes_features(spark, monkeypatch):
+    monkeypatch.setattr(md, "FRAME_CHUNK", 16)
+    rng = np.random.default_rng(6)
+    clean = np.sin(np.arange(60)[:, None] / 5 + np.arange(4)[None])
+    f = frames(spark, [m.reshape(2, 2) for m in clean + rng.normal(size=clean.shape) * 0.2])
+    features = spark.createDataFrame([("r", i, [float(np.sin(i / 5)), 1.0]) for i in range(60)], "rec_id string, t_idx long, x2 array<double>")
+    for x2 in (None, features):
+        got = movie_of(frames_of(md.kernel_pca(f, k=3, components=4, support=40, features=x2)), 2, 2).reshape(60, 4)
+        assert np.abs(got - clean).mean() < 0.13
+
+
+def test_support_vectors(spark):
+    t = np.arange(90)
+    f = frames(spark, [np.full((1, 2), np.sin(i / 6)) for i in t])
+    got = movie_of(md.support_vector_frames(f, k=3, epsilon=0.01, decimate=2), 1, 2)[:, 0, 0]
+    assert np.abs(got - np.sin(t / 6))[2:-2].max() < 0.1
+    with pytest.raises(ValueError, match="fewer than"):
+        md.support_vector_frames(f, k=3, most=50)
+
+
+def test_low_rank_by_random_mixtures(spark):
+    """More pixels than kept columns: the leading components are those of the covariance."""
+    rng = np.random.default_rng(12)
+    movie = rng.normal(size=(200, 3)) * [9, 5, 3] @ np.linalg.qr(rng.normal(size=(100, 3)))[0].T + 4 + rng.normal(size=(200, 100)) * 0.05
+    got = movie_of(md.pca_denoise(frames(spark, [m.reshape(10, 10) for m in movie]), 3, oversample=5), 10, 10).reshape(200, 100)
+    centred = movie - movie.mean(0)
+    v = np.linalg.svd(centred, full_matrices=False)[2][:3]
+    assert np.abs(got - (movie.mean(0) + centred @ v.T @ v)).max() < 1e-3
+
+
+def test_recursion_by_blocks_is_the_recursion():
+    rng = np.random.default_rng(13)
+    for (b, a), n in zip((fl.butter_lowpass(0.1, 1.0, 5), fl.butter_bandstop(0.2, 0.3, 1.0, 2), fl.chebyshev_lowpass(8, 0.05, 0.2)), (1, 300, 129), strict=True):
+        x, zi = rng.normal(size=n), fl.steady_state(b, a)
+        z, want = np.append(zi * x[0], 0.0), []
+        for v in x:
+            want.append(b[0] * v + z[0])
+            z[:-1] = z[1:] + b[1:] * v - a[1:] * want[-1]
+        assert np.allclose(fl.lfilter(b, a, x, zi * x[0]), want)
+
+
+def test_band_filters_with_zeros_around_and_two_recordings(spark):
+    y, x = np.mgrid[:64, :64]
+    base = 5 * np.exp(-((y - 30) ** 2 + (x - 33) ** 2) / 200)
+    stripe = 2 * np.cos(2 * np.pi * (20 * y + 12 * x) / 64)
+    rows = [(r, i, 64, 64, (base + s).ravel().tolist()) for r, s in (("a", stripe), ("b", 0 * stripe)) for i in range(2)]
+    both = spark.createDataFrame(rows, "rec_id string, t_idx long, h int, w int, pix array<double>")
+    with pytest.warns(UserWarning, match="b: "):
+        out = sp.remove_artifact(both, 64, 64, d0=2, kind="ideal")
+    assert np.abs(movie_of(out.where("rec_id = 'a'"), 64, 64) - base).max() < 0.2
+    assert np.allclose(movie_of(out.where("rec_id = 'b'"), 64, 64), base)
+    wide = sp.remove_bands(both, 64, 64, repeats=1, mode="lowpass", zeropad=4, subtract=True)
+    assert movie_of(wide.where("rec_id = 'a'"), 64, 64).shape == (2, 64, 64)
+
+
+def test_a_retry_finds_another_mode():
+    """Doubling the samples changes the bandwidth, so what failed once can succeed."""
+    tried = []
+    data = np.array([1.0, 2.0, 2.1, 2.2, 5.0])
+    old = kde.density
+    try:
+        kde.density = lambda d: tried.append(len(d)) or (old(d) if len(d) > 5 else None)
+        q, value = kde.mode_percentile(data)
+    finally:
+        kde.density = old
+    assert tried[:2] == [5, 10] and 0 <= q <= 100 and 1 <= value <= 5
+    once, twice = kde.density(np.repeat(data, 40)), kde.density(np.tile(np.repeat(data, 40), 4))
+    assert not np.allclose(once[1], twice[1])
+
+
+def test_resizing_by_whole_factors(spark):
+    f = frames(spark, [np.arange(12.0).reshape(3, 4)])
+    assert movie_of(im.resize_by(f, 3, 4, None), 3, 4).shape == (1, 3, 4)
+    assert im.resize_by(f, 3, 4, "expand", 13).first()["h"] == 9 and im.resize_by(f, 3, 4, "full", 6).first()["w"] == 6
+    assert im.resize_by(f, 3, 4, "expand", 7) is f
+    for mode, size in (("expand", 3), ("other", 9)):
+        with pytest.raises(ValueError):
+            im.resize_by(f, 3, 4, mode, size)
 
 
 def test_filter_estimator(spark):

@@ -46,7 +46,8 @@ def test_volume_recording(spark, folder):
     assert (facts["rate"], facts["fov_x"], facts["fov_y"], facts["imaging_offset"]) == (2.0, 8.0, 9.0, 0.5)
     known = {x["key"]: x["value"] for x in r.settings.collect()}
     assert known["posZ0"] == "7" and known["gain"] == "1" and known["type"] == "x" and "cycle" not in known
-    assert [tuple(x) for x in r.triggers.collect()] == [(2.5, 0.5), (3.5, 4.5)]
+    assert [(x["ts"], x["value"]) for x in r.triggers.collect()] == [(2.5, 0.5), (3.5, 4.5)]
+    assert {x["rec_id"] for x in r.triggers.collect()} == {x["rec_id"] for x in r.facts.collect()}
 
 
 def test_channel_rules(spark, folder):

@@ -95,3 +95,16 @@ def test_background_keeps_the_minimum(spark):
     bg = spark.createDataFrame([("r", i, float(v)) for i, v in enumerate([1, 2, 3])], "rec_id string, t_idx long, f double")
     assert values(t.subtract_background(a, bg), "f") == [6.0, 7.0, 5.0]
     assert pd.Series(values(t.subtract_background(a, bg), "f")).min() == 5.0
+
+
+def test_windows_over_named_axes(spark):
+    cells = np.random.default_rng(2).normal(size=(4, 3, 5))
+    pixels = spark.createDataFrame([("r", t, y, x, float(cells[t, y, x])) for t, y, x in np.ndindex(cells.shape)], "rec_id string, t_idx long, y int, x int, v double")
+    got = {(r["t_idx"], r["y"], r["x"]): r["v"] for r in w.rolling_nd(pixels, {"t_idx": 2, "y": 0, "x": 3}, {"x": 2}, {"t_idx": 2}, "list").collect()}
+    want = {(t, y, x): cells[[t, t + 2], y][:, x : x + 3].ravel().tolist() for t in range(2) for y in range(3) for x in (0, 2)}
+    assert got == want
+    repeated = w.rolling_nd(pixels, {"x": 2}, dilation={"x": 0}, reducer="list").where("t_idx = 0 and y = 0 and x = 1").first()["v"]
+    assert repeated == [cells[0, 0, 1]] * 2
+    for wrong in ({"window": {"z": 2}}, {"window": {"x": -1}}, {"window": {"x": 2}, "origin_step": {"x": 0}}):
+        with pytest.raises(ValueError):
+            w.rolling_nd(pixels, **wrong)
