@@ -6,6 +6,7 @@ import re
 import tempfile
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -127,6 +128,8 @@ def small_batches(spark: SparkSession) -> None:
 
 #: The inner key of a row: rows that repeat an id are decided, joined and dropped by it.
 ROW = "_glow_row"
+#: Files whose rows are numbered where they lie, and the most rows of one of them.
+MOST_FILES, FILE_ROWS = 10_000, 1 << 40
 
 
 def with_row_key(docs: DataFrame) -> DataFrame:
@@ -134,6 +137,29 @@ def with_row_key(docs: DataFrame) -> DataFrame:
     return docs.withColumn(ROW, F.monotonically_increasing_id())
 
 
+def with_stable_keys(docs: DataFrame, scratch: Scratch) -> DataFrame:
+    """``docs`` with an inner key for each row that is the same each time it is read.
+
+    The rows of Parquet files, read as they are, are numbered by their file and their place in it. All else, and what comes
+    from very many files, is written with its keys and read from there."""
+    if ROW in docs.columns:
+        return docs
+    copy = lambda: scratch.save(with_row_key(docs), "rows")
+    try:
+        placed = docs.select("*", F.col("_metadata.file_path").alias("_path"), F.col("_metadata.row_index").alias("_index"))
+    except AnalysisException:
+        return copy()
+    at = F.col("_index").cast("decimal(38,0)")
+    files = placed.groupBy("_path").agg(F.count("*").alias("n"), F.max("_index").alias("last"), F.sum(at).alias("one"), F.sum(at * at).alias("two")).limit(MOST_FILES + 1).collect()
+    # Each place of each file once: nothing was dropped, repeated or made up after the files were read.
+    whole = all(f.n == f.last + 1 and f.one == f.n * (f.n - 1) // 2 and f.two == (f.n - 1) * f.n * (2 * f.n - 1) // 6 for f in files if f._path is not None)
+    if not whole or len(files) > MOST_FILES or any(f._path is None or f.n > FILE_ROWS for f in files):
+        return copy()
+    numbers = docs.sparkSession.createDataFrame([(f, i) for i, f in enumerate(sorted(f._path for f in files))], "_path string, _file long")
+    keyed = placed.join(F.broadcast(numbers), "_path")  # at most MOST_FILES rows
+    return keyed.select(*docs.columns, (F.col("_file") * FILE_ROWS + F.col("_index")).alias(ROW))
+
+
 def without_rows_of(docs: DataFrame, dropped: DataFrame, key: str, scratch: Scratch) -> DataFrame:
     """``docs`` without the rows whose key is in ``dropped`` (one column). A drop list of a small measured size is broadcast."""
     dropped = scratch.save(dropped.select(F.col(key)).distinct(), "dropped")

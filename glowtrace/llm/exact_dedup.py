@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from glowtrace.llm.common import ROW, SPACE, Scratch, join_groups, sized_broadcast, with_row_key, without_rows_of
+from glowtrace.llm.common import ROW, SPACE, Scratch, join_groups, sized_broadcast, with_stable_keys, without_rows_of
 
 #: Bytes of the first digit, and how many times longer each following digit is.
 FIRST_DIGIT, GROWTH = 256, 8
@@ -26,7 +26,7 @@ def radix_groups(docs: DataFrame, first_digit: int = FIRST_DIGIT, growth: int =
     Null doc_id: sorts after all others, and is the keep_id where a group has no other; kept is then true for the rows that
     hold it. Rows that repeat the kept doc_id and length are all kept. Empty table: empty result.
 
-    ``row`` names a column with a key of each row of a written table. Rows are then known by it too, it is returned as well,
+    ``row`` names a column with a stable key of each row. Rows are then known by it too, it is returned as well,
     and one row of each group is kept, the one with the least key among those.
     """
     keys_of = ["doc_id", *([row] if row else [])]
@@ -82,5 +82,5 @@ def drop_exact_duplicates(docs: DataFrame) -> DataFrame:
     columns as they come. Null and empty texts are one group. Rows that repeat an id, or have none, are decided one by one.
     Empty table: empty result."""
     scratch = Scratch(docs.sparkSession, "exact")
-    rows = scratch.save(with_row_key(docs), "rows")
+    rows = with_stable_keys(docs, scratch)
     return without_rows_of(rows, radix_groups(rows, row=ROW).where("not kept").select(ROW), ROW, scratch).select(docs.columns)

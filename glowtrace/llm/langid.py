@@ -10,7 +10,7 @@ import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from glowtrace.llm.common import Scratch, small_batches
+from glowtrace.llm.common import ROW, Scratch, small_batches, with_stable_keys, without_rows_of
 
 #: Ranks of a profile; an n-gram that a profile lacks counts as this far out of place.
 PROFILE = 400
@@ -136,11 +136,11 @@ def length_band(text: Column) -> Column:
 
 
 def least_scores(scored: DataFrame) -> DataFrame:
-    """(band, least): the least score that a document of a length is kept with, from rows (text, lang, learnt, found); the row
+    """(band, least): the least score that a document of a length is kept with, from rows (band, lang, learnt, found); the row
     with a null band is for all lengths, the others are for those of training documents whose own language is the nearest.
     There are as many bands as bits in a length."""
     right = scored.where(F.col("learnt") & (F.col("lang") == F.col("found.lang_pred")))
-    return right.rollup(length_band(F.col("text")).alias("band")).agg((F.percentile_approx("found.score", FEWEST, 10_000) * LEAST_SHARE).alias("least"))
+    return right.rollup("band").agg((F.percentile_approx("found.score", FEWEST, 10_000) * LEAST_SHARE).alias("least"))
 
 
 def keep_identified(docs: DataFrame) -> DataFrame:
@@ -150,13 +150,15 @@ def keep_identified(docs: DataFrame) -> DataFrame:
     small_batches(docs.sparkSession)
     profiles = fit_profiles(docs.where(in_training(F.col("doc_id"))))
     scratch = Scratch(docs.sparkSession, "language")
+    rows = with_stable_keys(docs, scratch)
     text = F.col("text").cast("string")
-    scored = scratch.save(docs.select(F.struct(docs.columns).alias("doc"), length_band(text).alias("band"), language(text, profiles).alias("found")), "scored")
-    known = scored.select(F.col("doc.text").cast("string").alias("text"), F.col("doc.lang").cast("string").alias("lang"), in_training(F.col("doc.doc_id")).alias("learnt"), "found")
-    bars = {r["band"]: r["least"] for r in least_scores(known).where("least is not null").collect()}  # a row a bit of a length
+    learnt = in_training(F.col("doc_id"))
+    scored = rows.select(ROW, length_band(text).alias("band"), F.col("lang").cast("string").alias("lang"), learnt.alias("learnt"), language(text, profiles).alias("found"))
+    scored = scratch.save(scored, "scored")
+    bars = {r["band"]: r["least"] for r in least_scores(scored).where("least is not null").collect()}  # a row a bit of a length
     most = bars.pop(None, 0.0)
     bar = F.lit(most)
     for band, least in sorted(bars.items()):
         bar = F.when(F.col("band") == band, F.lit(min(most, least))).otherwise(bar)
-    kept = scored.where((F.col("found.lang_pred") != UNDETERMINED) & (F.col("found.score") >= bar))
-    return kept.select("doc.*")
+    rejected = scored.where((F.col("found.lang_pred") == UNDETERMINED) | (F.col("found.score") < bar)).select(ROW)
+    return without_rows_of(rows, rejected, ROW, scratch).select(docs.columns)

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glowtrace.llm.common import ROW, SALTED, Scratch, join_groups, sized_broadcast, small_batches, spread_join, with_row_key, without_rows_of
+from glowtrace.llm.common import ROW, SALTED, Scratch, join_groups, sized_broadcast, small_batches, spread_join, with_stable_keys, without_rows_of
 from glowtrace.llm.components import connected_components
 
 #: Signature coordinates = BANDS * ROWS. A pair at 0.75 shares no band with a chance of (1 - 0.75^4)^40, below 3e-7.
@@ -94,10 +94,9 @@ def _sketches(docs: DataFrame, width: int, bands: int, rows: int) -> DataFrame:
 def _sets(docs: DataFrame, width: int) -> DataFrame:
     def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            found = [shingle_hashes(t, width) for t in batch["text"]]
-            yield pd.DataFrame({"set_key": [set_key(s) for s in found], "codes": [s.view(np.int64) for s in found]})
+            yield pd.DataFrame({ROW: batch[ROW], "codes": [shingle_hashes(t, width).view(np.int64) for t in batch["text"]]})
 
-    return docs.mapInPandas(sets, "set_key binary, codes array<long>")
+    return docs.mapInPandas(sets, f"{ROW} long, codes array<long>")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, scratch: Scratch) -> DataFrame:
@@ -134,11 +133,11 @@ def near_duplicates(docs: DataFrame, similarity: int = 75, width: int = 5, bands
 
 
 def _near_rows(docs: DataFrame, similarity: int = 75, width: int = 5, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """``near_duplicates`` with the inner key of each row: that of ``docs``, a table written with it, or a new one."""
+    """``near_duplicates`` with the inner key of each row: that of ``docs``, or a new one."""
     spark = docs.sparkSession
     small_batches(spark)
     scratch = Scratch(spark, "minhash")
-    docs = docs if ROW in docs.columns else with_row_key(docs)
+    docs = with_stable_keys(docs, scratch)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), ROW, F.col("text").cast("string").alias("text"))
     sketches = scratch.save(_sketches(docs, width, bands, rows), "sketches")
     usable = sketches.where("set_key is not null")
@@ -155,14 +154,9 @@ def _near_rows(docs: DataFrame, similarity: int = 75, width: int = 5, bands: int
     shared = scratch.save(shared, "shared")
     members = scratch.save(join_groups(member, shared, ["band"], ["x"]).where("c is not null").select("band", "x", "c").distinct(), "members")
 
-    # Sets of the members, found by id and named by their key: ids can repeat, and keys of rows hold for ``sketches`` only.
-    named = F.coalesce("doc_id", F.lit(-(1 << 63)))
+    # Full sets of the members only, read again.
     ids = scratch.save(members.select(F.col("x").alias(ROW)).distinct(), "ids")
-    chosen = scratch.save(reps.select(ROW, named.alias("_id"), "set_key").join(sized_broadcast(ids), ROW, "left_semi"), "chosen")
-    found_by = scratch.save(chosen.select("_id").distinct(), "found_by")
-    picked = docs.select(named.alias("_id"), "text").join(sized_broadcast(found_by), "_id", "left_semi")
-    sets = _sets(picked, width).join(sized_broadcast(chosen.select("set_key", ROW)), "set_key")
-    sets = scratch.save(sets.groupBy(ROW).agg(F.max("codes").alias("codes")), "sets")
+    sets = scratch.save(_sets(docs.select(ROW, "text").join(sized_broadcast(ids), ROW, "left_semi"), width), "sets")
 
     def confirm(pairs: DataFrame, tag: str) -> DataFrame:
         return scratch.save(_verified(scratch.save(pairs, f"{tag}_pairs"), sets, scratch), tag)
@@ -246,5 +240,5 @@ def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     come. Documents without words are copies of nothing and stay; rows that repeat an id or have none are decided one by
     one. Empty table: empty result."""
     scratch = Scratch(docs.sparkSession, "near")
-    rows = scratch.save(with_row_key(docs), "rows")
+    rows = with_stable_keys(docs, scratch)
     return without_rows_of(rows, _near_rows(rows).where("not kept").select(ROW), ROW, scratch).select(docs.columns)

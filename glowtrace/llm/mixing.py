@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from glowtrace.llm.common import ROW, SPACE, WORD, Scratch, sized_broadcast, with_row_key, word_count
+from glowtrace.llm.common import ROW, SPACE, WORD, Scratch, sized_broadcast, with_row_key, with_stable_keys, word_count
 
 #: The schedule has at least this many slots where there are as many words, and more where blocks would exceed BLOCK_WORDS.
 LEAST_SLOTS, BLOCK_WORDS = 1 << 16, 256
@@ -144,7 +144,7 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
     doesn't take, or that have no words, are left out. Rows that repeat an id, null ids, sources and texts, and empty tables
     are as in ``mix``."""
     scratch = Scratch(docs.sparkSession, "taken")
-    rows = scratch.save(with_row_key(docs), "rows")
+    rows = with_stable_keys(docs, scratch)
     pieces = mix(rows)
     taken = pieces.groupBy(ROW, "epoch", F.col("size").alias("_size")).agg(F.min("slot").alias("_slot"), F.sum("n_words").alias("_words"))
     taken = scratch.save(taken, "taken")

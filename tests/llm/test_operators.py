@@ -593,6 +593,24 @@ def test_both_blocks_of_a_large_band_find_what_one_step_finds(spark, monkeypatch
         assert {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(docs(spark, rows)).collect()} == want
 
 
+def test_rows_of_files_are_numbered_where_they_lie(spark, tmp_path):
+    from glowtrace.llm import common
+
+    docs(spark, [(i % 3, f"t{i}") for i in range(40)]).repartition(3).write.parquet(str(tmp_path / "d"))
+    files = spark.read.parquet(str(tmp_path / "d"))
+    scratch = common.Scratch(spark, "test")
+    keyed = common.with_stable_keys(files, scratch)
+    assert "rows-" not in keyed._jdf.queryExecution().toString()
+    pairs = lambda df: sorted((r[common.ROW], r["text"]) for r in df.collect())
+    want = pairs(keyed)
+    assert len({k for k, _ in want}) == 40 and pairs(common.with_stable_keys(files.select("text", "doc_id"), scratch)) == want
+    # What isn't all rows of files once is written with its keys.
+    for other in (files.where("doc_id = 1"), files.union(files), files.withColumn("k", F.explode(F.array(F.lit(1), F.lit(2)))), files.join(files.select("doc_id"), "doc_id"), docs(spark, [(1, "a")])):
+        rows = common.with_stable_keys(other, scratch)
+        assert rows.count() == other.count() == rows.select(common.ROW).distinct().count() and pairs(rows) == pairs(rows)
+    assert common.with_stable_keys(files.limit(0), scratch).count() == 0
+
+
 # Rows that repeat an id
 
 
