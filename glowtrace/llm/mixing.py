@@ -139,9 +139,9 @@ def taken_words(docs: DataFrame) -> DataFrame:
 
 
 def mixed_documents(docs: DataFrame) -> DataFrame:
-    """The documents of the mix in the order of its slots, columns as they come: a row each time that a document is taken
-    whole, and its first words, with the white space between them, where the mix ends inside it. Documents that the mix
-    doesn't take, or that have no words, are left out. Rows that repeat an id, null ids, sources and texts, and empty tables
+    """The documents of the mix, columns as they come: a row each time that a document is taken whole, and its first words,
+    with the white space between them, where the mix ends inside it. Each partition, and so each file that is written, is in
+    the order of the slots, without a shuffle for it. Documents that the mix doesn't take, or that have no words, are left out. Rows that repeat an id, null ids, sources and texts, and empty tables
     are as in ``mix``."""
     scratch = Scratch(docs.sparkSession, "taken")
     rows = with_stable_keys(docs, scratch)
@@ -154,4 +154,4 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
     both = both.withColumn("text", F.when(F.col("_words") == F.col("_size"), F.col("text")).otherwise(head))
     if "n_chars" in docs.columns:
         both = both.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return both.orderBy("_slot", ROW).select(docs.columns)
+    return both.sortWithinPartitions("_slot", ROW).select(docs.columns)

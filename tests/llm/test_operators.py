@@ -373,6 +373,10 @@ def test_mixed_documents_come_in_the_order_of_slots(spark):
     assert all(texts[r["doc_id"]].startswith(r["text"]) for r in got)
     share = np.mean([r["source"] == "b" for r in got[: len(got) // 2]])
     assert abs(share - np.mean([r["source"] == "b" for r in got])) < 0.15
+    # In one partition, the first of each document come as the slots of the schedule do.
+    one = rows.coalesce(1)
+    first = mixing.mix(one).groupBy("doc_id", "epoch").agg(F.min("slot").alias("slot")).orderBy("slot").collect()
+    assert [r["doc_id"] for r in mixing.mixed_documents(one).collect()] == [r["doc_id"] for r in first]
 
 
 def test_mixed_documents_are_what_was_taken(spark, small):
