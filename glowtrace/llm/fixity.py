@@ -9,6 +9,8 @@ from glowtrace.llm.common import Scratch
 
 #: Children of a node, records in an archive file, and bytes of a file's offset ranges at the lowest level.
 FANOUT, RECORDS_PER_FILE, RANGE_BYTES = 16, 1000, 1 << 14
+#: Hexadecimal digits of a record's place by which the records of one id are parted.
+PART_DIGITS = 3
 
 
 def warc_records(pages: DataFrame) -> DataFrame:
@@ -31,12 +33,21 @@ def leaves(records: DataFrame) -> DataFrame:
     """(file, offset, length, page_id, digest): the hash of each record and where its file holds it, in the order of ids.
 
     Bodies are hashed where they are read; only hashes and lengths are shuffled. A null record takes its place's bytes but
-    is not there."""
+    is not there. A file's lengths are added up by id and the first digits of ``place``, then within those, so a file with
+    very many records, as all null ids are, is many groups. Records alike in everything are counted where they are read and
+    numbered from their counts."""
     record = F.col("record").cast("binary")
-    rows = records.select("file", "page_id", "place", "stored", F.octet_length("record").cast("long").alias("length"), F.sha2(record, 256).alias("digest"))
-    before = Window.partitionBy("file").orderBy("page_id", "place").rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("offset", F.coalesce(F.sum("stored").over(before), F.lit(0)))
-    return rows.where("digest is not null").select("file", "offset", "length", "page_id", "digest")
+    rows = records.select("file", "page_id", "place", F.substring("place", 1, PART_DIGITS).alias("part"), "stored", F.octet_length("record").cast("long").alias("length"), F.sha2(record, 256).alias("digest"))
+    rows = rows.withColumn("source_task", F.spark_partition_id())
+    alike = rows.groupBy(rows.columns).agg(F.count("*").alias("n"))
+    alike = Scratch(records.sparkSession, "alike").save(alike, "alike")
+    upto_here = lambda keys, order: Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    parts = alike.groupBy("file", "page_id", "part").agg(F.sum(F.col("n") * F.col("stored")).alias("bytes"))
+    parts = parts.select("file", "page_id", "part", F.coalesce(F.sum("bytes").over(upto_here(["file"], ["page_id", "part"])), F.lit(0)).alias("before"))
+    inside = F.sum(F.col("n") * F.col("stored")).over(upto_here(["file", "page_id", "part"], ["place", "source_task"]))
+    placed = alike.withColumn("inside", F.coalesce(inside, F.lit(0))).join(parts, ["file", "page_id", "part"])
+    each = placed.where("digest is not null").withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
+    return each.select("file", (F.col("before") + F.col("inside") + F.col("i") * F.col("stored")).alias("offset"), "length", "page_id", "digest")
 
 
 def _parents(nodes: DataFrame, node: Column) -> DataFrame:

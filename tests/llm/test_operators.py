@@ -543,6 +543,25 @@ def test_records_tile_their_files(spark):
     assert f"Content-Length: {len(body.encode()) - 4}" in head
 
 
+@pytest.mark.parametrize("digits", [1, 3])
+def test_records_of_repeated_ids_tile_their_files(spark, monkeypatch, digits):
+    monkeypatch.setattr(fixity, "PART_DIGITS", digits)
+    rows = [(None, f"u{i}", f"<p>{i % 40}</p>" * (i % 7)) for i in range(300)] + [(None, "same", "copy")] * 200 + [(5, "u", "x" * i) for i in range(50)] + [(5, None, None)] * 3 + [(1005, "v", "y")] * 2
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5)
+    records = fixity.warc_records(pages)
+    ours = fixity.leaves(records)
+    plain, files = [], {}
+    for r in sorted(records.collect(), key=lambda r: (r["page_id"], r["place"])):
+        at = files.get(r["file"], 0)
+        files[r["file"]] = at + r["stored"]
+        plain.append((r["file"], at, r["stored"], r["page_id"], r["place"]))
+    assert sorted(map(tuple, ours.collect())) == sorted(plain) and len(plain) == len(rows)
+    gone = records.withColumn("record", F.when(F.col("page_id") != 5, F.col("record")))
+    got = fixity.audit(ours, fixity.leaves(gone)).collect()
+    assert [(r["page_id"], r["state"]) for r in got] == [(5, "missing")] * 53
+    assert sorted(r["offset"] for r in got) == sorted(at for _, at, _, i, _ in plain if i == 5)
+
+
 # Large groups, without broadcasts
 
 
