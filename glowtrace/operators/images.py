@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 from glowtrace.operators.project import PIXEL
 from glowtrace.sources.scratch import checkpointed
 
+#: Frames of a recording that one task puts beside their neighbours in time.
+FRAME_CHUNK = 1024
+
 
 def neighbours(image: DataFrame, h: int, w: int, height: int, width: int, border: str) -> DataFrame:
     """(…, y, x, dy, dx, v): for each pixel the values in its (2h+1) by (2w+1) box; ``border`` is nearest, reflect or none.
@@ -44,13 +47,17 @@ def box_filter(image: DataFrame, h: int, w: int, height: int, width: int, border
 
 def median_filter(frames: DataFrame, size: int = 3, time: bool = False) -> DataFrame:
     """Frames (rec_id, t_idx, h, w, pix) through a median of ``size`` by ``size``, with ``time`` of as many frames; ends
-    reflected. Frames stay arrays; in time each frame is joined by its neighbours through a window, never by a self-join."""
+    reflected. Frames stay arrays; in time each frame is joined by its neighbours through a window, never by a self-join. A
+    recording is cut into chunks of time for that; frames near a border are in both chunks."""
     r = size // 2
     if time:
-        order = Window.partitionBy("rec_id").orderBy("t_idx")
-        n, i = F.count("*").over(Window.partitionBy("rec_id")), F.col("t_idx")
+        n, i = frames.groupBy("rec_id").agg(F.count("*").alias("_n")), F.col("t_idx")
+        near = F.sequence(F.expr(f"greatest(t_idx - {r}, 0) div {FRAME_CHUNK}"), F.expr(f"(t_idx + {r}) div {FRAME_CHUNK}"))
+        order = Window.partitionBy("rec_id", "_chunk").orderBy("t_idx")
         stack = F.collect_list(F.struct("t_idx", "pix")).over(order.rowsBetween(-r, r))
-        frames = frames.withColumn("_s", stack).withColumn("_n", n)
+        schema = frames.columns
+        frames = frames.withColumn("_chunk", F.explode(near)).withColumn("_s", stack).where(F.expr(f"t_idx div {FRAME_CHUNK}") == F.col("_chunk"))
+        frames = frames.join(n, "rec_id").select(*schema, "_s", "_n")
 
         def at(o: int) -> Column:
             t = i + o

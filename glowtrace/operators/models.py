@@ -88,12 +88,29 @@ def debleach_spline(pixels: DataFrame, knots: int) -> DataFrame:
     return pixels.join(off, ["rec_id", "t_idx"]).withColumn("v", F.col("v") - F.col("off")).select(pixels.columns)
 
 
-def spline_smooth(pixels: DataFrame, knots: int) -> DataFrame:
-    """Every pixel's series through the least-squares fit of one shared basis."""
+def spline_basis(n: int, knots: int, degree: int = 3) -> np.ndarray:
+    """B-splines over n places with evenly spaced knots, the outermost at the ends, by Cox and de Boor's recursion."""
+    if n == 1:
+        return np.ones((1, 1))
+    x, knots = np.arange(n, dtype=float), max(2, knots)
+    step = (n - 1) / (knots - 1)
+    t = step * np.arange(-degree, knots + degree)
+    b = np.zeros((n, len(t) - 1))
+    b[np.arange(n), np.minimum((x / step).astype(int), knots - 2) + degree] = 1
+    for d in range(1, degree + 1):
+        b = ((x[:, None] - t[: -d - 1]) * b[:, :-1] + (t[d + 1 :] - x[:, None]) * b[:, 1:]) / (d * step)
+    return b
+
+
+def spline_smooth(pixels: DataFrame, knots: int | None = None, per_second: float | None = None, rate: float = 1.0, degree: int = 3) -> DataFrame:
+    """Every pixel's series through the least-squares fit of one shared basis of B-splines, of ``knots`` knots or of
+    ``per_second`` for each second at the frame ``rate``. A pixel's series is a group."""
+    if (knots is None) == (per_second is None):
+        raise ValueError("give knots or per_second")
 
     def run(series: pd.DataFrame) -> pd.DataFrame:
         series = series.sort_values("t_idx")
-        b = hat_basis(len(series), knots)
+        b = spline_basis(len(series), knots if knots is not None else round((len(series) - 1) / rate * per_second), degree)
         return series.assign(v=b @ np.linalg.lstsq(b, series["v"].to_numpy(float), rcond=None)[0])
 
     return pixels.groupBy("rec_id", "y", "x").applyInPandas(run, pixels.schema)

@@ -100,12 +100,12 @@ def watershed_regions(
     bg_subtract: bool = True, bg_dilate: int = 0, filter_type: str | None = "gaussian", filter_before: bool = True, filter_options: dict | None = None, window: float = 30, smooth: str | None = None, smooth_factor: float = 10,
 ) -> Regions:
     """Regions found by watershed on a projection of the movie as whole numbers, and their traces. ``smooth`` filters every
-    pixel in time first: ``butter`` with a cutoff of rate / ``smooth_factor``, or ``spline`` with that many knots."""
+    pixel in time first: ``butter`` with a cutoff of rate / ``smooth_factor``, or ``spline`` with that many knots a second."""
     if smooth == "butter":
         slow = filters.lowpass(pixels, rate / smooth_factor, rate, keys=("rec_id", "y", "x"), value="v")
         pixels = slow.select(pixels.columns)
     elif smooth == "spline":
-        pixels = models.spline_smooth(pixels, int(smooth_factor))
+        pixels = models.spline_smooth(pixels, per_second=smooth_factor, rate=rate)
     image = project.projection(project.to_uint8(pixels), projection)
     if blur is not None:
         image = images.gaussian_blur(image, height, width, **blur)

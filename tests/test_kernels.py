@@ -311,3 +311,27 @@ def test_filter_estimator(spark):
     assert half.transform(rows).count() == 3000 and half.getOrDefault("size") == 12
     with pytest.raises(ValueError):
         TemporalFilter(nonlinearity="other").fit(rows)
+
+
+@pytest.mark.parametrize("n", [1, 2, 9, 40])
+def test_splines_hold_cubics(spark, n):
+    b = md.spline_basis(n, 6)
+    x = np.arange(n)
+    assert np.allclose(b.sum(axis=1), 1) and (b >= 0).all() and b.shape[1] in (1, 8)
+    cubic = 2 - x + 0.3 * x**2 - 0.01 * x**3
+    assert np.allclose(b @ np.linalg.lstsq(b, cubic, rcond=None)[0], cubic)
+    rows = spark.createDataFrame([("r", 0, 0, t, float(v)) for t, v in enumerate(cubic)], "rec_id string, y int, x int, t_idx long, v double")
+    for how in ({"knots": 6}, {"per_second": 1.5, "rate": 10.0}):
+        got = [r["v"] for r in md.spline_smooth(rows, **how).orderBy("t_idx").collect()]
+        assert np.allclose(got, cubic)
+    with pytest.raises(ValueError, match="knots"):
+        md.spline_smooth(rows)
+
+
+@pytest.mark.parametrize("chunk", [1, 3, 1024])
+def test_medians_in_time_cross_chunks(spark, monkeypatch, chunk):
+    monkeypatch.setattr(im, "FRAME_CHUNK", chunk)
+    movie = np.random.default_rng(3).normal(size=(8, 4, 5))
+    padded = np.pad(movie, 1, mode="symmetric")
+    want = np.median(np.lib.stride_tricks.sliding_window_view(padded, (3, 3, 3)).reshape(8, 4, 5, -1), axis=-1)
+    assert np.allclose(movie_of(im.median_filter(frames(spark, list(movie)), 3, time=True), 4, 5), want)
