@@ -8,17 +8,29 @@ from pyspark.sql import functions as F
 
 from glowtrace.operators import project
 from glowtrace.operators.images import median_filter
+from glowtrace.sources.scratch import checkpointed
 from glowtrace.sources.tables import frames_of, pixels_of
 
 
-def template_of(frames: DataFrame, **interval) -> dict[str, np.ndarray]:
-    """The mean image of each recording, one image a recording."""
-    images: dict[str, np.ndarray] = {}
-    rows = project.template(pixels_of(frames), **interval).groupBy("rec_id").agg(F.array_sort(F.collect_list(F.struct("y", "x", "v"))).alias("c"))
-    for r in rows.collect():
-        h, w = r["c"][-1]["y"] + 1, r["c"][-1]["x"] + 1
-        images[r["rec_id"]] = np.array([c["v"] for c in r["c"]]).reshape(h, w)
-    return images
+#: Templates are broadcast up to this many bytes.
+TEMPLATE_BYTES = 64 << 20
+
+
+def template_of(frames: DataFrame, **interval) -> DataFrame:
+    """(rec_id, template): the mean image of each recording as a row, in a checkpoint."""
+    cells = F.array_sort(F.collect_list(F.struct("y", "x", "v")))
+    rows = project.template(pixels_of(frames), **interval).groupBy("rec_id").agg(F.transform(cells, lambda c: c["v"].cast("double")).alias("template"))
+    return checkpointed(frames.sparkSession, rows)
+
+
+def _beside(frames: DataFrame, templates: DataFrame | dict[str, np.ndarray]) -> DataFrame:
+    """frames with their recording's template, broadcast up to a measured size, else by a shuffled join."""
+    if isinstance(templates, dict):
+        rows = [(rec, t.ravel().astype(float).tolist()) for rec, t in templates.items()]
+        templates = frames.sparkSession.createDataFrame(rows, "rec_id string, template array<double>")
+    size = templates.agg(F.sum(F.size("template").cast("long") * 8)).first()[0] or 0
+    rows = frames.join(F.broadcast(templates) if size <= TEMPLATE_BYTES else templates, "rec_id", "left")
+    return rows.select(*frames.columns, F.coalesce("template", F.raise_error(F.concat(F.lit("no template of "), F.coalesce("rec_id", F.lit("null")))).cast("array<double>")).alias("template"))
 
 
 def best_shift(image: np.ndarray, template: np.ndarray, most: tuple[int, int], centre: tuple[int, int] = (0, 0)) -> tuple[int, int, float]:
@@ -32,18 +44,19 @@ def best_shift(image: np.ndarray, template: np.ndarray, most: tuple[int, int], c
     return dy, dx, float(surface[dy % len(a), dx % a.shape[1]] / norm) if norm else 0.0
 
 
-def shifts_of(frames: DataFrame, templates: dict[str, np.ndarray], most: tuple[int, int] = (40, 40)) -> DataFrame:
-    """(rec_id, t_idx, dy, dx, r): frames are independent, so this is one pass without a shuffle."""
+def shifts_of(frames: DataFrame, templates: DataFrame | dict[str, np.ndarray], most: tuple[int, int] = (40, 40)) -> DataFrame:
+    """(rec_id, t_idx, dy, dx, r) against templates (rec_id, template), or an image by recording: frames are independent, so
+    this is one pass, without a shuffle while the templates are broadcast."""
 
     def run(batches):
         for batch in batches:
             out = []
-            for rec, h, w, pix in zip(batch["rec_id"], batch["h"], batch["w"], batch["pix"], strict=True):
+            for h, w, pix, template in zip(batch["h"], batch["w"], batch["pix"], batch["template"], strict=True):
                 reach = (min(most[0], h // 2 - 1), min(most[1], w // 2 - 1))
-                out.append(best_shift(np.asarray(pix, float).reshape(h, w), templates[rec], reach))
+                out.append(best_shift(np.asarray(pix, float).reshape(h, w), np.asarray(template, float).reshape(h, w), reach))
             yield batch[["rec_id", "t_idx"]].assign(dy=[o[0] for o in out], dx=[o[1] for o in out], r=[o[2] for o in out])
 
-    return frames.mapInPandas(run, "rec_id string, t_idx long, dy int, dx int, r double")
+    return _beside(frames, templates).mapInPandas(run, "rec_id string, t_idx long, dy int, dx int, r double")
 
 
 def moved(image: np.ndarray, dy: int, dx: int, border: str = "copy") -> np.ndarray:
@@ -68,7 +81,7 @@ def apply_shifts(frames: DataFrame, shifts: DataFrame, border: str = "copy") ->
     return rows.select(*frames.columns, "dy", "dx").mapInPandas(run, frames.schema)
 
 
-def piecewise(frames: DataFrame, templates: dict[str, np.ndarray], most: tuple[int, int] = (6, 6), strides: tuple[int, int] = (24, 24), overlaps: tuple[int, int] = (48, 48), deviation: int = 3) -> DataFrame:
+def piecewise(frames: DataFrame, templates: DataFrame | dict[str, np.ndarray], most: tuple[int, int] = (6, 6), strides: tuple[int, int] = (24, 24), overlaps: tuple[int, int] = (48, 48), deviation: int = 3) -> DataFrame:
     """Frames moved patch by patch: the whole frame's shift, then each patch's own within ``deviation`` of it, interpolated
     between patch centres."""
 
@@ -89,9 +102,10 @@ def piecewise(frames: DataFrame, templates: dict[str, np.ndarray], most: tuple[i
 
     def run(batches):
         for batch in batches:
-            yield batch.assign(pix=[warp(np.asarray(p, float).reshape(h, w), templates[r]).ravel() for r, h, w, p in zip(batch["rec_id"], batch["h"], batch["w"], batch["pix"], strict=True)])
+            pix = [warp(np.asarray(p, float).reshape(h, w), np.asarray(t, float).reshape(h, w)).ravel() for h, w, p, t in zip(batch["h"], batch["w"], batch["pix"], batch["template"], strict=True)]
+            yield batch.drop(columns="template").assign(pix=pix)
 
-    return frames.mapInPandas(run, frames.schema)
+    return _beside(frames, templates).mapInPandas(run, frames.schema)
 
 
 def register_rigid(frames: DataFrame, most: tuple[int, int] = (40, 40), iterations: int = 1, border: str = "copy", **interval) -> tuple[DataFrame, DataFrame]:
