@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from glowtrace.llm import chat, embedding_join, exact_dedup, fixity, html_extract, langid, minhash, mixing, packing, tokens
+from glowtrace.llm import chat, embedding_join, exact_dedup, fixity, html_extract, langid, minhash, mixing, packing, runs, search, tokens, url_rules
 from glowtrace.llm.common import table
 
 
@@ -53,6 +53,18 @@ def op10_merkle_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fixity.audit(fixity.leaves(records), fixity.leaves(fixity.damaged(records)))
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.run_digests(runs.periodic_runs(runs.with_planted_runs(table(spark, sf_dir, "documents"))))
+
+
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.ranked_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_rules.judged_pages(table(spark, sf_dir, "pages"), url_rules.rule_table(spark))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_language_id": op2_language_id,
@@ -64,6 +76,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_similar_embeddings": op8_similar_embeddings,
     "op9_near_dedup": op9_near_dedup,
     "op10_merkle_audit": op10_merkle_audit,
+    "op11_periodic_runs": op11_periodic_runs,
+    "op12_ranked_search": op12_ranked_search,
+    "op13_url_filter": op13_url_filter,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -189,4 +204,51 @@ ORACLE_SQL: dict[str, str] = {
         SELECT file, "offset", length, page_id, CASE WHEN their_digest IS NULL THEN 'missing' ELSE 'changed' END AS state, digest AS our_digest, their_digest
         FROM b WHERE their_digest IS DISTINCT FROM digest
     """,
+    # A repeated window of 16 words is found at its distance first; stretches of such windows are runs, and the smallest period counts.
+    "op11_periodic_runs": r"""
+        WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words,
+                list_transform(range(1, length(coalesce(CAST(doc_id AS VARCHAR), '')) + 1), lambda i: ascii(CAST(doc_id AS VARCHAR)[i])) AS digits FROM documents),
+        h AS (SELECT doc_id, words, len(words) AS n, xor(list_reduce(list_prepend(4294967295, flatten(list_transform(digits, lambda b: [CAST(b AS BIGINT), -1, -1, -1, -1, -1, -1, -1, -1]))),
+                lambda crc, b: CASE WHEN b >= 0 THEN xor(crc, b) ELSE xor(crc >> 1, 3988292384 * (crc & 1)) END), 4294967295) AS h FROM d),
+        a AS (SELECT doc_id, words, n, h % 10 = 0 AND n > 0 AS drawn, h // 10 AS g, CASE WHEN n > 0 THEN (h // 10) % n END AS a FROM h),
+        p AS (SELECT *, 1 + (n - a) // (3 + g % 8) AS p FROM a),
+        t AS (SELECT doc_id, n, CASE WHEN drawn THEN list_transform(range(n), lambda i: words[1 + CASE WHEN i < a THEN i ELSE a + (i - a) % p END]) ELSE words END AS words FROM p),
+        w AS (SELECT doc_id, n, unnest(range(n - 15)) AS i, words FROM t WHERE n >= 24),
+        k AS (SELECT doc_id, n, i, md5(array_to_string(words[i + 1:i + 16], ' ')) AS code FROM w),
+        m AS (SELECT x.doc_id, y.i - x.i AS q, x.i AS i FROM k x JOIN k y ON x.doc_id = y.doc_id AND x.code = y.code AND y.i > x.i AND 3 * (y.i - x.i) <= x.n),
+        s AS (SELECT doc_id, q, i, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS stretch FROM m),
+        c AS (SELECT doc_id, q AS period, min(i) AS start, count(*) + 15 + q AS length FROM s GROUP BY doc_id, q, stretch HAVING count(*) + 15 + q >= greatest(24, 3 * q)),
+        r AS (SELECT * FROM c WHERE NOT EXISTS (SELECT 1 FROM c z WHERE z.doc_id = c.doc_id AND z.period < c.period AND z.start <= c.start AND z.start + z.length >= c.start + c.length)),
+        f AS (SELECT doc_id, count(*) AS n_runs, string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS lines FROM r GROUP BY doc_id),
+        b AS (SELECT doc_id, start, length, period FROM r QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY CAST(length AS DOUBLE) / period DESC, start, period) = 1),
+        o AS (SELECT doc_id, list(DISTINCT i) AS gone FROM (SELECT doc_id, unnest(range(start + period, start + length)) AS i FROM r) GROUP BY doc_id),
+        l AS (SELECT t.doc_id, array_to_string(CASE WHEN o.gone IS NULL THEN t.words ELSE list_filter(t.words, lambda x, i: NOT list_contains(o.gone, i - 1)) END, ' ') AS collapsed FROM t LEFT JOIN o USING (doc_id))
+        SELECT t.doc_id, coalesce(f.n_runs, 0) AS n_runs, b.start, b.length, b.period, 1000 * b.length // b.period AS exponent_milli,
+          sha256(coalesce(f.lines, '')) AS runs_sha256, sha256(l.collapsed) AS collapsed_sha256
+        FROM t LEFT JOIN f USING (doc_id) LEFT JOIN b USING (doc_id) LEFT JOIN l USING (doc_id)
+    """,
+    "op12_ranked_search": r"""
+        WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms FROM documents),
+        i AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+        c AS (SELECT count(*) AS docs, CAST(sum(len(terms)) AS BIGINT) AS total FROM d WHERE len(terms) > 0),
+        t AS (SELECT doc_id, term, n, count(*) AS tf FROM (SELECT doc_id, len(terms) AS n, unnest(terms) AS term FROM d) GROUP BY doc_id, term, n),
+        f AS (SELECT term, count(*) AS df FROM t GROUP BY term),
+        p AS (SELECT t.doc_id, t.term, CAST(floor(1000 * ln((2 * docs + 2) / CAST(2 * df + 1 AS DOUBLE))) AS BIGINT) * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 90 + (90 * n * docs) // total))) AS part
+              FROM t JOIN f USING (term) CROSS JOIN c),
+        s AS (SELECT item_id, doc_id, CAST(sum(part) AS BIGINT) AS score FROM i JOIN p USING (term) GROUP BY item_id, doc_id HAVING sum(part) > 0)
+        SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score FROM s QUALIFY rank <= 10
+    """,
+    # The pages of the tables hold no links; what these do is tested against brute force.
+    "op13_url_filter": r"""
+        WITH r(host, path, verdict) AS (VALUES ('org', '/', 'allow'), ('example.org', '/es/', 'block'), ('example.org', '/en/1', 'block'), ('com', '/fr/', 'allow'), ('com', '/de/', 'block')),
+        u AS (SELECT row_number() OVER () AS row, page_id, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+                regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path, regexp_extract(coalesce(url, ''), '(?s)^.*?://[^?#]*\?([^#]*)', 1) AS asked FROM pages),
+        k AS (SELECT *, regexp_replace(host, ':(80|443)$', '') || regexp_replace(path, '/$', '') || '?' || array_to_string(list_filter(string_split(asked, '&'), lambda p: NOT starts_with(p, 'utm_')), '&') AS node FROM u),
+        b AS (SELECT k.row, r.host || r.path AS rule, r.verdict FROM k JOIN r ON (k.host = r.host OR ends_with(k.host, '.' || r.host)) AND starts_with(k.path, r.path)
+              QUALIFY row_number() OVER (PARTITION BY k.row ORDER BY length(r.host || r.path) DESC, r.verdict) = 1),
+        n AS (SELECT node, bool_or(verdict = 'block') AND NOT bool_or(verdict = 'allow') AS caught FROM k LEFT JOIN b USING (row) WHERE host <> '' GROUP BY node)
+        SELECT page_id, host, path, rule, coalesce(verdict, CASE WHEN caught THEN 'block' ELSE 'allow' END) AS verdict,
+          CASE WHEN verdict IS NOT NULL THEN 'rule' WHEN caught THEN 'alias' ELSE 'default' END AS decided_by
+        FROM k LEFT JOIN b USING (row) LEFT JOIN n ON n.node = k.node AND k.host <> ''
+    """,
 }
