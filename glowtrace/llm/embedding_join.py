@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from glowtrace.llm.common import ROW, Scratch, join_groups, small_batches, with_row_key
@@ -126,11 +126,11 @@ def similar_vectors(vectors: DataFrame, least: float = 0.95) -> DataFrame:
     radius = math.sqrt(max(0.0, 2 - 2 * least)) + 1e-7
     # A bounded sample of the vectors of each length that needs several pivots, one vector of the others.
     wide = [dim for dim, n in sizes.items() if n > _core_rows(dim)]
-    order = F.row_number().over(Window.partitionBy("dim").orderBy(F.xxhash64("id"), "id"))
-    sample = usable.withColumn("rank", order).where((F.col("rank") == 1) | ((F.col("rank") <= PIVOT_SAMPLE) & F.col("dim").isin(wide)))
-    points: dict[int, list] = {}
-    for r in sample.select("dim", "vec").collect():
-        points.setdefault(r["dim"], []).append(r["vec"])
+    points: dict[int, list] = {r["dim"]: [r["vec"]] for r in usable.where(~F.col("dim").isin(wide)).groupBy("dim").agg(F.min_by("vec", "id").alias("vec")).collect()}
+    for dim in wide:
+        # About four samples pass the hash before the smallest hashes are taken, task by task.
+        drawn = usable.where((F.col("dim") == dim) & (F.pmod(F.xxhash64("id"), F.lit(max(1, sizes[dim] // (4 * PIVOT_SAMPLE)))) == 0))
+        points[dim] = [r["vec"] for r in drawn.orderBy(F.xxhash64("id"), "id").limit(PIVOT_SAMPLE).collect()] or [usable.where(F.col("dim") == dim).first()["vec"]]
     pivots = {dim: _pivots(_unit(np.array(p, np.float64)), min(MOST_PIVOTS, -(-sizes[dim] // _core_rows(dim)))) for dim, p in points.items()}
     found = scratch.save(_range_join(usable, kind, pivots, radius, least, scratch), "found")
     links = connected_components(found.where("root is not null").select(F.col("id").alias("u"), F.col("root").alias("v")), scratch)
