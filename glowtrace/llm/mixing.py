@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from glowtrace.llm.common import ROW, SPACE, WORD, Scratch, sized_broadcast, with_row_key, with_stable_keys, word_count
+from glowtrace.llm.common import ROW, SPACE, WORD, Scratch, columns_of, fresh_name, sized_broadcast, with_row_key, with_stable_keys, word_count
 
 #: The schedule has at least this many slots where there are as many words, and more where blocks would exceed BLOCK_WORDS.
 LEAST_SLOTS, BLOCK_WORDS = 1 << 16, 256
@@ -21,9 +21,9 @@ RANGE_ROWS = 4096
 CHUNK = 1 << 16
 
 
-def shuffle_key(doc_id: Column, seed: str = "mix") -> Column:
-    """A key that orders documents alike in every run and on every engine."""
-    return F.md5(F.concat(F.coalesce(doc_id.cast("string"), F.lit("null")), F.lit(f":{seed}")).cast("binary"))
+def shuffle_key(doc_id: Column, text: Column, seed: str = "mix") -> Column:
+    """A key that orders documents alike in every run and on every engine; also those that repeat an id, or have none."""
+    return F.md5(F.concat(F.coalesce(doc_id.cast("string"), F.lit("null")), F.lit(f":{seed}:"), F.md5(F.coalesce(text, F.lit("")).cast("binary"))).cast("binary"))
 
 
 def source_targets(sizes: DataFrame) -> DataFrame:
@@ -58,17 +58,22 @@ def _plan(docs: DataFrame, slots: int | None) -> tuple[DataFrame, DataFrame]:
     """Two tables for rows with keys: each with its place in its shuffled source, and the pieces that the schedule takes."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "mix")
-    sized = docs.select(ROW, F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(F.col("text").cast("string")).alias("size"))
-    sized = scratch.save(sized.withColumn("key", shuffle_key(F.col("doc_id"))), "sized")
+    text = F.col("text").cast("string")
+    sized = docs.select(ROW, F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(text).alias("size"), shuffle_key(F.col("doc_id").cast("long"), text).alias("key"))
+    sized = scratch.save(sized, "sized")
     sources = scratch.save(source_targets(sized.groupBy("source").agg(F.sum("size").alias("source_size"))), "sources")
     rows, digits = sized.count(), 1
     while rows > RANGE_ROWS << (4 * digits):
         digits += 1
     block, slots = block_words(sources.agg(F.sum("source_size")).first()[0] or 0, slots)
     schedule = scratch.save(_schedule(spark, sources, slots), "schedule")
-    # A source's slots, a block each, say how many words it gives: its documents up to three times at most.
-    given = schedule.groupBy("of").agg(F.count("*").alias("n"))
-    given = sources.join(given, F.col("source").eqNullSafe(F.col("of")), "left").select("source", "source_size", "target", F.least(F.coalesce("n", F.lit(0)) * block, F.col("source_size") * MAX_REPEATS).alias("upto"))
+    # A source gives its target: its last block is cut to what is left of it, slots beyond that stay empty, and the few blocks,
+    # or the one of a small source, that the schedule's discrepancy leaves without a slot get slots after all others.
+    given = sources.select("source", "source_size", "target", F.least(F.round("target").cast("long"), F.col("source_size") * MAX_REPEATS).alias("upto"))
+    drawn = schedule.groupBy("of").agg(F.count("*").alias("n"))
+    short = given.join(drawn, F.col("source").eqNullSafe(F.col("of")), "left").select("source", F.coalesce("n", F.lit(0)).cast("long").alias("n"), F.expr(f"(upto + {block - 1}) div {block}").alias("need"))
+    extra = short.where("need > n").select(F.col("source").alias("of"), F.explode(F.sequence(F.col("n"), F.col("need") - 1)).alias("rank"))
+    schedule = scratch.save(schedule.union(extra.select("of", "rank", (F.col("rank") + slots).alias("slot"))), "slots")
 
     # Positions of documents in their shuffled source: the words of the ranges before, then those in the same range.
     sized = sized.withColumn("part", F.substring("key", 1, digits))
@@ -90,22 +95,24 @@ def _plan(docs: DataFrame, slots: int | None) -> tuple[DataFrame, DataFrame]:
     return placed, taken.select("slot", "source", "block", "doc_id", "epoch", "from_word", "n_words", "size", "source_size", "target", ROW)
 
 
-def mix(docs: DataFrame, slots: int | None = None) -> DataFrame:
+def mix(docs: DataFrame, slots: int | None = None, row: str | None = None) -> DataFrame:
     """The mix: (slot, source, block, doc_id, epoch, from_word, n_words, size, source_size, target), a row for each piece of
     a document in each block that a slot takes. In the order of slots, all sources come in their shares from start to end.
 
     Slot i points at the fractional part of i times the golden ratio; the cumulative targets map the point to a source, and
     the slot's rank among the source's slots is the block that it takes. A source's blocks cut its shuffled documents,
-    repeated up to three times, into equal numbers of words; slots beyond its last block stay empty. So a source gives as
-    many blocks as it has slots, which the low discrepancy keeps within a few blocks of its target. ``slots`` is by default
-    as many as give blocks of 256 words, or 65,536 if those are more.
+    repeated up to three times, into equal numbers of words, up to the source's target, where the last block is cut. The low
+    discrepancy gives a source as many slots as it has blocks, but for a few: slots beyond the last block stay empty, and
+    blocks without a slot come after all others. So a source gives its target to a word. ``slots`` is by default as many as
+    give blocks of 256 words, or 65,536 if those are more.
 
     Null text: size 0. Null source: a source of its own, last in order. Rows that repeat a doc_id are documents of their
-    own, one after the other in the shuffle; ``docs`` with row keys (``with_row_key``) give them in a last column. All sizes 0,
-    or no rows: nothing is taken.
+    own, one after the other in the shuffle; with ``row``, the name of a column with a stable key of each row, the keys are
+    the last column. All sizes 0, or no rows: nothing is taken.
     """
-    taken = _plan(docs if ROW in docs.columns else with_row_key(docs), slots)[1]
-    return taken if ROW in docs.columns else taken.drop(ROW)
+    if row is None:
+        return _plan(with_row_key(docs), slots)[1].drop(ROW)
+    return _plan(docs.select(F.col(row).alias(ROW), "doc_id", "source", "text"), slots)[1]
 
 
 def _schedule(spark: SparkSession, sources: DataFrame, slots: int) -> DataFrame:
@@ -141,17 +148,18 @@ def taken_words(docs: DataFrame) -> DataFrame:
 def mixed_documents(docs: DataFrame) -> DataFrame:
     """The documents of the mix, columns as they come: a row each time that a document is taken whole, and its first words,
     with the white space between them, where the mix ends inside it. Each partition, and so each file that is written, is in
-    the order of the slots, without a shuffle for it. Documents that the mix doesn't take, or that have no words, are left out. Rows that repeat an id, null ids, sources and texts, and empty tables
-    are as in ``mix``."""
+    the order of the slots, without a shuffle for it. Documents that the mix doesn't take, or that have no words, are left out.
+    Rows that repeat an id, null ids, sources and texts, and empty tables are as in ``mix``."""
     scratch = Scratch(docs.sparkSession, "taken")
-    rows = with_stable_keys(docs, scratch)
-    pieces = mix(rows)
-    taken = pieces.groupBy(ROW, "epoch", F.col("size").alias("_size")).agg(F.min("slot").alias("_slot"), F.sum("n_words").alias("_words"))
-    taken = scratch.save(taken, "taken")
-    both = rows.join(sized_broadcast(taken), ROW)
+    rows, key = with_stable_keys(docs, scratch)
+    take = fresh_name(rows, "_glow_take")
+    taken = mix(rows.select(key, "doc_id", "source", "text"), row=key).groupBy(F.col(ROW).alias(key), "epoch", "size").agg(F.min("slot").alias("slot"), F.sum("n_words").alias("words"))
+    taken = scratch.save(taken.select(key, F.struct("slot", "words", "size").alias(take)), "taken")
+    both = rows.join(sized_broadcast(taken), key).sortWithinPartitions(F.col(f"{take}.slot"), key)
     heads = F.regexp_extract_all(F.col("text"), F.lit(f"({SPACE}*{WORD})"), F.lit(1))
-    head = F.array_join(F.slice(heads, F.lit(1), F.col("_words").cast("int")), "")
-    both = both.withColumn("text", F.when(F.col("_words") == F.col("_size"), F.col("text")).otherwise(head))
+    head = F.array_join(F.slice(heads, F.lit(1), F.col(f"{take}.words").cast("int")), "")
+    text = F.when(F.col(f"{take}.words") == F.col(f"{take}.size"), F.col("text")).otherwise(head)
+    new = {"text": text.alias("text")}
     if "n_chars" in docs.columns:
-        both = both.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return both.sortWithinPartitions("_slot", ROW).select(docs.columns)
+        new["n_chars"] = F.length(text).cast(docs.schema["n_chars"].dataType).alias("n_chars")
+    return both.select([new.get(name, column) for name, column in zip(docs.columns, columns_of(docs), strict=True)])

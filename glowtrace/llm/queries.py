@@ -155,7 +155,7 @@ ORACLE_SQL: dict[str, str] = {
         FROM g LEFT JOIN x ON g.conv_id IS NOT DISTINCT FROM x.conv_id
     """,
     "op4_source_mix": r"""
-        WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents),
+        WITH d AS (SELECT doc_id, source, md5(coalesce(text, '')) AS hash, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents),
         s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
         w AS (SELECT *, CAST([1, 2, 3][(row_number() OVER (ORDER BY source ASC NULLS LAST) - 1) % 3 + 1] AS BIGINT) AS weight, source_size * 3 AS cap FROM s),
         b AS (SELECT *, cap / weight AS ratio,
@@ -164,17 +164,9 @@ ORACLE_SQL: dict[str, str] = {
               FROM w WINDOW o AS (ORDER BY cap / weight, source ASC NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
         l AS (SELECT words / weights AS level FROM b WHERE cap >= (words / weights) * weight ORDER BY ratio, source ASC NULLS LAST LIMIT 1),
         t AS (SELECT source, source_size, least(CAST(cap AS DOUBLE), coalesce((SELECT level FROM l) * weight, CAST(cap AS DOUBLE))) AS target FROM w),
-        z AS (SELECT CAST(sum(size) AS BIGINT) AS total, least(256, greatest(1, CAST(sum(size) AS BIGINT) // 65536)) AS block FROM d),
-        o AS (SELECT source, target, sum(target) OVER (ORDER BY source ASC NULLS LAST ROWS UNBOUNDED PRECEDING) AS high, sum(target) OVER () AS all_targets FROM t WHERE target > 0),
-        i AS (SELECT source, CAST(floor(coalesce(lag(high) OVER (ORDER BY source ASC NULLS LAST), 0) / all_targets * 4294967296) AS BIGINT) AS low,
-                CAST(floor(high / all_targets * 4294967296) AS BIGINT) AS high FROM o),
-        q AS (SELECT CAST((CAST(slot AS HUGEINT) * 2654435769) % 4294967296 AS BIGINT) AS point
-              FROM (SELECT unnest(generate_series(0, (total + block - 1) // block - 1)) AS slot FROM z)),
-        n AS (SELECT i.source, count(*) AS slots FROM q JOIN i ON q.point >= i.low AND q.point < i.high GROUP BY i.source),
-        g AS (SELECT t.source, t.source_size, t.target, CAST(least(coalesce(n.slots, 0) * (SELECT block FROM z), t.source_size * 3) AS BIGINT) AS upto
-              FROM t LEFT JOIN n ON t.source IS NOT DISTINCT FROM n.source),
+        g AS (SELECT source, source_size, target, least(CAST(round(target) AS BIGINT), source_size * 3) AS upto FROM t),
         p AS (SELECT d.doc_id, d.size, g.source_size, g.target, g.upto,
-                CAST(coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY md5(coalesce(CAST(doc_id AS VARCHAR), 'null') || ':mix'), d.size
+                CAST(coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY md5(coalesce(CAST(doc_id AS VARCHAR), 'null') || ':mix:' || d.hash), d.size
                               ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS pos
               FROM d JOIN g ON d.source IS NOT DISTINCT FROM g.source)
         SELECT doc_id, size, source_size, target,
