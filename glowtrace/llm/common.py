@@ -138,30 +138,45 @@ def with_row_key(docs: DataFrame) -> DataFrame:
     return docs.withColumn(ROW, F.monotonically_increasing_id())
 
 
-def with_stable_keys(docs: DataFrame, scratch: Scratch) -> DataFrame:
-    """``docs`` with an inner key for each row that is the same each time it is read.
+def fresh_name(df: DataFrame, name: str) -> str:
+    """``name``, with underscores before it until no column of ``df`` has it in any spelling."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name = f"_{name}"
+    return name
+
+
+def columns_of(df: DataFrame) -> list[Column]:
+    """The columns of ``df``, whatever characters their names have."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns]
+
+
+def with_stable_keys(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, str]:
+    """``docs`` with an inner key for each row that is the same each time it is read, and the key's name, which no column of
+    ``docs`` has.
 
     The rows of Parquet files, read as they are, are numbered by their file and their place in it. All else, and what comes
     from very many files, is written with its keys and read from there."""
-    if ROW in docs.columns:
-        return docs
-    copy = lambda: scratch.save(with_row_key(docs), "rows")
+    key, path, index, number = (fresh_name(docs, n) for n in (ROW, "_glow_path", "_glow_index", "_glow_file"))
+    copy = lambda: (scratch.save(docs.withColumn(key, F.monotonically_increasing_id()), "rows"), key)
+    if fresh_name(docs, "_metadata") != "_metadata":
+        return copy()
     try:
-        placed = docs.select("*", F.col("_metadata.file_path").alias("_path"), F.col("_metadata.row_index").alias("_index"))
+        placed = docs.select("*", F.col("_metadata.file_path").alias(path), F.col("_metadata.row_index").alias(index))
     except AnalysisException:
         return copy()
-    at = F.col("_index").cast("decimal(38,0)")
-    files = placed.groupBy("_path").agg(F.count("*").alias("n"), F.max("_index").alias("last"), F.sum(at).alias("one"), F.sum(at * at).alias("two")).limit(MOST_FILES + 1).collect()
+    at = F.col(index).cast("decimal(38,0)")
+    files = placed.groupBy(F.col(path).alias("_path")).agg(F.count("*").alias("n"), F.max(index).alias("last"), F.sum(at).alias("one"), F.sum(at * at).alias("two")).limit(MOST_FILES + 1).collect()
     # Each place of each file once: nothing was dropped, repeated or made up after the files were read.
     whole = all(f.n == f.last + 1 and f.one == f.n * (f.n - 1) // 2 and f.two == (f.n - 1) * f.n * (2 * f.n - 1) // 6 for f in files if f._path is not None)
     if not whole or len(files) > MOST_FILES or any(f._path is None or f.n > FILE_ROWS for f in files):
         return copy()
-    numbers = docs.sparkSession.createDataFrame([(f, i) for i, f in enumerate(sorted(f._path for f in files))], "_path string, _file long")
-    keyed = placed.join(F.broadcast(numbers), "_path")  # at most MOST_FILES rows
-    return keyed.select(*docs.columns, (F.col("_file") * FILE_ROWS + F.col("_index")).alias(ROW))
+    numbers = docs.sparkSession.createDataFrame([(f, i) for i, f in enumerate(sorted(f._path for f in files))], f"{path} string, {number} long")
+    keyed = placed.join(F.broadcast(numbers), path)  # at most MOST_FILES rows
+    return keyed.select(*columns_of(docs), (F.col(number) * FILE_ROWS + F.col(index)).alias(key)), key
 
 
 def without_rows_of(docs: DataFrame, dropped: DataFrame, key: str, scratch: Scratch) -> DataFrame:
     """``docs`` without the rows whose key is in ``dropped`` (one column). A drop list of a small measured size is broadcast."""
     dropped = scratch.save(dropped.select(F.col(key)).distinct(), "dropped")
-    return docs.join(sized_broadcast(dropped), key, "left_anti").select(docs.columns)
+    return docs.join(sized_broadcast(dropped), key, "left_anti").select(columns_of(docs))

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from glowtrace.llm.common import ROW, SPACE, Scratch, join_groups, sized_broadcast, with_stable_keys, without_rows_of
+from glowtrace.llm.common import ROW, SPACE, Scratch, columns_of, join_groups, sized_broadcast, with_stable_keys, without_rows_of
 
 #: Bytes of the first digit, and how many times longer each following digit is.
 FIRST_DIGIT, GROWTH = 256, 8
@@ -82,5 +82,6 @@ def drop_exact_duplicates(docs: DataFrame) -> DataFrame:
     columns as they come. Null and empty texts are one group. Rows that repeat an id, or have none, are decided one by one.
     Empty table: empty result."""
     scratch = Scratch(docs.sparkSession, "exact")
-    rows = with_stable_keys(docs, scratch)
-    return without_rows_of(rows, radix_groups(rows, row=ROW).where("not kept").select(ROW), ROW, scratch).select(docs.columns)
+    rows, key = with_stable_keys(docs, scratch)
+    groups = radix_groups(rows.select(F.col(key).alias(ROW), "doc_id", "text"), row=ROW)
+    return without_rows_of(rows, groups.where("not kept").select(F.col(ROW).alias(key)), key, scratch).select(columns_of(docs))

@@ -10,7 +10,7 @@ import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from glowtrace.llm.common import ROW, Scratch, small_batches, with_stable_keys, without_rows_of
+from glowtrace.llm.common import ROW, Scratch, columns_of, small_batches, with_stable_keys, without_rows_of
 
 #: Ranks of a profile; an n-gram that a profile lacks counts as this far out of place.
 PROFILE = 400
@@ -150,15 +150,15 @@ def keep_identified(docs: DataFrame) -> DataFrame:
     small_batches(docs.sparkSession)
     profiles = fit_profiles(docs.where(in_training(F.col("doc_id"))))
     scratch = Scratch(docs.sparkSession, "language")
-    rows = with_stable_keys(docs, scratch)
+    rows, key = with_stable_keys(docs, scratch)
     text = F.col("text").cast("string")
     learnt = in_training(F.col("doc_id"))
-    scored = rows.select(ROW, length_band(text).alias("band"), F.col("lang").cast("string").alias("lang"), learnt.alias("learnt"), language(text, profiles).alias("found"))
+    scored = rows.select(F.col(key).alias(ROW), length_band(text).alias("band"), F.col("lang").cast("string").alias("lang"), learnt.alias("learnt"), language(text, profiles).alias("found"))
     scored = scratch.save(scored, "scored")
     bars = {r["band"]: r["least"] for r in least_scores(scored).where("least is not null").collect()}  # a row a bit of a length
     most = bars.pop(None, 0.0)
     bar = F.lit(most)
     for band, least in sorted(bars.items()):
         bar = F.when(F.col("band") == band, F.lit(min(most, least))).otherwise(bar)
-    rejected = scored.where((F.col("found.lang_pred") == UNDETERMINED) | (F.col("found.score") < bar)).select(ROW)
-    return without_rows_of(rows, rejected, ROW, scratch).select(docs.columns)
+    rejected = scored.where((F.col("found.lang_pred") == UNDETERMINED) | (F.col("found.score") < bar)).select(F.col(ROW).alias(key))
+    return without_rows_of(rows, rejected, key, scratch).select(columns_of(docs))

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glowtrace.llm.common import ROW, SALTED, Scratch, join_groups, sized_broadcast, small_batches, spread_join, with_stable_keys, without_rows_of
+from glowtrace.llm.common import ROW, SALTED, Scratch, columns_of, join_groups, sized_broadcast, small_batches, spread_join, with_stable_keys, without_rows_of
 from glowtrace.llm.components import connected_components
 
 #: Signature coordinates = BANDS * ROWS. A pair at 0.75 shares no band with a chance of (1 - 0.75^4)^40, below 3e-7.
@@ -126,19 +126,20 @@ def near_duplicates(docs: DataFrame, similarity: int = 75, width: int = 5, bands
     that could join two components stays unchecked.
 
     Null or empty text: no shingles, own component. Rows that repeat a doc_id, or have none, are documents of their own with
-    their own links and component; one row of a component is kept, a null doc_id last. Only where all of a component are
-    null is its id null. Empty table: empty result.
+    their own links and component; ``kept`` says whether a row's doc_id is its component's, so all rows of that id and
+    component have it. Only where all of a component are null is its id null, and kept true. Empty table: empty result.
     """
-    return _near_rows(docs, similarity, width, bands, rows).drop(ROW)
+    rows_, key = with_stable_keys(docs, Scratch(docs.sparkSession, "near"))
+    return _near_rows(rows_, key, similarity, width, bands, rows).drop(ROW, "leads")
 
 
-def _near_rows(docs: DataFrame, similarity: int = 75, width: int = 5, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """``near_duplicates`` with the inner key of each row: that of ``docs``, or a new one."""
+def _near_rows(docs: DataFrame, key: str, similarity: int = 75, width: int = 5, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """``near_duplicates`` with the key of each row, and ``leads``, true for one row of each component: the smallest doc_id's, a
+    null one last."""
     spark = docs.sparkSession
     small_batches(spark)
     scratch = Scratch(spark, "minhash")
-    docs = with_stable_keys(docs, scratch)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), ROW, F.col("text").cast("string").alias("text"))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(key).alias(ROW), F.col("text").cast("string").alias("text"))
     sketches = scratch.save(_sketches(docs, width, bands, rows), "sketches")
     usable = sketches.where("set_key is not null")
 
@@ -231,8 +232,9 @@ def _near_rows(docs: DataFrame, similarity: int = 75, width: int = 5, bands: int
     first = F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "set_key", ROW)).alias("first")
     roots = scratch.save(out.groupBy("root").agg(first, F.count("*").alias("size")).where("size > 1"), "roots")
     out = join_groups(out, roots, ["root"], [ROW])
-    kept = F.coalesce(F.col(f"first.{ROW}") == F.col(ROW), F.lit(True))
-    return out.select(ROW, "doc_id", "n_shingles", F.coalesce("first.doc_id", "doc_id").alias("component_id"), kept.alias("kept"))
+    leads = F.coalesce(F.col(f"first.{ROW}") == F.col(ROW), F.lit(True))
+    out = out.select(ROW, "doc_id", "n_shingles", F.coalesce("first.doc_id", "doc_id").alias("component_id"), leads.alias("leads"))
+    return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
@@ -240,5 +242,5 @@ def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     come. Documents without words are copies of nothing and stay; rows that repeat an id or have none are decided one by
     one. Empty table: empty result."""
     scratch = Scratch(docs.sparkSession, "near")
-    rows = with_stable_keys(docs, scratch)
-    return without_rows_of(rows, _near_rows(rows).where("not kept").select(ROW), ROW, scratch).select(docs.columns)
+    rows, key = with_stable_keys(docs, scratch)
+    return without_rows_of(rows, _near_rows(rows, key).where("not leads").select(F.col(ROW).alias(key)), key, scratch).select(columns_of(docs))
