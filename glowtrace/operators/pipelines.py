@@ -25,10 +25,11 @@ class Corrected:
 def motion_correct(
     frames: DataFrame, rate: float, height: int, width: int, timestamps: DataFrame | None = None, drop: float = 5, top: int = 0, bottom: int = 0, left: int = 10, right: int = 0,
     remove_artifacts: dict | None = None, median: int = 0, median_time: bool = False, avg_frames: int | None = None, avg_type: str = "mean", max_shifts: tuple[int, int] = (40, 40),
-    iterations: int = 1, piecewise: int = 0, strides: tuple[int, int] = (120, 120), overlaps: tuple[int, int] = (100, 100), deviation: int = 3, border: str = "copy", denoise: int | None = 100,
+    iterations: int = 1, piecewise: int = 0, strides: tuple[int, int] = (120, 120), overlaps: tuple[int, int] = (100, 100), deviation: int = 3, border: str = "copy", denoise: int | None = 100, upsample: int = 10,
     cut_borders: bool = False, debleach: bool | int = False, replace_nans: bool = False, template: dict | None = None,
 ) -> Corrected:
-    """Drop and crop, optional band removal, median and binning, rigid registration (and ``piecewise`` rounds by patches),
+    """Drop and crop, optional band removal, median and binning, rigid registration to 1 / ``upsample`` of a pixel (and
+    ``piecewise`` rounds by patches),
     low rank, optional border cut, debleaching (True, or a number of knots) and NaNs to 0.
 
     ``timestamps`` (rec_id, t_idx, ts) follow the frames: those dropped are left out and binned ones averaged."""
@@ -46,9 +47,9 @@ def motion_correct(
         block = F.floor((F.col("t_idx") - F.col("_rest")) / avg_frames).cast("long")
         times = times.join(n, "rec_id").where("t_idx >= _rest").groupBy("rec_id", block.alias("t_idx")).agg(F.avg("ts").alias("ts"))
         pixels, rate = project.bin_frames(pixels, avg_frames, avg_type), rate / avg_frames
-    movie, shifts = register.register_rigid(frames_of(pixels), max_shifts, iterations, border, **(template or {}))
+    movie, shifts = register.register_rigid(frames_of(pixels), max_shifts, iterations, border, upsample, **(template or {}))
     for _ in range(piecewise):
-        movie = register.piecewise(movie, register.template_of(movie), max_shifts, strides, overlaps, deviation)
+        movie = register.piecewise(movie, register.template_of(movie), max_shifts, strides, overlaps, deviation, upsample)
     if denoise:
         movie = models.pca_denoise(movie, denoise)
     pixels = pixels_of(movie)
@@ -63,11 +64,11 @@ def motion_correct(
     return Corrected(pixels, shifts, times, rate)
 
 
-def motion_correct_filtered(frames: DataFrame, rate: float, height: int, width: int, drop: float = 5, top: int = 0, bottom: int = 0, left: int = 60, right: int = 0, max_shifts: tuple[int, int] = (6, 6), q_cut: tuple[float, float] = (1, 99), median: int = 3, median_time: bool = True) -> tuple[Corrected, DataFrame, DataFrame]:
+def motion_correct_filtered(frames: DataFrame, rate: float, height: int, width: int, drop: float = 5, top: int = 0, bottom: int = 0, left: int = 60, right: int = 0, max_shifts: tuple[int, int] = (6, 6), q_cut: tuple[float, float] = (1, 99), median: int = 3, median_time: bool = True, upsample: int = 10) -> tuple[Corrected, DataFrame, DataFrame]:
     """(corrected, frame quality, image quality): shifts from a clipped, filtered copy applied to the original; medians,
     means, deviations and local correlations before and after (column ``stage``)."""
     before = project.drop_and_crop(pixels_of(frames), rate, drop, top, bottom, left, right, height, width)
-    movie, shifts = register.register_on_filtered(frames_of(before), max_shifts, q_cut, median, median_time)
+    movie, shifts = register.register_on_filtered(frames_of(before), max_shifts, q_cut, median, median_time, upsample)
     after = pixels_of(movie)
     staged = [(F.lit(name).alias("stage"), px) for name, px in (("before", before), ("after", after))]
     by_frame = [project.frame_quality(px).select(s, "*") for s, px in staged]

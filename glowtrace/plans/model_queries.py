@@ -231,6 +231,45 @@ def register_rigid(spark, sf):
     return rg.register_rigid(src.frames(spark, sf), (3, 3))[1]
 
 
+#: CTEs of frames of 8 by 8 against the mean image: circular correlations, the best whole shift within 2, and the best one in
+#: steps of a tenth within three quarters of a pixel, by the trigonometric interpolation of the correlations.
+SUBPIXEL = f"""{MOVIE}, p AS (SELECT y, x, avg(v) AS v FROM m GROUP BY y, x),
+  a AS (SELECT t_idx, y, x, v - avg(v) OVER (PARTITION BY t_idx) AS v FROM m), b AS (SELECT y, x, v - avg(v) OVER () AS v FROM p),
+  c AS (SELECT t_idx, (b.y - a.y + 8) % 8 AS sy, (b.x - a.x + 8) % 8 AS sx, sum(a.v * b.v) AS c FROM a, b GROUP BY ALL),
+  n AS (SELECT t_idx, sqrt(sum(v * v) * (SELECT sum(v * v) FROM b)) AS norm FROM a GROUP BY t_idx),
+  w AS (SELECT t_idx, dy, dx FROM c JOIN (SELECT unnest(range(-2, 3)) AS dy) ON sy = (dy + 8) % 8 JOIN (SELECT unnest(range(-2, 3)) AS dx) ON sx = (dx + 8) % 8
+    QUALIFY row_number() OVER (PARTITION BY t_idx ORDER BY round(c, 9) DESC, abs(dy) + abs(dx), dy, dx) = 1),
+  k AS (SELECT q, s, (1 + 2 * sum(cos(2 * pi() * f * (q / CAST(10 AS DOUBLE) - s) / 8)) + max(cos(pi() * (q / CAST(10 AS DOUBLE) - s)))) / 8 AS g
+    FROM (SELECT unnest(range(-28, 29)) AS q), (SELECT unnest(range(8)) AS s), (SELECT unnest([1, 2, 3]) AS f) GROUP BY q, s),
+  e AS (SELECT unnest(range(-8, 9)) AS e),
+  u AS (SELECT c.t_idx, 10 * dy + e AS qy, sx, sum(c * g) AS c FROM c JOIN w USING (t_idx), e JOIN k ON s = sy AND q = 10 * dy + e WHERE abs(10 * dy + e) <= 20 GROUP BY ALL),
+  z AS (SELECT u.t_idx, qy, 10 * dx + e AS qx, sum(c * g) AS c FROM u JOIN w USING (t_idx), e JOIN k ON s = sx AND q = 10 * dx + e WHERE abs(10 * dx + e) <= 20 GROUP BY ALL),
+  j AS (SELECT t_idx, qy / CAST(10 AS DOUBLE) AS dy, qx / CAST(10 AS DOUBLE) AS dx, c FROM z QUALIFY row_number() OVER (PARTITION BY t_idx ORDER BY round(c, 9) DESC, abs(qy) + abs(qx), qy, qx) = 1)"""
+
+
+@query("register_subpixel", f"WITH {SUBPIXEL} SELECT t_idx, {r8('dy', 'dy')}, {r8('dx', 'dx')}, round(c / norm, 6) + 0 AS r FROM j JOIN n USING (t_idx)")
+def register_subpixel(spark, sf):
+    """Shifts to a tenth of a pixel."""
+    shifts = rg.register_rigid(src.frames(spark, sf), (2, 2), upsample=10)[1]
+    return shifts.withColumn("r", F.round("r", 6))
+
+
+@query("subpixel_movie", f"""WITH {SUBPIXEL}, l AS (SELECT unnest(range(8)) AS o), t AS (SELECT unnest(range(-1, 3)) AS tap),
+  f AS (SELECT DISTINCT d, o, least(greatest(CAST(floor(o - d) AS INTEGER) + tap, 0), 7) AS i, tap, abs(o - d - floor(o - d) - tap) AS r FROM (SELECT dy AS d FROM j UNION SELECT dx FROM j), l, t),
+  h AS (SELECT d, o, i, tap, CASE WHEN r <= 1 THEN ((1.25 * r - 2.25) * r * r + 1) ELSE -0.75 * (((r - 5) * r + 8) * r - 4) END AS g FROM f),
+  v AS (SELECT t_idx, h.o AS y, m.x, sum(m.v * g) AS v FROM m JOIN j USING (t_idx) JOIN h ON h.d = j.dy AND h.i = m.y GROUP BY ALL)
+  SELECT v.t_idx, v.y, CAST(h.o AS INTEGER) AS x, round(sum(v.v * g), 6) + 0 AS v FROM v JOIN j USING (t_idx) JOIN h ON h.d = j.dx AND h.i = v.x GROUP BY ALL""")
+def subpixel_movie(spark, sf):
+    """The frames moved by those shifts, by cubic convolution."""
+    return src.pixels_of(rg.register_rigid(src.frames(spark, sf), (2, 2), upsample=10)[0]).withColumn("v", F.round("v", 6))
+
+
+@query("piecewise_subpixel")
+def piecewise_subpixel(spark, sf):
+    frames = src.frames(spark, sf)
+    return src.pixels_of(rg.piecewise(frames, rg.template_of(frames), (2, 2), (2, 2), (2, 2), 1, 10))
+
+
 @query("register_piecewise")
 def register_piecewise(spark, sf):
     frames = src.frames(spark, sf)

@@ -335,3 +335,55 @@ def test_medians_in_time_cross_chunks(spark, monkeypatch, chunk):
     padded = np.pad(movie, 1, mode="symmetric")
     want = np.median(np.lib.stride_tricks.sliding_window_view(padded, (3, 3, 3)).reshape(8, 4, 5, -1), axis=-1)
     assert np.allclose(movie_of(im.median_filter(frames(spark, list(movie)), 3, time=True), 4, 5), want)
+
+
+# Registration between pixels
+
+
+def smooth_image(seed: int, h: int = 48, w: int = 40) -> np.ndarray:
+    rng = np.random.default_rng(seed)
+    spectrum = np.fft.fft2(rng.normal(size=(h, w)))
+    fy, fx = np.fft.fftfreq(h)[:, None], np.fft.fftfreq(w)[None]
+    return 50 + np.real(np.fft.ifft2(spectrum * np.exp(-60 * (fy**2 + fx**2))))
+
+
+def moved_by_phase(image: np.ndarray, dy: float, dx: float) -> np.ndarray:
+    fy, fx = np.fft.fftfreq(image.shape[0])[:, None], np.fft.fftfreq(image.shape[1])[None]
+    return np.real(np.fft.ifft2(np.fft.fft2(image) * np.exp(-2j * np.pi * (fy * dy + fx * dx))))
+
+
+def test_fractional_shifts_are_found():
+    rng = np.random.default_rng(5)
+    for k in range(12):
+        image, (dy, dx) = smooth_image(k), rng.uniform(-4, 4, 2)
+        got = rg.refined_shift(image, moved_by_phase(image, dy, dx), (6, 6), 20)
+        assert abs(got[0] - dy) <= 0.051 and abs(got[1] - dx) <= 0.051 and got[2] > 0.99
+        whole = rg.refined_shift(image, moved_by_phase(image, dy, dx), (6, 6), 1)
+        assert abs(whole[0] - dy) < 0.75 and abs(whole[1] - dx) < 0.75 and {type(v) for v in whole[:2]} == {int}
+    # The bound holds between pixels as well, and a flat image has no shift.
+    assert max(map(abs, rg.refined_shift(smooth_image(1), moved_by_phase(smooth_image(1), 5.4, -5.4), (5, 5), 10)[:2])) <= 5
+    assert rg.refined_shift(np.full((8, 8), 3.0), smooth_image(2, 8, 8), (2, 2), 10) == (0, 0, 0)
+
+
+def test_fractional_moves_undo_shifts():
+    image = smooth_image(3)
+    back = rg.moved(moved_by_phase(image, -1.3, 2.6), 1.3, -2.6)
+    assert np.abs(back - image)[4:-4, 4:-4].max() < 0.02
+    assert (rg.moved(image, 2.0, -1.0) == rg.moved(image, 2, -1)).all()
+    y, x = np.mgrid[:48, :40].astype(float)
+    assert np.allclose(rg.sampled(image, y - 0.7, x + 1.2), rg.moved(image, 0.7, -1.2))
+    holes = np.isnan(rg.moved(image, 1.5, -0.5, "nan"))
+    assert holes[:2].all() and holes[:, -1].all() and not holes[2:, :-1].any()
+
+
+def test_patches_between_pixels(spark):
+    """Two halves that move apart by parts of a pixel come back to the template."""
+    image = smooth_image(7, 64, 32)
+    parts = np.where(np.arange(64)[:, None] < 32, moved_by_phase(image, 0, 0.6), moved_by_phase(image, 0, -0.6))
+    frames = spark.createDataFrame([("r0", 0, 64, 32, parts.ravel().tolist())], "rec_id string, t_idx long, h int, w int, pix array<double>")
+    off = {}
+    for upsample in (1, 10):
+        out = rg.piecewise(frames, {"r0": image}, (3, 3), (16, 16), (16, 16), 2, upsample).first()
+        off[upsample] = np.abs(np.array(out["pix"]).reshape(64, 32) - image)[[*range(4, 24), *range(40, 60)], 4:-4].mean()
+    before = np.abs(parts - image)[4:-4, 4:-4].mean()
+    assert off[10] < 0.15 * before and off[10] < 0.5 * off[1]
