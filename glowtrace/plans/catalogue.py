@@ -74,5 +74,5 @@ def r8(x: str, name: str) -> str:
     return f"round({x}, 8) + 0 AS {name}"
 
 
-for part in ("trace_queries", "movie_queries", "signal_queries", "image_queries", "model_queries", "source_queries", "stream_queries"):
+for part in ("trace_queries", "movie_queries", "signal_queries", "image_queries", "model_queries", "source_queries", "recording_queries", "stream_queries"):
     import_module(f"glowtrace.plans.{part}")

@@ -7,7 +7,6 @@ task, and any number of recordings is read at once.
 from __future__ import annotations
 
 import datetime as dt
-import struct
 import warnings
 import xml.etree.ElementTree as ET
 from collections.abc import Iterator, Sequence
@@ -20,6 +19,8 @@ from pyspark.sql import functions as F
 
 from glowtrace.errors import RecordingError, XmlStructureError
 from glowtrace.operators.resample import trigger_times
+from glowtrace.sources import tiff
+from glowtrace.sources.scratch import checkpointed
 
 # The names of recording types, and the types that folders are named by.
 TYPES = {
@@ -29,6 +30,8 @@ TYPES = {
     "singleimage": "SingleImage",
 }
 FOLDER_TYPES = ("TSeries", "ZSeries", "SingleImage")
+#: Tables of a row a recording are broadcast up to this many.
+BROADCAST_RECORDINGS = 100_000
 
 
 def find_recording(spark: SparkSession, folders: str | Sequence[str], kind: str, extension: str | int, date: dt.date | str, days_before: int = 0, date_format: str = "%m%d%Y", ext_fill: int = 3, pattern: str = "{recording_type}-{date}-????-{file_extension}", errors: str = "raise") -> str | None:
@@ -70,6 +73,8 @@ def shard_values(shard: ET.Element) -> dict[str, str]:
                 out[key + child.attrib["index"]] = child.attrib["value"]
             elif child.tag == "SubindexedValues":
                 for sub in child:
+                    if sub.tag != "SubindexedValue":
+                        raise XmlStructureError(f"unknown element {sub.tag}")
                     out[key + child.attrib["index"] + sub.attrib["subindex"]] = sub.attrib["value"]
             else:
                 raise XmlStructureError(f"unknown element {child.tag}")
@@ -81,7 +86,8 @@ def _attributes(root: ET.Element, channel: int | None) -> Iterator[tuple[str, in
     tags = [e.tag for e in root]
     if tags[:1] != ["PVStateShard"] and tags[:2] != ["SystemIDs", "PVStateShard"]:
         raise XmlStructureError("the state shard must come first, or after the system's ids")
-    yield "settings", -1, -1, {"date": root.attrib.get("date", "")} | shard_values(root.find("PVStateShard"))
+    system = {"SystemID": root[0].attrib["SystemID"]} if root[0].tag == "SystemIDs" and "SystemID" in root[0].attrib else {}
+    yield "settings", -1, -1, shard_values(root.find("PVStateShard")) | system | {"date": root.attrib.get("date", "")}
     for s, sequence in enumerate(root.iter("Sequence")):
         outer = dict(sequence.attrib)
         for tag, suffix in (("VoltageRecording", "Vin"), ("VoltageOutput", "Vout")):
@@ -145,57 +151,35 @@ def frame_table(meta: DataFrame) -> DataFrame:
     return rows.withColumn("t_idx", (F.row_number().over(order) - 1).cast("long")).drop("sequence", "frame")
 
 
-def decode_tiff(data: bytes) -> np.ndarray:
-    """A baseline TIFF: one grey image of 8, 16 or 32 bits in uncompressed strips, either byte order."""
-    end = {b"II": "<", b"MM": ">"}[data[:2]]
-    at = struct.unpack_from(end + "I", data, 4)[0]
-    tags = {}
-    kinds = {1: "B", 3: "H", 4: "I"}
-    for i in range(struct.unpack_from(end + "H", data, at)[0]):
-        tag, kind, n = struct.unpack_from(end + "HHI", data, at + 2 + 12 * i)
-        if kind in kinds:
-            form = f"{end}{n}{kinds[kind]}"
-            place = at + 10 + 12 * i
-            tags[tag] = struct.unpack_from(form, data, place if struct.calcsize(form) <= 4 else struct.unpack_from(end + "I", data, place)[0])
-    if tags.get(259, (1,))[0] != 1 or tags.get(277, (1,))[0] != 1:
-        raise RecordingError("only uncompressed grey images are read")
-    bits, signed = tags.get(258, (8,))[0], tags.get(339, (1,))[0]
-    kind = f"{end}{ {1: 'u', 2: 'i', 3: 'f'}[signed] }{bits // 8}"
-    raw = b"".join(data[o : o + n] for o, n in zip(tags[273], tags[279], strict=True))
-    return np.frombuffer(raw, kind).reshape(tags[257][0], tags[256][0])
-
-
-def encode_tiff(image: np.ndarray) -> bytes:
-    """One strip, little-endian, 8 or 16 bits."""
-    image = np.ascontiguousarray(image.astype(image.dtype.newbyteorder("<")))
-    h, w = image.shape
-    entries = [(256, 4, w), (257, 4, h), (258, 3, image.itemsize * 8), (259, 3, 1), (262, 3, 1), (273, 4, 8 + 2 + 12 * 9 + 4), (277, 3, 1), (278, 4, h), (279, 4, image.nbytes)]
-    return b"II*\0" + struct.pack("<IH", 8, len(entries)) + b"".join(struct.pack("<HHII", t, k, 1, v) for t, k, v in entries) + b"\0\0\0\0" + image.tobytes()
-
-
 def read_tiffs(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """(rec_id, filename, h, w, pix) of TIFF files; a file is a row, and files are spread over tasks by Spark."""
 
     def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            images = [decode_tiff(c) for c in batch["content"]]
+            images = [tiff.decode(c) for c in batch["content"]]
             names = batch["path"].str.rsplit("/", n=2)
             yield pd.DataFrame({"rec_id": names.str[-2], "filename": names.str[-1], "h": [i.shape[0] for i in images], "w": [i.shape[1] for i in images], "pix": [i.ravel().astype(float) for i in images]})
 
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(decode, "rec_id string, filename string, h int, w int, pix array<double>")
 
 
-def read_voltage(spark: SparkSession, path: str, offset: float | dict[str, float] = 0.0, time: Sequence[str] = ("Time(ms)",), value: Sequence[str] = ("trigger",)) -> DataFrame:
-    """(ts, value) of voltage tables moved by ``offset`` seconds; with an offset for each recording, (rec_id, ts, value), the
-    recording being the table's folder, or the only one there is."""
+def read_voltage(spark: SparkSession, path: str, offset: float | dict[str, float] | DataFrame = 0.0, time: Sequence[str] = ("Time(ms)",), value: Sequence[str] = ("trigger",)) -> DataFrame:
+    """(ts, value) of voltage tables moved by ``offset`` seconds; with an offset for each recording, a dictionary or a table
+    (rec_id, offset), (rec_id, ts, value), the recording being the table's folder, or the only one there is. A table whose
+    recording has no offset is an error."""
     rows = spark.read.option("header", True).csv(path)
-    if not isinstance(offset, dict):
+    if isinstance(offset, dict):
+        offset = spark.createDataFrame([(k, float(v)) for k, v in offset.items()], "rec_id string, offset double")
+    if not isinstance(offset, DataFrame):
         return trigger_times(rows, time, value, offset=offset)
-    rec = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2) if len(offset) > 1 else F.lit(next(iter(offset), None))
-    rows = rows.withColumn("_rec", F.url_decode(rec) if len(offset) > 1 else rec)
-    moved = F.lit(None).cast("double")
-    for name, seconds in offset.items():
-        moved = F.when(F.col("_rec") == name, F.lit(float(seconds))).otherwise(moved)
+    few = offset.limit(2).collect()
+    if len(few) == 1:
+        rows = rows.withColumn("_rec", F.lit(few[0]["rec_id"])).withColumn("_offset", F.lit(few[0]["offset"]).cast("double"))
+    else:
+        rows = rows.withColumn("_rec", F.url_decode(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2)))
+        offsets = offset.select(F.col("rec_id").alias("_rec"), F.col("offset").cast("double").alias("_offset"))
+        rows = rows.join(F.broadcast(offsets) if offset.count() <= BROADCAST_RECORDINGS else offsets, "_rec", "left")
+    moved = F.coalesce("_offset", F.raise_error(F.concat(F.lit("no absolute voltage time: "), "_rec")).cast("double"))
     return trigger_times(rows, time, value, offset=moved, keep=("_rec",)).withColumnRenamed("_rec", "rec_id")
 
 
@@ -225,12 +209,9 @@ def load_recording(spark: SparkSession, folder: str, channel: int | None = None,
     triggers = None
     if voltage:
         # Every recording's own offset, a row each.
-        offsets = {r["rec_id"]: r["o"] for r in known.where("key = 'absoluteTimeVin'").select("rec_id", F.expr("try_cast(value as double)").alias("o")).collect()}
-        recs = sorted(r["rec_id"] for r in first.select("rec_id").collect())
-        missing = [r for r in recs if offsets.get(r) is None] if absolute_trigger_time else []
-        if missing:
-            raise RecordingError(f"no absolute voltage time: {missing[:20]}")
-        triggers = read_voltage(spark, voltage, {r: offsets[r] if absolute_trigger_time else 0.0 for r in recs})
+        own = known.where("key = 'absoluteTimeVin'").select("rec_id", F.expr("try_cast(value as double)").alias("offset"))
+        offsets = first.select("rec_id").join(own, "rec_id", "left") if absolute_trigger_time else first.select("rec_id", F.lit(0.0).alias("offset"))
+        triggers = read_voltage(spark, voltage, checkpointed(spark, offsets))
     return Recording(frames, facts, known, triggers)
 
 
