@@ -1,16 +1,15 @@
-"""Filters along time. Finite kernels are windows in Spark; recursive filters run a series at a time, as they must."""
+"""Filters along time. Finite kernels are windows in Spark; recursive filters are designed here and run in chunks of time."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
-from functools import lru_cache
+from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from glowtrace.functions import gaussian_kernel, round_odd, savgol_kernel
+from glowtrace.operators.recursion import Cascade, Recursion, filtered, recursive_filter
 from glowtrace.operators.windows import KEYS, by, frame_list, padded
 
 
@@ -119,92 +118,36 @@ def chebyshev_lowpass(order: int, ripple: float, cutoff: float) -> tuple[np.ndar
     return _zpk_to_ba(*_bilinear(np.empty(0), warped * p, k * warped**order))
 
 
-#: Samples that a recursive filter takes at once.
-BLOCK = 128
-
-
-@lru_cache(maxsize=16)
-def _block_matrices(b: tuple[float, ...], a: tuple[float, ...]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """For the state space of a filter: outputs of a block from its state and from its samples, and the state after it from
-    both."""
-    b_, a_, n = np.array(b), np.array(a), len(b)
-    step = np.zeros((n - 1, n - 1))
-    step[:, 0] = -a_[1:]
-    step[np.arange(n - 2), np.arange(1, n - 1)] = 1
-    gain = b_[1:] - a_[1:] * b_[0]
-    powers = [np.eye(n - 1)]
-    for _ in range(BLOCK):
-        powers.append(step @ powers[-1])
-    seen = np.stack([p[0] for p in powers[:BLOCK]])
-    impulse = np.concatenate([[b_[0]], seen[:-1] @ gain])
-    lag = np.arange(BLOCK)[:, None] - np.arange(BLOCK)[None]
-    return seen, np.where(lag >= 0, impulse[np.maximum(lag, 0)], 0.0), powers[BLOCK], np.stack([p @ gain for p in powers[BLOCK - 1 :: -1]])
-
-
 def lfilter(b: np.ndarray, a: np.ndarray, x: np.ndarray, state: np.ndarray | None = None) -> np.ndarray:
-    """The difference equation in its transposed direct form, a block of samples at a time: only the state goes from block to
-    block, so the rest is matrix products."""
-    n = max(len(a), len(b))
-    b, a = np.pad(b, (0, n - len(b))) / a[0], np.pad(a, (0, n - len(a))) / a[0]
-    if n == 1:
-        return b[0] * x
-    seen, through, carry, enter = _block_matrices(tuple(b), tuple(a))
-    blocks = np.pad(np.asarray(x, float), (0, -len(x) % BLOCK)).reshape(-1, BLOCK)
-    entered = blocks @ enter
-    states = np.zeros((len(blocks), n - 1))
-    z = np.zeros(n - 1) if state is None else np.asarray(state, float)
-    for i, more in enumerate(entered):
-        states[i] = z
-        z = carry @ z + more
-    return (states @ seen.T + blocks @ through.T).ravel()[: len(x)]
+    """The difference equation over one array, from rest or from a state."""
+    filt = Recursion(b, a)
+    return filt.run(x, filt.rest if state is None else np.asarray(state, float))[0]
 
 
 def steady_state(b: np.ndarray, a: np.ndarray) -> np.ndarray:
     """The state after a long step of height 1."""
-    n = max(len(a), len(b))
-    b, a = np.pad(b, (0, n - len(b))) / a[0], np.pad(a, (0, n - len(a))) / a[0]
-    companion = np.zeros((n - 1, n - 1))
-    companion[:, 0] = -a[1:]
-    companion[np.arange(n - 2), np.arange(1, n - 1)] = 1
-    return np.linalg.solve(np.eye(n - 1) - companion, b[1:] - a[1:] * b[0])
+    return Recursion(b, a).steady
 
 
 def filtfilt(b: np.ndarray, a: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """Forwards and backwards over the series extended by its odd reflection."""
-    pad = min(3 * max(len(a), len(b)), len(x) - 1)
-    if pad < 1:
-        return x.copy()
-    ext = np.concatenate([2 * x[0] - x[pad:0:-1], x, 2 * x[-1] - x[-2 : -pad - 2 : -1]])
-    zi = steady_state(b, a)
-    y = lfilter(b, a, ext, zi * ext[0])[::-1]
-    return lfilter(b, a, y, zi * y[0])[::-1][pad : pad + len(x)]
-
-
-def by_series(traces: DataFrame, kernel: Callable[[np.ndarray], np.ndarray], keys: Sequence[str] = KEYS, value: str = "f") -> DataFrame:
-    """(keys, t_idx, value): a NumPy kernel over each whole series; a recursion needs its series in one place."""
-
-    def run(series: pd.DataFrame) -> pd.DataFrame:
-        series = series.sort_values("t_idx")
-        return series[[*keys, "t_idx"]].assign(**{value: kernel(series[value].to_numpy(float))})
-
-    fields = ", ".join(f"{k} {t}" for k, t in traces.select(*keys, "t_idx").dtypes)
-    return traces.select(*keys, "t_idx", F.col(value).cast("double").alias(value)).groupBy(*keys).applyInPandas(run, f"{fields}, {value} double")
+    """Forwards and backwards over one array extended by its odd reflection."""
+    return filtered(x, Cascade(b, a), True)
 
 
 def lowpass(traces: DataFrame, cutoff: float, fs: float, order: int = 5, keys: Sequence[str] = KEYS, value: str = "f") -> DataFrame:
     b, a = butter_lowpass(cutoff, fs, order)
-    return by_series(traces, lambda x: filtfilt(b, a, x), keys, value)
+    return recursive_filter(traces, b, a, True, keys, value)
 
 
 def bandpass(traces: DataFrame, low: float, high: float, fs: float, order: int = 5, keys: Sequence[str] = KEYS) -> DataFrame:
     b, a = butter_bandpass(low, high, fs, order)
-    return by_series(traces, lambda x: filtfilt(b, a, x), keys)
+    return recursive_filter(traces, b, a, True, keys)
 
 
 def notch_filter(traces: DataFrame, dt: float, band: float = 2, freq: float = 60, order: int = 2, keys: Sequence[str] = KEYS) -> DataFrame:
     """A single causal pass of a band stop around ``freq``."""
     b, a = butter_bandstop(freq - band / 2, freq + band / 2, 1 / dt, order)
-    return by_series(traces, lambda x: lfilter(b, a, x), keys)
+    return recursive_filter(traces, b, a, False, keys)
 
 
 def filter_traces(traces: DataFrame, rate: float, method: str | None = "median", ksize: float = 0.24, keys: Sequence[str] = KEYS, **options) -> DataFrame:
@@ -228,7 +171,7 @@ def preprocess(traces: DataFrame, rate: float, factor: int = 10, start: float =
     rows = traces.select(*keys, "t_idx", "ts", "f")
     if factor > 1:
         b, a = chebyshev_lowpass(8, 0.05, 0.8 / factor)
-        smooth = by_series(rows, lambda x: filtfilt(b, a, x), keys)
+        smooth = recursive_filter(rows, b, a, True, keys)
         rows = rows.drop("f").join(smooth, [*keys, "t_idx"]).where(F.col("t_idx") % factor == 0).withColumn("t_idx", F.expr(f"t_idx div {factor}"))
     rows = rows.where(F.col("ts") >= start) if end is None else rows.where((F.col("ts") >= start) & (F.col("ts") < end))
     mean = F.avg("f").over(Window.partitionBy(*keys)) if centre else F.lit(None).cast("double")

@@ -95,9 +95,9 @@ def mode_percentile(data: np.ndarray, retries: int = 8) -> tuple[float, float]:
 def block_percentiles(traces: DataFrame, window: int | None, most: float | None = None, keys: Sequence[str] = KEYS) -> DataFrame:
     """(keys, q): the median over whole blocks of the blocks' mode percentiles, ``most`` at most. Each block is a group; a
     series shorter than the window is one."""
-    n = F.count("*").over(Window.partitionBy(*keys))
-    size = F.least(F.lit(window).cast("long"), n) if window else n
-    rows = traces.select(*keys, "t_idx", F.col("f").cast("double").alias("f")).withColumn("_n", n).withColumn("block", F.expr("t_idx") / size)
+    sizes = traces.groupBy(*keys).agg(F.count("*").alias("_n"))
+    size = F.least(F.lit(window).cast("long"), F.col("_n")) if window else F.col("_n")
+    rows = traces.select(*keys, "t_idx", F.col("f").cast("double").alias("f")).join(sizes, [*keys]).withColumn("block", F.expr("t_idx") / size)
     rows = rows.withColumn("block", F.floor("block")).where(F.col("block") < F.floor(F.col("_n") / F.least(F.lit(window or 1 << 60).cast("long"), F.col("_n"))))
 
     def run(block: pd.DataFrame) -> pd.DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from glowtrace.operators.quantiles import exact_percentiles
+
 REDUCERS = {"mean": F.avg, "std": F.stddev_pop, "max": F.max, "min": F.min, "median": F.median, "sum": F.sum, "var": F.var_pop}
 PIXEL = ("rec_id", "y", "x")
 
@@ -56,7 +58,8 @@ def _over_movie(pixels: DataFrame, *aggs: Column) -> DataFrame:
 
 def quantile_clip(pixels: DataFrame, low: float = 1, high: float = 99) -> DataFrame:
     """Values below the low quantile of the movie become 0, those above the high one become it."""
-    rows = _over_movie(pixels, F.percentile("v", low / 100).alias("_lo"), F.percentile("v", high / 100).alias("_hi"))
+    limits = exact_percentiles(pixels, ["rec_id"], "v", [low / 100, high / 100])
+    rows = pixels.join(limits.select("rec_id", F.col("quantiles")[0].alias("_lo"), F.col("quantiles")[1].alias("_hi")), "rec_id")
     v = F.when(F.col("v") < F.col("_lo"), 0.0).when(F.col("v") > F.col("_hi"), F.col("_hi")).otherwise(F.col("v"))
     return rows.withColumn("v", v).select(pixels.columns)
 

@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from glowtrace.operators.quantiles import exact_percentiles
 from glowtrace.operators.windows import KEYS, by, frame_list, padded
 
 
@@ -119,14 +120,15 @@ def dfof_percentile(traces: DataFrame, q: float, window: int | None, background:
 
     With a window, b is the order statistic of rank int(window * q / 100) in the centred window, ends reflected; without
     one, or for series not longer than it, the linearly interpolated percentile of the series."""
-    one = F.percentile("f", q / 100).over(Window.partitionBy(*keys))
     rows = traces.select(*keys, "t_idx", F.col("f").cast("double").alias("f"))
     if window is None:
-        rows = rows.withColumn("b", one)
+        whole = exact_percentiles(rows, keys, "f", [q / 100])
+        rows = rows.join(whole.select(*keys, F.col("quantiles")[0].alias("b")), [*keys], "left")
     else:
-        rows = rows.withColumn("_all", one).join(order_statistic(rows, window, min(int(window * q / 100), window - 1), keys), [*keys, "t_idx"])
-        n = F.count("*").over(Window.partitionBy(*keys))
-        rows = rows.withColumn("b", F.when(n < window, F.col("_all")).otherwise(F.col("b"))).drop("_all")
+        short = rows.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") < window)
+        short = rows.join(short, [*keys]).groupBy(*keys).agg(F.percentile("f", q / 100).alias("_all"), F.lit(True).alias("_short"))  # fewer rows than a window
+        rows = rows.join(order_statistic(rows, window, min(int(window * q / 100), window - 1), keys), [*keys, "t_idx"]).join(short, [*keys], "left")
+        rows = rows.withColumn("b", F.when(F.col("_short"), F.col("_all")).otherwise(F.col("b"))).drop("_all", "_short")
     if background is None:
         return rows.select(*keys, "t_idx", F.try_divide(F.col("f") - F.col("b"), F.col("b")).alias("dfof"))
     bg = dfof_baseline(background, q, window)
@@ -136,7 +138,8 @@ def dfof_percentile(traces: DataFrame, q: float, window: int | None, background:
 def dfof_baseline(background: DataFrame, q: float, window: int | None) -> DataFrame:
     series = background.select("rec_id", F.lit("bg").alias("roi_id"), "t_idx", F.col("f").cast("double").alias("f"))
     if window is None:
-        return series.select("rec_id", "t_idx", F.percentile("f", q / 100).over(Window.partitionBy("rec_id")).alias("bg"))
+        whole = exact_percentiles(series, ["rec_id"], "f", [q / 100])
+        return series.join(whole, "rec_id", "left").select("rec_id", "t_idx", F.col("quantiles")[0].alias("bg"))
     return order_statistic(series, window, min(int(window * q / 100), window - 1)).select("rec_id", "t_idx", F.col("b").alias("bg"))
 
 
@@ -151,12 +154,12 @@ def order_statistic(traces: DataFrame, window: int, rank: int, keys: Sequence[st
     need, so that a long series is many groups."""
     left, right = window // 2, window - window // 2 - 1
     ext = padded(traces, left, right, "reflect", keys)
-    n = F.count("*").over(Window.partitionBy(*keys)) - (left + right)
+    ext = ext.join(traces.groupBy(*keys).agg(F.count("*").alias("_n")), [*keys])
     if window <= LISTED:
-        rows = ext.withColumn("_n", n).select(*keys, "t_idx", "_n", F.get(F.array_sort(frame_list("f", left, right, keys)), F.lit(rank)).alias("b"))
+        rows = ext.select(*keys, "t_idx", "_n", F.get(F.array_sort(frame_list("f", left, right, keys)), F.lit(rank)).alias("b"))
         return rows.where((F.col("t_idx") >= 0) & (F.col("t_idx") < F.col("_n"))).drop("_n")
     runs = F.sequence(F.floor((F.col("t_idx") - right) / RUN).cast("long"), F.floor((F.col("t_idx") + left) / RUN).cast("long"))
-    rows = ext.withColumn("_n", n).withColumn("run", F.explode(runs)).where("run >= 0 and run * %d < _n" % RUN)
+    rows = ext.withColumn("run", F.explode(runs)).where("run >= 0 and run * %d < _n" % RUN)
 
     def moved(run: pd.DataFrame) -> pd.DataFrame:
         run = run.sort_values("t_idx")

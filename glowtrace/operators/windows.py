@@ -25,8 +25,8 @@ def padded(df: DataFrame, left: int, right: int, mode: str, keys: Sequence[str]
     """
     if mode not in PADS and constant is None:
         raise ValueError(f"mode must be one of {PADS}, not {mode!r}")
-    n = F.count("*").over(Window.partitionBy(*keys)).cast("long")
-    df = df.select(*keys, F.col("t_idx").cast("long").alias("t_idx"), F.col(value).cast("double").alias(value)).withColumn("_n", n)
+    sizes = df.groupBy(*keys).agg(F.count("*").alias("_n"))
+    df = df.select(*keys, F.col("t_idx").cast("long").alias("t_idx"), F.col(value).cast("double").alias(value)).join(sizes, [*keys])
     i, size = F.col("t_idx"), F.col("_n")
     if mode == "reflect" and constant is None:
         turns = F.sequence(-F.ceil(F.lit(max(left, right)) / size).cast("long"), F.ceil(F.lit(max(left, right)) / size).cast("long"))
