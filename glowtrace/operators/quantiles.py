@@ -74,7 +74,7 @@ def exact_percentiles(rows: DataFrame, keys: Sequence[str], value: str, shares:
         found = checkpointed(spark, _found(counts, ["_of", "_bits"], F.col("wanted")).select("_of", "_all", bits.alias("bits"), "n", "wanted"))
     else:
         values = found.select("_of", "_all", F.explode("wanted.rank").alias("rank"), F.col("bits").alias("_key"))
-    known = values.withColumn("v", of_key("_key")).groupBy("_of", "_all").agg(F.map_from_entries(F.collect_list(F.struct("rank", "v"))).alias("at"))
+    known = values.withColumn("v", F.coalesce(of_key("_key"), F.lit(float("nan")))).groupBy("_of", "_all").agg(F.map_from_entries(F.collect_list(F.struct("rank", "v"))).alias("at"))
 
     def interpolated(place: Column) -> Column:
         low, high = F.floor(place).cast("long"), F.ceil(place).cast("long")
