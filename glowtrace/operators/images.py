@@ -145,30 +145,86 @@ def binary_threshold(image: DataFrame, threshold: float) -> DataFrame:
     return image.withColumn("v", F.when(F.col("v") > threshold, 1).otherwise(0))
 
 
+#: Side of the tiles that images are labelled in.
+TILE = 512
+
+
+def tile_components(y: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """For each pixel the place of its 8-connected component's first one in raster order: runs of rows, joined with those of
+    the row above that they touch."""
+    order = np.lexsort((x, y))
+    ys, xs = y[order].astype(np.int64), x[order].astype(np.int64)
+    starts = np.flatnonzero(np.concatenate([[True], (np.diff(ys) != 0) | (np.diff(xs) != 1)])) if len(ys) else np.empty(0, np.int64)
+    ends = np.concatenate([starts[1:], [len(ys)]]) - 1
+    row, low, high = ys[starts], xs[starts], xs[ends] if len(ys) else xs
+    parent = list(range(len(starts)))
+
+    def root(i: int) -> int:
+        while parent[i] != i:
+            parent[i] = parent[parent[i]]
+            i = parent[i]
+        return i
+
+    # The first run above that reaches a run, and the last; both from sorted rows and columns.
+    wide = int(xs.max(initial=0)) + 3
+    first = np.searchsorted(row * wide + high, (row - 1) * wide + low - 1)
+    last = np.searchsorted(row * wide + low, (row - 1) * wide + high + 1, "right")
+    for i, (a, b) in enumerate(zip(first.tolist(), last.tolist(), strict=True)):
+        for j in range(a, b):
+            p, q = root(i), root(j)
+            if p != q:
+                parent[max(p, q)] = min(p, q)
+    roots = np.array([root(i) for i in range(len(starts))], np.int64)
+    out = np.empty(len(ys), np.int64)
+    out[order] = np.repeat(order[starts[roots]] if len(roots) else roots, ends - starts + 1)
+    return out
+
+
+def least_of_links(links: DataFrame) -> DataFrame:
+    """(rec_id, id, least): the smallest id that links (rec_id, u, v) lead to, for all that isn't it. Alternating large and small
+    stars (Kiveris et al., 2014); a step is a checkpoint, and their number grows with the logarithm of the longest chain."""
+    spark = links.sparkSession
+    now = links.where("u <> v").select("rec_id", F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+    now, before = checkpointed(spark, now), None
+    while True:
+        mark = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("rec_id", "u", "v").cast("decimal(38,0)"))).first())
+        if mark == before or not mark[0]:
+            return now.select("rec_id", F.col("u").alias("id"), F.col("v").alias("least"))
+        turned = now.select("rec_id", F.col("v").alias("u"), F.col("u").alias("v"))
+        near = now.union(turned).groupBy("rec_id", "u").agg(F.least(F.min("v"), F.min("u")).alias("m"))
+        large = turned.join(near, ["rec_id", "u"]).select("rec_id", F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        root = large.groupBy("rec_id", "u").agg(F.min("v").alias("m"))
+        small = large.join(root, ["rec_id", "u"]).where("v > m").select("rec_id", F.col("v").alias("u"), F.col("m").alias("v"))
+        before, now = mark, checkpointed(spark, small.union(root.select("rec_id", "u", F.col("m").alias("v"))).distinct())
+
+
 def connected_components(image: DataFrame, label: str = "label") -> DataFrame:
     """(rec_id, y, x, label) of the non-zero pixels, 8-connected: labels from 1 in raster order of each component's first
-    pixel. Minimum labels spread to neighbours and jump along pointers, each step a join and a checkpoint, so images of any
-    size are cut freely over tasks."""
+    pixel. A tile is labelled in one task; only pixels at the borders of tiles are joined with their neighbours, and what meets
+    afterwards is a row a pair of touching components of two tiles. So images of any size, and components over all of one,
+    are cut over tasks. An image within one tile has no borders."""
     spark = image.sparkSession
-    fore = image.where("v <> 0").select("rec_id", "y", "x")
-    code = (F.col("y").cast("long") * (1 << 31)) + F.col("x")
-    now = checkpointed(spark, fore.withColumn("me", code).withColumn("root", code))
-    around = F.flatten(F.transform(F.sequence(F.lit(-1), F.lit(1)), lambda dy: F.transform(F.sequence(F.lit(-1), F.lit(1)), lambda dx: F.struct(dy.alias("dy"), dx.alias("dx")))))
-    while True:
-        sent = now.select("rec_id", F.explode(around).alias("o"), "y", "x", "root").select("rec_id", (F.col("y") + F.col("o.dy")).alias("y"), (F.col("x") + F.col("o.dx")).alias("x"), "root")
-        least = sent.groupBy("rec_id", "y", "x").agg(F.min("root").alias("best"))
-        step = now.join(least, ["rec_id", "y", "x"])
-        hooks = step.groupBy("rec_id", "root").agg(F.min("best").alias("hook"))
-        nxt = step.join(hooks, ["rec_id", "root"]).select("rec_id", "y", "x", "me", F.least("best", "hook").alias("root"))
-        jump = nxt.select("rec_id", F.col("me").alias("root"), F.col("root").alias("further"))
-        nxt = nxt.join(jump, ["rec_id", "root"]).select("rec_id", "y", "x", "me", F.least("root", "further").alias("root"))
-        nxt = checkpointed(spark, nxt)
-        moved = nxt.join(now.withColumnRenamed("root", "was"), ["rec_id", "y", "x", "me"]).where("root <> was").limit(1).count()
-        now = nxt
-        if not moved:
-            break
-    roots = now.where("me = root").withColumn(label, F.row_number().over(Window.partitionBy("rec_id").orderBy("me"))).select("rec_id", "root", label)
-    return now.join(roots, ["rec_id", "root"]).select("rec_id", "y", "x", label)
+    kinds = dict(image.dtypes)
+    side = TILE
+    tile = [F.floor(F.col(c) / side).cast("long").alias(f"t{c}") for c in "yx"]
+    fore = image.where("v <> 0").select("rec_id", "y", "x", *tile)
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        y, x = group["y"].to_numpy(np.int64), group["x"].to_numpy(np.int64)
+        at = tile_components(y - y.min(), x - x.min())
+        return group[["rec_id", "y", "x"]].assign(root=(y[at] << 31) + x[at])
+
+    tiled = checkpointed(spark, fore.groupBy("rec_id", "ty", "tx").applyInPandas(run, f"rec_id {kinds['rec_id']}, y {kinds['y']}, x {kinds['x']}, root long"))
+    edge = tiled.where(F.expr(" or ".join(f"{c} % {side} in (0, {side - 1})" for c in "yx")))
+    steps = F.array(*[F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx")) for dy, dx in ((0, 1), (1, -1), (1, 0), (1, 1))])  # each pair once
+    sent = edge.select("rec_id", "y", "x", F.col("root").alias("u"), F.explode(steps).alias("o"))
+    sent = sent.select("rec_id", "u", (F.col("y") + F.col("o.dy")).alias("ny"), (F.col("x") + F.col("o.dx")).alias("nx"), "y", "x").where(f"ny div {side} <> y div {side} or nx div {side} <> x div {side}")
+    links = sent.drop("y", "x").join(edge.select("rec_id", F.col("y").alias("ny"), F.col("x").alias("nx"), F.col("root").alias("v")), ["rec_id", "ny", "nx"]).select("rec_id", "u", "v")
+    joined = least_of_links(links).withColumnRenamed("id", "root")
+    whole = tiled.join(joined, ["rec_id", "root"], "left").select("rec_id", "y", "x", F.coalesce("least", "root").alias("root"))
+    roots = whole.where(F.col("root") == F.col("y").cast("long") * (1 << 31) + F.col("x"))
+    roots = roots.withColumn(label, F.row_number().over(Window.partitionBy("rec_id").orderBy("root"))).select("rec_id", "root", label)
+    return whole.join(roots, ["rec_id", "root"]).select("rec_id", "y", "x", label)
 
 
 def flood(v: np.ndarray, markers: np.ndarray) -> np.ndarray:

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from glowtrace.operators import filters, project, quantiles, recursion, traces
+from glowtrace.operators import filters, images, project, quantiles, recursion, traces
 
 DESIGNS = {
     "lowpass": filters.butter_lowpass(2, 30),
@@ -141,3 +141,61 @@ def test_no_percentile_aggregate_over_a_movie_or_series(spark):
     tr = px.select("rec_id", F.col("x").alias("roi_id"), "t_idx", F.col("v").alias("f"))
     for df in (project.quantile_clip(px), traces.dfof_percentile(tr, 8, None)):
         assert "percentile(" not in df._jdf.queryExecution().optimizedPlan().toString()
+
+
+# Components of images
+
+
+def plain_components(mask):
+    """Labels from 1 in raster order, by flooding."""
+    out, n = np.zeros(mask.shape, int), 0
+    for y, x in zip(*np.nonzero(mask), strict=True):
+        if out[y, x]:
+            continue
+        n += 1
+        stack = [(y, x)]
+        out[y, x] = n
+        while stack:
+            a, b = stack.pop()
+            for i in range(max(a - 1, 0), min(a + 2, mask.shape[0])):
+                for j in range(max(b - 1, 0), min(b + 2, mask.shape[1])):
+                    if mask[i, j] and not out[i, j]:
+                        out[i, j] = n
+                        stack.append((i, j))
+    return out
+
+
+def serpentine(h, w):
+    mask = np.zeros((h, w), bool)
+    mask[::2] = True
+    mask[1::4, -1] = mask[3::4, 0] = True
+    return mask
+
+
+MASKS = {
+    "serpentine": serpentine(31, 29), "noise": np.random.default_rng(1).random((40, 37)) < 0.35, "full": np.ones((20, 20), bool), "none": np.zeros((9, 9), bool),
+    "diagonals": np.eye(33, dtype=bool) | np.eye(33, dtype=bool)[::-1], "comb": np.add.outer(np.arange(30) == 29, np.arange(30) % 2 == 0) > 0, "dots": np.indices((24, 24)).sum(0) % 4 == 0,
+}
+
+
+def test_a_tile_by_flooding():
+    rng = np.random.default_rng(4)
+    for mask in [*MASKS.values(), *(rng.random((rng.integers(1, 12), rng.integers(1, 12))) < rng.random() for _ in range(200))]:
+        y, x = np.nonzero(mask)
+        mixed = rng.permutation(len(y))
+        y, x = y[mixed], x[mixed]
+        want = plain_components(mask)[y, x]
+        got = images.tile_components(y, x)
+        for k in np.unique(want):
+            here = want == k
+            first = np.lexsort((x[here], y[here]))[0]
+            assert (got[here] == np.flatnonzero(here)[first]).all()
+
+
+@pytest.mark.parametrize("side", [5, 8, 512])
+def test_components_over_tiles(spark, monkeypatch, side):
+    monkeypatch.setattr(images, "TILE", side)
+    rows = [(name, int(y), int(x), float(v)) for name, mask in MASKS.items() for (y, x), v in np.ndenumerate(mask)]
+    got = images.connected_components(spark.createDataFrame(rows, "rec_id string, y int, x int, v double").repartition(5)).collect()
+    want = {(name, int(y), int(x)): int(k) for name, mask in MASKS.items() for (y, x), k in np.ndenumerate(plain_components(mask)) if k}
+    assert {(r["rec_id"], r["y"], r["x"]): r["label"] for r in got} == want and len(got) == len(want)
