@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from glowtrace.functions import sigmoid, softplus
 from glowtrace.operators.project import standardise, unstandardise
+from glowtrace.operators.quantiles import exact_percentiles
 from glowtrace.operators.windows import by, delay_embed_without_middle
 
 
@@ -493,11 +494,18 @@ def r2_score(rows: DataFrame, target: str, predicted: str) -> DataFrame:
     return rows.agg((1 - F.try_divide(F.sum((y - p) * (y - p)), F.var_pop(y) * F.count(y))).alias("r2"))
 
 
+def tube_width(pixels: DataFrame, q: float = 10) -> DataFrame:
+    """(rec_id, epsilon): the width of the tube of support vector regression, a percentile of the pixels' deviations in time."""
+    spread = pixels.groupBy("rec_id", "y", "x").agg(F.stddev_pop("v").alias("s"))
+    return exact_percentiles(spread, ["rec_id"], "s", [q / 100]).select("rec_id", F.col("quantiles")[0].alias("epsilon"))
+
+
 # Response filters.
 
 
 def temporal_filter(stimulus: DataFrame, size: int, hop: int, eps: float = 0.01, zeropad: int = 1, normalise: bool = True) -> np.ndarray:
-    """The filter from column x to column y: cross-spectrum by regularised auto-spectrum, both means over windows.
+    """The filter from column x to column y: cross-spectrum by auto-spectrum, both means over windows. With ``normalise`` the
+    auto-spectrum is regularised by ``eps`` and keeps its greatest magnitude; without, it is taken as it is.
 
     Windows are lists inside Spark; their spectra are added up in the tasks, so only one spectrum of ``size * zeropad``
     numbers a task meets the others."""
@@ -522,10 +530,10 @@ def temporal_filter(stimulus: DataFrame, size: int, hop: int, eps: float = 0.01,
     got = lists.mapInPandas(spectra, "i int, n long, a double, b double, c double, d double").groupBy("i").agg(*[F.sum(c).alias(c) for c in "nabcd"]).orderBy("i").toPandas()
     count = got["n"].to_numpy(float)
     cov, auto = (got["a"] + 1j * got["b"]).to_numpy() / count, (got["c"] + 1j * got["d"]).to_numpy() / count
-    safe = auto + eps * np.abs(auto.mean())
     if normalise:
-        safe = safe * np.abs(auto).max() / np.abs(safe).max()
-    return np.fft.ifft(cov / safe, length // zeropad)
+        safe = auto + eps * np.abs(auto.mean())
+        auto = safe * np.abs(auto).max() / np.abs(safe).max()
+    return np.fft.ifft(cov / auto, length // zeropad)
 
 
 def spatial_weights(rows: DataFrame, target: str, features: str, n: int) -> np.ndarray:

@@ -47,7 +47,8 @@ def interp_traces(traces: DataFrame, rate: float = 25, keys: Sequence[str] = ("r
 
 def psth(samples: DataFrame, events: DataFrame, before: float = 0.5, after: float = 0.0, dt: float = 0.1, start_key: str = "synced_delay", dur_key: str | None = "dur", pause_key: str | None = "pause", chunk: float | None = None) -> DataFrame:
     """The event-aligned long table: for every event (rec_id, start and its other columns) a row each ``dt`` from ``before``
-    its start to ``after`` + duration + pause later, with time, the interpolated signal, _start and _after.
+    its start to ``after`` + duration + pause later, with time, the interpolated signal, _start and _after. Columns come in the
+    order of their names.
 
     A whole table at once: events are exploded to grid points and bracketed by samples (rec_id, ts, v); points outside the
     signal are NULL. Events whose end doesn't lie after their start are an error at run time."""
@@ -59,7 +60,7 @@ def psth(samples: DataFrame, events: DataFrame, before: float = 0.5, after: floa
     rows = rows.withColumn("_k", F.explode(F.sequence(F.lit(0).cast("long"), n - 1))).withColumn("_at", F.col("_start") + F.col("_k") * dt)
     found = bracket(samples, rows, ["rec_id"], "_at", chunk or 100 * dt)
     found = found.withColumn("time", F.col("_k") * dt - before).withColumn("psth", lerp(F.col("_at"), F.col("prev"), F.col("next")))
-    return found.drop("_k", "_at", "prev", "next")
+    return found.select(*sorted(set(found.columns) - {"_k", "_at", "prev", "next"}))
 
 
 def trigger_times(voltage: DataFrame, time: Sequence[str] = ("Time(ms)",), value: Sequence[str] = ("trigger",), unit: float = 1e-3, offset: Column | float = 0.0, keep: Sequence[str] = ()) -> DataFrame:

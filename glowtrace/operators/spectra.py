@@ -117,9 +117,9 @@ def hamming_mask(height: int, width: int, power: float) -> np.ndarray:
     return np.sqrt(np.outer(np.hamming(height), np.hamming(width))) ** power
 
 
-def lowpass_frames(frames: DataFrame, height: int, width: int, power: float | None = 1.0, subtract: bool = False, default: float = 1.0) -> DataFrame:
+def lowpass_frames(frames: DataFrame, height: int, width: int, power: float | None = None, subtract: bool = False, default: float = 1.0) -> DataFrame:
     """Frames through the Hamming window of their spectrum to a power, as magnitudes, stretched back to the range of their
-    recording. Without a power it is one by the recording's largest peak frequency (``default`` without a peak);
+    recording. By default the power is one by the recording's largest peak frequency (``default`` without a peak);
     ``subtract`` takes the window of twice the power off, which leaves a band."""
     powers = frames.select("rec_id").distinct().select("rec_id", F.lit(power).alias("v")) if power is not None else max_frequency(frames, height, width, default).select("rec_id", (1 / F.col("v")).alias("v"))
     before = frames.groupBy("rec_id").agg(F.min(F.array_min("pix")).alias("_a"), F.max(F.array_max("pix")).alias("_b"))

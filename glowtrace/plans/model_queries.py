@@ -205,8 +205,8 @@ def stretched_sql(source, name):
 BANDS = {
     "notch": ({"d0": 0.5, "tolerance": 1, "edge": 0, "relative": 2}, f"WITH {STRIPED}, {spectrally_masked_sql('m', f'CASE WHEN {ONE} > 0.5 AND {TWO} > 0.5 THEN 1 ELSE 0 END', 'out')} SELECT t_idx, y, x, round(v, 6) + 0 AS v FROM out"),
     "boxes": ({"sep": 1, "surround": 2, "tolerance": 1, "edge": 0, "relative": 2}, None),
-    "lowpass": ({}, f"WITH {STRIPED}, {spectrally_masked_sql('m', f'sqrt({HAMMING})', 'f1')}, {stretched_sql('f1', 's1')}, {spectrally_masked_sql('s1', f'sqrt({HAMMING})', 'f2')}, {stretched_sql('f2', 's2')} SELECT t_idx, y, x, round(v, 6) + 0 AS v FROM s2"),
-    "bandpass": ({"subtract": True}, f"WITH {STRIPED}, {spectrally_masked_sql('m', f'sqrt({HAMMING}) - {HAMMING}', 'f1')}, {stretched_sql('f1', 's1')} SELECT t_idx, y, x, round(v, 6) + 0 AS v FROM s1"),
+    "lowpass": ({"power": 1.0}, f"WITH {STRIPED}, {spectrally_masked_sql('m', f'sqrt({HAMMING})', 'f1')}, {stretched_sql('f1', 's1')}, {spectrally_masked_sql('s1', f'sqrt({HAMMING})', 'f2')}, {stretched_sql('f2', 's2')} SELECT t_idx, y, x, round(v, 6) + 0 AS v FROM s2"),
+    "bandpass": ({"subtract": True, "power": 1.0}, f"WITH {STRIPED}, {spectrally_masked_sql('m', f'sqrt({HAMMING}) - {HAMMING}', 'f1')}, {stretched_sql('f1', 's1')} SELECT t_idx, y, x, round(v, 6) + 0 AS v FROM s1"),
 }
 
 for mode, (options, sql) in BANDS.items():
@@ -297,6 +297,12 @@ def watershed_regions(spark, sf):
     return pl.watershed_regions(src.pixels(spark, sf), 1.0, 8, 8, upper=34, lower=30, min_size=0, edge=0, filter_options={"ksize": 2}).traces
 
 
+@query("watershed_regions_smoothed")
+def watershed_regions_smoothed(spark, sf):
+    """With pixels filtered in time by a low pass first."""
+    return pl.watershed_regions(src.pixels(spark, sf), 1.0, 8, 8, upper=34, lower=30, min_size=0, edge=0, filter_options={"ksize": 2}, smooth="butter", smooth_factor=4).traces
+
+
 @query("drawn_regions")
 def drawn_regions(spark, sf):
     corner = lambda x, y: F.struct(F.lit(float(x)).alias("x"), F.lit(float(y)).alias("y"))
@@ -308,7 +314,7 @@ def drawn_regions(spark, sf):
 @query("regression_epsilon", f"WITH {MOVIE}, d AS (SELECT y, x, stddev_pop(v) AS s FROM m GROUP BY 1, 2) SELECT {r8('quantile_cont(s, 0.1)', 'epsilon')} FROM d")
 def regression_epsilon(spark, sf):
     """The tenth percentile of the pixels' deviations."""
-    return src.pixels(spark, sf).groupBy("rec_id", "y", "x").agg(F.stddev_pop("v").alias("s")).agg(F.percentile("s", 0.1).alias("epsilon"))
+    return md.tube_width(src.pixels(spark, sf))
 
 
 @query("cumulative_histogram", f"WITH {TRACES}, h AS (SELECT roi_id, CAST(least(floor(f / 400 * 64), 63) AS INTEGER) AS bin, count(*) AS n FROM t WHERE f BETWEEN 0 AND 400 GROUP BY 1, 2) SELECT roi_id, bin, CAST(sum(n) OVER (PARTITION BY roi_id ORDER BY bin) AS BIGINT) AS n FROM h")

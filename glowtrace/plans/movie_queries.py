@@ -94,7 +94,7 @@ def standardise_feature(spark, sf):
     return p.standardise(src.pixels(spark, sf))
 
 
-@query("standardise_overall", f"WITH {MOVIE}, q AS (SELECT avg(v) AS a, stddev_pop(v) AS s FROM m) SELECT {ALL}, {r8('(v - a) / s', 'v')} FROM m, q")
+@query("standardise_overall", f"WITH {MOVIE} SELECT {ALL}, {r8('(v - avg(v) OVER ()) / stddev_pop(v) OVER ()', 'v')} FROM m")
 def standardise_overall(spark, sf):
     return p.standardise(src.pixels(spark, sf), "overall")
 

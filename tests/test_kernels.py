@@ -269,7 +269,7 @@ def test_band_filters_with_zeros_around_and_two_recordings(spark):
         out = sp.remove_artifact(both, 64, 64, d0=2, kind="ideal")
     assert np.abs(movie_of(out.where("rec_id = 'a'"), 64, 64) - base).max() < 0.2
     assert np.allclose(movie_of(out.where("rec_id = 'b'"), 64, 64), base)
-    wide = sp.remove_bands(both, 64, 64, repeats=1, mode="lowpass", zeropad=4, subtract=True)
+    wide = sp.remove_bands(both, 64, 64, repeats=1, mode="lowpass", zeropad=4, subtract=True, power=1.0)
     assert movie_of(wide.where("rec_id = 'a'"), 64, 64).shape == (2, 64, 64)
 
 
@@ -387,3 +387,34 @@ def test_patches_between_pixels(spark):
         off[upsample] = np.abs(np.array(out["pix"]).reshape(64, 32) - image)[[*range(4, 24), *range(40, 60)], 4:-4].mean()
     before = np.abs(parts - image)[4:-4, 4:-4].mean()
     assert off[10] < 0.15 * before and off[10] < 0.5 * off[1]
+
+
+def test_low_pass_by_the_largest_peak_frequency(spark):
+    """The default power is one by the largest frequency among the peaks of the mean spectrum; the default one without peaks."""
+    y, x = np.mgrid[:32, :32]
+    rng = np.random.default_rng(8)
+    movie = [100 + 40 * np.cos(2 * np.pi * 9 * x / 32 + t) + rng.normal(0, 0.01, (32, 32)) for t in range(6)]
+    df = frames(spark, movie)
+    top = sp.max_frequency(df, 32, 32).first()["v"]
+    got = movie_of(sp.lowpass_frames(df, 32, 32), 32, 32)
+    low = np.array([sp.masked(m, sp.hamming_mask(32, 32, 1 / top)) for m in movie])
+    want = (low - low.min()) / (low.max() - low.min()) * (np.max(movie) - np.min(movie)) + np.min(movie)
+    assert abs(top - 9 / 32) < 0.05 and np.allclose(got, want)
+
+
+def test_an_auto_spectrum_as_it_is(spark):
+    """Without normalising, a filter without noise is found exactly, whatever eps is."""
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=32)
+    x = np.tile(x, 12)
+    y = 0.5 * x + 0.25 * np.roll(x, 1)
+    rows = spark.createDataFrame([("r", i, float(a), float(b)) for i, (a, b) in enumerate(zip(x, y, strict=True))], "rec_id string, t_idx long, x double, y double")
+    got = md.temporal_filter(rows, 32, 8, eps=10.0, normalise=False).real
+    assert np.allclose(got, [0.5, 0.25] + [0] * 30, atol=1e-9)
+    assert not np.allclose(md.temporal_filter(rows, 32, 8, eps=10.0).real, got, atol=1e-3)
+
+
+def test_psth_columns_come_by_name(spark):
+    s = spark.createDataFrame([("r", float(i), float(i)) for i in range(20)], "rec_id string, ts double, v double")
+    e = spark.createDataFrame([("r", 5.0, 2.0, "a", 1)], "rec_id string, start double, dur double, zeta string, Alpha int")
+    assert rs.psth(s, e, start_key="start", pause_key=None).columns == ["Alpha", "_after", "_start", "dur", "psth", "rec_id", "start", "time", "zeta"]
