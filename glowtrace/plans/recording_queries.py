@@ -5,6 +5,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from glowtrace.plans.catalogue import MOVIE, SECONDS, query, r8
+from glowtrace.sources import array_files as arrays
 from glowtrace.sources import recording_source as source
 from glowtrace.sources import tables as src
 from glowtrace.sources.scratch import shared_folder
@@ -56,3 +57,29 @@ def recording_facts(spark, sf):
     at = written(spark, sf)
     rows = source.facts(source.read_recordings(spark, at, "settings"), source.read_recordings(spark, at, columns="rec_id string, ts double"))
     return rows.withColumn("date", F.col("date").cast("timestamp_ntz")).withColumnRenamed("rec_id", "recording")
+
+
+def dealt(spark, sf):
+    """Frames of the three recordings, as many in each plane."""
+    rows = source.read_recordings(spark, written(spark, sf))
+    least = rows.groupBy("rec_id", "plane").agg(F.count("*").alias("n")).groupBy("rec_id").agg(F.min("n").alias("n"))
+    return rows.join(least, "rec_id").where("t_idx < n").drop("n")
+
+
+@query("numpy_files", f"WITH {DEALT} SELECT recording || '/plane' || plane || '.npy' AS file, d.t_idx, y, x, {r8('CAST(CAST(v AS FLOAT) AS DOUBLE)', 'v')} FROM d JOIN m ON m.t_idx = vec_id")
+def numpy_files(spark, sf):
+    """The recordings as NumPy files of single precision, a plane each, and read back."""
+    path = f"{shared_folder(spark)}/arrays-{uuid.uuid4().hex}"
+    arrays.save_npy(source.read_recordings(spark, written(spark, sf)), path)
+    rows = arrays.read_arrays(spark, path).select("file", "t_idx", "w", F.posexplode("pix").alias("pos", "v"))
+    return rows.select("file", "t_idx", F.expr("int(pos div w)").alias("y"), F.expr("pos % w").alias("x"), "v")
+
+
+@query("matlab_files", f"""WITH {DEALT}, n AS (SELECT recording, min(n) AS n FROM (SELECT recording, plane, count(*) AS n FROM d GROUP BY 1, 2) GROUP BY 1)
+  SELECT recording || '.mat' AS file, plane, d.t_idx, y, x, {r8('v', 'v')} FROM d JOIN n USING (recording) JOIN m ON m.t_idx = vec_id WHERE d.t_idx < n""")
+def matlab_files(spark, sf):
+    """The recordings as stacks of planes in MATLAB files, and read back."""
+    path = f"{shared_folder(spark)}/arrays-{uuid.uuid4().hex}"
+    arrays.save_mat(dealt(spark, sf), path)
+    rows = arrays.read_arrays(spark, path).select("file", "plane", "t_idx", "w", F.posexplode("pix").alias("pos", "v"))
+    return rows.select("file", "plane", "t_idx", F.expr("int(pos div w)").alias("y"), F.expr("pos % w").alias("x"), "v")
