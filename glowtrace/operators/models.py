@@ -276,38 +276,98 @@ def _fit(a: np.ndarray, b: np.ndarray, loss: str, nonneg: bool, huber: float) ->
     return fit
 
 
+def _neighbours(pixels: DataFrame, spatial: int) -> DataFrame:
+    """(rec_id, t_idx, y, x, o, v): each sample sent to the pixels it is a neighbour of; o counts neighbours, 0 is the pixel."""
+    side = F.sequence(F.lit(-spatial), F.lit(spatial))
+    to = F.flatten(F.transform(side, lambda dy: F.transform(side, lambda dx: F.struct(dy.alias("dy"), dx.alias("dx")))))
+    rows = pixels.select("rec_id", "t_idx", "y", "x", "v", F.explode(to).alias("o"))
+    return rows.select("rec_id", "t_idx", (F.col("y") + F.col("o.dy")).alias("y"), (F.col("x") + F.col("o.dx")).alias("x"), (F.col("o.dy") * (2 * spatial + 1) + F.col("o.dx")).alias("o"), "v")
+
+
+def _patches(series: pd.DataFrame, spatial: int, temporal: int, intercept: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
+    """(t_idx, inputs, targets) of one pixel's series; what lies outside is 0. None for a place beyond the image."""
+    reach = (2 * spatial + 1) * spatial + spatial
+    table = series.pivot_table(index="t_idx", columns="o", values="v", fill_value=0.0)
+    if 0 not in table:
+        return None
+    y, n = table[0].to_numpy(float), len(table)
+    padded = np.pad(table.reindex(columns=range(-reach, reach + 1), fill_value=0.0).to_numpy(float), ((temporal, temporal), (0, 0)))
+    x = np.concatenate([padded[temporal + d : temporal + d + n] for d in range(-temporal, temporal + 1) if d], axis=1)
+    return table.index.to_numpy(), np.column_stack([x, np.ones(n)]) if intercept else x, y
+
+
+def _checked_weights(spatial: int, temporal: int, decimate: int, n: int, loss: str, nonneg: bool) -> None:
+    if loss not in LOSSES or (loss == "kl" and not nonneg):
+        raise ValueError(f"loss must be one of {LOSSES}, and kl needs nonneg")
+    wide, fitted = (2 * spatial + 1) ** 2 * 2 * temporal, -(-n // decimate)
+    if n >= 0 and wide >= fitted / 4:
+        raise ValueError(f"{wide} weights are too many for {fitted} frames")
+
+
 def shallow_denoise(pixels: DataFrame, spatial: int = 1, temporal: int = 4, loss: str = "mse", decimate: int = 10, nonneg: bool = False, huber: float = 1.0, intercept: bool = True) -> DataFrame:
     """Each pixel from the frames before and after of its spatial neighbours, by its own regression (loss mse, mae, huber or
     kl), fitted on every ``decimate``-th frame; the middle frame is left out. The movie is standardised, and what lies outside
     is its mean; with ``nonneg``, which kl needs, it is not, weights are at least 0 and outside is 0. Fewer than four fitted
     frames a weight are an error. Neighbours are sent to the pixel as rows; a group is one pixel's series."""
-    if loss not in LOSSES or (loss == "kl" and not nonneg):
-        raise ValueError(f"loss must be one of {LOSSES}, and kl needs nonneg")
-    side = F.sequence(F.lit(-spatial), F.lit(spatial))
-    to = F.flatten(F.transform(side, lambda dy: F.transform(side, lambda dx: F.struct(dy.alias("dy"), dx.alias("dx")))))
-    rows = (pixels if nonneg else standardise(pixels, "overall")).select("rec_id", "t_idx", "y", "x", "v", F.explode(to).alias("o"))
-    rows = rows.select("rec_id", "t_idx", (F.col("y") + F.col("o.dy")).alias("y"), (F.col("x") + F.col("o.dx")).alias("x"), (F.col("o.dy") * (2 * spatial + 1) + F.col("o.dx")).alias("o"), "v")
-    centre, wide = 0, (2 * spatial + 1) ** 2
+    _checked_weights(spatial, temporal, decimate, -1, loss, nonneg)
 
     def run(pixel: pd.DataFrame) -> pd.DataFrame:
-        table = pixel.pivot_table(index="t_idx", columns="o", values="v", fill_value=0.0)
-        if centre not in table:
+        got = _patches(pixel, spatial, temporal, intercept)
+        if got is None:
             return pixel[["rec_id", "y", "x", "t_idx", "v"]].iloc[:0]
-        y, n = table[centre].to_numpy(float), len(table)
-        fitted = -(-n // decimate)
-        if wide * 2 * temporal >= fitted / 4:
-            raise ValueError(f"{wide * 2 * temporal} weights are too many for {fitted} frames")
-        padded = np.pad(table.to_numpy(float), ((temporal, temporal), (0, 0)))
-        x = np.concatenate([padded[temporal + d : temporal + d + n] for d in range(-temporal, temporal + 1) if d], axis=1)
-        x = np.column_stack([x, np.ones(n)]) if intercept else x
+        t, x, y = got
+        _checked_weights(spatial, temporal, decimate, len(t), loss, nonneg)
         fit = _fit(x[::decimate], y[::decimate], loss, nonneg, huber)
         rec, py, px = (pixel[c].iloc[0] for c in ("rec_id", "y", "x"))
-        return pd.DataFrame({"rec_id": [rec] * n, "y": [py] * n, "x": [px] * n, "t_idx": table.index.to_numpy(), "v": x @ fit})
+        return pd.DataFrame({"rec_id": [rec] * len(t), "y": [py] * len(t), "x": [px] * len(t), "t_idx": t, "v": x @ fit})
 
+    rows = _neighbours(pixels if nonneg else standardise(pixels, "overall"), spatial)
     fitted = rows.groupBy("rec_id", "y", "x").applyInPandas(run, "rec_id string, y int, x int, t_idx long, v double")
     return fitted if nonneg else unstandardise(fitted, pixels, "overall")
 
 
+def fit_shallow(pixels: DataFrame, spatial: int = 1, temporal: int = 4, loss: str = "mse", decimate: int = 10, nonneg: bool = False, huber: float = 1.0, intercept: bool = True) -> DataFrame:
+    """(y, x, mean, scale, weights): the regressions of ``shallow_denoise`` of one recording, a row a pixel, as a table. Several
+    recordings are an error."""
+    _checked_weights(spatial, temporal, decimate, -1, loss, nonneg)
+    if pixels.select("rec_id").distinct().limit(2).count() > 1:
+        raise ValueError("weights are fitted on one recording")
+    moments = pixels.agg(F.avg("v").alias("mean"), F.stddev_pop("v").alias("scale")).first()
+    mean, scale = (0.0, 1.0) if nonneg else (float(moments["mean"] or 0.0), float(moments["scale"] or 0.0) or 1.0)
+
+    def run(pixel: pd.DataFrame) -> pd.DataFrame:
+        got = _patches(pixel, spatial, temporal, intercept)
+        if got is None:
+            return pd.DataFrame({c: pd.Series([], dtype=object) for c in ("y", "x", "mean", "scale", "weights")})
+        _, x, y = got
+        _checked_weights(spatial, temporal, decimate, len(y), loss, nonneg)
+        return pd.DataFrame({"y": pixel["y"][:1], "x": pixel["x"][:1], "mean": mean, "scale": scale, "weights": [_fit(x[::decimate], y[::decimate], loss, nonneg, huber)]})
+
+    rows = _neighbours(pixels.withColumn("v", (F.col("v") - mean) / scale), spatial)
+    return rows.groupBy("y", "x").applyInPandas(run, "y int, x int, mean double, scale double, weights array<double>")
+
+
+def predict_shallow(pixels: DataFrame, weights: DataFrame, spatial: int = 1, temporal: int = 4, intercept: bool = True) -> DataFrame:
+    """(rec_id, y, x, t_idx, v): pixels of any recordings by the weights of ``fit_shallow``; pixels without weights are left
+    out. Weights meet each pixel's neighbours by a cogroup, so the model is never in one place."""
+    scales = weights.select("mean", "scale").first()
+    mean, scale = (scales["mean"], scales["scale"]) if scales else (0.0, 1.0)
+    columns = ["rec_id", "y", "x", "t_idx", "v"]
+
+    def run(pixel: pd.DataFrame, fit: pd.DataFrame) -> pd.DataFrame:
+        out = [pd.DataFrame(columns=columns)]
+        if len(fit):
+            for rec, series in pixel.groupby("rec_id"):
+                got = _patches(series, spatial, temporal, intercept)
+                if got is not None:
+                    t, x, _ = got
+                    out.append(pd.DataFrame({"rec_id": rec, "y": series["y"].iloc[0], "x": series["x"].iloc[0], "t_idx": t, "v": x @ fit["weights"].iloc[0] * scale + mean}))
+        return pd.concat(out[1:]) if len(out) > 1 else out[0]
+
+    rows = _neighbours(pixels.withColumn("v", (F.col("v") - mean) / scale), spatial)
+    return rows.groupBy("y", "x").cogroup(weights.groupBy("y", "x")).applyInPandas(run, "rec_id string, y int, x int, t_idx long, v double")
+
+
 def rbf(a: np.ndarray, b: np.ndarray, gamma: float) -> np.ndarray:
     return np.exp(-gamma * np.maximum((a * a).sum(1)[:, None] + (b * b).sum(1)[None] - 2 * a @ b.T, 0))
 
@@ -347,9 +407,9 @@ def _ridge_on_centres(gram: np.ndarray, target: np.ndarray, kernel: np.ndarray,
     return np.linalg.lstsq(gram + alpha * kernel + 1e-10 * np.trace(gram) / len(gram) * np.eye(len(gram)), target, rcond=None)[0]
 
 
-def kernel_ridge(frames: DataFrame, k: int = 5, alpha: float = 0.01, support: int = 1000) -> DataFrame:
-    """Each frame from its k - 1 neighbours by kernel ridge regression, fitted on all frames over the kernel's values at
-    ``support`` centres, a documented bound; with as many centres as frames it is the exact one."""
+def fit_kernel_ridge(frames: DataFrame, k: int = 5, alpha: float = 0.01, support: int = 1000) -> dict[str, np.ndarray]:
+    """The arrays of a kernel ridge regression of frames on their k - 1 neighbours: ``scale`` (means of inputs and targets, and
+    gamma), the centres ``x`` and their weights ``dual``. Sums run over all frames; ``support`` bounds the centres."""
     rows = embed_frames(frames, k, middle=False)
     ((sx, nx, sy, ny),) = _sums(rows, ["window", "pix"], lambda b: [np.array([[b["window"].sum(), b["window"].size, b["pix"].sum(), b["pix"].size]])])[0]
     mx, my = sx / nx, sy / ny
@@ -361,7 +421,12 @@ def kernel_ridge(frames: DataFrame, k: int = 5, alpha: float = 0.01, support: in
         return [at.T @ at, at.T @ (batch["pix"] - my)]
 
     gram, target = _sums(rows, ["window", "pix"], add)
-    dual = _ridge_on_centres(gram, target, rbf(x, x, gamma), alpha)
+    return {"scale": np.array([mx, my, gamma]), "x": x, "dual": _ridge_on_centres(gram, target, rbf(x, x, gamma), alpha)}
+
+
+def predict_kernel_ridge(frames: DataFrame, k: int, model: dict[str, np.ndarray]) -> DataFrame:
+    """Frames from their neighbours by the arrays of ``fit_kernel_ridge``, of this movie or another of the same size."""
+    (mx, my, gamma), x, dual = (model[c] for c in ("scale", "x", "dual"))
     _bounded(x, dual)
 
     def run(batches):
@@ -370,7 +435,13 @@ def kernel_ridge(frames: DataFrame, k: int = 5, alpha: float = 0.01, support: in
                 out = rbf(np.stack(batch["window"]) - mx, x, gamma) @ dual + my
                 yield batch.drop(columns=["window"]).assign(pix=list(out))
 
-    return rows.mapInPandas(run, frames.select("rec_id", "t_idx", "h", "w", "pix").schema)
+    return embed_frames(frames, k, middle=False).mapInPandas(run, frames.select("rec_id", "t_idx", "h", "w", "pix").schema)
+
+
+def kernel_ridge(frames: DataFrame, k: int = 5, alpha: float = 0.01, support: int = 1000) -> DataFrame:
+    """Each frame from its k - 1 neighbours by kernel ridge regression, fitted on all frames over the kernel's values at
+    ``support`` centres, a documented bound; with as many centres as frames it is the exact one."""
+    return predict_kernel_ridge(frames, k, fit_kernel_ridge(frames, k, alpha, support))
 
 
 def support_vectors(kernel: np.ndarray, y: np.ndarray, most: float, epsilon: float, sweeps: int = 200) -> np.ndarray:
@@ -412,55 +483,76 @@ def support_vector_frames(frames: DataFrame, k: int = 5, alpha: float = 0.01, de
     return rows.mapInPandas(run, frames.select("rec_id", "t_idx", "h", "w", "pix").schema)
 
 
-def with_features(frames: DataFrame, features: DataFrame) -> DataFrame:
-    """Frames whose ``pix`` starts with the standardised features (rec_id, t_idx, x2) of their time."""
+def feature_scales(features: DataFrame) -> np.ndarray:
+    """Rows (mean, deviation) of features (rec_id, t_idx, x2)."""
     stats = features.select(F.posexplode("x2").alias("j", "x")).groupBy("j").agg(F.avg("x").alias("m"), F.stddev_pop("x").alias("s"))
-    stats = sorted(stats.collect())  # a row a feature
-    scaled = F.array(*[(F.get("x2", F.lit(j)) - m) / (s or 1.0) for j, m, s in stats])
+    return np.array([(m, s or 1.0) for _, m, s in sorted(stats.collect())], float).reshape(-1, 2)  # a row a feature
+
+
+def with_features(frames: DataFrame, features: DataFrame, scales: np.ndarray | None = None) -> DataFrame:
+    """Frames whose ``pix`` starts with the features (rec_id, t_idx, x2) of their time, standardised, or by ``scales``."""
+    scales = feature_scales(features) if scales is None else scales
+    scaled = F.array(*[(F.get("x2", F.lit(j)) - float(m)) / float(s) for j, (m, s) in enumerate(scales)])
     return frames.join(features.select("rec_id", "t_idx", scaled.alias("_x2")), ["rec_id", "t_idx"]).withColumn("pix", F.concat("_x2", "pix")).select(frames.columns)
 
 
-def kernel_pca(frames: DataFrame, k: int = 5, components: int = 32, alpha: float = 0.01, support: int = 500, features: DataFrame | None = None) -> DataFrame:
-    """(rec_id, y, x, t_idx, v): windows of k frames through kernel PCA and its ridge pre-image, averaged where they overlap.
+def _inside(window: np.ndarray, m: dict[str, np.ndarray]) -> np.ndarray:
+    """Coordinates of windows in the space that the kernel's centres span."""
+    return rbf((window - m["mean"]) / m["std"], m["x"], 1 / m["x"].shape[1]) @ m["root"]
 
-    The kernel's space is spanned by ``support`` centres, a documented bound; means, deviations, the covariance of its codes
-    and the pre-image are sums over all windows. ``features`` (rec_id, t_idx, x2) join each frame's pixels as inputs."""
-    extra = features.select(F.size("x2")).first()[0] if features is not None else 0
-    rows = embed_frames(with_features(frames, features) if features is not None else frames, k, middle=True)
+
+def _at_codes(window: np.ndarray, m: dict[str, np.ndarray]) -> np.ndarray:
+    """The second kernel's values of windows' codes at the centres' codes."""
+    return rbf((_inside(window, m) - m["middle"]) @ m["axes"], m["codes"], 1 / m["codes"].shape[1])
+
+
+def fit_kernel_pca(frames: DataFrame, k: int = 5, components: int = 32, alpha: float = 0.01, support: int = 500, features: DataFrame | None = None) -> dict[str, np.ndarray]:
+    """The arrays of a kernel PCA of windows of k frames and of its ridge pre-image: ``mean`` and ``std`` of windows, centres
+    ``x`` and the ``root`` of their kernel, ``middle`` and ``axes`` of the codes, the centres' ``codes``, the pre-image's weights
+    ``dual``, and the ``scales`` of the features. Sums run over all windows; ``support`` bounds the centres."""
+    m = {"scales": feature_scales(features) if features is not None else np.empty((0, 2))}
+    rows = embed_frames(with_features(frames, features, m["scales"]) if features is not None else frames, k, middle=True)
     moments = _sums(rows, ["window"], lambda b: [np.stack([np.full(b["window"].shape[1], float(len(b["window"]))), b["window"].sum(0), (b["window"] ** 2).sum(0)])])[0]
-    n, mean = moments[0, 0], moments[1] / moments[0]
-    std = np.maximum(np.sqrt(np.maximum(moments[2] / n - mean**2, 0)), 1e-12)
-    x = (_centres(rows, support, "window") - mean) / std
-    gamma = 1 / x.shape[1]
-    values, vectors = np.linalg.eigh(rbf(x, x, gamma))
+    n, m["mean"] = moments[0, 0], moments[1] / moments[0]
+    m["std"] = np.maximum(np.sqrt(np.maximum(moments[2] / n - m["mean"] ** 2, 0)), 1e-12)
+    m["x"] = (_centres(rows, support, "window") - m["mean"]) / m["std"]
+    own = rbf(m["x"], m["x"], 1 / m["x"].shape[1])
+    values, vectors = np.linalg.eigh(own)
     kept = values > 1e-10
-    root = vectors[:, kept] / np.sqrt(values[kept])
-    inside = lambda window: rbf((window - mean) / std, x, gamma) @ root
+    m["root"] = vectors[:, kept] / np.sqrt(values[kept])
 
     def spread(batch):
-        z = inside(batch["window"])
+        z = _inside(batch["window"], m)
         return [z.sum(0)[None], z.T @ z]
 
     total, square = _sums(rows, ["window"], spread)
-    middle = total[0] / n
-    values, axes = np.linalg.eigh(square / n - np.outer(middle, middle))
-    axes = axes[:, np.argsort(-values)[: min(components, max(1, int((values > 1e-12).sum())))]]
-    codes = (rbf(x, x, gamma) @ root - middle) @ axes
-    back_gamma = 1 / codes.shape[1]
-    at_codes = lambda window: rbf((inside(window) - middle) @ axes, codes, back_gamma)
+    m["middle"] = total[0] / n
+    values, axes = np.linalg.eigh(square / n - np.outer(m["middle"], m["middle"]))
+    m["axes"] = axes[:, np.argsort(-values)[: min(components, max(1, int((values > 1e-12).sum())))]]
+    m["codes"] = (own @ m["root"] - m["middle"]) @ m["axes"]
 
     def add(batch):
-        at = at_codes(batch["window"])
-        return [at.T @ at, at.T @ ((batch["window"] - mean) / std)]
+        at = _at_codes(batch["window"], m)
+        return [at.T @ at, at.T @ ((batch["window"] - m["mean"]) / m["std"])]
 
     gram, target = _sums(rows, ["window"], add)
-    dual = _ridge_on_centres(gram, target, rbf(codes, codes, back_gamma), alpha)
-    _bounded(x, root, dual)
+    m["dual"] = _ridge_on_centres(gram, target, rbf(m["codes"], m["codes"], 1 / m["codes"].shape[1]), alpha)
+    return m
+
+
+def predict_kernel_pca(frames: DataFrame, k: int, model: dict[str, np.ndarray], features: DataFrame | None = None) -> DataFrame:
+    """(rec_id, y, x, t_idx, v): windows through the arrays of ``fit_kernel_pca``, of this movie or another of the same size,
+    averaged where they overlap."""
+    extra = len(model["scales"])
+    if (features is None) != (extra == 0):
+        raise ValueError("features are given to both fitting and prediction, or to none")
+    _bounded(model["x"], model["root"], model["dual"])
+    rows = embed_frames(with_features(frames, features, model["scales"]) if features is not None else frames, k, middle=True)
 
     def run(batches):
         for batch in batches:
             if len(batch):
-                out = at_codes(np.stack(batch["window"]).astype(float)) @ dual * std + mean
+                out = _at_codes(np.stack(batch["window"]).astype(float), model) @ model["dual"] * model["std"] + model["mean"]
                 yield batch.drop(columns=["window"]).assign(pix=list(out))
 
     kind = frames.select("rec_id", "t_idx", "h", "w", "pix").schema
@@ -470,6 +562,14 @@ def kernel_pca(frames: DataFrame, k: int = 5, components: int = 32, alpha: float
     return spread_out.groupBy("rec_id", "y", "x", "t_idx").agg(F.avg("v").alias("v"))
 
 
+def kernel_pca(frames: DataFrame, k: int = 5, components: int = 32, alpha: float = 0.01, support: int = 500, features: DataFrame | None = None) -> DataFrame:
+    """(rec_id, y, x, t_idx, v): windows of k frames through kernel PCA and its ridge pre-image, averaged where they overlap.
+
+    The kernel's space is spanned by ``support`` centres, a documented bound; means, deviations, the covariance of its codes
+    and the pre-image are sums over all windows. ``features`` (rec_id, t_idx, x2) join each frame's pixels as inputs."""
+    return predict_kernel_pca(frames, k, fit_kernel_pca(frames, k, components, alpha, support, features), features)
+
+
 #: Frames of a recording that one task puts into windows.
 FRAME_CHUNK = 1024
 
