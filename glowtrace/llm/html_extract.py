@@ -50,12 +50,19 @@ CLOSES = {
     "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"}),
 }
 #: Elements, parts of class names or ids, and roles that never hold the article.
-OUTSIDE = frozenset("head nav footer aside form button menu dialog label".split())
+OUTSIDE = frozenset("head nav footer aside form fieldset button menu dialog label".split())
 OUTSIDE_NAMES = frozenset(
     "ad ads adbox adslot advert adverts advertisement advertising banner breadcrumb breadcrumbs byline comment comments consent cookie cookies "
     "disqus footer gdpr login masthead menu modal nav navbar navigation newsletter notice pager pagination popup promo promoted recommended "
     "related replies reply respond share sharing sidebar signup social sponsor sponsored subscribe subscription toolbar widget".split()
 )
+#: Of these, words that are common in articles' own names as well ("related-work"): they count alone, or with a word of the
+#: second set ("related-posts").
+AMBIGUOUS = frozenset("banner comment comments menu modal navigation notice pager promoted recommended related replies reply respond share sharing social widget".split())
+PARTNERS = OUTSIDE_NAMES | frozenset(
+    "area articles bar block box btn button buttons container content count feed footer form group header icon icons inner item items left links list main media more "
+    "news outer panel posts right section stories this thread top user users wrap wrapper".split()
+)
 #: Those of readers' texts, which can be longer than the article.
 READER_NAMES = frozenset("comment comments disqus replies reply respond".split())
 #: An element with a name from these lists is the article's all the same if it holds this share of the page's fused ratios.
@@ -97,7 +104,10 @@ def _node(tag: str, attrs: str, up: Node) -> Node:
         elif name == "role" and value.lower() in OUTSIDE_ROLES:
             outside = True
         elif name in ("class", "id") and tag not in ("html", "body", "main", "article"):
-            names |= {p.lower() for p in _PARTS.findall(value)} & OUTSIDE_NAMES
+            for word in value.split():
+                parts = {p.lower() for p in _PARTS.findall(word)}
+                hits = parts & OUTSIDE_NAMES
+                names |= set() if hits <= AMBIGUOUS and not parts - hits <= PARTNERS else hits
     return Node(tag, up, outside or hidden, f"{up.path}/{tag}", hidden, frozenset(names))
 
 
@@ -268,8 +278,8 @@ def selected(inside: list[tuple[Node, str]], chosen: set[str]) -> list[tuple[Nod
 
 
 def main_text(page: str | None) -> str:
-    """The article's blocks, one a line; empty if there is none. An element that the page itself marks as article or main is
-    taken whole; else the content nodes are, by their paths."""
+    """The article's blocks, one a line; empty if there is none: the content nodes of the container, by their paths, also where
+    the page itself marks an article or main."""
     nodes, found = blocks(page or "")
     candidates = article_candidates(nodes, found)
     if not candidates:
@@ -277,8 +287,7 @@ def main_text(page: str | None) -> str:
     chosen = content_paths(candidates)
     at = container(nodes, [(n, t) for n, t in candidates if n.path in chosen])
     inside = [(n, t) for n, t in candidates if at in n.chain and not (n.tag != "h1" and "/header" in n.path and n.tag not in HEADINGS)]
-    if not any(nodes[i].tag in ("article", "main") for i in nodes[at].chain):
-        inside = selected(inside, chosen)
+    inside = selected(inside, chosen)
     titles = [x for x in candidates if x[0].tag == "h1" and at not in x[0].chain]
     if len(titles) == 1 and not any(n.tag == "h1" for n, _ in inside):
         inside = titles + inside

@@ -539,6 +539,31 @@ def test_names_do_not_hide_the_article(spark):
     assert [html_extract.main_text(p) for p in pages] == [f"{long}\n{more}"] * len(pages)
 
 
+def test_paths_select_inside_articles(monkeypatch):
+    """Menus and notices without a telling name go by the ratios of their paths, in a marked article as elsewhere."""
+    said = lambda n, k: " ".join(f"part {k}, word {i}." for i in range(n))
+    long, more = said(60, "a"), said(20, "b")
+    whole = f"<h1>Head</h1><p>{long}</p><div>2 figures</div><p>{more}</p>"
+    edges = "<div><div>Home</div><div>News today</div></div>", "<div><div>Read on in our app</div><div>Imprint</div><div>Top</div></div>"
+    pages = [f"<{tag}>{edges[0]}{whole}{edges[1]}</{tag}>" for tag in ("article", "main", "div")]
+    want = f"Head\n{long}\n2 figures\n{more}"
+    assert [html_extract.main_text(p) for p in pages] == [want] * 3
+    monkeypatch.setattr(html_extract, "content_paths", lambda candidates: {n.path for n, _ in candidates})
+    assert all("Home" in html_extract.main_text(p) and "Imprint" in html_extract.main_text(p) for p in pages)
+
+
+def test_names_with_two_meanings():
+    said = " ".join(f"part {i}, word {i}." for i in range(60))
+    kept = {
+        '<section id="related-work"><h2>Related work</h2><p>Smith did it, earlier.</p></section>': "\nRelated work\nSmith did it, earlier.",
+        '<div class="social-sciences"><p>They count, too.</p></div>': "\nThey count, too.",
+        '<div class="related-posts"><p>Ten tricks, really.</p></div>': "", '<div class="related"><p>Ten tricks, really.</p></div>': "", '<div class="shareButtons"><p>Send it, now.</p></div>': "",
+        '<div class="socialMedia share"><p>Follow us, please.</p></div>': "", "<fieldset><p>Pick one, or two.</p></fieldset>": "",
+    }
+    for part, text in kept.items():
+        assert html_extract.main_text(f"<article><p>{said}</p>{part}<p>{said}</p></article>") == f"{said}{text}\n{said}", part
+
+
 # Archives
 
 
