@@ -85,6 +85,28 @@ def sized_broadcast(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if table_bytes(df) <= BROADCAST_BYTES else df
 
 
+def hot_keys(counts: DataFrame, on: list[str]) -> DataFrame:
+    """(on, _salts) of the keys with the most rows, from a written table (on, size), broadcast.
+
+    Keys with more than ``SALTED`` rows are salted, or so many times more that their list stays below the broadcast bound: that
+    halves with each doubling, as keys of more than T rows are at most all rows by T, so a key that isn't salted has few rows
+    however many keys there are. Only a bound below the list of a single key leaves the list unbroadcast."""
+    salts = F.ceil(F.col("size") / SALTED).cast("int").alias("_salts")
+    least, most = SALTED, counts.agg(F.max("size")).first()[0] or 0
+    while True:
+        hot = counts.where(F.col("size") > least).select(*on, salts)
+        size = table_bytes(hot)
+        if size <= BROADCAST_BYTES:
+            return F.broadcast(hot)
+        if 2 * least >= most:
+            fit = hot.count() * max(BROADCAST_BYTES, 0) // size
+            if not fit:
+                return counts.where(F.col("size") > SALTED).select(*on, salts)
+            first = counts.orderBy(F.desc("size"), *on).limit(fit).select(*on, salts)
+            return F.broadcast(first) if table_bytes(first) <= BROADCAST_BYTES else first
+        least *= 2
+
+
 def join_groups(rows: DataFrame, groups: DataFrame, on: list[str], spread: list[str]) -> DataFrame:
     """``rows`` left-joined to ``groups``, a written table with one row a key and the key's count of rows in ``size``.
 
@@ -92,21 +114,20 @@ def join_groups(rows: DataFrame, groups: DataFrame, on: list[str], spread: list[
     ``spread``, and their group's row is repeated for each salt."""
     if table_bytes(groups) <= BROADCAST_BYTES:
         return rows.join(F.broadcast(groups), on, "left")
-    salts = F.ceil(F.col("size") / SALTED).cast("int")
-    hot = groups.where(F.col("size") > SALTED).select(*on, salts.alias("_salts"))
-    hot = F.broadcast(hot) if table_bytes(hot) <= BROADCAST_BYTES else hot
-    salt = F.pmod(F.xxhash64(*spread), F.coalesce("_salts", F.lit(1))).cast("int")
-    rows = rows.join(hot, on, "left").withColumn("_salt", salt).drop("_salts")
-    return rows.join(groups.withColumn("_salt", F.explode(F.sequence(F.lit(0), salts - 1))), [*on, "_salt"], "left").drop("_salt")
+    hot = hot_keys(groups, on)
+    salts = F.coalesce("_salts", F.lit(1))
+    rows = rows.join(hot, on, "left").withColumn("_salt", F.pmod(F.xxhash64(*spread), salts).cast("int")).drop("_salts")
+    groups = groups.join(hot, on, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("_salts")
+    return rows.join(groups, [*on, "_salt"], "left").drop("_salt")
 
 
 def spread_join(rows: DataFrame, table: DataFrame, key: str, spread: str, scratch: Scratch) -> DataFrame:
     """``rows`` joined to ``table``, which has one row a key. The rows of keys with more than ``SALTED`` of them are spread
     by a hash of the column ``spread``, and only those keys' rows of ``table`` are repeated for each salt."""
-    hot = rows.groupBy(key).agg(F.ceil(F.count("*") / SALTED).cast("int").alias("_salts")).where("_salts > 1")
-    if hot.isEmpty():
+    counts = rows.groupBy(key).agg(F.count("*").alias("size")).where(F.col("size") > SALTED)
+    if counts.isEmpty():
         return rows.join(table, key)
-    hot = sized_broadcast(scratch.save(hot, "hot"))
+    hot = hot_keys(scratch.save(counts, "hot"), [key])
     salts = F.coalesce("_salts", F.lit(1))
     rows = rows.join(hot, key, "left").withColumn("_salt", F.pmod(F.xxhash64(spread), salts).cast("int")).drop("_salts")
     table = table.join(hot, key, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("_salts")

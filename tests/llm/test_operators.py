@@ -621,6 +621,29 @@ def test_groups_are_salted_where_they_are_too_many_to_broadcast(spark, small, mo
     assert [sorted(map(tuple, f(small).collect())) for f in (exact_dedup.radix_groups, minhash.near_duplicates)] == want
 
 
+@pytest.mark.parametrize("bound", [-1, 100, 700, 3000, 1 << 20])
+def test_lists_of_hot_keys_stay_below_the_bound(spark, monkeypatch, bound):
+    """Salts hold however many keys are hot: the list that is broadcast fits, and no task gets many rows of a key."""
+    from glowtrace.llm import common
+
+    monkeypatch.setattr(common, "BROADCAST_BYTES", bound)
+    monkeypatch.setattr(common, "SALTED", 4)
+    scratch = common.Scratch(spark, "hot")
+    sizes = {k: 1 + k * k // 20 for k in range(90)}
+    rows = spark.createDataFrame([(k, i) for k, n in sizes.items() for i in range(n)] + [(None, -1), (999, -1)], "k long, i long")
+    groups = scratch.save(rows.where("k < 90").groupBy("k").agg(F.count("*").alias("size"), F.max("i").alias("top")), "groups")
+    hot = common.hot_keys(groups, ["k"])
+    listed = {r["k"]: r["_salts"] for r in hot.collect()}
+    assert all(listed[k] == -(-sizes[k] // 4) for k in listed)
+    if bound > 400:
+        assert common.table_bytes(scratch.save(hot, "list")) <= bound and (not listed or min(sizes[k] for k in listed) >= max(n for k, n in sizes.items() if k not in listed)) and len(listed) >= min(10, bound // 60)
+    want = sorted(((k, i, sizes[k], sizes[k] - 1) for k, n in sizes.items() for i in range(n)), key=str)
+    got = common.join_groups(rows, groups, ["k"], ["i"])
+    assert sorted((tuple(r) for r in got.where("size is not null").collect()), key=str) == want and got.count() == len(want) + 2
+    spread = common.spread_join(scratch.save(rows, "rows"), groups, "k", "i", scratch).select("k", "i", "size", "top")
+    assert sorted(map(tuple, spread.collect()), key=str) == want
+
+
 @pytest.mark.parametrize("few", [True, False])
 def test_components_of_hubs_chains_and_loops(spark, tmp_path, monkeypatch, few):
     from glowtrace.llm import common, components
