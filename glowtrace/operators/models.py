@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -13,6 +14,7 @@ from glowtrace.functions import sigmoid, softplus
 from glowtrace.operators.project import standardise, unstandardise
 from glowtrace.operators.quantiles import exact_percentiles
 from glowtrace.operators.windows import by, delay_embed_without_middle
+from glowtrace.sources.scratch import checkpointed
 
 
 def least_squares(f: Callable[[np.ndarray, np.ndarray], np.ndarray], x: np.ndarray, y: np.ndarray, start: Sequence[float], w: np.ndarray | None = None, low: np.ndarray | None = None, high: np.ndarray | None = None, steps: int = 200) -> np.ndarray:
@@ -148,8 +150,28 @@ def _untiled(rows: list, height: int) -> np.ndarray:
 def pca_denoise(frames: DataFrame, components: int = 100, oversample: int = 10, passes: int = 2) -> DataFrame:
     """Frames from their leading components, by a randomised range finder (Halko et al., 2011): a first pass adds up random
     mixtures of each recording's frames, the others multiply the covariance into their span. What meets the driver is
-    ``components`` + ``oversample`` numbers a pixel and recording, never the pixels' covariance."""
+    ``components`` + ``oversample`` numbers a pixel and recording, never the pixels' covariance. Recordings are taken in
+    groups whose models stay below ``MODEL_BYTES``, one group after the other, each written before the next; a single
+    recording beyond that is refused."""
     wide = components + oversample
+    sizes = frames.groupBy("rec_id").agg(F.max(F.size("pix")).alias("n")).orderBy("rec_id").collect()  # a row a recording
+    groups, room = [], 0
+    for rec, n in sizes:
+        bytes_ = 8 * n * min(wide, n)
+        if bytes_ > MODEL_BYTES:
+            raise ValueError(f"the model of {rec} is too large: cut the movie into tiles, or take fewer components")
+        if bytes_ > room:
+            groups.append([])
+            room = MODEL_BYTES
+        groups[-1].append(rec)
+        room -= bytes_
+    if len(groups) < 2:
+        return _pca_denoised(frames, components, wide, passes)
+    parts = [checkpointed(frames.sparkSession, _pca_denoised(frames.where(F.col("rec_id").isin(g)), components, wide, passes)) for g in groups]
+    return reduce(DataFrame.union, parts)
+
+
+def _pca_denoised(frames: DataFrame, components: int, wide: int, passes: int) -> DataFrame:
 
     def summed(weigh: Callable[[str, np.ndarray, np.ndarray], np.ndarray]) -> dict[str, np.ndarray]:
         """For each recording the sums of (1, a frame's weights) times (1, the frame)."""
@@ -161,9 +183,15 @@ def pca_denoise(frames: DataFrame, components: int = 100, oversample: int = 10,
                     x = np.stack(part["pix"].to_numpy()).astype(float)
                     w = np.column_stack([np.ones(len(x)), weigh(rec, x, part["t_idx"].to_numpy())])
                     total[rec] = total.get(rec, 0.0) + w.T @ np.column_stack([np.ones(len(x)), x])
+                if sum(t.nbytes for t in total.values()) > MODEL_BYTES // 2:
+                    yield from rows_of(total)
+            yield from rows_of(total)
+
+        def rows_of(total):
             for rec, t in total.items():
                 for i, tile in _tiles(t):
                     yield pd.DataFrame({"rec_id": [rec], "h": [len(t)], "i": [i], "a": [tile]})
+            total.clear()
 
         held: dict[str, list] = {}
         for r in summed_arrays(frames.mapInPandas(add, "rec_id string, h int, i int, a array<double>"), ["rec_id", "h", "i"]).collect():

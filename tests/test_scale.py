@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from glowtrace.operators import filters, images, project, quantiles, recursion, traces
+from glowtrace.operators import filters, images, models, project, quantiles, recursion, traces
 
 DESIGNS = {
     "lowpass": filters.butter_lowpass(2, 30),
@@ -199,3 +199,19 @@ def test_components_over_tiles(spark, monkeypatch, side):
     got = images.connected_components(spark.createDataFrame(rows, "rec_id string, y int, x int, v double").repartition(5)).collect()
     want = {(name, int(y), int(x)): int(k) for name, mask in MASKS.items() for (y, x), k in np.ndenumerate(plain_components(mask)) if k}
     assert {(r["rec_id"], r["y"], r["x"]): r["label"] for r in got} == want and len(got) == len(want)
+
+
+# Low rank
+
+
+def test_recordings_are_denoised_in_groups(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    rows = [(f"r{r}", t, 3, 4, (100 + np.outer(np.sin(np.arange(12) + r), [1.0])[:, 0] * t + rng.normal(size=12)).tolist()) for r in range(5) for t in range(30)]
+    df = spark.createDataFrame(rows, "rec_id string, t_idx long, h int, w int, pix array<double>").repartition(3)
+    want = {(r["rec_id"], r["t_idx"]): r["pix"] for r in models.pca_denoise(df, 2, 3).collect()}
+    monkeypatch.setattr(models, "MODEL_BYTES", 2 * 8 * 12 * 5)
+    got = {(r["rec_id"], r["t_idx"]): r["pix"] for r in models.pca_denoise(df, 2, 3).collect()}
+    assert got.keys() == want.keys() and len(got) == 150 and all(np.allclose(got[k], want[k]) for k in want)
+    monkeypatch.setattr(models, "MODEL_BYTES", 100)
+    with pytest.raises(ValueError, match="too large"):
+        models.pca_denoise(df, 2, 3)
