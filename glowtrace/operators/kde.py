@@ -38,6 +38,7 @@ def _idct(c: np.ndarray) -> np.ndarray:
 
 
 def _fixed_point(t: float, count: int, squares: np.ndarray, a2: np.ndarray) -> float:
+    """The published recursion for the squared bandwidth (Botev et al., 2010); its constants are fixed by the paper."""
     stages = 7
     f = 2 * np.pi ** (2 * stages) * np.sum(squares**stages * a2 * np.exp(-squares * np.pi**2 * t))
     for s in range(stages, 1, -1):

@@ -22,23 +22,24 @@ def values(df, name):
 
 
 def test_sliding(spark):
-    s = series(spark, [1, 2, 3, 4, 5])
-    assert lists(w.sliding_window(s, 3)) == [[1, 2, 3], [2, 3, 4], [3, 4, 5]]
-    assert lists(w.sliding_window(s, 3, 2)) == [[1, 2, 3], [3, 4, 5]]
-    assert lists(w.sliding_window(s, 6)) == []
+    s = series(spark, [7, -2, 0, 9, 4, 4, 1])
+    assert lists(w.sliding_window(s, 4)) == [[7, -2, 0, 9], [-2, 0, 9, 4], [0, 9, 4, 4], [9, 4, 4, 1]]
+    assert lists(w.sliding_window(s, 2, 3)) == [[7, -2], [9, 4]]
+    assert lists(w.sliding_window(s, 8)) == []
     with pytest.raises(ValueError):
         w.sliding_window(s, 0)
 
 
 def test_dilated(spark):
-    assert lists(w.dilated_window(series(spark, range(10)), 3, 2)) == [[0, 2, 4], [1, 3, 5], [2, 4, 6], [3, 5, 7], [4, 6, 8], [5, 7, 9]]
+    squares = [i * i for i in range(11)]
+    assert lists(w.dilated_window(series(spark, squares), 3, 4)) == [[i * i, (i + 4) ** 2, (i + 8) ** 2] for i in range(3)]
 
 
 def test_two_dimensions(spark):
-    rows = [("r", 0, i // 3, i % 3, float(i)) for i in range(9)]
-    px = spark.createDataFrame(rows, "rec_id string, t_idx long, y int, x int, v double")
-    got = {(r["y"], r["x"]): r["v"] for r in w.rolling_2d(px, (2, 2)).collect()}
-    assert got == {(0, 0): 4, (0, 1): 5, (1, 0): 7, (1, 1): 8}
+    image = np.array([[5, 1, 8, 2], [0, 3, 3, 9], [7, 6, 4, 1], [2, 2, 5, 0]], float)
+    px = spark.createDataFrame([("r", 0, int(y), int(x), float(v)) for (y, x), v in np.ndenumerate(image)], "rec_id string, t_idx long, y int, x int, v double")
+    got = {(r["y"], r["x"]): r["v"] for r in w.rolling_2d(px, (2, 3)).collect()}
+    assert got == {(y, x): image[y : y + 2, x : x + 3].max() for y in range(3) for x in range(2)}
 
 
 def test_rolling_borders(spark):
