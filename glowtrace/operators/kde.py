@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from glowtrace.operators.windows import KEYS
+from glowtrace.sources.scratch import checkpointed
 
 
 def histogram(rows: DataFrame, value: str, low: float, high: float, bins: int, keys: Sequence[str] = ()) -> DataFrame:
@@ -55,11 +56,16 @@ def density(data: np.ndarray, bins: int = 4096, low: float | None = None, high:
     high = data.max() + reach / 10 if high is None else high
     if not high > low:
         return None
-    counts = np.histogram(data, bins, (low, high))[0] / len(data)
-    c = _dct(counts)
+    return density_of_counts(np.histogram(data, bins, (low, high))[0] / len(data), len(data), low, high)
+
+
+def density_of_counts(shares: np.ndarray, n: int, low: float, high: float) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
+    """``density`` of n samples from their shares in equal bins between low and high."""
+    bins = len(shares)
+    c = _dct(shares)
     squares, a2 = np.arange(1, bins, dtype=float) ** 2, (c[1:] / 2) ** 2
     a, b = 1e-12, 0.1
-    point = lambda t: _fixed_point(t, len(data), squares, a2)
+    point = lambda t: _fixed_point(t, n, squares, a2)
     with np.errstate(all="ignore"):
         fa, fb = point(a), point(b)
         if not (np.isfinite(fa) and np.isfinite(fb)) or fa * fb > 0:
@@ -74,14 +80,23 @@ def density(data: np.ndarray, bins: int = 4096, low: float | None = None, high:
     return mesh, dens, np.cumsum(dens) * (mesh[1] - mesh[0])
 
 
-def mode_percentile(data: np.ndarray, retries: int = 8) -> tuple[float, float]:
+#: How often samples are doubled to find a mode.
+RETRIES = 8
+
+
+def mode_percentile(data: np.ndarray, retries: int = RETRIES) -> tuple[float, float]:
     """(percentile, value) of the density's mode; 50 and the median if no density is found. The bandwidth depends on the
     number of samples, so data without one, or with a mode outside [0, 100), are doubled and tried again."""
     data = data[np.isfinite(data)]
     if not len(data):
         return 50.0, float("nan")
+    return _mode(lambda i: density(np.tile(data, 2**i)), retries) or (50.0, float(np.median(data)))
+
+
+def _mode(tried: Callable[[int], tuple | None], retries: int) -> tuple[float, float] | None:
+    """(percentile, value) of the mode of the first density among ``tried`` that has one in [0, 100)."""
     for i in range(retries):
-        got = density(np.tile(data, 2**i))
+        got = tried(i)
         if got is None:
             continue
         at = int(np.argmax(got[1]))
@@ -90,22 +105,59 @@ def mode_percentile(data: np.ndarray, retries: int = 8) -> tuple[float, float]:
             break
         if 0 <= q < 100:
             return float(q), float(got[0][at])
-    return 50.0, float(np.median(data))
+    return None
 
 
-def block_percentiles(traces: DataFrame, window: int | None, most: float | None = None, keys: Sequence[str] = KEYS) -> DataFrame:
-    """(keys, q): the median over whole blocks of the blocks' mode percentiles, ``most`` at most. Each block is a group; a
-    series shorter than the window is one."""
-    sizes = traces.groupBy(*keys).agg(F.count("*").alias("_n"))
+#: Bins of the densities of blocks.
+BINS = 4096
+
+
+def block_counts(traces: DataFrame, window: int | None, bins: int = BINS, keys: Sequence[str] = KEYS) -> DataFrame:
+    """(keys, block, low, high, size, bin, n): counts of the finite samples of whole blocks of ``window`` rows, or of the series
+    where that is shorter or there is no window, in equal bins over their range and a tenth of it on both sides. Edges come
+    from a first pass and counts from a second, both added up in tasks, so blocks may have any length. A block without finite
+    samples is a row without a bin."""
+    sizes = traces.groupBy(F.struct(*keys).alias("_of")).agg(F.count("*").alias("_n"))
     size = F.least(F.lit(window).cast("long"), F.col("_n")) if window else F.col("_n")
-    rows = traces.select(*keys, "t_idx", F.col("f").cast("double").alias("f")).join(sizes, [*keys]).withColumn("block", F.expr("t_idx") / size)
-    rows = rows.withColumn("block", F.floor("block")).where(F.col("block") < F.floor(F.col("_n") / F.least(F.lit(window or 1 << 60).cast("long"), F.col("_n"))))
+    f = F.col("f").cast("double")
+    finite = F.when(f.isNotNull() & ~F.isnan(f) & (F.abs(f) < float("inf")), f)
+    rows = traces.select(F.struct(*keys).alias("_of"), "t_idx", finite.alias("f")).join(sizes, "_of")
+    rows = rows.withColumn("block", F.floor(F.col("t_idx") / size).cast("long")).where(F.col("block") < F.floor(F.col("_n") / size)).select("_of", "block", "f")
+    edges = rows.groupBy("_of", "block").agg(F.min("f").alias("lo"), F.max("f").alias("hi"), F.count("f").alias("size"))
+    reach = (F.col("hi") - F.col("lo")) / 10
+    edges = checkpointed(traces.sparkSession, edges.select("_of", "block", (F.col("lo") - reach).alias("low"), (F.col("hi") + reach).alias("high"), "size"))
+    inside = rows.where("f is not null").join(edges, ["_of", "block"])
+    span = F.col("high") - F.col("low")
+    edge = lambda i: F.col("low") + i * (span / bins)
+    guess = F.when(span > 0, F.least(F.floor((F.col("f") - F.col("low")) / span * bins), F.lit(bins - 1))).otherwise(0).cast("long")
+    inside = inside.withColumn("_at", guess)
+    at = F.when(F.col("f") < edge(F.col("_at")), F.col("_at") - 1).when((F.col("f") >= edge(F.col("_at") + 1)) & (F.col("_at") < bins - 1) & (span > 0), F.col("_at") + 1).otherwise(F.col("_at"))
+    counts = inside.groupBy("_of", "block", at.cast("int").alias("bin")).agg(F.count("*").alias("n"))
+    out = edges.join(counts, ["_of", "block"], "left")
+    return out.select(*[F.col(f"_of.{k}").alias(k) for k in keys], "block", "low", "high", "size", "bin", "n")
 
-    def run(block: pd.DataFrame) -> pd.DataFrame:
-        q, value = mode_percentile(block["f"].to_numpy(float))
-        return block[[*keys, "block"]].iloc[:1].assign(q=q, value=value)
 
-    fields = ", ".join(f"{k} {t}" for k, t in traces.select(*keys).dtypes)
-    found = rows.select(*keys, "block", "f").groupBy(*keys, "block").applyInPandas(run, f"{fields}, block long, q double, value double")
+def block_percentiles(traces: DataFrame, window: int | None, most: float | None = None, keys: Sequence[str] = KEYS) -> DataFrame:
+    """(keys, q): the median over whole blocks of the blocks' mode percentiles, ``most`` at most. A block's density is made of
+    its counts in ``BINS`` bins; a series shorter than the window is one block."""
+    counts = block_counts(traces, window, BINS, keys).withColumn("_of", F.struct(*keys))
+    held = F.filter(F.collect_list(F.struct("bin", "n")), lambda c: c["bin"].isNotNull())
+    lists = counts.groupBy("_of", "block").agg(F.first("low").alias("low"), F.first("high").alias("high"), F.first("size").alias("size"), held.alias("c"))
+    lists = lists.select("_of", "low", "high", "size", F.col("c.bin").alias("bins"), F.col("c.n").alias("ns"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for low, high, n, at, ns in zip(batch["low"], batch["high"], batch["size"], batch["bins"], batch["ns"], strict=True):
+                found = None
+                if n and high > low:
+                    shares = np.zeros(BINS)
+                    shares[np.asarray(at, int)] = np.asarray(ns, float) / n
+                    found = _mode(lambda i: density_of_counts(shares, n * 2**i, low, high), RETRIES)  # noqa: B023
+                out.append(found[0] if found else 50.0)
+            yield batch[["_of"]].assign(q=out)
+
+    kind = lists.schema["_of"].dataType.simpleString()
     q = F.median("q")
-    return found.groupBy(*keys).agg((F.least(q, F.lit(float(most))) if most is not None else q).alias("q"))
+    found = lists.mapInPandas(run, f"_of {kind}, q double").groupBy("_of").agg((F.least(q, F.lit(float(most))) if most is not None else q).alias("q"))
+    return found.select(*[F.col(f"_of.{k}").alias(k) for k in keys], "q")

@@ -44,6 +44,16 @@ def histogram(spark, sf):
     return kde.histogram(src.traces(spark, sf), "f", 0, 400, 64, ["roi_id"])
 
 
+@query("density_counts", f"""WITH {TRACES}, b AS (SELECT roi_id, t_idx // 500 AS block, f FROM t QUALIFY t_idx // 500 < count(*) OVER (PARTITION BY roi_id) // 500),
+  e AS (SELECT roi_id, block, min(f) - (max(f) - min(f)) / 10 AS low, max(f) + (max(f) - min(f)) / 10 AS high, count(*) AS size FROM b GROUP BY 1, 2),
+  g AS (SELECT *, CAST(least(floor((f - low) / (high - low) * 256), 255) AS BIGINT) AS i, (high - low) / 256 AS step FROM b JOIN e USING (roi_id, block)),
+  a AS (SELECT *, CASE WHEN f < low + i * step THEN i - 1 WHEN f >= low + (i + 1) * step AND i < 255 THEN i + 1 ELSE i END AS place FROM g)
+  SELECT roi_id, block, {r8('low', 'low')}, {r8('high', 'high')}, size, CAST(place AS INTEGER) AS bin, count(*) AS n FROM a GROUP BY roi_id, block, low, high, size, place""")
+def density_counts(spark, sf):
+    """What the densities of blocks are made of."""
+    return kde.block_counts(src.traces(spark, sf), 500, 256)
+
+
 @query("kde_percentile")
 def kde_percentile(spark, sf):
     return kde.block_percentiles(src.traces(spark, sf), 500, most=90)

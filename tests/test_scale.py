@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from glowtrace.operators import filters, images, models, project, quantiles, recursion, traces
+from glowtrace.operators import filters, images, kde, models, project, quantiles, recursion, traces
 
 DESIGNS = {
     "lowpass": filters.butter_lowpass(2, 30),
@@ -215,3 +215,41 @@ def test_recordings_are_denoised_in_groups(spark, monkeypatch):
     monkeypatch.setattr(models, "MODEL_BYTES", 100)
     with pytest.raises(ValueError, match="too large"):
         models.pca_denoise(df, 2, 3)
+
+
+# Densities
+
+
+def test_counts_of_blocks_are_numpy_s(spark):
+    rng = np.random.default_rng(12)
+    series = {0: rng.normal(100, 5, 450), 1: np.full(120, 3.0), 2: np.concatenate([rng.integers(0, 11, 200).astype(float), [np.nan, np.inf]]), 3: np.full(100, np.nan), 4: rng.normal(size=30)}
+    df = spark.createDataFrame([("r", k, i, float(v)) for k, x in series.items() for i, v in enumerate(x)], "rec_id string, roi_id int, t_idx long, f double").repartition(4)
+    got = kde.block_counts(df, 100, 40).toPandas()
+    for k, x in series.items():
+        size = min(100, len(x))
+        for b in range(len(x) // size):
+            part = x[b * size : (b + 1) * size]
+            part = part[np.isfinite(part)]
+            rows = got[(got["roi_id"] == k) & (got["block"] == b)]
+            if not len(part):
+                assert len(rows) == 1 and rows["bin"].isna().all() and (rows["size"] == 0).all()
+                continue
+            reach = np.ptp(part) / 10
+            assert (rows["size"] == len(part)).all() and np.allclose(rows[["low", "high"]], [part.min() - reach, part.max() + reach])
+            counts = np.zeros(40, int)
+            counts[rows["bin"].astype(int)] = rows["n"]
+            assert counts.sum() == len(part) and (reach == 0 or (counts == np.histogram(part, 40, (part.min() - reach, part.max() + reach))[0]).all())
+    assert len(got[["roi_id", "block"]].drop_duplicates()) == 4 + 1 + 2 + 1 + 1
+
+
+def test_percentiles_of_blocks_are_those_of_their_samples(spark):
+    rng = np.random.default_rng(13)
+    series = {(0, "a"): np.concatenate([rng.normal(10, 1, 700), rng.normal(20, 3, 310)]), (1, None): rng.normal(size=180), (2, "c"): np.full(90, 5.0), (3, "d"): np.full(60, np.nan)}
+    df = spark.createDataFrame([(f"r{k}", roi, i, float(v)) for (k, roi), x in series.items() for i, v in enumerate(x)], "rec_id string, roi_id string, t_idx long, f double").repartition(3)
+    for window, most in ((250, None), (None, None), (250, 20.0)):
+        got = {(r["rec_id"], r["roi_id"]): r["q"] for r in kde.block_percentiles(df, window, most).collect()}
+        for (k, roi), x in series.items():
+            size = min(window or len(x), len(x))
+            want = np.median([kde.mode_percentile(x[i * size : (i + 1) * size])[0] for i in range(len(x) // size)])
+            assert np.isclose(got[f"r{k}", roi], want if most is None else min(want, most)), (k, window)
+    assert kde.block_percentiles(df.limit(0), 250).count() == 0
