@@ -99,7 +99,7 @@ def hot_keys(counts: DataFrame, on: list[str]) -> DataFrame:
         if size <= BROADCAST_BYTES:
             return F.broadcast(hot)
         if 2 * least >= most:
-            fit = hot.count() * max(BROADCAST_BYTES, 0) // size
+            fit = hot.count() * max(BROADCAST_BYTES, 0) // size if size else 0
             if not fit:
                 return counts.where(F.col("size") > SALTED).select(*on, salts)
             first = counts.orderBy(F.desc("size"), *on).limit(fit).select(*on, salts)

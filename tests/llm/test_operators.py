@@ -644,6 +644,18 @@ def test_lists_of_hot_keys_stay_below_the_bound(spark, monkeypatch, bound):
     assert sorted(map(tuple, spread.collect()), key=str) == want
 
 
+@pytest.mark.parametrize("bound", [-1, 0])
+def test_lists_of_no_hot_keys(spark, monkeypatch, bound):
+    from glowtrace.llm import common
+
+    monkeypatch.setattr(common, "BROADCAST_BYTES", bound)
+    scratch = common.Scratch(spark, "hot")
+    for groups in ([], [(1, 2)]):  # no keys at all, and none that is hot
+        groups = scratch.save(spark.createDataFrame(groups, "k long, size long"), "groups")
+        assert common.hot_keys(groups, ["k"]).count() == 0
+        assert common.join_groups(groups.select("k"), groups, ["k"], ["k"]).count() == groups.count()
+
+
 @pytest.mark.parametrize("few", [True, False])
 def test_components_of_hubs_chains_and_loops(spark, tmp_path, monkeypatch, few):
     from glowtrace.llm import common, components
