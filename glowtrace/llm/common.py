@@ -17,6 +17,9 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: A written table is broadcast only if its measured size in memory stays below this.
 BROADCAST_BYTES = 24 << 20
 
+#: Spark's setting that removes a query's shuffle files when the query ends.
+FILE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -55,8 +58,18 @@ class Scratch:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
 
     def save(self, df: DataFrame, tag: str) -> DataFrame:
+        """``df``, written and read again. The shuffle files of the write go when it ends: nothing else reads them, and Spark
+        alone keeps them until the driver's memory is collected."""
         path = f"{self.root}/{tag}-{uuid.uuid4().hex[:8]}"
-        df.write.parquet(path)
+        before = self.spark.conf.get(FILE_CLEANUP, None)
+        self.spark.conf.set(FILE_CLEANUP, "true")
+        try:
+            df.write.parquet(path)
+        finally:
+            if before is None:
+                self.spark.conf.unset(FILE_CLEANUP)
+            else:
+                self.spark.conf.set(FILE_CLEANUP, before)
         out = self.spark.read.schema(df.schema).parquet(path)
         self._paths[id(out)] = path
         out._scratch_path = path
@@ -66,6 +79,11 @@ class Scratch:
         path = self.spark._jvm.org.apache.hadoop.fs.Path(df._scratch_path)
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
+    def clear(self) -> None:
+        """Removes all its tables; what still reads one fails."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.root)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
 
 #: Rows of one key that a task of a shuffled join gets.
 SALTED = 1000

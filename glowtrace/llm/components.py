@@ -47,6 +47,8 @@ def connected_components(links: DataFrame, scratch: Scratch, row_bytes: int = _R
         mark = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if mark == before or mark[0] == 0:
             return edges.select(F.col("u").alias("id"), F.col("v").alias("component"))
-        after = scratch.save(_stars(edges, mark[0], scratch, row_bytes), "stars")
+        step = Scratch(scratch.spark, "stars")
+        after = scratch.save(_stars(edges, mark[0], step, row_bytes), "stars")
+        step.clear()
         scratch.drop(edges)
         before, edges = mark, after

@@ -94,9 +94,10 @@ def _sketches(docs: DataFrame, width: int, bands: int, rows: int) -> DataFrame:
 def _sets(docs: DataFrame, width: int) -> DataFrame:
     def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield pd.DataFrame({ROW: batch[ROW], "codes": [shingle_hashes(t, width).view(np.int64) for t in batch["text"]]})
+            codes = [shingle_hashes(t, width).view(np.int64) for t in batch["text"]]
+            yield pd.DataFrame({ROW: batch[ROW], "n": [len(c) for c in codes], "codes": codes})
 
-    return docs.mapInPandas(sets, f"{ROW} long, codes array<long>")
+    return docs.mapInPandas(sets, f"{ROW} long, n long, codes array<long>")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, scratch: Scratch) -> DataFrame:
@@ -141,6 +142,7 @@ def _near_rows(docs: DataFrame, key: str, similarity: int = 75, width: int = 5,
     scratch = Scratch(spark, "minhash")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(key).alias(ROW), F.col("text").cast("string").alias("text"))
     sketches = scratch.save(_sketches(docs, width, bands, rows), "sketches")
+    heads = scratch.save(sketches.drop("bands"), "heads")
     usable = sketches.where("set_key is not null")
 
     # Equal sets: one representative row.
@@ -154,13 +156,17 @@ def _near_rows(docs: DataFrame, key: str, similarity: int = 75, width: int = 5,
     shared = member.groupBy("band").agg(F.min("x").alias("c"), F.max("x").alias("last"), F.count("*").alias("size")).where("c < last").select("band", "c", "size")
     shared = scratch.save(shared, "shared")
     members = scratch.save(join_groups(member, shared, ["band"], ["x"]).where("c is not null").select("band", "x", "c").distinct(), "members")
+    scratch.drop(sketches)
 
     # Full sets of the members only, read again.
     ids = scratch.save(members.select(F.col("x").alias(ROW)).distinct(), "ids")
     sets = scratch.save(_sets(docs.select(ROW, "text").join(sized_broadcast(ids), ROW, "left_semi"), width), "sets")
 
     def confirm(pairs: DataFrame, tag: str) -> DataFrame:
-        return scratch.save(_verified(scratch.save(pairs, f"{tag}_pairs"), sets, scratch), tag)
+        step = Scratch(spark, "pairs")
+        out = scratch.save(_verified(step.save(pairs, f"{tag}_pairs"), sets, step), tag)
+        step.clear()
+        return out
 
     def linked(checked: DataFrame) -> DataFrame:
         return checked.where(F.col("shared") * 100 >= F.col("joined") * similarity).select(F.col("x").alias("u"), F.col("y").alias("v"))
@@ -170,43 +176,52 @@ def _near_rows(docs: DataFrame, key: str, similarity: int = 75, width: int = 5,
         links = linked(checked)
         return found if links.isEmpty() else connected_components(links.union(found), scratch)
 
-    def by_component(found: DataFrame) -> DataFrame:
-        """members (band, x) of the bands whose members are in several components, with their own component (cx), that of
-        the band's first member (cc), and the band's size."""
-        own = scratch.save(_with_component(members.select("band", "x"), "x", found, "cx"), "own")
+    def by_component(found: DataFrame, others: DataFrame, to: Scratch) -> DataFrame:
+        """Rows (band, x, c) of members, of the bands that hold ``others`` of several components, with their own component
+        (cx), that of the band's first member (cc), and the band's size."""
+        step = Scratch(spark, "bands")
+        own = step.save(_with_component(others, "x", found, "cx"), "own")
         mixed = own.groupBy("band").agg(F.min("cx").alias("lo"), F.max("cx").alias("hi")).where("lo < hi").select("band")
-        mixed = scratch.save(_with_component(shared.join(mixed, "band"), "c", found, "cc"), "mixed")
-        return join_groups(own, mixed, ["band"], ["x"]).where("cc is not null")
+        mixed = step.save(_with_component(shared.join(mixed, "band"), "c", found, "cc").drop("c"), "mixed")
+        out = to.save(join_groups(own, mixed, ["band"], ["x"]).where("cc is not null"), "state")
+        step.clear()
+        return out
 
     # 1: each document with the smallest first member of its bands.
     first = confirm(members.where("x <> c").groupBy("x").agg(F.min("c").alias("y")), "first")
     found = connected_components(linked(first), scratch)
 
     # 2: with the other first members, where components differ.
-    stars = by_component(found).where("x <> c and cx <> cc").select("x", F.col("c").alias("y")).distinct()
+    step = Scratch(spark, "stars")
+    stars = by_component(found, members, step).where("x <> c and cx <> cc").select("x", F.col("c").alias("y")).distinct()
     second = confirm(stars.join(first, ["x", "y"], "left_anti"), "second")
+    step.clear()
     found = grown(found, second)
     checked = first.union(second)
 
-    # 3: members of a band that are still apart, in two blocks. Only shingles that also occur in another component can be
-    # shared by a new link, and a mask of them (a bit that only one of two sets has is a shingle that the other lacks) bounds
-    # the similarity from above. Each pair is looked at in the first band it shares, and a large band's pairs are dealt to
-    # tasks by a hash of their first document. Where the bands hold few pairs, both blocks are one.
+    # 3: members of a band that are still apart, in two blocks. All of other components are compared with the first member by
+    # now, so only bands whose further members are in several components count: two unlike documents that meet in a band cost
+    # nothing more. Only shingles that also occur in another component can be shared by a new link, and a mask of them (a bit
+    # that only one of two sets has is a shingle that the other lacks) bounds the similarity from above. Each pair is looked at
+    # in the first band it shares, and a large band's pairs are dealt to tasks by a hash of their first document. Where the
+    # bands hold few pairs, both blocks are one.
     slots, done = 64, 0
     while done < slots:
-        state = scratch.save(by_component(found).select("band", "x", "cx", "cc", F.ceil(F.col("size") / SALTED).cast("int").alias("salts")), "state")
+        step = Scratch(spark, "apart")
+        state = by_component(found, members.where("x <> c"), step).withColumn("salts", F.ceil(F.col("size") / SALTED).cast("int"))
         if state.isEmpty():
+            step.clear()
             break
-        apart = scratch.save(state.groupBy("x", "cx").agg(F.array_sort(F.collect_set("band")).alias("at")), "apart")
-        codes = apart.join(sets.withColumnRenamed(ROW, "x"), "x").select("x", "cx", F.size("codes").alias("n"), F.explode("codes").alias("code"))
+        apart = step.save(state.groupBy("x", "cx").agg(F.array_sort(F.collect_set("band")).alias("at")), "apart")
+        codes = apart.join(sets.withColumnRenamed(ROW, "x"), "x").select("x", "cx", F.explode("codes").alias("code"))
         across = codes.groupBy("code").agg(F.min("cx").alias("lo"), F.max("cx").alias("hi"), F.count("*").alias("size")).where("lo < hi").select("code", "size")
-        common = join_groups(codes, scratch.save(across, "across"), ["code"], ["x"]).where("size is not null")
+        common = join_groups(codes.drop("cx"), step.save(across, "across"), ["code"], ["x"]).where("size is not null")
         bit, word = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod("code", F.lit(64)).cast("int")), F.pmod(F.shiftright("code", 6), F.lit(MASKS))
         masks = [F.bit_or(F.when(word == k, bit).otherwise(F.lit(0).cast("long"))).alias(f"mask{k}") for k in range(MASKS)]
-        common = common.groupBy("x").agg(F.max("n").alias("n"), F.count("*").alias("m"), *masks)
-        able = scratch.save(apart.join(common, "x").where(F.col("m") * 100 >= F.col("n") * similarity), "able")
+        common = common.groupBy("x").agg(F.count("*").alias("m"), *masks).join(sets.select(F.col(ROW).alias("x"), "n"), "x")
+        able = step.save(apart.join(common, "x").where(F.col("m") * 100 >= F.col("n") * similarity), "able")
         at = state.select("band", "x", "cc", "salts").join(able, "x")
-        at = scratch.save(at, "at")
+        at = step.save(at, "at")
         own = [k for k in able.columns if k not in ("band", "cc", "salts")]
         sizes = at.groupBy("band").agg(F.count("*").alias("all"), F.count_if(F.expr("cx <> cc")).alias("apart"))
         few = (sizes.agg(F.sum(F.col("all") * F.col("apart"))).first()[0] or 0) <= FEW_PAIRS
@@ -221,16 +236,19 @@ def _near_rows(docs: DataFrame, key: str, similarity: int = 75, width: int = 5,
         pairs = a.join(b, ["band", "salt"]).where((F.col("cx_a") != F.col("cx_b")) & possible & here)
         pairs = pairs.select(F.greatest("x_a", "x_b").alias("x"), F.least("x_a", "x_b").alias("y")).distinct().join(checked, ["x", "y"], "left_anti")
         more = confirm(pairs, "cross")
+        step.clear()
         checked, done, found = checked.union(more), upto, grown(found, more)
 
     links = found.select(F.col("id").alias("u"), F.col("component").alias("v"))
     # A representative of very many copies is one key of this join, so its copies are spread.
     merged = spread_join(copies, _with_component(copies.select("v").distinct(), "v", links.toDF("id", "component"), "root"), "v", "u", scratch).select("u", F.col("root").alias("v"))
     final = links.union(merged).groupBy(F.col("u").alias(ROW)).agg(F.min("v").alias("root"))
-    out = sketches.select(ROW, "doc_id", "n_shingles", "set_key").join(final, ROW, "left").withColumn("root", F.coalesce("root", ROW))
-    out = scratch.save(out, "rows")
+    kept = Scratch(spark, "near")
+    out = heads.join(final, ROW, "left").withColumn("root", F.coalesce("root", ROW))
+    out = kept.save(out, "rows")
+    scratch.clear()
     first = F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "set_key", ROW)).alias("first")
-    roots = scratch.save(out.groupBy("root").agg(first, F.count("*").alias("size")).where("size > 1"), "roots")
+    roots = kept.save(out.groupBy("root").agg(first, F.count("*").alias("size")).where("size > 1"), "roots")
     out = join_groups(out, roots, ["root"], [ROW])
     leads = F.coalesce(F.col(f"first.{ROW}") == F.col(ROW), F.lit(True))
     out = out.select(ROW, "doc_id", "n_shingles", F.coalesce("first.doc_id", "doc_id").alias("component_id"), leads.alias("leads"))

@@ -2,6 +2,7 @@
 
 import hashlib
 import json
+import os
 import re
 import time
 import unicodedata
@@ -697,6 +698,40 @@ def test_both_blocks_of_a_large_band_find_what_one_step_finds(spark, monkeypatch
         assert {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(docs(spark, rows)).collect()} == want
 
 
+def test_written_tables_leave_no_shuffle_files(spark):
+    from glowtrace.llm import common
+
+    files = lambda: {f.getName() for f in spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()) if f.getName().startswith("shuffle_")}
+    before, set_ = files(), spark.conf.get(common.FILE_CLEANUP, None)
+    scratch = common.Scratch(spark, "files")
+    sums = spark.range(1000).groupBy((F.col("id") % 7).alias("k")).agg(F.sum("id").alias("s"))
+    written = scratch.save(sums.join(sums.withColumnRenamed("s", "t"), "k"), "sums")
+    assert not files() - before and spark.conf.get(common.FILE_CLEANUP, None) == set_
+    assert written.count() == 7 and sums.count() == 7
+    scratch.clear()
+    assert scratch.save(sums, "more").count() == 7
+
+
+def test_bands_of_two_unlike_documents_are_done_with_their_comparison(spark, monkeypatch):
+    """Near duplicates explode no sets for a pair that was compared, and leave only the tables that the result reads."""
+    from glowtrace.llm import common
+
+    saved, save = [], common.Scratch.save
+
+    def noted(self, df, tag):
+        out = save(self, df, tag)
+        saved.append((tag, out._scratch_path))
+        return out
+
+    monkeypatch.setattr(common.Scratch, "save", noted)
+    rows = [(2 * i + k, " ".join(f"w{i}_{j}" for j in range(35 * k, 200 + 35 * k))) for i in range(20) for k in range(2)]
+    got = minhash.near_duplicates(docs(spark, rows))
+    tags = {t for t, _ in saved}
+    assert "second" in tags and "across" not in tags
+    assert {r["doc_id"]: r["component_id"] for r in got.collect()} == {i: i for i, _ in rows}
+    assert {t for t, p in saved if os.path.exists(p.removeprefix("file:"))} == {"rows", "roots"}
+
+
 def test_rows_of_files_are_numbered_where_they_lie(spark, tmp_path):
     from glowtrace.llm import common
 
