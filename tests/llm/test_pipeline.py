@@ -1,9 +1,12 @@
 """The pipeline against a plain version of its decisions."""
 
+import glob
+import os
 import re
 
 import corpus_pipeline
 from glowtrace.llm import langid, mixing
+from glowtrace.llm.common import checkpoint_root
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -97,3 +100,12 @@ def test_stages_on_no_documents(spark):
 def test_run_is_the_stages(spark):
     out = corpus_pipeline.run(spark, SMALL)
     assert out.columns == ["shard", "bin", "words", "doc_ids", "pieces"] and out.count() > 0
+
+
+def test_run_keeps_only_the_stage_that_is_read(spark):
+    root = checkpoint_root(spark).removeprefix("file://")
+    before = set(glob.glob(f"{root}/pipeline-*"))
+    out = corpus_pipeline.run(spark, SMALL)
+    (mine,) = set(glob.glob(f"{root}/pipeline-*")) - before
+    assert [p.split("-")[0] for p in os.listdir(mine)] == ["stage4"]
+    assert out.count() == corpus_pipeline.run(spark, SMALL).count() > 0
