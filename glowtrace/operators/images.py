@@ -102,13 +102,15 @@ def gaussian_blur(image: DataFrame, height: int, width: int, size: int = 5, sigm
 
 def detect_peaks(image: DataFrame, height: int, width: int, relative: int = 3, edge: int = 5) -> DataFrame:
     """Pixels that equal the maximum of the (height // relative) by (width // relative) box around them, without those
-    nearer than ``edge`` to the border; 0 clears none."""
+    nearer than ``edge`` to the border; 0 clears none. A pixel's own value comes from its box too: an image that is
+    computed twice, as for a join with its maxima, adds up in another order and differs in its last digits."""
     keys = [c for c in image.columns if c not in ("y", "x", "v")]
     bh, bw = height // relative, width // relative
     rows = neighbours(image, bh // 2, bw // 2, height, width, "reflect")
     rows = rows.where(F.col("dy").between(-(bh // 2), bh - 1 - bh // 2) & F.col("dx").between(-(bw // 2), bw - 1 - bw // 2))
-    top = rows.groupBy(*keys, "y", "x").agg(F.max("v").alias("top"))
-    return image.join(top, [*keys, "y", "x"]).where((F.col("v") == F.col("top")) & F.col("y").between(edge, height - 1 - edge) & F.col("x").between(edge, width - 1 - edge)).drop("top")
+    own = F.when((F.col("dy") == 0) & (F.col("dx") == 0), F.col("v"))
+    found = rows.groupBy(*keys, "y", "x").agg(F.max(own).alias("v"), F.max("v").alias("top"))
+    return found.where((F.col("v") == F.col("top")) & F.col("y").between(edge, height - 1 - edge) & F.col("x").between(edge, width - 1 - edge)).drop("top")
 
 
 def peaks_with_retry(image: DataFrame, height: int, width: int, relative: int = 3, edge: int = 5) -> DataFrame:
