@@ -114,13 +114,13 @@ def detect_peaks(image: DataFrame, height: int, width: int, relative: int = 3, e
 
 
 def peaks_with_retry(image: DataFrame, height: int, width: int, relative: int = 3, edge: int = 5) -> DataFrame:
-    """The peaks at the largest edge, up to ``edge``, that leaves more than one; all if none does."""
+    """The peaks at the largest edge, up to ``edge``, that leaves more than one; all if none does. These are the peaks of the
+    two first ranks by their distance from the border, distances cut to ``edge``; peaks are found once, not once more for
+    the edge."""
     peaks = detect_peaks(image, height, width, relative, 0)
-    away = F.least("y", "x", height - 1 - F.col("y"), width - 1 - F.col("x"))
-    ranked = peaks.withColumn("_away", away)
-    second = F.sort_array(F.collect_list("_away"), asc=False)
-    reach = ranked.groupBy("rec_id").agg(F.least(F.lit(edge), F.coalesce(F.get(second, F.lit(1)), F.lit(0))).alias("_edge"))
-    return ranked.join(reach, "rec_id").where("_away >= _edge").drop("_away", "_edge")
+    away = F.least("y", "x", height - 1 - F.col("y"), width - 1 - F.col("x"), F.lit(edge))
+    farthest = Window.partitionBy("rec_id").orderBy(F.desc("_away"))
+    return peaks.withColumn("_away", away).withColumn("_rank", F.rank().over(farthest)).where("_rank <= 2").drop("_away", "_rank")
 
 
 def roi_stats(mask: DataFrame) -> DataFrame:
